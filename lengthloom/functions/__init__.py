@@ -1,0 +1 @@
+"""Column expressions: text, geometry, scores."""
