@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, packing, quality, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_histogram_packing": packing.query,
         "op2_sampled_splitters": sharding.query,
         "op3_pareto_mix": mixing.query,
+        "op9_repetition_rules": quality.query,
     }
 
 
