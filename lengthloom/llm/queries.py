@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, sharding
+from . import language, mixing, packing, privacy, quality, sharding
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_histogram_packing": packing.query,
         "op2_sampled_splitters": sharding.query,
         "op3_pareto_mix": mixing.query,
+        "op6_feistel_pseudonyms": privacy.query,
+        "op7_kneser_ney": language.query,
         "op9_repetition_rules": quality.query,
     }
 
