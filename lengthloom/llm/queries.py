@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, privacy, quality, sharding
+from . import language, mixing, packing, privacy, quality, search, sharding
 
 
 def queries() -> dict:
@@ -12,9 +12,10 @@ def queries() -> dict:
         "op3_pareto_mix": mixing.query,
         "op6_feistel_pseudonyms": privacy.query,
         "op7_kneser_ney": language.query,
+        "op8_kd_tree_search": search.query,
         "op9_repetition_rules": quality.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_kd_tree_search": search.ORACLE}
