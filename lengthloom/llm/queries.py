@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, privacy, quality, search, sharding
+from . import jaccard, language, mixing, packing, privacy, quality, search, sharding
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_kneser_ney": language.query,
         "op8_kd_tree_search": search.query,
         "op9_repetition_rules": quality.query,
+        "op10_bayesian_jaccard": jaccard.query,
     }
 
 
