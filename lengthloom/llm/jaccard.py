@@ -164,7 +164,7 @@ def _in_blocks(df: DataFrame, key: str, size: str) -> DataFrame:
     d = df.withColumn("_n", n).withColumn("_at", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("_n")).cast("int"))
     d = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     d = d.withColumns({"lo": F.least("_at", "_o"), "hi": F.greatest("_at", "_o"), "side": (F.col("_at") > F.col("_o")).cast("int")}).drop("_n", "_at", "_o")
-    return d.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
+    return d.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", "node")  # so forests of different buckets root in the same nodes
 
 
 def candidate_edges(members: DataFrame, least: np.ndarray) -> DataFrame:
