@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, mixing, packing, privacy, quality, search, sharding
+from . import hmm, jaccard, language, mixing, packing, privacy, quality, search, sharding
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_histogram_packing": packing.query,
         "op2_sampled_splitters": sharding.query,
         "op3_pareto_mix": mixing.query,
+        "op4_hidden_markov": hmm.query,
         "op6_feistel_pseudonyms": privacy.query,
         "op7_kneser_ney": language.query,
         "op8_kd_tree_search": search.query,
