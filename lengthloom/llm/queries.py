@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hmm, jaccard, language, mixing, packing, privacy, quality, search, sharding
+from . import hmm, jaccard, language, mixing, packing, privacy, quality, repeats, search, sharding
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_sampled_splitters": sharding.query,
         "op3_pareto_mix": mixing.query,
         "op4_hidden_markov": hmm.query,
+        "op5_previous_factors": repeats.query,
         "op6_feistel_pseudonyms": privacy.query,
         "op7_kneser_ney": language.query,
         "op8_kd_tree_search": search.query,
