@@ -27,19 +27,22 @@ def _stir(x: np.ndarray) -> np.ndarray:
 
 def _rolling(data: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k-byte strings, put together from strings of 1, 2, 4 ... bytes."""
-    power, part, size = {1: _M}, {1: data.astype(np.uint64) + np.uint64(1)}, 1
+    out, done, size, power, part = None, 0, 1, _M, data.astype(np.uint64) + np.uint64(1)
+    powers = {0: np.uint64(1)}
     with np.errstate(over="ignore"):
-        while 2 * size <= k:
-            part[2 * size] = part[size][: len(part[size]) - size] * power[size] + part[size][size:]
-            power[2 * size] = power[size] * power[size]
-            size *= 2
-        out, done = part[size], size
-        while done < k:
-            size = max(s for s in part if s <= k - done)
-            n = len(data) - done - size + 1
-            out = out[:n] * power[size] + part[size][done : done + n]
-            done += size
-    return _stir(out)
+        while True:
+            if k & size:
+                if out is None:
+                    out = part[: len(part)].copy()
+                else:  # the longer part first, what is there already after it
+                    n = len(data) - done - size + 1
+                    out = part[:n] * powers[done] + out[size : size + n]
+                done += size
+                powers[done] = powers[done - size] * power
+            if done == k:
+                return _stir(out)
+            part = part[: len(part) - size] * power + part[size:]
+            power, size = power * power, 2 * size
 
 
 def window_keys(data: np.ndarray, length: int) -> np.ndarray:
@@ -70,14 +73,22 @@ def runs(data: np.ndarray, sizes: np.ndarray, length: int, bits: int) -> tuple[n
     return key[new], doc[new], at[new], np.diff(np.append(new, len(at)))
 
 
-def packed(x: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+def _planes(x: np.ndarray) -> bytes:
+    """Integers byte by byte: all lowest bytes, all second bytes and so on, which compress well."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def unpacked(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel()
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Keys in rising order, as differences."""
+    return _squeeze(_planes(np.diff(x.astype(np.int64), prepend=0)))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(_expand(data))).astype(np.uint64)
 
 
 def earlier_match(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, length: int) -> list[np.ndarray]:
@@ -114,11 +125,11 @@ def earlier_match(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, length:
 
 
 def _ints(*columns) -> bytes:
-    return np.column_stack([np.asarray(c, np.int64) for c in columns]).astype("<i8").tobytes() if len(columns[0]) else b""
+    return _planes(np.concatenate([np.asarray(c, np.int64) for c in columns]))
 
 
 def _from_ints(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<i8").reshape(-1, n)
+    return _from_planes(data).reshape(n, -1).T
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
@@ -129,7 +140,7 @@ def _rows(rows: list[tuple]) -> pa.Table:
 def _squeeze(x: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(x)
+    return zstandard.ZstdCompressor(level=5).compress(x)
 
 
 def _expand(x: bytes) -> bytes:
@@ -198,35 +209,32 @@ def _keys(blocks: DataFrame, length: int, bits: int, parts: int) -> DataFrame:
                 by = np.argsort(part, kind="stable")
                 rows = []
                 for x in np.split(by, np.flatnonzero(np.diff(part[by])) + 1) if len(by) else []:
-                    rows.append((block, int(part[x[0]]), KEYS, packed(key[x], bits // 8), np.packbits(many[x]).tobytes()))
+                    rows.append((block, int(part[x[0]]), KEYS, packed(key[x]), np.packbits(many[x]).tobytes()))
                 if rows:
                     yield _rows(rows).combine_chunks().to_batches()[0]
 
     return blocks.mapInArrow(run, ROW)
 
 
-def _shared(bits: int):
-    def run(t: pa.Table) -> pa.Table:
-        """Of a part's keys from all blocks: for each block, those that another block or two of its documents have."""
-        blobs = [unpacked(x, bits // 8) for x in t["a"].to_pylist()]
-        many = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)] for x, k in zip(t["b"].to_pylist(), blobs, strict=True)]
-        key, many = np.concatenate(blobs), np.concatenate(many).astype(bool)
-        order = np.argsort(key)
-        k = key[order]
-        new = np.append(True, k[1:] != k[:-1])
-        begin = np.flatnonzero(new)
-        good = (np.diff(np.append(begin, len(k))) > 1) | np.logical_or.reduceat(many[order], begin)
-        ok = np.empty(len(k), bool)
-        ok[order] = good[np.cumsum(new) - 1]
-        rows, at = [], 0
-        for block, x in zip(t["block"].to_pylist(), blobs, strict=True):
-            some = x[ok[at : at + len(x)]]
-            at += len(x)
-            if len(some):
-                rows.append((block, 0, SHARED, packed(some, bits // 8), b""))
-        return _rows(rows)
-
-    return run
+def _shared(t: pa.Table) -> pa.Table:
+    """Of a part's keys from all blocks: for each block, those that another block or two of its documents have."""
+    blobs = [unpacked(x) for x in t["a"].to_pylist()]
+    many = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)] for x, k in zip(t["b"].to_pylist(), blobs, strict=True)]
+    key, many = np.concatenate(blobs), np.concatenate(many).astype(bool)
+    order = np.argsort(key)
+    k = key[order]
+    new = np.append(True, k[1:] != k[:-1])
+    begin = np.flatnonzero(new)
+    good = (np.diff(np.append(begin, len(k))) > 1) | np.logical_or.reduceat(many[order], begin)
+    ok = np.empty(len(k), bool)
+    ok[order] = good[np.cumsum(new) - 1]
+    rows, at = [], 0
+    for block, x in zip(t["block"].to_pylist(), blobs, strict=True):
+        some = x[ok[at : at + len(x)]]
+        at += len(x)
+        if len(some):
+            rows.append((block, 0, SHARED, packed(some), b""))
+    return _rows(rows)
 
 
 def _strings(length: int, bits: int, parts: int):
@@ -238,7 +246,7 @@ def _strings(length: int, bits: int, parts: int):
         kinds = t["kind"].to_pylist()
         i = kinds.index(TEXTS)
         data, ids, sizes, key, doc, begin, count = _known_runs(t["a"][i].as_py(), t["b"][i].as_py(), length, bits)
-        shared = [unpacked(t["a"][j].as_py(), bits // 8) for j, k in enumerate(kinds) if k == SHARED]
+        shared = [unpacked(t["a"][j].as_py()) for j, k in enumerate(kinds) if k == SHARED]
         if not shared:
             return _rows([])
         shared = np.sort(np.concatenate(shared))
@@ -359,7 +367,7 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str, length: int = 50) -> D
     parts = max(16, -(-total // PART_BYTES))
     bits = 8 * max(4, -(-(max(1, total // 13).bit_length() + 8) // 8))
     blocks = C.keep(_blocks(docs))
-    shared = _keys(blocks, length, bits, parts).groupBy("part").applyInArrow(_shared(bits), ROW)
+    shared = _keys(blocks, length, bits, parts).groupBy("part").applyInArrow(_shared, ROW)
     strings = C.keep(blocks.unionByName(shared).groupBy("block").applyInArrow(_strings(length, bits, parts), ROW))
     cuts = strings.filter(F.col("kind") == STRINGS).groupBy("part").applyInArrow(_decide(length), ROW)
     ends = blocks.unionByName(strings.filter(F.col("kind") == PLACES)).unionByName(cuts)
