@@ -32,13 +32,17 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that keep() wrote; call it once nothing reads them any more."""
+def written() -> int:
+    """How many tables keep() has written so far: a mark for release()."""
+    return len(_scratch)
+
+
+def release(spark: SparkSession, begin: int, end: int) -> None:
+    """Delete the tables that keep() wrote between two marks; call it once nothing reads them any more."""
     jvm = spark.sparkContext._jvm
-    for _, path in _scratch:
+    for _, path in _scratch[begin:end]:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _scratch.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
