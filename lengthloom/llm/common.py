@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but the space and the five ASCII white-space controls.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Worker caches by the operator that fills them; see tidy().
+caches: dict[str, dict] = {}
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -69,3 +72,23 @@ def uniform(h: Column) -> Column:
 def doc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id's decimal text, modulo m; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
+
+
+def tidy(owner: str) -> None:
+    """In a Python worker, at the start of an operator's task: drop other operators' caches and give freed memory back.
+
+    Spark reuses workers, so what one operator leaves would count against the next one's memory.
+    """
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    for name, cache in caches.items():
+        if name != owner:
+            cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

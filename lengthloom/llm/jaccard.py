@@ -42,7 +42,7 @@ class Shingler:
         import xxhash
 
         known, hash_of = self.words, xxhash.xxh3_64_intdigest
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         out = []
         for w in text.encode().split():
@@ -171,6 +171,7 @@ def candidate_edges(members: DataFrame, least: np.ndarray) -> DataFrame:
     """(key, node, sig, size) rows of band buckets -> edges (a, b) that connect all pairs which survive the pruning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.tidy("jaccard")
         for t, begin in whole_groups(batches, ["key", "lo", "hi"]):
             node, side = t["node"].to_numpy(), t["side"].to_numpy()
             two = t["lo"].to_numpy()[begin] != t["hi"].to_numpy()[begin]
@@ -218,6 +219,7 @@ def exact_links(members: DataFrame, threshold: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.tidy("jaccard")
         for t, begin in whole_groups(batches, ["key", "lo", "hi"], 2 * BLOCK):
             node, side, copies = t["node"].to_numpy(), t["side"].to_numpy(), t["copies"].to_numpy().astype(np.float64)
             two, end = t["lo"].to_numpy()[begin] != t["hi"].to_numpy()[begin], np.append(begin[1:], len(node))
@@ -258,6 +260,7 @@ def exact_links(members: DataFrame, threshold: float) -> DataFrame:
 
 def _sketches(df: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.tidy("jaccard")
         shingle = Shingler(n)
         for batch in batches:
             node, sig, bands = [], [], []
@@ -274,6 +277,7 @@ def _sketches(df: DataFrame, n: int) -> DataFrame:
 
 def _sets(df: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.tidy("jaccard")
         shingle = Shingler(n)
         for batch in batches:
             sets = [shingle(t.as_py() or "") for t in batch.column(0)]

@@ -16,7 +16,7 @@ from . import common as C
 
 ORDER = 5
 #: Scored tokens that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 START, END = 2, 3
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,7 +167,7 @@ def verdicts(model: Model, sums: np.ndarray) -> list[tuple[str, float, float | N
     return [(model.langs[b], float(s), float(x), bool(f)) if k else ("und", 0.0, None, False) for b, s, x, f, k in zip(best, sure, low, fine, n, strict=True)]
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[int, Scorer] = C.caches.setdefault("language", {})
 
 
 def _scorer(shared) -> Scorer:
@@ -191,6 +191,7 @@ class _Shared:
 
 def _sums(df: DataFrame, text: str, keep: list[str], shared: _Shared, schema: str, finish) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.tidy("language")
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             at = 0

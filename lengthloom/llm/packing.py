@@ -48,6 +48,7 @@ def tokenize(df: DataFrame, text: str, tokenizer: str, keep: list[str], end_id:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        C.tidy("packing")
         enc = encoder(tokenizer)
         for batch in batches:
             rows, start, length, tokens, data, held = [], [], [], [], [], 0

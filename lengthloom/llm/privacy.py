@@ -234,6 +234,7 @@ def pseudonymise(df: DataFrame, text: str = "text", key: bytes = EXAMPLE_KEY, ki
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.tidy("privacy")
         p = _pseudonyms(key, kinds)
         for batch in batches:
             at = batch.schema.get_field_index(text)
