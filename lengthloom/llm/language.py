@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -167,7 +168,7 @@ def verdicts(model: Model, sums: np.ndarray) -> list[tuple[str, float, float | N
     return [(model.langs[b], float(s), float(x), bool(f)) if k else ("und", 0.0, None, False) for b, s, x, f, k in zip(best, sure, low, fine, n, strict=True)]
 
 
-_scorers: dict[int, Scorer] = C.caches.setdefault("language", {})
+_scorers: dict[str, Scorer] = C.caches.setdefault("language", {})
 
 
 def _scorer(shared) -> Scorer:
@@ -182,7 +183,7 @@ class _Shared:
 
     def __init__(self, spark, model: Model):
         self.cast = spark.sparkContext.broadcast(model)
-        self.id = id(model)
+        self.id = uuid.uuid4().hex
 
     @property
     def value(self) -> Model:
@@ -190,6 +191,8 @@ class _Shared:
 
 
 def _sums(df: DataFrame, text: str, keep: list[str], shared: _Shared, schema: str, finish) -> DataFrame:
+    keep = [c for c in keep if c not in {x.split()[0] for x in schema.split(", ")}]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         C.tidy("language")
         for batch in batches:
@@ -263,6 +266,7 @@ def identify(df: DataFrame, text: str, model: Model, keep: list[str]) -> DataFra
     """The ``keep`` columns with lang_pred, score, cross_entropy and accepted, from whole texts.
 
     Null texts and texts without a letter are ``und`` with score 0 and aren't accepted. Equal texts get equal verdicts.
+    A ``keep`` column that is named like a result is left out. An empty table gives no rows; without labels all is ``und``.
     """
 
     def finish(model: Model, sums: np.ndarray, kept: list) -> list:

@@ -42,11 +42,12 @@ def pareto_mix(df: DataFrame, source: Column, size: Column, identity: Column, od
     (about a document in ``buckets`` of a source), so a hot source is never sorted in one task.
 
     Null source: a source of its own, last. Null or zero size: nothing is taken. Repeated rows tie and may trade places.
-    Reruns agree: nothing is random but the hash. Other columns pass through. df is read twice.
+    Reruns agree: nothing is random but the hash. Other columns pass through; one that is named like a result is replaced, and
+    names that begin with an underscore are reserved. df is read twice. An empty table gives no rows.
     """
     u = C.uniform(F.xxhash64(identity, F.lit(seed)))
     r = u / (F.lit(1.0) - u) / (odds if odds is not None else F.lit(1.0))
-    d = df.withColumns({"_source": source, "size": F.coalesce(size, F.lit(0)).cast("long"), "_q": r}).withColumn("_b", F.least(F.lit(buckets - 1), F.floor(F.col("_q") / (F.col("_q") + 1) * buckets)).cast("int"))
+    d = df.withColumns({"_source": source, "size": F.coalesce(size, F.lit(0)).cast("long"), "_q": r}).withColumn("_b", F.least(F.lit(buckets - 1), F.floor(F.col("_q") / (F.col("_q") + 1) * buckets)).cast("int")).drop("source_size", "target", "copies", "part", "taken")
     cells = C.keep(d.groupBy(F.col("_source").alias("source"), "_b").agg(F.sum("size").alias("n")))
     t = source_targets(cells.groupBy("source").agg(F.sum("n").alias("source_size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")

@@ -113,8 +113,10 @@ def pack(pieces: DataFrame, identity: list[str], room: int = 2048) -> DataFrame:
     The driver gets the histogram (at most ``room`` rows) and makes patterns of it. Rows of a length are numbered without a
     gap: a frequent length is split by the hash of ``identity``, each split is numbered by itself and starts where the one
     before it ended. A row's number picks its place among the places that the patterns have for that length. pieces is read
-    three times: pass a written table. An empty table gives no rows; rows alike in all of ``identity`` may trade places.
+    three times: pass a written table. Columns named like the results are
+    replaced. An empty table gives no rows; rows alike in all of ``identity`` may trade places.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     hist = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     if not hist:
         return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})

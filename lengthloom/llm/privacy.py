@@ -229,8 +229,10 @@ def pseudonymise(df: DataFrame, text: str = "text", key: bytes = EXAMPLE_KEY, ki
     Numbers are replaced only if they are valid: Luhn cards, IBANs by remainder, IPv4 octets, social security numbers by
     area, calendar dates (1900 to 2099), phone numbers by shape; e-mail names, cloud keys and labelled secrets move within
     their character classes. The permutation depends on key and kind alone, so equal values stay equal in all documents.
-    Null texts stay null; texts without such data are unchanged; rows are independent. Other columns pass through.
+    Null texts stay null; texts without such data are unchanged; rows are independent. Other columns pass through, but
+    ``replaced`` is replaced. An empty table gives no rows.
     """
+    df = df.drop("replaced")
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -120,7 +120,9 @@ def apply_rules(df: DataFrame, text: str, keep: list[str], min_words: int = 8, m
     longer than most_longest words. The spans come from the lcp intervals of the text's suffix array: at each word the
     deepest interval gives the longest repeat that starts there, and their union is what maximal repeats cover.
     Null and empty texts have no words and fail. Rows are judged one by one, so copies and ties get equal verdicts.
+    A ``keep`` column that is named like a result is left out. An empty table gives no rows.
     """
+    keep = [c for c in keep if c not in {x.split(" ")[0] for x in RESULT.replace("start:long,", "").split(", ")}]
     fields = [df.schema[c] for c in keep]
     white, symbols = " \t\n\r\x0b\x0c", "#*$%&|<>"
 

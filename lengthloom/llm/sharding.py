@@ -87,6 +87,7 @@ def shard_by_splitters(df: DataFrame, key: Column, identity: Column, size: str,
     The driver sees the sample (about shards * per_shard * per_range numbers) and sums of the cells: both are bounded by
     these parameters, whatever the data. df is read five times: pass a written table if its columns are dear to compute.
     Null keys and identities hash like any value. Rows equal in every respect may trade slots. An empty table gives no rows.
+    Other columns pass through; shard and slot are replaced, and names that begin with an underscore are reserved.
     """
     ranges = shards * per_shard
     d = df.withColumns({"_h": F.xxhash64(key), "_i": F.xxhash64(identity, key)})

@@ -1,0 +1,299 @@
+"""Every operator's query on a table of hard cases, against brute force, and on an empty table."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from lengthloom.llm import common as C
+from lengthloom.llm import hmm, jaccard, language, mixing, packing, privacy, quality, queries, repeats, search, sharding
+
+from .conftest import nasty_rows
+
+WORD = re.compile(C.WORD)
+DOCS = [(r[0], r[1], r[2], r[3]) for r in nasty_rows()]
+
+
+def rows(spark, name, folder):
+    return [r.asDict() for r in queries.queries()[name](spark, folder).collect()]
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_empty_tables_give_no_rows(spark, folders, name):
+    assert rows(spark, name, folders[1]) == []
+
+
+def test_packing(spark, folders):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(packing.default_tokenizer())
+    ids = {r[:2]: [*tk.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in DOCS}
+    got = rows(spark, "op1_histogram_packing", folders[0])
+    assert sum(r["length"] for r in got) == sum(len(ids[r[:2]]) for r in DOCS)
+    want = Counter()
+    for r in DOCS:
+        x = ids[r[:2]]
+        for s in range(0, len(x), 2048):
+            part = np.array(x[s : s + 2048], "<u4")
+            want[r[0], s, len(part), zlib.crc32(part.tobytes()), len(x)] += 1
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == want
+    places = defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for p in places.values():
+        at = 0
+        for o, n in sorted(p):
+            assert o == at
+            at += n
+        assert at <= 2048
+
+
+def test_shortest_pack_first_places_every_piece():
+    hist = {2048: 3, 2000: 5, 1024: 7, 500: 40, 48: 9, 3: 5000, 1: 77}
+    packs = packing.shortest_pack_first(hist, 2048)
+    placed = Counter()
+    for n, content in packs:
+        assert sum(k * m for k, m in content) <= 2048
+        for k, m in content:
+            placed[k] += n * m
+    assert placed == Counter(hist)
+    assert sum(n for n, _ in packs) <= 1.02 * sum(k * m for k, m in hist.items()) / 2048 + 1
+
+
+def test_sharding(spark, folders):
+    got = rows(spark, "op2_sampled_splitters", folders[0])
+    size = lambda t: len((t or "").encode()) + 8
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((r[0], size(r[1]), zlib.crc32((r[1] or "").encode())) for r in DOCS)
+    slots = defaultdict(list)
+    for r in got:
+        assert 0 <= r["shard"] < 24 and r["law"] == "bytes" and r["grown_shard"] is None
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_shards_are_near_equal(spark):
+    got = sharding.query(spark, "/root/testdata/sf0.01").groupBy("shard").agg({"size": "sum"}).collect()
+    x = [r[1] for r in got]
+    assert len(x) == 24 and max(x) < 1.02 * sum(x) / 24 and min(x) > 0.98 * sum(x) / 24
+
+
+def test_mixing(spark, folders):
+    got = rows(spark, "op3_pareto_mix", folders[0])
+    size = Counter()
+    for r in DOCS:
+        size[r[3]] += len(WORD.findall(r[1] or ""))
+    names = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, stopped = {}, set()
+    while True:
+        rest = sum(size.values()) - sum(3 * size[s] for s in stopped)
+        share = {s: rest * weight[s] / sum(weight[o] for o in names if o not in stopped) for s in names if s not in stopped}
+        over = {s for s, t in share.items() if t > 3 * size[s]}
+        if not over:
+            break
+        stopped |= over
+    target = {s: 3 * size[s] if s in stopped else share[s] for s in names}
+    taken = Counter()
+    for r in got:
+        assert r["target"] == pytest.approx(target[r["source"]]) and r["source_size"] == size[r["source"]]
+        assert r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in names)
+    assert sorted(map(str, got)) == sorted(map(str, rows(spark, "op3_pareto_mix", folders[0])))
+
+
+def test_hidden_markov_base_and_coverage(spark, folders):
+    got = rows(spark, "op4_hidden_markov", folders[0])
+    low = lambda t: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [0]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    c = Counter(w for r in DOCS if not held(r[0]) for w in low(r[1]))
+    n, v = sum(c.values()), len(c)
+    want = sorted((str(r[0]), held(r[0]), len(low(r[1])), sum(c[w] > 0 for w in low(r[1])), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in low(r[1])), 4)) for r in DOCS)
+    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
+    assert all(r["score"] < 0 for r in got)
+
+
+def test_baum_welch_counts_are_those_of_all_paths(monkeypatch):
+    import itertools
+
+    k, n = 3, 5
+    monkeypatch.setattr(hmm, "STATES", k)
+    rng = np.random.default_rng(0)
+    m = hmm.Model(rng.dirichlet(np.ones(k), 2), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(n), k).T)
+    x, total, emit, move = rng.integers(0, n, 6), 0.0, np.zeros((n, k)), np.zeros((k, k))
+    for path in itertools.product(range(k), repeat=6):
+        p = m.start[0][path[0]] * m.emit[x[0], path[0]]
+        for t in range(1, 6):
+            p *= m.move[path[t - 1], path[t]] * m.emit[x[t], path[t]]
+        total += p
+        for t in range(6):
+            emit[x[t], path[t]] += p
+        for t in range(1, 6):
+            move[path[t - 1], path[t]] += p
+    _, b, c = hmm.expected(m, [x, x[:3]], np.array([False, True]))
+    _, b0, c0 = hmm.expected(m, [x[:3]], np.array([True]))
+    assert np.allclose(c - c0, emit / total, atol=1e-5) and np.allclose(b - b0, move / total, atol=1e-5)
+    assert hmm.likelihood(m, [x[:2], x])[1] == pytest.approx(math.log10(total))
+
+
+def test_held_out_texts_score_above_the_base(spark):
+    got = hmm.query(spark, "/root/testdata/sf0.01").filter("held_out").selectExpr("sum(score) s", "sum(base_score) b", "sum(n_tokens) n").first()
+    assert (got["s"] - got["b"]) / got["n"] > 0.2
+
+
+def cut(docs, length=50):
+    seen, out = {}, []
+    for i, t in docs:
+        b = (t or "").encode()
+        if i is not None:
+            for k in range(len(b) - length + 1):
+                w = b[k : k + length]
+                seen[w] = min(seen.get(w, i), i)
+    for i, t in docs:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        if i is not None:
+            for k in range(len(b) - length + 1):
+                if seen[b[k : k + length]] < i:
+                    gone[k : k + length] = b"\1" * length
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        out.append((str(i), len(b), sum(gone), sum(1 for k in range(len(b)) if gone[k] and (not k or not gone[k - 1])), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("source", ["nasty", "sf0.001"])
+def test_repeats(spark, folders, source):
+    folder = folders[0] if source == "nasty" else "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["text"]) for r in C.table(spark, folder, "documents").select("doc_id", "text").collect()]
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(spark, "op5_previous_factors", folder))
+    assert got == cut(docs)
+
+
+def test_feistel_is_a_permutation_without_fixed_points():
+    for size in (2, 7, 1000):
+        f = privacy.Feistel(b"k", "x", size)
+        v = [f(i) for i in range(size)]
+        assert sorted(v) == list(range(size)) and all(a != i for i, a in enumerate(v)) and [f.undo(a) for a in v] == list(range(size))
+
+
+def test_pseudonyms_keep_formats_and_links(spark, folders):
+    p = privacy.Pseudonyms(b"k")
+    for text, kind in (("4041894974608795", "card"), ("+1 (988) 555-2485", "phone"), ("10.20.30.40", "ipv4"), ("2024-02-29", "date"), ("31.12.1999", "date"), ("123-45-6789", "ssn"), ("DE89 3704 0044 0532 0130 00", "iban"), ("bob.99@mail1.example.com", "email")):
+        new, spans = p.text(f"a {text} b {text}")
+        assert [s[0] for s in spans] == [kind, kind] and text not in new and new.split(" b ")[0][2:] == new.split(" b ")[1]
+        assert len(p.text(new)[1]) == 2  # still valid
+    for text in ("4041894974608796", "2023-02-29", "300.1.1.1", "000-12-3456", "version 3.", "1234"):
+        assert p.text(text) == (text, [])
+    got = {r["doc_id"]: r for r in rows(spark, "op6_feistel_pseudonyms", folders[0]) if r["doc_id"] is not None}
+    for i, t, _, _ in DOCS:
+        if i is not None and (t is None or "call" not in t):
+            assert got[i]["text"] == t and got[i]["n_replaced"] == 0
+    assert "555-2485" not in next(r["text"] for r in got.values() if (r["text"] or "").startswith("call"))
+
+
+def test_languages(spark, folders):
+    for r in rows(spark, "op7_kneser_ney", folders[0]):
+        text = next(d[1] for d in DOCS if d[0] == r["doc_id"])
+        assert (r["lang_pred"] == "und") == (r["score"] == 0) and 0 <= r["score"] <= 1
+        if r["doc_id"] is not None:
+            assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in text or ""))
+    d = C.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang")
+    held = language.query(spark, "/root/testdata/sf0.01").filter("held_out").join(d, "doc_id").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.97 and np.mean([r["accepted"] for r in held]) > 0.99
+
+
+def test_kneser_ney_sums_to_one():
+    m = language.fit_kneser_ney({"a": [("ab", 3), ("abc", 1), ("b", 2)], "b": [("ca", 2), ("cab", 5)]})
+    p = np.exp(np.array([m.score([w])[0] for w in ("ab", "abc", "b")]))
+    assert (p[:, 0] > p[:, 1]).all() and (p < 1).all()
+
+
+def test_search(spark, folders):
+    got = rows(spark, "op8_kd_tree_search", folders[0])
+    vecs = [r for r in C.table(spark, folders[0], "embeddings").collect() if r["vec_id"] is not None and r["embedding"] is not None and all(x is not None and math.isfinite(x) for x in r["embedding"])]
+    v = [(r["vec_id"], [math.floor(64 * x) for x in r["embedding"]]) for r in vecs]
+    want = []
+    for q, x in v:
+        if q % 20 == 0:
+            s = sorted((-sum(a * b for a, b in zip(x, y)), c) for c, y in v if c != q and len(y) == len(x))[:20]
+            want += [(q, k + 1, c, -n) for k, (n, c) in enumerate(s)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+
+
+def test_quality(spark, folders):
+    got = Counter(tuple(r[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) for r in rows(spark, "op9_repetition_rules", folders[0]))
+    want = Counter()
+    for _, t, _, _ in DOCS:
+        t = t or ""
+        w = WORD.findall(t)
+        c, again = Counter(zip(w, w[1:], w[2:])), set()
+        for i in range(len(w) - 2):
+            if c[tuple(w[i : i + 3])] > 1:
+                again |= {i, i + 1, i + 2}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        want[len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again), len(w) < 50 or 100 * len(again) > 50 * len(w)] += 1
+    assert got == want
+
+
+def test_suffix_order_against_sorting():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        sizes = rng.integers(0, 12, 5)
+        doc, words = np.repeat(np.arange(5), sizes), rng.integers(0, 3, sizes.sum())
+        order, lcp = quality.suffix_order(words, doc)
+        suffix = lambda i: (doc[i], tuple(words[i:][doc[i:] == doc[i]]))
+        assert [suffix(i) for i in order] == sorted(suffix(i) for i in range(len(words)))
+        for k in range(1, len(order)):
+            a, b = suffix(order[k - 1]), suffix(order[k])
+            same = next((i for i, (x, y) in enumerate(zip(a[1], b[1])) if x != y), min(len(a[1]), len(b[1]))) if a[0] == b[0] else 0
+            assert lcp[k] == same
+
+
+@pytest.mark.parametrize("source", ["nasty", "sf0.001"])
+def test_jaccard(spark, folders, source):
+    folder = folders[0] if source == "nasty" else "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["text"]) for r in C.table(spark, folder, "documents").select("doc_id", "text").collect()]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := WORD.findall(t or "")) else frozenset() for _, t in docs]
+    n = len(docs)
+    link = [[a != b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0) for b in range(n)] for a in range(n)]
+    part = list(range(n))
+    for _ in range(n):
+        new = [min([part[a], *(part[b] for b in range(n) if link[a][b])]) for a in range(n)]
+        if new == part:
+            break
+        part = new
+    first = lambda a: min((docs[b][0] for b in range(n) if part[b] == part[a] and docs[b][0] is not None), default=None)
+    want = sorted((str(docs[a][0]), str(first(a)), sum(link[a]), len({sets[b] for b in range(n) if link[a][b] and sets[b] != sets[a]})) for a in range(n))
+    assert sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"], r["n_class_links"]) for r in rows(spark, "op10_bayesian_jaccard", folder)) == want
+
+
+def test_pruning_keeps_likely_pairs():
+    least = jaccard.least_matches(0.8, 1e-8)
+    assert (np.diff(least) > 0).all() and least[-1] < 0.8 * jaccard.HASHES
+
+
+def test_modules_have_queries():
+    assert {m.query for m in (packing, sharding, mixing, hmm, repeats, privacy, language, search, quality, jaccard)} == set(queries.queries().values())
+
+
+def test_pipeline(spark, folders):
+    import corpus_pipeline as cp
+
+    docs = C.table(spark, folders[0], "documents")
+    seen = []
+    for i, (_, stage) in enumerate(cp.STAGES[:3]):
+        docs = stage(spark, docs, folders[0])
+        path = f"{folders[0]}/stage{i}"
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+        seen.append([(r["doc_id"], r["text"]) for r in docs.collect()])
+        assert docs.columns == C.table(spark, folders[0], "documents").columns
+    assert all(any(c.isalpha() for c in t) for _, t in seen[0])
+    assert len({t for _, t in seen[1] if _ is not None}) == len([t for _, t in seen[1] if _ is not None])
+    assert len(seen[2]) == len(seen[1])
+    assert cp.run(spark, folders[0]).count() > 0
+    assert cp.run(spark, folders[1]).count() == 0
