@@ -108,7 +108,7 @@ ORACLE = {
       case when nearby = '' then 0 else len(string_split(nearby, '|')) end as n_near, cast(len(larger) > 0 as int) as has_larger_near,
       case when len(larger) > 0 then round(value_mm / list_max(larger), 9) else 0.0 end as nested_ratio, cast(edge.ord is not null as int) as has_parent, coalesce(edge.score, 0.0) as geo_confidence
       from n left join edge on n.sheet_no = edge.sheet_no and n.ord = edge.ord""",
-    "sample_weights": f"with {A1} select sheet_no, ord, round((case when om then 5.0 else 1.0 end) * (case when hw then 3.5 else 1.0 end) * (case decision when 'exclude_nested' then 1.2 when 'not_length' then 1.6 else 1.0 end) * (case when value_mm >= 2000 then 1.8 else 1.0 end) * (case when value_mm <= 25 then 2.0 else 1.0 end), 6) as weight from a1",
+    "sample_weights": f"with {A1} select sheet_no, ord, round((case when om then 5.0 else 1.0 end) * (case when hw then 3.5 else 1.0 end) * (case decision when 'exclude_nested' then 1.2 when 'not_length' then 1.6 else 1.0 end) * (case when value_mm >= 2000 then 1.8 else 1.0 end) * (case when value_mm <= 25 then 2.0 else 1.0 end), 6)::double as weight from a1",
     "segment_kind": f"with {A3} select seg, sheet_no, case when length between 28 and 900 and width between 0.18 and 1.2 then 'body' when length between 3.5 and 16 and width <= 1.2 then 'tick' else 'drop' end as kind from a3",
     "line_clusters": """with e as (select user_id % 50 as bucket, event_id as ord, epoch_us(ts) / 6e7 as t0, epoch_us(ts) / 6e7 + value as t1 from events
     ), r as (select *, max(t1) over (partition by bucket order by t0, ord rows between unbounded preceding and 1 preceding) as reach from e
