@@ -111,3 +111,57 @@ def overall_argmax(c: DataFrame, reach: float = 90.0) -> DataFrame:
     """For each overall mark, the largest candidate within reach; the first in order wins a tie."""
     p = within_sheet(c, reach).filter("a.f_overall_mark")
     return p.groupBy("a.sheet_no", "a.ord").agg(F.max(F.struct("b.value_mm", (-F.col("b.ord")).alias("o"))).alias("m")).select("sheet_no", "ord", (-F.col("m.o")).alias("target_ord"), F.col("m.value_mm").alias("target_value"))
+
+
+def other_runs(c: DataFrame) -> DataFrame:
+    """sheet_no, ord, parent_ord, problem: pieces that their neighbours or their place give to another run than a long parent.
+
+    mentions: a number beside the piece is another candidate's value and over 0.45 of the parent. closer: another candidate
+    of 8000 or more is nearer by over 25 points.
+    """
+    p = within_sheet(c, 1e6).filter("b.value_mm >= 8000 and a.value_mm >= 250 and a.value_mm < b.value_mm")
+    p = p.select("a.sheet_no", "a.ord", F.col("b.ord").alias("parent_ord"), F.col("a.value_mm").alias("v"), F.col("b.value_mm").alias("pv"), F.col("a.x").alias("px"), F.col("a.y").alias("py"), F.sqrt(d2("a", "b")).alias("d"), F.transform("a.nums", lambda n: n.cast("long")).alias("n"))
+    o = c.select(F.col("sheet_no").alias("s"), F.col("ord").alias("o"), F.col("value_mm").alias("ov"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    t = p.join(o, (F.col("sheet_no") == F.col("s")) & (F.col("o") != F.col("ord")) & (F.col("o") != F.col("parent_ord")))
+    dx, dy = F.col("px") - F.col("ox"), F.col("py") - F.col("oy")
+    named = F.array_contains("n", F.col("ov").cast("long")) & (F.col("ov") != F.col("v")) & (F.col("ov") != F.col("pv")) & (F.col("ov") > F.col("pv") * 0.45)
+    closer = (F.col("ov") >= 8000) & (F.sqrt(dx * dx + dy * dy) + 25 < F.col("d"))
+    found = F.array_compact(F.array(F.when(named, F.lit("mentions")), F.when(closer, F.lit("closer"))))
+    return t.select("sheet_no", "ord", "parent_ord", F.explode(found).alias("problem")).distinct()
+
+
+def chain_cover(c: DataFrame, band: float = 60.0) -> DataFrame:
+    """sheet_no, ord, n_parts, sum_parts, covers: the pieces along each overall mark, and whether they make up its length.
+
+    Seeds name the overall, or are named by it within 160 points. The two farthest seeds (or the only one and the overall)
+    give the direction; pieces in a band around it count. They cover from 0.97 of the length, or with at most 80 mm left.
+    """
+    fits = (F.col("a.value_mm") >= 300) & (F.col("a.value_mm") < F.col("b.value_mm")) & ~F.col("a.f_overall_mark")
+    p = within_sheet(c, 1e6).filter(F.col("b.f_overall_mark") & fits)
+    seeds = p.filter(mentions("a", "b") | (mentions("b", "a") & (d2("a", "b") <= 160.0 * 160.0))).select("a.sheet_no", F.col("b.ord").alias("o"), "a.ord", "a.x", "a.y", (F.col("a.x") - F.col("b.x")).alias("ux"), (F.col("a.y") - F.col("b.y")).alias("uy"))
+    same = (F.col("a.sheet_no") == F.col("b.sheet_no")) & (F.col("a.o") == F.col("b.o")) & (F.col("a.ord") < F.col("b.ord"))
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    two = seeds.alias("a").join(seeds.alias("b"), same).groupBy("a.sheet_no", "a.o").agg(F.max(F.struct(d2("a", "b").alias("d"), (-F.col("a.ord")).alias("i"), (-F.col("b.ord")).alias("j"), dx.alias("ux"), dy.alias("uy"))).alias("m")).select("sheet_no", "o", "m.ux", "m.uy")
+    one = seeds.groupBy("sheet_no", "o").agg(F.count("*").alias("k"), F.first("ux").alias("ux"), F.first("uy").alias("uy")).filter("k = 1").drop("k")
+    way = two.unionByName(one).filter("ux <> 0 or uy <> 0").withColumnsRenamed({"sheet_no": "s"})
+    cross = (F.col("a.x") - F.col("b.x")) * F.col("uy") - (F.col("a.y") - F.col("b.y")) * F.col("ux")
+    parts = p.join(way, (F.col("a.sheet_no") == F.col("s")) & (F.col("b.ord") == F.col("o"))).filter(~F.col("a.f_handwheel") & ~F.col("a.f_insulation_thickness") & (cross * cross <= band * band * (F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy"))))
+    g = parts.groupBy("a.sheet_no", F.col("b.ord").alias("ord"), F.col("b.value_mm").alias("ov")).agg(F.count("*").alias("n_parts"), F.sum("a.value_mm").cast("long").alias("sum_parts"))
+    return g.select("sheet_no", "ord", "n_parts", "sum_parts", ((F.col("sum_parts") >= F.col("ov") * 0.97) | (F.col("ov") - F.col("sum_parts") <= 80)).alias("covers"))
+
+
+def nearest_lines(points: DataFrame, lines: DataFrame, reach: float = 22.0, parallel: float = 0.97) -> DataFrame:
+    """seg, line, dist: the nearest line of like direction on the sheet; a point may lie past an end by 0.15 of the length.
+
+    points: sheet_no, seg, x, y and a unit direction ux, uy. lines: sheet_no, seg, two ends and length.
+    """
+    vx, vy = F.col("l.x2") - F.col("l.x1"), F.col("l.y2") - F.col("l.y1")
+    qx, qy, n2 = F.col("p.x") - F.col("l.x1"), F.col("p.y") - F.col("l.y1"), vx * vx + vy * vy
+    j = points.alias("p").join(lines.alias("l"), (F.col("p.sheet_no") == F.col("l.sheet_no")) & (F.col("p.seg") != F.col("l.seg")))
+    j = j.withColumns({"t": (qx * vx + qy * vy) / n2, "off": F.abs(qx * vy - qy * vx) / F.col("l.length"), "cos": F.abs(F.col("p.ux") * vx + F.col("p.uy") * vy) / F.col("l.length")})
+    past = F.least(F.greatest("t", F.lit(0.0)), F.lit(1.0))
+    ex, ey = qx - past * vx, qy - past * vy
+    j = j.withColumn("end", F.sqrt(ex * ex + ey * ey)).filter(F.col("cos") >= parallel)
+    j = j.withColumn("dist", F.when(F.col("end") <= reach, F.col("end")).when((F.col("off") <= reach) & F.col("t").between(-0.15, 1.15), F.col("off"))).filter("dist is not null")
+    best = F.min(F.struct("dist", (-F.col("cos")).alias("c"), F.col("l.seg").alias("line")))
+    return j.groupBy("p.seg").agg(best.alias("m")).select("seg", "m.line", F.round("m.dist", 6).alias("dist"))

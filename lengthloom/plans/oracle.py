@@ -85,6 +85,32 @@ A6 = """a6 as (select l_orderkey as sheet_no, l_partkey, case l_partkey % 9 when
 PRICES = "(values (1, 'gpt-5-codex', 1.25, 10.0), (2, 'gpt-4o', 2.5, 10.0), (3, 'gpt-4o-mini', 0.15, 0.6), (4, 'gemini-2.5-flash', 0.3, 2.5), (5, 'gemini-2.5-pro', 1.25, 10.0)) as prices(rank, name, inp, outp)"
 
 ORACLE = {
+    "other_runs": f"""with {NEAR}, q as (select p.sheet_no, p.ao, p.bo, p.av, p.bv, p.d2, a.nums, a.x, a.y from p join c a on a.sheet_no = p.sheet_no and a.ord = p.ao where bv >= 8000 and av >= 250 and av < bv
+    ), t as (select q.*, o.value_mm as ov, (q.x - o.x) * (q.x - o.x) + (q.y - o.y) * (q.y - o.y) as od from q join c o on o.sheet_no = q.sheet_no and o.ord <> q.ao and o.ord <> q.bo)
+    select distinct sheet_no, ao as ord, bo as parent_ord, 'mentions' as problem from t where list_contains(list_transform(nums, lambda z: cast(z as bigint)), ov) and ov <> av and ov <> bv and ov > bv * 0.45
+    union select distinct sheet_no, ao, bo, 'closer' from t where ov >= 8000 and sqrt(od) + 25 < sqrt(d2)""",
+    "chain_cover": f"""with {NEAR}, q as (select p.sheet_no, p.ao, p.bo, p.av, p.bv, p.d2, p.one, p.two, a.x as ax, a.y as ay, b.x as bx, b.y as by_, a.hw, a.ins from p
+      join c a on a.sheet_no = p.sheet_no and a.ord = p.ao join c b on b.sheet_no = p.sheet_no and b.ord = p.bo where bom and not aom and av >= 300 and av < bv
+    ), seed as (select * from q where one or (two and d2 <= 25600)
+    ), two_ as (select *, row_number() over (partition by sheet_no, bo order by d desc, i, j) as r from (
+      select s.sheet_no, s.bo, s.ao as i, z.ao as j, z.ax - s.ax as ux, z.ay - s.ay as uy, (z.ax - s.ax) * (z.ax - s.ax) + (z.ay - s.ay) * (z.ay - s.ay) as d from seed s join seed z on s.sheet_no = z.sheet_no and s.bo = z.bo and s.ao < z.ao)
+    ), way as (select sheet_no, bo, ux, uy from two_ where r = 1 union all select sheet_no, bo, min(ax - bx), min(ay - by_) from seed group by 1, 2 having count(*) = 1
+    ), part as (select q.sheet_no, q.bo, q.bv, count(*) as n_parts, cast(sum(av) as bigint) as sum_parts from q join way on q.sheet_no = way.sheet_no and q.bo = way.bo
+      where (ux <> 0 or uy <> 0) and not hw and not ins and ((ax - bx) * uy - (ay - by_) * ux) * ((ax - bx) * uy - (ay - by_) * ux) <= 3600 * (ux * ux + uy * uy) group by 1, 2, 3)
+    select sheet_no, bo as ord, n_parts, sum_parts, sum_parts >= bv * 0.97 or bv - sum_parts <= 80 as covers from part""",
+    "nearest_line": f"""with {A3}, body as (select * from a3 where length between 28 and 900 and width between 0.18 and 1.2
+    ), pt as (select sheet_no, seg, (x1 + x2) / 2 as x, (y1 + y2) / 2 as y, (x2 - x1) / length as ux, (y2 - y1) / length as uy from a3 where not (length between 28 and 900 and width between 0.18 and 1.2) and length > 0
+    ), j as (select pt.seg, l.seg as line, l.x2 - l.x1 as vx, l.y2 - l.y1 as vy, x - l.x1 as qx, y - l.y1 as qy, l.length as n, ux, uy from pt join body l on pt.sheet_no = l.sheet_no and pt.seg <> l.seg
+    ), k as (select *, (qx * vx + qy * vy) / (vx * vx + vy * vy) as t, abs(qx * vy - qy * vx) / n as off, abs(ux * vx + uy * vy) / n as cs from j
+    ), m as (select *, sqrt((qx - least(greatest(t, 0), 1) * vx) * (qx - least(greatest(t, 0), 1) * vx) + (qy - least(greatest(t, 0), 1) * vy) * (qy - least(greatest(t, 0), 1) * vy)) as e from k where cs >= 0.9
+    ), d as (select *, case when e <= 60 then e when off <= 60 and t between -0.15 and 1.15 then off end as dist from m)
+    select seg, line, round(dist, 6) as dist from (select *, row_number() over (partition by seg order by dist, cs desc, line) as r from d where dist is not null) where r = 1""",
+    "audit_problems": f"""with {A1}, s0 as (select sheet_no, ord, case when ord % 13 = 0 then value_mm + 1 else value_mm end as mm, case when ord % 5 = 0 and value_mm > 9000 then 'maybe' else decision end as decision from a1 where ord % 11 <> 0
+    ), s as (select * from s0 union all select * from s0 where ord % 7 = 0)
+    select sheet_no, ord, 'missing' as problem from a1 where ord % 11 = 0 union all select sheet_no, ord, 'duplicate' from s group by 1, 2 having count(*) > 1
+    union all select distinct s.sheet_no, s.ord, 'value' from s join a1 on s.sheet_no = a1.sheet_no and s.ord = a1.ord where mm <> value_mm
+    union all select distinct sheet_no, ord, 'class' from s where decision not in ('include', 'exclude_nested', 'not_length', 'ambiguous')""",
+    "group_split": "select part, count(*) as n_sheets, cast(sum(n) as bigint) as n_rows from (select l_orderkey, count(*) as n, case when substring(md5(cast(l_orderkey as varchar)), 1, 2) < '2e' then 'validation' else 'train' end as part from lineitem group by 1) group by part",
     "sheet_length": f"with {A1}{RULES.format(base='a1')} " + sheets("r4"),
     "guard_chain": f"with {PARENTS}{RULES.format(base='c')}{CHAIN} " + sheets("g5"),
     "job_totals": f"with {A1}{RULES.format(base='a1')}, s as ({sheets('r4')}) select coalesce(status, 'ИТОГО') as status, cast(sum(length_mm) as bigint) as length_mm, count(*) as n_sheets, replace(printf('%.3f', sum(length_mm) / 1000.0), '.', ',') as length_m from s group by rollup (status)",

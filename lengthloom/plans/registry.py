@@ -169,8 +169,39 @@ def price_lookup(spark, sf) -> DataFrame:
     return m.select("role", "model", F.col("n").alias("tokens"), F.round(usd, 9).alias("usd"))
 
 
+def nearest_line(spark, sf) -> DataFrame:
+    """Midpoints of strokes that are no lines, and the nearest line of like direction; wide limits, as strokes are few."""
+    d = A.segments(A.table(spark, sf, "embeddings"))
+    body = F.col("length").between(28, 900) & F.col("width").between(0.18, 1.2)
+    mid = d.filter(~body & (F.col("length") > 0)).selectExpr("sheet_no", "seg", "(x1 + x2) / 2 as x", "(y1 + y2) / 2 as y", "(x2 - x1) / length as ux", "(y2 - y1) / length as uy")
+    return P.nearest_lines(mid, d.filter(body), reach=60.0, parallel=0.9)
+
+
+def audit_problems(spark, sf) -> DataFrame:
+    """Faults between saved decisions and candidates: missing, duplicate, changed value, unknown class."""
+    c = _c(spark, sf).select("sheet_no", "ord", "value_mm", "decision")
+    saved = c.filter("ord % 11 <> 0").selectExpr("sheet_no", "ord", "case when ord % 13 = 0 then value_mm + 1 else value_mm end as saved_mm", "case when ord % 5 = 0 and value_mm > 9000 then 'maybe' else decision end as decision")
+    saved = saved.unionByName(saved.filter("ord % 7 = 0"))
+    missing = c.join(saved, ["sheet_no", "ord"], "left_anti").select("sheet_no", "ord", F.lit("missing").alias("problem"))
+    twice = saved.groupBy("sheet_no", "ord").count().filter("count > 1").select("sheet_no", "ord", F.lit("duplicate").alias("problem"))
+    other = saved.join(c.drop("decision"), ["sheet_no", "ord"]).filter("saved_mm <> value_mm").select("sheet_no", "ord", F.lit("value").alias("problem")).distinct()
+    unknown = saved.filter(~F.col("decision").isin(*KINDS)).select("sheet_no", "ord", F.lit("class").alias("problem")).distinct()
+    return missing.unionByName(twice).unionByName(other).unionByName(unknown)
+
+
+def group_split(spark, sf) -> DataFrame:
+    """Sheets in train and validation, 0.18 of the hash space; a sheet is never in both."""
+    g = _c(spark, sf).groupBy("sheet_no").agg(F.count("*").alias("n"))
+    return g.withColumn("part", F.when(F.substring(F.md5(F.col("sheet_no").cast("string").cast("binary")), 1, 2) < "2e", "validation").otherwise("train")).groupBy("part").agg(F.count("*").alias("n_sheets"), F.sum("n").alias("n_rows"))
+
+
 def queries() -> dict:
     return {
+        "other_runs": lambda s, d: P.other_runs(_n(s, d)),
+        "chain_cover": lambda s, d: P.chain_cover(_n(s, d)),
+        "nearest_line": nearest_line,
+        "audit_problems": audit_problems,
+        "group_split": group_split,
         "sheet_length": _sheets,
         "guard_chain": guard_chain,
         "job_totals": job_totals,
