@@ -31,6 +31,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     return t.select("source", "source_size", F.least("_cap", F.coalesce(F.col("_level"), zero) * F.col("_w")).alias("target"))
 
 
+def _ending(cells: DataFrame, bucket: str, ends: DataFrame) -> DataFrame:
+    """The bucket of each source in which its remaining words end, with the words before it; counting starts at _from."""
+    upto = Window.partitionBy("source").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    d = cells.withColumn("_sum", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(ends, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_before", F.col("_from") + F.col("_sum"))
+    return d.filter((F.col("_before") < F.col("_rest")) & (F.col("_rest") <= F.col("_before") + F.col("n"))).select("source", bucket, "_rest", "_before")
+
+
 def pareto_mix(df: DataFrame, source: Column, size: Column, identity: Column, odds: Column | None = None, seed: int = 1, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, buckets: int = 16_384) -> DataFrame:
     """Add size, source_size, target, copies (whole), part (words of one more copy) and taken = copies * size + part.
 
@@ -54,9 +61,12 @@ def pareto_mix(df: DataFrame, source: Column, size: Column, identity: Column, od
     t = C.keep(t.withColumn("_whole", whole).withColumn("_rest", F.greatest(F.lit(0), F.least(F.col("source_size"), F.round("target").cast("long") - F.col("_whole") * F.col("source_size")))))
     n = t.count()
     near = F.broadcast if n <= BROADCAST_SOURCES else (lambda x: x)
-    upto = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    last = cells.withColumn("_before", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(near(t.select(F.col("source").alias("_s"), "_rest")), F.col("source").eqNullSafe(F.col("_s")))
-    last = last.filter((F.col("_before") < F.col("_rest")) & (F.col("_rest") <= F.col("_before") + F.col("n"))).select(F.col("source").alias("_s"), F.col("_b").alias("_last"), "_before")
+    step = 1 << (buckets.bit_length() // 2)  # first the coarse bucket in which a source's words end, then the fine one
+    ends = t.select(F.col("source").alias("_s"), F.col("_rest"), F.lit(0).cast("long").alias("_from"))
+    coarse = cells.groupBy("source", F.floor(F.col("_b") / step).alias("_c")).agg(F.sum("n").alias("n"))
+    at = _ending(coarse, "_c", near(ends))
+    last = _ending(cells.withColumn("_c", F.floor(F.col("_b") / step)).join(near(at.select(F.col("source").alias("_as"), F.col("_c").alias("_ac"))), F.col("source").eqNullSafe(F.col("_as")) & (F.col("_c") == F.col("_ac"))).select("source", "_b", "n"), "_b", near(at.select(F.col("source").alias("_s"), "_rest", F.col("_before").alias("_from"))))
+    last = last.select(F.col("source").alias("_s"), F.col("_b").alias("_last"), "_before")
     plan = C.keep(t.join(near(last), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("source", "_plan").withColumn("_last", F.coalesce("_last", F.lit(-1))))
     d = d.join(near(plan), F.col("_source").eqNullSafe(F.col("_plan"))).drop("_plan")
     ranked = Window.partitionBy("_source").orderBy("_q", "size").rowsBetween(Window.unboundedPreceding, -1)
