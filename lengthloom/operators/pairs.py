@@ -100,6 +100,13 @@ def envelopes(c: DataFrame) -> DataFrame:
     return p.select("a.sheet_no", F.col("a.ord").alias("large_ord"), F.col("b.ord").alias("small_ord"))
 
 
+def first_envelope(c: DataFrame) -> DataFrame:
+    """sheet_no, ord, target_ord: the first candidate that ord mentions and surrounds."""
+    named = within_sheet(c, NEAR).filter(mentions("a", "b")).select("a.sheet_no", F.col("a.ord").alias("large_ord"), F.col("b.ord").alias("small_ord"))
+    e = envelopes(c).join(named, ["sheet_no", "large_ord", "small_ord"])
+    return e.groupBy("sheet_no", F.col("large_ord").alias("ord")).agg(F.min("small_ord").alias("target_ord"))
+
+
 def twins(c: DataFrame) -> DataFrame:
     """sheet_no, ord, twin_ord: the first mentioned candidate of like length that lies apart."""
     lo, hi = F.least("a.value_mm", "b.value_mm"), F.greatest("a.value_mm", "b.value_mm")
@@ -130,11 +137,11 @@ def other_runs(c: DataFrame) -> DataFrame:
     return t.select("sheet_no", "ord", "parent_ord", F.explode(found).alias("problem")).distinct()
 
 
-def chain_cover(c: DataFrame, band: float = 60.0) -> DataFrame:
-    """sheet_no, ord, n_parts, sum_parts, covers: the pieces along each overall mark, and whether they make up its length.
+def chain_parts(c: DataFrame, band: float = 60.0) -> DataFrame:
+    """sheet_no, ord, length, part_ord, part_mm: the pieces along each overall mark.
 
     Seeds name the overall, or are named by it within 160 points. The two farthest seeds (or the only one and the overall)
-    give the direction; pieces in a band around it count. They cover from 0.97 of the length, or with at most 80 mm left.
+    give the direction; pieces in a band around it count.
     """
     fits = (F.col("a.value_mm") >= 300) & (F.col("a.value_mm") < F.col("b.value_mm")) & ~F.col("a.f_overall_mark")
     p = within_sheet(c, 1e6).filter(F.col("b.f_overall_mark") & fits)
@@ -146,8 +153,13 @@ def chain_cover(c: DataFrame, band: float = 60.0) -> DataFrame:
     way = two.unionByName(one).filter("ux <> 0 or uy <> 0").withColumnsRenamed({"sheet_no": "s"})
     cross = (F.col("a.x") - F.col("b.x")) * F.col("uy") - (F.col("a.y") - F.col("b.y")) * F.col("ux")
     parts = p.join(way, (F.col("a.sheet_no") == F.col("s")) & (F.col("b.ord") == F.col("o"))).filter(~F.col("a.f_handwheel") & ~F.col("a.f_insulation_thickness") & (cross * cross <= band * band * (F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy"))))
-    g = parts.groupBy("a.sheet_no", F.col("b.ord").alias("ord"), F.col("b.value_mm").alias("ov")).agg(F.count("*").alias("n_parts"), F.sum("a.value_mm").cast("long").alias("sum_parts"))
-    return g.select("sheet_no", "ord", "n_parts", "sum_parts", ((F.col("sum_parts") >= F.col("ov") * 0.97) | (F.col("ov") - F.col("sum_parts") <= 80)).alias("covers"))
+    return parts.select("a.sheet_no", F.col("b.ord").alias("ord"), F.col("b.value_mm").alias("length"), F.col("a.ord").alias("part_ord"), F.col("a.value_mm").alias("part_mm"))
+
+
+def chain_cover(parts: DataFrame) -> DataFrame:
+    """sheet_no, ord, n_parts, sum_parts, covers: whether the pieces make up the length: 0.97 of it, or all but 80 mm."""
+    g = parts.groupBy("sheet_no", "ord", "length").agg(F.count("*").alias("n_parts"), F.sum("part_mm").cast("long").alias("sum_parts"))
+    return g.select("sheet_no", "ord", "n_parts", "sum_parts", ((F.col("sum_parts") >= F.col("length") * 0.97) | (F.col("length") - F.col("sum_parts") <= 80)).alias("covers"))
 
 
 def nearest_lines(points: DataFrame, lines: DataFrame, reach: float = 22.0, parallel: float = 0.97) -> DataFrame:

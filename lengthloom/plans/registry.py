@@ -10,6 +10,7 @@ from ..operators import evaluation as E
 from ..operators import pairs as P
 from ..operators import rules as R
 from ..sources import adapters as A
+from . import runs
 from .oracle import ORACLE
 
 KINDS = ("include", "exclude_nested", "not_length", "ambiguous")
@@ -198,7 +199,7 @@ def group_split(spark, sf) -> DataFrame:
 def queries() -> dict:
     return {
         "other_runs": lambda s, d: P.other_runs(_n(s, d)),
-        "chain_cover": lambda s, d: P.chain_cover(_n(s, d)),
+        "chain_cover": lambda s, d: P.chain_cover(P.chain_parts(_n(s, d))),
         "nearest_line": nearest_line,
         "audit_problems": audit_problems,
         "group_split": group_split,
@@ -236,8 +237,9 @@ def queries() -> dict:
         "upsert_sheet": upsert_sheet,
         "unmatched_decisions": unmatched_decisions,
         "price_lookup": price_lookup,
+        **runs.QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | runs.ORACLE

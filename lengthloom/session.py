@@ -1,12 +1,13 @@
-"""Make this package importable in Python workers on every executor."""
+"""What a session needs: the sources on every executor, and tables between steps in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,3 +26,18 @@ def ship(spark: SparkSession) -> None:
                     z.write(os.path.join(top, name), os.path.relpath(os.path.join(top, name), os.path.dirname(here)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def kept(d: DataFrame) -> DataFrame:
+    """d, written to the folder that spark.checkpoint.dir names and read again: a short plan, and a table that outlives executors.
+
+    Where the session names no folder, as in a test, a new one of this machine serves.
+    """
+    spark = d.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not top:
+        top = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    path = f"{top.rstrip('/')}/sheets-{uuid.uuid4().hex}"
+    d.write.parquet(path)
+    return spark.read.schema(d.schema).parquet(path)

@@ -38,6 +38,13 @@ def candidates(lineitem: DataFrame) -> DataFrame:
     ).withColumn("cid", F.concat(F.lit("D"), F.col("ord").cast("string")))
 
 
+def with_lines(c: DataFrame) -> DataFrame:
+    """Candidates with a dimension line from their place along their direction; every seventh has none, some share one."""
+    n = F.least(F.lit(300.0), F.lit(20.0) + F.col("value_mm") / F.lit(50.0))
+    line = F.when(F.col("ord") % 7 != 0, F.col("ord") - (F.col("ord") % 4 == 3).cast("int"))
+    return c.select("*", line.alias("line"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("dir_x") * n).alias("x2"), (F.col("y") + F.col("dir_y") * n).alias("y2"), (F.lit(6.0) * F.col("ord")).alias("offset"))
+
+
 def intervals(events: DataFrame) -> DataFrame:
     """Events as intervals on 50 lines, in minutes."""
     t = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(6e7)
