@@ -26,6 +26,39 @@ def class_metrics(rows: DataFrame) -> DataFrame:
     return g.select("class", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.round(f1, 9).alias("f1"), "support")
 
 
+def _f1(tp: str, np: str, support: str):
+    return F.when(F.col(np) + F.col(support) > 0, 2 * F.col(tp) / (F.col(np) + F.col(support))).otherwise(0.0)
+
+
+def overall_metrics(rows: DataFrame) -> DataFrame:
+    """n, accuracy, macro_f1 and weighted_f1 over the fixed classes; a class that never occurs counts 0."""
+    y, p = F.col("y"), F.col("pred")
+    per = [F.struct(F.count_if((y == c) & (p == c)).alias("tp"), F.count_if(p == c).alias("np"), F.count_if(y == c).alias("support")) for c in CLASSES]
+    g = rows.agg(F.count("*").alias("n"), (F.count_if(y == p) / F.count("*")).alias("acc"), F.array(*per).alias("per"))
+    d = g.select("n", "acc", F.inline("per")).withColumn("f1", _f1("tp", "np", "support"))
+    return d.groupBy("n").agg(F.round(F.first("acc"), 9).alias("accuracy"), F.round(F.avg("f1"), 9).alias("macro_f1"), F.round(F.sum(F.col("f1") * F.col("support")) / F.sum("support"), 9).alias("weighted_f1"))
+
+
+def choose_threshold(rows: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9), least: float = 0.9) -> DataFrame:
+    """The threshold with the best mean F1, then coverage, among those accurate enough (all, if none is)."""
+    y, p = F.col("y"), F.col("pred")
+    d = rows.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    on = F.col("conf") >= F.col("threshold")
+    per = [F.struct(F.count_if(on & (y == c) & (p == c)).alias("tp"), F.count_if(on & (p == c)).alias("np"), F.count_if(y == c).alias("support")) for c in CLASSES]
+    g = d.groupBy("threshold").agg(F.count("*").alias("n"), F.count_if(on).alias("k"), F.count_if(on & (y == p)).alias("right"), F.array(*per).alias("per"))
+    g = g.select("threshold", (F.col("k") / F.col("n")).alias("coverage"), F.when(F.col("k") > 0, F.col("right") / F.col("k")).otherwise(0.0).alias("accuracy"), F.inline("per")).withColumn("f1", _f1("tp", "np", "support"))
+    g = g.groupBy("threshold", "coverage", "accuracy").agg(F.avg("f1").alias("f1"))
+    best = F.max(F.struct((F.col("accuracy") >= least).alias("ok"), F.round("f1", 12).alias("f"), "coverage", (-F.col("threshold")).alias("t"), "accuracy")).alias("m")
+    return g.agg(best).filter("m is not null").select((-F.col("m.t")).alias("threshold"), F.round("m.coverage", 9).alias("coverage"), F.round("m.accuracy", 9).alias("accuracy"), F.round("m.f", 9).alias("macro_f1"))
+
+
+def soft_vote(votes: DataFrame, key: str) -> DataFrame:
+    """key, pred, confidence from members' arrays of probabilities: the class with the greatest mean; the first wins a tie."""
+    g = votes.groupBy(key).agg(*(F.avg(F.col("probabilities")[i]).alias(c) for i, c in enumerate(CLASSES)))
+    best = F.array_max(F.array(*(F.struct(F.round(c, 9).alias("p"), F.lit(-i).alias("i")) for i, c in enumerate(CLASSES))))
+    return g.withColumn("b", best).select(key, F.element_at(F.array(*map(F.lit, CLASSES)), 1 - F.col("b.i")).alias("pred"), F.col("b.p").alias("confidence"))
+
+
 def sheet_errors(rows: DataFrame) -> DataFrame:
     """Mean, median and greatest absolute difference of included sums by group."""
     s = lambda c: F.sum(F.when(F.col(c) == "include", F.col("value_mm")).otherwise(0))

@@ -16,7 +16,7 @@ def facts(c: DataFrame) -> DataFrame:
     return d.withColumns({"support_repeat": (F.col("n_same") >= 3) & F.col("value_mm").between(50, 200), "small_repeat": (F.col("n_same") >= 3) & (F.col("value_mm") <= 25)})
 
 
-def _set(d: DataFrame, when: Column, new: str) -> DataFrame:
+def _set(d: DataFrame, when: Column, new: str | Column) -> DataFrame:
     return d.withColumn("decision", F.when(when, new).otherwise(F.col("decision")))
 
 
@@ -124,6 +124,18 @@ def cover_overalls(d: DataFrame, parts: DataFrame, cover: DataFrame) -> DataFram
     return _set(d, F.coalesce("inner", F.lit(False)) & _is(INCLUDE), NESTED).drop("covered", "inner")
 
 
+def unless_locked(d: DataFrame, rules) -> DataFrame:
+    """rules on the rows that aren't locked; locked ones stay as they are."""
+    return rules(d.withColumn("_was", F.col("decision"))).withColumn("decision", F.when(F.col("locked"), F.col("_was")).otherwise(F.col("decision"))).drop("_was")
+
+
+def edit(d: DataFrame, edits: DataFrame) -> DataFrame:
+    """An edit by hand moves a decision to the next class, the last to the first; edits name sheet_no and ord, each once."""
+    kinds = F.array(*map(F.lit, (INCLUDE, NESTED, OTHER, OPEN)))
+    following = F.element_at(kinds, (F.array_position(kinds, F.col("decision")) % 4 + 1).cast("int"))
+    return _set(d.join(edits.select("sheet_no", "ord", F.lit(True).alias("_edited")), ["sheet_no", "ord"], "left").withColumn("_next", following), F.coalesce("_edited", F.lit(False)), F.col("_next")).drop("_edited", "_next")
+
+
 def sheets(d: DataFrame) -> DataFrame:
     """A row a sheet: length, formula in order, status and counts."""
     on = F.col("decision") == INCLUDE

@@ -10,7 +10,7 @@ from ..operators import evaluation as E
 from ..operators import pairs as P
 from ..operators import rules as R
 from ..sources import adapters as A
-from . import runs
+from . import audits, runs
 from .oracle import ORACLE
 
 KINDS = ("include", "exclude_nested", "not_length", "ambiguous")
@@ -238,8 +238,9 @@ def queries() -> dict:
         "unmatched_decisions": unmatched_decisions,
         "price_lookup": price_lookup,
         **runs.QUERIES,
+        **audits.QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | runs.ORACLE
+    return ORACLE | runs.ORACLE | audits.ORACLE

@@ -80,3 +80,22 @@ def spans(lineitem: DataFrame) -> DataFrame:
         .when(k % 9 == 6, "z+37329").when(k % 9 == 7, "ф7а").otherwise((k + 50).cast("string"))
     )
     return lineitem.select(F.col("l_orderkey").alias("sheet_no"), k.alias("l_partkey"), text.alias("text")).filter(s.isNotNull())
+
+
+def placed_spans(lineitem: DataFrame) -> DataFrame:
+    """Text runs with a place on the sheet and an order."""
+    k = F.col("l_partkey")
+    return spans(lineitem).select("*", (F.lit(100.0) + (k % 7) * 20).alias("x"), (F.lit(100.0) + (k % 5) * 15).alias("y"), k.alias("span_ord"))
+
+
+#: Texts that parts stand for, by remainder modulo 11; others are no markers.
+MARKERS = ("Н.О.", "ШТУРВАЛ", "ИЗОЛЯЦИЯ", "ВРЕЗКА", "ЗАГЛУШКА, ВРЕЗКА")
+
+
+def markers(lineitem: DataFrame) -> DataFrame:
+    """Lines as marker texts with a place."""
+    k = F.col("l_partkey") % 11
+    return lineitem.filter(k < len(MARKERS)).select(
+        F.col("l_orderkey").alias("sheet_no"), F.col("l_partkey").alias("mark"), F.element_at(F.array(*map(F.lit, MARKERS)), (k + 1).cast("int")).alias("text"),
+        (F.lit(100.0) + (F.col("l_suppkey") % 7) * 20).alias("x"), (F.lit(100.0) + (F.col("l_partkey") % 5) * 15).alias("y"),
+    )
