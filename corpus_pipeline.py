@@ -18,19 +18,26 @@ from lengthloom.session import ship
 #: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
+#: The columns that stages read; others only pass through.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
 _before = [0, 0]
 
 
 def _stage(f):
-    """f, after the tables that the stage before it left in the shared folder are deleted: its result is written by then."""
+    """f, after the tables that the stage before it left in the shared folder are deleted: its result is written by then.
+
+    While f runs, columns that it doesn't read have names of no meaning, so that none is taken for a result of an operator.
+    """
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
         C.release(spark, *_before)
         _before[0] = C.written()
-        out = f(docs)
+        plain = docs.toDF(*(c if c in COLUMNS else f"other_column_{i}" for i, c in enumerate(docs.columns)))
+        out = f(plain)
         _before[1] = C.written()
-        return out
+        return out.toDF(*docs.columns) if out.columns == plain.columns else out
 
     return run
 

@@ -283,17 +283,21 @@ def test_modules_have_queries():
 def test_pipeline(spark, folders):
     import corpus_pipeline as cp
 
-    docs = C.table(spark, folders[0], "documents")
-    seen = []
+    docs = C.table(spark, folders[0], "documents").selectExpr("*", "'keep' as accepted", "doc_id as replaced")
+    names, seen = docs.columns, []
     for i, (_, stage) in enumerate(cp.STAGES[:3]):
         docs = stage(spark, docs, folders[0])
         path = f"{folders[0]}/stage{i}"
         docs.write.parquet(path)
         docs = spark.read.parquet(path)
         seen.append([(r["doc_id"], r["text"]) for r in docs.collect()])
-        assert docs.columns == C.table(spark, folders[0], "documents").columns
+        assert docs.columns == names
     assert all(any(c.isalpha() for c in t) for _, t in seen[0])
     assert len({t for _, t in seen[1] if _ is not None}) == len([t for _, t in seen[1] if _ is not None])
     assert len(seen[2]) == len(seen[1])
+    mixed = cp.STAGES[3][1](spark, docs, folders[0])
+    assert mixed.columns == docs.columns
+    extra = lambda d: {tuple(r[c] for c in ("doc_id", "size", "target", "accepted", "replaced")) for r in d.collect()}
+    assert extra(mixed) <= extra(docs) <= extra(C.table(spark, folders[0], "documents").selectExpr("*", "'keep' as accepted", "doc_id as replaced"))
     assert cp.run(spark, folders[0]).count() > 0
     assert cp.run(spark, folders[1]).count() == 0
