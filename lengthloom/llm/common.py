@@ -52,6 +52,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def look_up(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 64) -> DataFrame:
+    """left, joined on key with right, which has one row a key; rows without a partner get nulls.
+
+    right meets the distinct pairs of key and salt first, at most ``salts`` rows a key, and these meet left by both. So a key
+    with a large share of left's rows is dealt to that many tasks by the hash of ``spread``, whatever the session's settings.
+    """
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    found = left.select(key, "_salt").distinct().join(right, key, "left")
+    return left.join(found, [key, "_salt"], "left").drop("_salt")
+
+
 def n_bytes(text: Column) -> Column:
     return F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
 

@@ -12,7 +12,8 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(a long, b long) -> (id, root): root is the smallest id of its component; ids without an edge aren't listed.
 
     Each round, a node and its root take the smallest root among the neighbours, then every node jumps to its root's root.
-    All steps are joins and minimum aggregates, so a node of very many edges is pre-aggregated. Every round is written to
+    All steps are joins and minimum aggregates, so a node of very many edges is pre-aggregated,
+    and a root of very many nodes is salted. Every round is written to
     the shared folder; the driver sees only how many nodes changed.
     """
     e = edges.select("a", "b").filter("a <> b").distinct()
@@ -24,7 +25,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         hooked = both.select("id", F.least("root", "m").alias("root")).unionByName(both.select(F.col("root").alias("id"), F.least("root", "m").alias("root")))
         hooked = hooked.groupBy("id").agg(F.min("root").alias("root"))
         up = hooked.select(F.col("id").alias("root"), F.col("root").alias("top"))
-        new = C.keep(hooked.join(up, "root", "left").select("id", F.coalesce("top", "root").alias("root")))
+        new = C.keep(C.look_up(hooked, up, "root", "id").select("id", F.coalesce("top", "root").alias("root")))
         changed = new.join(p.withColumnRenamed("root", "old"), "id").filter("root <> old").limit(1).count()
         p = new
         if not changed:

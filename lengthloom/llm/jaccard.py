@@ -303,10 +303,10 @@ def jaccard_join(df: DataFrame, doc_id: str, text: Column, threshold: float = 0.
     d = C.keep(_sketches(docs, words))
     k = C.keep(d.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     band = k.select("node", F.explode("bands").alias("key"))
-    full = band.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    full = C.keep(band.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))  # a table of its own, so that a hot bucket's join can be split
     members = band.join(full, "key").join(k.select("node", "sig"), "node")
     near = components(candidate_edges(members, least_matches(threshold, tolerance))).withColumnRenamed("root", "key")
-    near = C.keep(near.join(near.groupBy("key").agg(F.count("*").alias("size")), "key").withColumnRenamed("id", "node").join(k.select("node", "rep", "copies"), "node"))
+    near = C.keep(C.look_up(near, near.groupBy("key").agg(F.count("*").alias("size")), "key", "id").withColumnRenamed("id", "node").join(k.select("node", "rep", "copies"), "node"))
     sets = _sets(docs.join(near.select(F.col("rep").alias("_r")).distinct(), F.col("id").eqNullSafe(F.col("_r")), "left_semi").select("text"), words).dropDuplicates(["found"])
     found = C.keep(exact_links(near.join(sets, F.col("node") == F.col("found")).drop("found"), threshold))
     counts = found.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"), F.sum("class_links").alias("class_links"))
