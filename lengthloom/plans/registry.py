@@ -10,7 +10,7 @@ from ..operators import evaluation as E
 from ..operators import pairs as P
 from ..operators import rules as R
 from ..sources import adapters as A
-from . import audits, runs
+from . import audits, runs, saved
 from .oracle import ORACLE
 
 KINDS = ("include", "exclude_nested", "not_length", "ambiguous")
@@ -239,8 +239,9 @@ def queries() -> dict:
         "price_lookup": price_lookup,
         **runs.QUERIES,
         **audits.QUERIES,
+        **saved.QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | runs.ORACLE | audits.ORACLE
+    return ORACLE | runs.ORACLE | audits.ORACLE | saved.ORACLE
