@@ -113,12 +113,22 @@ PATTERNS = {
     "phone": r"(?:(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,4}|(?<![0-9A-Za-z])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
 }
 
+#: Lengths of IBANs by country.
+IBAN = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 "
+    "GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 "
+    "MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
+#: A phone number of the plan whose numbers all have ten digits.
+_TEN = re.compile(r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])")
+
 
 class Pseudonyms:
     def __init__(self, key: bytes, kinds: tuple[str, ...] = tuple(PATTERNS)):
         self.key, self.kinds = key, kinds
         self.hint = re.compile("[0-9@]|A[KS]IA")  # every valid value holds one of these
         self.find = re.compile("|".join(f"(?P<{k}>{PATTERNS[k]})" for k in kinds))
+        self.one = {k: re.compile(x) for k, x in PATTERNS.items()}
         self.feistel = lru_cache(4096)(lambda kind, size: Feistel(key, kind, size))
         self.of = lru_cache(100_000)(self.replace)
 
@@ -159,6 +169,8 @@ class Pseudonyms:
             return ".".join(map(str, unmixed(self.feistel(kind, 256**4)(mixed(list(map(int, parts)), [256] * 4)), [256] * 4)))
         if kind == "date":
             sep = next(c for c in s if not c.isdigit())
+            if s.count(sep) != 2:
+                return None
             a, b, c = s.split(sep)
             y, m, day = (a, b, c) if sep == "-" else (c, a, b) if sep == "/" else (c, b, a)
             try:
@@ -209,17 +221,69 @@ class Pseudonyms:
     def _day(self, n: int) -> date | None:
         return FIRST_DAY + timedelta(self.feistel("date", DAYS)(n)) if 0 <= n < DAYS else None
 
+    def _ends(self, kind: str, t: str, start: int, end: int) -> list[int]:
+        """Where a value that matched from start to end may end, best first: IBANs and phone numbers run on over what follows.
+
+        An IBAN has the length of its country. A phone number stops before a valid value of another kind and never cuts one.
+        """
+        if kind not in ("iban", "phone"):
+            return [end]
+        ends = [i for i in range(end, start, -1) if t[i - 1].isalnum() and (i == end or not t[i].isalnum()) and self.one[kind].fullmatch(t, start, i)]
+        if kind == "iban":
+            n = IBAN.get(t[start : start + 2])
+            return [*(i for i in ends if len(t[start:i].replace(" ", "")) == n), end] if n else ends
+        ten = _TEN.match(t, start)
+        if ten and not self._other("date", t, ten.end() - 4):
+            return [ten.end()]
+        inner = []
+        for i in range(start + 1, end):
+            if t[i - 1] in " .-":
+                for k in ("ipv4", "date") if t[i - 1] != " " else ("ipv4", "date", "ssn", "card", "phone"):
+                    if (to := self._other(k, t, i)) and not (k == "card" and t[i] not in "23456"):
+                        inner.append((k, i, to))
+        last = max((i for k, i, _ in inner if k == "card"), default=0)
+        inner = [(i, to) for k, i, to in inner if k != "card" or i == last or to <= last]
+        whole = [e for e in ends if not any(i < e < to for i, to in inner)]
+        return list(dict.fromkeys(e for stop in [*(i for i, _ in inner), end + 1] for e in whole if e < stop))
+
+    def _other(self, kind: str, t: str, at: int) -> int | None:
+        """The end of a valid value of a kind that begins at a place."""
+        m = self.one[kind].match(t, at)
+        return m.end() if m and self.of(kind, m[0]) is not None else None
+
+    def _valid(self, t: str, m: re.Match, after: int = 0) -> tuple[str, int, int, str] | None:
+        """Kind, begin, end and pseudonym of the valid value at the place of a match: of its kind or of one tried later."""
+        start = m.start()
+        for kind in self.kinds[self.kinds.index(m.lastgroup) :]:
+            x = m if kind == m.lastgroup else self.one[kind].match(t, start)
+            for end in self._ends(kind, t, start, x.end()) if x else ():
+                new = self.of(kind, t[start:end])
+                if new is None or end <= after:
+                    continue
+                if kind == "secret":  # the labelled value may be the beginning of a longer one of another kind
+                    begin = start + re.search(r"[0-9A-Za-z_+/-]{8,}$", t[start:end]).start()
+                    longer = self.find.match(t, begin)
+                    if longer and (hit := self._valid(t, longer, end)):
+                        return hit
+                return kind, start, end, new
+        return None
+
     def text(self, t: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and what was replaced: kind, begin and end in the old text."""
         out, spans, last = [], [], 0
         if not self.hint.search(t):
             return t, spans
-        for m in self.find.finditer(t):
-            new = self.of(m.lastgroup, m[0])
-            if new is not None and new != m[0]:
-                out += [t[last : m.start()], new]
-                spans.append((m.lastgroup, m.start(), m.end()))
-                last = m.end()
+        at = 0
+        while m := self.find.search(t, at):
+            hit = self._valid(t, m)
+            if hit is None:  # a valid value may begin inside
+                at = m.start() + 1
+                continue
+            kind, begin, at, new = hit
+            if new != t[begin:at]:
+                out += [t[last:begin], new]
+                spans.append((kind, begin, at))
+                last = at
         return ("".join([*out, t[last:]]) if spans else t), spans
 
 
