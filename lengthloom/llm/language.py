@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from . import common as C
 
 ORDER = 5
+#: Distinct drawn texts that each half of a language needs; with fewer all its texts serve for both.
+HALF = 8
 #: Scored tokens that a worker remembers.
 REMEMBERED = 250_000
 START, END = 2, 3
@@ -213,22 +215,44 @@ def _sums(df: DataFrame, text: str, keep: list[str], shared: _Shared, schema: st
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{fields}, {schema}")
 
 
+def _unseen(counts: list[tuple[str, int]]) -> tuple[float, float] | None:
+    """Mean bits a symbol, and a symbol's spread, of words by a model of the others: each half of the words by the other half."""
+    if len(counts) < 2:
+        return None
+    bits, size, n = [], [], []
+    for i in range(2):
+        other = counts[i::2]
+        lengths = np.array([len(w) + 1 for w, _ in other])
+        bits.append(-fit_kneser_ney({"": counts[1 - i :: 2]}).score([w for w, _ in other])[:, 0] / lengths / np.log(2))
+        size.append(lengths)
+        n.append([c for _, c in other] * lengths)
+    x, lengths, weight = np.concatenate(bits), np.concatenate(size), np.concatenate(n)
+    mean = float(np.average(x, weights=weight))
+    return mean, float(np.sqrt(np.average((x - mean) ** 2 * lengths, weights=weight)))
+
+
 def train(df: DataFrame, text: str, lang: str, allowed: Column, docs_per_lang: int = 800, words_per_lang: int = 60_000) -> Model:
     """Fit and calibrate on a bounded sample of labelled rows.
 
-    About docs_per_lang documents of each language are drawn by a hash of the text, each whole. Half of them give word counts,
-    of which words_per_lang of the commonest are kept; the other half gives, by language, the mean and spread of the
-    cross-entropy, from which the rejection limits follow. Rows with a null text or label teach nothing.
+    About docs_per_lang documents of each language are drawn by a hash of the text, each whole, and at least one text. Half of
+    the distinct texts of each language give word counts, of which words_per_lang of the commonest are kept; the other half
+    gives the mean and spread of the cross-entropy, from which the rejection limits follow. A language with fewer than HALF
+    texts a half takes all for both; its limits then allow for words that the model hasn't seen, as estimated on words left
+    out in turn. Rows with a null text or label teach nothing.
     """
     spark = df.sparkSession
     d = df.filter(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}
+    drawn = C.uniform(F.xxhash64(F.lit("draw"), "text"))
+    sizes = {r["lang"]: max(min(1.0, docs_per_lang / r["n"]), r["least"]) for r in d.groupBy("lang").agg(F.count("*").alias("n"), F.min(drawn).alias("least")).collect()}
     if not sizes:
         return Model([], np.zeros(0))
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, docs_per_lang / n))) for k, n in sizes.items()))
-    d = C.keep(d.filter(C.uniform(F.xxhash64(F.lit("draw"), "text")) < share).withColumn("fit", F.xxhash64(F.lit("half"), "text") % 2 == 0))
-    if not d.filter("fit").count() or not d.filter("not fit").count():
-        d = d.withColumn("fit", F.lit(None).cast("boolean"))  # too few for halves: all serve for both
+    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(x)) for k, x in sizes.items()))
+    d = C.keep(d.filter(drawn <= share).withColumn("half", F.xxhash64(F.lit("half"), "text")))
+    by_lang = Window.partitionBy("lang")
+    halves = d.select("lang", "half").distinct().withColumns({"r": F.row_number().over(by_lang.orderBy("half")), "texts": F.count("*").over(by_lang)})
+    halves = C.keep(halves.select("lang", "half", F.when(F.col("texts") >= 2 * HALF, F.col("r") % 2 == 0).alias("fit")))
+    few = {r["lang"] for r in halves.filter("fit is null").select("lang").distinct().collect()}
+    d = d.join(F.broadcast(halves), ["lang", "half"]).select("text", "lang", "fit")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,6 +282,8 @@ def train(df: DataFrame, text: str, lang: str, allowed: Column, docs_per_lang: i
         x = np.array([(r["bits"], r["n"]) for r in seen if r["lang"] == k] or [(8.0, 1.0)])
         mean = float(np.average(x[:, 0], weights=x[:, 1]))
         noise = float(np.sqrt(np.mean((x[:, 0] - mean) ** 2 * np.minimum(x[:, 1], 200))))  # a symbol's spread, as text length allows
+        if k in few and (unseen := _unseen(sorted(counts[k]))):
+            mean, noise = max(mean, unseen[0]), max(noise, unseen[1])
         model.limits.append((mean, 6 * float(x[:, 0].std()) + 1.0, 6 * noise + 2.0))
     return model
 

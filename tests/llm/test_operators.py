@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lengthloom.llm import common as C
 from lengthloom.llm import hmm, jaccard, language, mixing, packing, privacy, quality, queries, repeats, search, sharding
@@ -236,6 +237,23 @@ def test_languages(spark, folders):
     assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.97 and np.mean([r["accepted"] for r in held]) > 0.99
 
 
+def test_languages_of_few_texts_are_learned(spark):
+    rng = np.random.default_rng(3)
+    prose = lambda letters, n: " ".join("".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(n))
+    scripts = {"many": "aeioulmnrst", "fit1": "αεηιλμνορστ", "two1": "абвгдежзийк", "a1": "אבגדהוזחטיכ", "a3": "աբգդեզէըթժի", "b3": "აბგდევზთიკლ"}
+    taught = [(prose(scripts["many"], 60), "many") for _ in range(40)]
+    for k in scripts:
+        texts = [prose(scripts[k], 60) for _ in range(int(k[-1]))] if k != "many" else []
+        taught += [(t, k) for t in texts for _ in range(3)]
+    model = language.train(spark.createDataFrame(taught, "text string, lang string"), "text", "lang", F.lit(True))
+    assert model.langs == sorted(scripts)
+    d = spark.createDataFrame([(k, prose(x, n)) for k, x in scripts.items() for n in (5, 60) for _ in range(5)], "lang string, text string")
+    got = language.identify(d, "text", model, ["lang"]).collect()
+    assert all(r["lang_pred"] == r["lang"] and r["accepted"] for r in got), [tuple(r) for r in got if not (r["lang_pred"] == r["lang"] and r["accepted"])]
+    hot = spark.createDataFrame([(t, k) for t, k in taught if k == "many"] + [(prose(scripts["a1"], 60), "hot")] * 50, "text string, lang string")
+    assert language.train(hot, "text", "lang", F.lit(True), docs_per_lang=1).langs == ["hot", "many"]
+
+
 def test_kneser_ney_sums_to_one():
     m = language.fit_kneser_ney({"a": [("ab", 3), ("abc", 1), ("b", 2)], "b": [("ca", 2), ("cab", 5)]})
     p = np.exp(np.array([m.score([w])[0] for w in ("ab", "abc", "b")]))
