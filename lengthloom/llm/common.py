@@ -35,6 +35,19 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_by(df: DataFrame, key: str, buckets: int, dealt: bool = False) -> DataFrame:
+    """keep(), as a table bucketed by key: grouping or joining it by the key needs no further shuffle.
+
+    ``dealt``: the rows of a task belong to few buckets already, so that no shuffle comes before the write.
+    """
+    spark = df.sparkSession
+    name = f"lengthloom_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    (df if dealt else df.repartition(buckets, key)).write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    _scratch.append((spark, path))
+    return spark.table(name)
+
+
 def written() -> int:
     """How many tables keep() has written so far: a mark for release()."""
     return len(_scratch)

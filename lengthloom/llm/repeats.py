@@ -14,8 +14,10 @@ from . import common as C
 
 #: Bytes of text in a block, and of all text for each part that strings are dealt to.
 BLOCK_BYTES, PART_BYTES = 4 << 20, 8 << 20
+#: Bytes of text in a bucket of the blocks' table; bytes of strings from which a part is decided in slices, and parts a slice after that.
+BUCKET_BYTES, LARGE, SPREAD = 32 << 20, 24 << 20, 16
 _M = np.uint64(0x9E3779B97F4A7C15)
-ROW = "block long, part long, kind int, a binary, b binary"
+ROW = "block long, part long, kind int, n long, a binary, b binary"
 TEXTS, KEYS, SHARED, STRINGS, PLACES, CUTS = range(6)
 
 
@@ -91,37 +93,85 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(_from_planes(_expand(data))).astype(np.uint64)
 
 
-def earlier_match(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each text of a block: whether the string at each begin also begins in a text of a smaller doc.
+def suffix_order(data: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that begin ``at``, in the order of their first ``length`` bytes, equal ones by doc; and each one's lcp.
 
-    The suffix array of the block, as deep as ``length`` bytes: ranks of 8 bytes double up to it. Suffixes that agree so far
-    come in the order of their docs, so of the previous and next smaller positions in suffix order only the previous one can
-    share ``length`` bytes. The longest previous factor of a suffix reaches ``length`` just if its group starts with a
-    smaller doc.
+    lcp is the number of bytes that a suffix shares with the one before it, up to ``length``. Places whose order is still open
+    are sorted by a few more bytes a round; groups that are seen to be equal up to ``length`` need no further round.
     """
-    n = len(data)
-    wide = np.concatenate([data, np.zeros(length + 8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n + length, np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | wide[j : j + n + length]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    size = 8
-    while size < length:
-        step = min(size, length - size)
-        pair = rank[: len(rank) - step] * (int(rank.max()) + 1) + rank[step:]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        size += step
-    begin = np.cumsum(sizes) - sizes
-    count = np.maximum(sizes - length + 1, 0)
+    from numpy.lib.stride_tricks import sliding_window_view
+
+    wide = np.concatenate([data, np.zeros(length + 8, np.uint8)])
+    words, whole = sliding_window_view(wide, 8), sliding_window_view(wide, length)
+    order, lcp = np.arange(len(at)), np.zeros(len(at), np.int64)
+    open_, group, done = order.copy(), np.zeros(len(at), np.uint64), 0
+    while done < length and len(open_):
+        take = min(length - done, (64 - int(group[-1]).bit_length()) // 8)
+        key = words[at[order[open_]] + done].copy().view(">u8").ravel().astype(np.uint64) >> np.uint64(64 - 8 * take)
+        key |= (group << np.uint64(8 * take)) if take < 8 else np.uint64(0)
+        by = np.argsort(key)
+        order[open_], key = order[open_][by], key[by]
+        same = key[1:] == key[:-1]
+        apart = np.flatnonzero(~same & (group[1:] == group[:-1]))
+        differ = key[apart + 1] ^ key[apart]
+        lcp[open_[apart + 1]] = done + take - sum((differ >> np.uint64(8 * j) > 0).astype(np.int64) for j in range(take))
+        done += take
+        lcp[open_[1:][same]] = done
+        tied = np.append(False, same) | np.append(same, False)
+        group = np.cumsum(np.append(True, ~same))[tied]
+        open_ = open_[tied]
+        if done < length and len(open_):
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            size = np.diff(np.append(first, len(group)))
+            first, equal = np.repeat(first, size), np.empty(len(open_), bool)
+            for i in range(0, len(open_), 200_000):
+                j = slice(i, i + 200_000)
+                equal[j] = (whole[at[order[open_[j]]]] == whole[at[order[open_[first[j]]]]]).all(axis=1)
+            begin = np.cumsum(size) - size
+            settled = np.repeat(np.logical_and.reduceat(equal, begin), size)
+            lcp[open_[1:][settled[1:] & (group[1:] == group[:-1])]] = length
+            open_, group = open_[~settled], group[~settled]
+        group = np.cumsum(np.append(False, group[1:] != group[:-1])).astype(np.uint64) if len(group) else group
+    tied = lcp >= length
+    if len(at) > 1:
+        tied[:-1] |= tied[1:].copy()
+    tied = np.flatnonzero(tied)
+    if len(tied):
+        by = np.lexsort((doc[order[tied]], np.cumsum(lcp[tied] < length)))
+        order[tied] = order[tied][by]
+    return order, lcp
+
+
+def smaller_before(doc: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """For each place, the bytes shared with the nearest place before it that has a smaller doc; less than ``least`` counts as 0.
+
+    All places jump at once: where the place they look at is no smaller, so is all between it and its own smaller place.
+    """
+    at, shared = np.arange(len(doc)) - 1, lcp.copy()
+    shared[:1] = 0
+    live = np.flatnonzero(shared >= least)
+    while len(live := live[doc[at[live]] >= doc[live]]):
+        shared[live], at[live] = np.minimum(shared[live], shared[at[live]]), at[at[live]]
+        live = live[shared[live] >= least]
+    return np.where(shared >= least, shared, 0)
+
+
+def previous_factors(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each string of a part, its array of longest previous factors, up to ``length``; less than that counts as 0.
+
+    The factor of a begin is the longest string from there that also begins in a string of a smaller doc: the longer of
+    those with the previous and the next smaller doc in suffix order. Only begins with ``length`` bytes after them count.
+    """
+    begin, count = np.cumsum(sizes) - sizes, np.maximum(sizes - length + 1, 0)
     at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    own, group = np.repeat(doc, count), rank[at]
-    order = np.lexsort((own, group))
-    g = group[order]
-    new = np.append(True, g[1:] != g[:-1])
-    first = own[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    hit = np.empty(len(at), bool)
-    hit[order] = first < own[order]
-    return np.split(hit, np.cumsum(count)[:-1])
+    own = np.repeat(doc, count)
+    order, lcp = suffix_order(data, at, own, length)
+    ranked = own[order]
+    before = smaller_before(ranked, lcp, length)
+    after = smaller_before(ranked[::-1], np.append(0, lcp[:0:-1]), length)[::-1] if len(at) else before
+    factor = np.empty(len(at), np.int64)
+    factor[order] = np.maximum(before, after)
+    return np.split(factor, np.cumsum(count)[:-1])
 
 
 def _ints(*columns) -> bytes:
@@ -133,8 +183,9 @@ def _from_ints(data: bytes, n: int) -> np.ndarray:
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
-    block, part, kind, a, b = zip(*rows, strict=True) if rows else ([], [], [], [], [])
-    return pa.table({"block": pa.array(block, pa.int64()), "part": pa.array(part, pa.int64()), "kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+    """Rows of ROW from (block, part, kind, n, a, b); n is the number of bytes in a before compression, where it matters."""
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table({x.split()[0]: pa.array(c, k) for x, c, k in zip(ROW.split(", "), zip(*rows, strict=True) if rows else [()] * 6, types, strict=True)})
 
 
 def _squeeze(x: bytes) -> bytes:
@@ -160,7 +211,7 @@ def _blocks(df: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal number, ids, texts, held
             b = _ints([i or 0 for i in ids], [len(t) for t in texts], [i is not None for i in ids])
-            out = _rows([(number, 0, TEXTS, _squeeze(b"".join(texts)), b)]).to_batches()[0]
+            out = _rows([(number, 0, TEXTS, held, _squeeze(b"".join(texts)), b)]).to_batches()[0]
             number, ids, texts, held = number + 1, [], [], 0
             return out
 
@@ -209,7 +260,7 @@ def _keys(blocks: DataFrame, length: int, bits: int, parts: int) -> DataFrame:
                 by = np.argsort(part, kind="stable")
                 rows = []
                 for x in np.split(by, np.flatnonzero(np.diff(part[by])) + 1) if len(by) else []:
-                    rows.append((block, int(part[x[0]]), KEYS, packed(key[x]), np.packbits(many[x]).tobytes()))
+                    rows.append((block, int(part[x[0]]), KEYS, 0, packed(key[x]), np.packbits(many[x]).tobytes()))
                 if rows:
                     yield _rows(rows).combine_chunks().to_batches()[0]
 
@@ -233,84 +284,83 @@ def _shared(t: pa.Table) -> pa.Table:
         some = x[ok[at : at + len(x)]]
         at += len(x)
         if len(some):
-            rows.append((block, 0, SHARED, packed(some), b""))
+            rows.append((block, 0, SHARED, 0, packed(some), b""))
     return _rows(rows)
 
 
 def _strings(length: int, bits: int, parts: int):
-    def run(t: pa.Table) -> pa.Table:
+    def run(text: pa.Table, keys: pa.Table) -> pa.Table:
         """A block and its shared keys: the strings of shared runs, once for each content, by part; and all their places.
 
         A content goes on with the smallest id that has it in the block; places of larger ids are copies of it already.
         """
-        kinds = t["kind"].to_pylist()
-        i = kinds.index(TEXTS)
-        data, ids, sizes, key, doc, begin, count = _known_runs(t["a"][i].as_py(), t["b"][i].as_py(), length, bits)
-        shared = [unpacked(t["a"][j].as_py()) for j, k in enumerate(kinds) if k == SHARED]
-        if not shared:
+        if not keys.num_rows:
             return _rows([])
-        shared = np.sort(np.concatenate(shared))
+        data, ids, sizes, key, doc, begin, count = _known_runs(text["a"][0].as_py(), text["b"][0].as_py(), length, bits)
+        shared = np.sort(np.concatenate([unpacked(x) for x in keys["a"].to_pylist()]))
         hit = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key)
         key, doc, begin, size = key[hit], ids[doc[hit]], begin[hit], count[hit] + length - 1
-        text, entries = data.tobytes(), {}
-        entry = np.fromiter((entries.setdefault(text[b : b + n], len(entries)) for b, n in zip(begin.tolist(), size.tolist(), strict=True)), np.int64, len(begin))
+        whole, entries = data.tobytes(), {}
+        entry = np.fromiter((entries.setdefault(whole[b : b + n], len(entries)) for b, n in zip(begin.tolist(), size.tolist(), strict=True)), np.int64, len(begin))
         least = np.full(len(entries), np.iinfo(np.int64).max)
         np.minimum.at(least, entry, doc)
-        block = t["block"][0].as_py()
+        block = text["block"][0].as_py()
         first = np.zeros(len(entries), np.int64)
         first[entry[::-1]] = np.arange(len(entry))[::-1]
         part, content = (key[first] % np.uint64(parts)).astype(np.int64), list(entries)
-        rows = [(block, 0, PLACES, _squeeze(_ints(entry, begin, size, doc > least[entry])), b"")]
+        rows = [(block, 0, PLACES, 0, _squeeze(_ints(entry, begin, size, doc > least[entry])), b"")]
         by = np.argsort(part, kind="stable")
         for x in np.split(by, np.flatnonzero(np.diff(part[by])) + 1):
-            rows.append((block, int(part[x[0]]), STRINGS, _squeeze(b"".join(content[j] for j in x.tolist())), _squeeze(_ints(x, least[x], size[first[x]], key[first[x]].astype(np.int64)))))
+            rows.append((block, int(part[x[0]]), *_some_strings([content[j] for j in x.tolist()], x, least[x], np.zeros(len(x), np.int64))))
         return _rows(rows)
 
     return run
 
 
-def _decide(length: int):
+def _some_strings(content: list[bytes], entry: np.ndarray, doc: np.ndarray, offset: np.ndarray) -> tuple:
+    """kind, n, a and b of a row of strings: each has its entry, its doc, its size, and where in the entry it begins."""
+    data = b"".join(content)
+    return STRINGS, len(data), _squeeze(data), _squeeze(_ints(entry, doc, [len(c) for c in content], offset))
+
+
+def _decide(length: int, pass_on: bool = False):
     def run(t: pa.Table) -> pa.Table:
-        """All strings of a part: what of each goes, as ranges inside it, by block."""
-        seen: dict[bytes, int] = {}
-        at, doc, source = [], [], []
-        content: list[bytes] = []
-        for n, (a, b) in enumerate(zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)):
-            text, rows, begin = _expand(a), _from_ints(_expand(b), 4), 0
-            for entry, who, size, _ in rows.tolist():
-                s = text[begin : begin + size]
-                begin += size
-                i = seen.setdefault(s, len(seen))
-                at.append(i)
-                doc.append(who)
-                source.append((n, entry))
-            content = list(seen)
-        at, doc = np.array(at), np.array(doc)
-        least = np.full(len(seen), np.iinfo(np.int64).max)
-        np.minimum.at(least, at, doc)
-        keys = np.zeros(len(seen), np.int64)
-        keys[at] = np.concatenate([_from_ints(_expand(b), 4)[:, 3] for b in t["b"].to_pylist()])
-        _, group, many = np.unique(keys, return_inverse=True, return_counts=True)
-        open_ = np.flatnonzero(many[group] > 1)  # contents that may share a string with another content
-        gone: dict[int, list[tuple[int, int]]] = {}
-        if len(open_):
-            open_ = open_[np.argsort(group[open_], kind="stable")]
-            size = np.array([len(content[i]) for i in open_])
-            cuts = np.append(0, np.flatnonzero(np.diff(np.cumsum(size) // (2 << 20))) + 1)
-            cuts = np.unique(np.searchsorted(group[open_], group[open_][cuts]))  # whole groups of one key
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(open_)), strict=True):
-                some = open_[lo:hi]
-                hits = earlier_match(np.frombuffer(b"".join(content[i] for i in some), np.uint8), size[lo:hi], least[some], length)
-                for i, h in zip(some.tolist(), hits, strict=True):
-                    if h.any():
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], h.astype(np.int8), [0]])))
-                        gone[i] = [(int(x), int(y) - 1 + length) for x, y in edge.reshape(-1, 2)]
-        out: dict[int, list] = {}
-        for i, who, (n, entry) in zip(at.tolist(), doc.tolist(), source, strict=True):
-            for x, y in [(0, len(content[i]))] if who > least[i] else gone.get(i, ()):
-                out.setdefault(n, []).append((entry, x, y))
-        block = t["block"].to_pylist()
-        return _rows([(block[n], 0, CUTS, _ints(*zip(*x, strict=True)), b"") for n, x in out.items()])
+        """All strings of a part: what of each has an earlier factor, as ranges inside its entry, by block.
+
+        With ``pass_on``, strings of ``length`` bytes that have none go on to other parts by their hash, to be held against those
+        of the other slices.
+        """
+        data = np.frombuffer(b"".join(_expand(a) for a in t["a"].to_pylist()), np.uint8)
+        infos = [_from_ints(_expand(b), 4) for b in t["b"].to_pylist()]
+        of, info = np.repeat(np.arange(len(infos)), [len(x) for x in infos]), np.concatenate(infos)
+        entry, doc, sizes, offset = info.T
+        factors = previous_factors(data, sizes, doc, length)
+        cut = np.concatenate(factors) >= length
+        string = np.repeat(np.arange(len(sizes)), [len(f) for f in factors])
+        place = np.concatenate([np.arange(len(f)) for f in factors])
+        new = np.append(True, string[1:] != string[:-1])
+        # runs of begins that go, inside a string
+        lo = np.flatnonzero(cut & (new | ~np.append(False, cut[:-1])))
+        hi = np.flatnonzero(cut & (np.append(new[1:], True) | ~np.append(cut[1:], False)))
+        block, rows = t["block"].to_pylist(), []
+        who = string[lo]
+        x, y = offset[who] + place[lo], offset[who] + place[hi] + length
+        by = np.searchsorted(of[who], np.arange(len(block) + 1))
+        for n, (i, j) in enumerate(zip(by[:-1], by[1:], strict=True)):
+            if i < j:
+                rows.append((block[n], 0, CUTS, 0, _ints(entry[who[i:j]], x[i:j], y[i:j]), b""))
+        if pass_on:
+            left = np.flatnonzero(~cut)
+            begin = (np.cumsum(sizes) - sizes)[string[left]] + place[left]
+            slices, part = t["slices"][0].as_py(), t["part"][0].as_py()
+            to = (_rolling(data, length)[begin] % np.uint64(slices * SPREAD)).astype(np.int64)
+            text = data.tobytes()
+            by = np.lexsort((to, of[string[left]]))
+            edge = np.flatnonzero(np.diff(of[string[left]][by]) | np.diff(to[by])) + 1
+            for z in np.split(by, edge) if len(by) else []:
+                s = string[left[z]]
+                rows.append((block[of[s[0]]], part << 24 | int(to[z[0]]), *_some_strings([text[b : b + length] for b in begin[z].tolist()], entry[s], doc[s], offset[s] + place[left[z]])))
+        return _rows(rows)
 
     return run
 
@@ -318,15 +368,13 @@ def _decide(length: int):
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _finish(t: pa.Table) -> pa.Table:
-    """A block, the places of its strings and what goes of each: the result of its documents."""
-    kinds, a, b = t["kind"].to_pylist(), t["a"].to_pylist(), t["b"].to_pylist()
-    i = kinds.index(TEXTS)
-    data, ids, sizes, known = _load(a[i], b[i])
+def _finish(text: pa.Table, cuts: pa.Table) -> pa.Table:
+    """A block with the places of its strings, and what goes of each: the result of its documents."""
+    data, ids, sizes, known = _load(text["a"][0].as_py(), text["b"][0].as_py())
     change = np.zeros(len(data) + 1, np.int64)
-    for j in (j for j, k in enumerate(kinds) if k == PLACES):
-        entry, begin, size, copy = _from_ints(_expand(a[j]), 4).T
-        cut = np.concatenate([_from_ints(a[k], 3) for k, x in enumerate(kinds) if x == CUTS] or [np.zeros((0, 3), np.int64)])
+    if places := text["places"][0].as_py():
+        entry, begin, size, copy = _from_ints(_expand(places), 4).T
+        cut = np.concatenate([_from_ints(x, 3) for x in cuts["a"].to_pylist()] or [np.zeros((0, 3), np.int64)])
         whole = np.flatnonzero(copy)
         np.add.at(change, begin[whole], 1)
         np.add.at(change, begin[whole] + size[whole], -1)
@@ -352,26 +400,40 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str, length: int = 50) -> D
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every whole text.
 
     A byte goes if a ``length``-byte string over it also begins in a document with a smaller id; matches stay inside a text
-    and are judged on the input. Texts are packed in blocks. The key of a string is the least hash inside it, so equal
-    strings have equal keys, and strings with one key in a row are one run. Keys that two documents share are found by part
-    of the key space; only runs with such keys go on, each content once a block with its smallest id. In a part, contents
-    that occur again elsewhere go whole but for the smallest id; among contents that share a key the suffix array and its
-    longest previous factors find what an earlier document has. So a passage in very many documents is one string a block.
+    and are judged on the input. Texts are packed in blocks, in a table bucketed by block, so that they are shuffled once. The
+    key of a string is the least hash inside it, so equal strings have equal keys, and strings with one key in a row are one
+    run. Keys that two documents share are found by part of the key space; only runs with such keys go on to their part, each
+    content once a block with its smallest id. The strings of a part are brought in suffix order; there the previous and next
+    places of smaller documents give the longest previous factors, and begins whose factor reaches ``length`` go.
+
+    A part with over LARGE bytes of strings is decided in slices of its blocks first; strings that no smaller document of their
+    slice has meet those of the other slices, dealt by their hash. So a key or passage in very many blocks is bounded by the
+    number of slices. A text is held whole by one task.
 
     Null text is empty. A null id is neither earlier nor later than another: its row comes back whole. Rows that repeat an id
-    are one document in this sense, and keep what they share. An empty table gives no rows.
+    are one document in this sense, and keep what they share. An empty table gives no rows. Other columns of df don't matter,
+    whatever their names.
     """
-    spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(16, -(-total // PART_BYTES))
+    tasks = int(min(parts, 20_000))
+    buckets = int(min(max(8, -(-total // BUCKET_BYTES)), 100_000))
     bits = 8 * max(4, -(-(max(1, total // 13).bit_length() + 8) // 8))
-    blocks = C.keep(_blocks(docs))
-    shared = _keys(blocks, length, bits, parts).groupBy("part").applyInArrow(_shared, ROW)
-    strings = C.keep(blocks.unionByName(shared).groupBy("block").applyInArrow(_strings(length, bits, parts), ROW))
-    cuts = strings.filter(F.col("kind") == STRINGS).groupBy("part").applyInArrow(_decide(length), ROW)
-    ends = blocks.unionByName(strings.filter(F.col("kind") == PLACES)).unionByName(cuts)
-    return ends.groupBy("block").applyInArrow(_finish, RESULT).withColumnRenamed("doc_id", doc_id)
+    blocks = C.keep_by(_blocks(docs), "block", buckets)
+    shared = _keys(blocks, length, bits, parts).repartition(tasks, "part").groupBy("part").applyInArrow(_shared, ROW)
+    strings = C.keep_by(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_strings(length, bits, parts), ROW), "block", buckets, dealt=True)
+    ready = strings.filter(F.col("kind") == STRINGS)
+    large = C.keep(ready.groupBy("part").agg(F.sum("n").alias("bytes")).filter(F.col("bytes") > LARGE).select("part", F.ceil(F.col("bytes") / LARGE).alias("slices")))
+    some = not large.isEmpty()
+    decided = (ready.join(large, "part", "left_anti") if some else ready).select(*(x.split()[0] for x in ROW.split(", "))).repartition(tasks, "part").groupBy("part").applyInArrow(_decide(length), ROW)
+    if some:
+        sliced = ready.join(large, "part").withColumn("slice", F.pmod(F.xxhash64("block"), "slices"))
+        first = C.keep(sliced.repartition(tasks, "part", "slice").groupBy("part", "slice").applyInArrow(_decide(length, True), ROW))
+        last = first.filter(F.col("kind") == STRINGS).repartition(tasks, "part").groupBy("part").applyInArrow(_decide(length), ROW)
+        decided = decided.unionByName(first.filter(F.col("kind") == CUTS)).unionByName(last)
+    ends = blocks.join(strings.filter(F.col("kind") == PLACES).select("block", F.col("a").alias("places")), "block", "left")
+    return ends.groupBy("block").cogroup(decided.groupBy("block")).applyInArrow(_finish, RESULT).withColumnRenamed("doc_id", doc_id)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

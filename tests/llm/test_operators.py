@@ -174,6 +174,41 @@ def test_repeats(spark, folders, source):
     assert got == cut(docs)
 
 
+def test_parts_in_slices_give_the_same_cuts(spark, folders, monkeypatch):
+    monkeypatch.setattr(repeats, "LARGE", 4_000)
+    for folder in (folders[0], "/root/testdata/sf0.001"):
+        docs = [(r["doc_id"], r["text"]) for r in C.table(spark, folder, "documents").select("doc_id", "text").collect()]
+        got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(spark, "op5_previous_factors", folder))
+        assert got == cut(docs)
+
+
+def test_previous_factors_against_all_pairs():
+    rng = np.random.default_rng(4)
+    for length in (3, 8, 20):
+        for _ in range(20):
+            sizes, doc = rng.integers(0, 40, 9), rng.integers(0, 5, 9)
+            data = rng.integers(97, 97 + rng.integers(1, 4), sizes.sum()).astype(np.uint8)
+            texts = [x.tobytes() for x in np.split(data, np.cumsum(sizes)[:-1])]
+            begins = [[t[i : i + length] for i in range(len(t) - length + 1)] for t in texts]
+            at = np.concatenate([np.arange(len(b)) + e - s for b, e, s in zip(begins, np.cumsum(sizes), sizes)]).astype(np.int64)
+            flat, own = [w for b in begins for w in b], np.repeat(doc, [len(b) for b in begins])
+            order, lcp = repeats.suffix_order(data, at, own, length)
+            assert [(flat[i], own[i]) for i in order] == sorted(zip(flat, own))
+            same = lambda a, b: next((i for i in range(length) if a[i] != b[i]), length)
+            assert all(lcp[k] == same(flat[order[k - 1]], flat[order[k]]) for k in range(1, len(order)))
+            got = repeats.previous_factors(data, sizes, doc, length)
+            for b, d, factor in zip(begins, doc, got):
+                assert factor.tolist() == [length if any(w in o and e < d for o, e in zip(begins, doc)) else 0 for w in b]
+                if len(b):
+                    least = 1 + int(rng.integers(length))
+            v = rng.integers(0, 4, len(order))
+            part = repeats.smaller_before(v, lcp, least)
+            for k in range(len(order)):
+                j = next((j for j in range(k - 1, -1, -1) if v[j] < v[k]), None)
+                m = 0 if j is None else int(lcp[j + 1 : k + 1].min())
+                assert part[k] == (m if m >= least else 0)
+
+
 def test_feistel_is_a_permutation_without_fixed_points():
     for size in (2, 7, 1000):
         f = privacy.Feistel(b"k", "x", size)
