@@ -156,11 +156,12 @@ def smaller_before(doc: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
     return np.where(shared >= least, shared, 0)
 
 
-def previous_factors(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each string of a part, its array of longest previous factors, up to ``length``; less than that counts as 0.
+def previous_factors(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The longest previous factors of a part's strings, one array after the other, and the size of each string's array.
 
     The factor of a begin is the longest string from there that also begins in a string of a smaller doc: the longer of
-    those with the previous and the next smaller doc in suffix order. Only begins with ``length`` bytes after them count.
+    those with the previous and the next smaller doc in suffix order, up to ``length``; less than that counts as 0. Only
+    begins with ``length`` bytes after them count.
     """
     begin, count = np.cumsum(sizes) - sizes, np.maximum(sizes - length + 1, 0)
     at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
@@ -171,7 +172,7 @@ def previous_factors(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, lengt
     after = smaller_before(ranked[::-1], np.append(0, lcp[:0:-1]), length)[::-1] if len(at) else before
     factor = np.empty(len(at), np.int64)
     factor[order] = np.maximum(before, after)
-    return np.split(factor, np.cumsum(count)[:-1])
+    return factor, count
 
 
 def _ints(*columns) -> bytes:
@@ -334,10 +335,10 @@ def _decide(length: int, pass_on: bool = False):
         infos = [_from_ints(_expand(b), 4) for b in t["b"].to_pylist()]
         of, info = np.repeat(np.arange(len(infos)), [len(x) for x in infos]), np.concatenate(infos)
         entry, doc, sizes, offset = info.T
-        factors = previous_factors(data, sizes, doc, length)
-        cut = np.concatenate(factors) >= length
-        string = np.repeat(np.arange(len(sizes)), [len(f) for f in factors])
-        place = np.concatenate([np.arange(len(f)) for f in factors])
+        factor, count = previous_factors(data, sizes, doc, length)
+        cut = factor >= length
+        string = np.repeat(np.arange(len(sizes)), count)
+        place = np.arange(len(cut)) - np.repeat(np.cumsum(count) - count, count)
         new = np.append(True, string[1:] != string[:-1])
         # runs of begins that go, inside a string
         lo = np.flatnonzero(cut & (new | ~np.append(False, cut[:-1])))

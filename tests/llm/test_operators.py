@@ -196,8 +196,8 @@ def test_previous_factors_against_all_pairs():
             assert [(flat[i], own[i]) for i in order] == sorted(zip(flat, own))
             same = lambda a, b: next((i for i in range(length) if a[i] != b[i]), length)
             assert all(lcp[k] == same(flat[order[k - 1]], flat[order[k]]) for k in range(1, len(order)))
-            got = repeats.previous_factors(data, sizes, doc, length)
-            for b, d, factor in zip(begins, doc, got):
+            factors, count = repeats.previous_factors(data, sizes, doc, length)
+            for b, d, factor in zip(begins, doc, np.split(factors, np.cumsum(count)[:-1])):
                 assert factor.tolist() == [length if any(w in o and e < d for o, e in zip(begins, doc)) else 0 for w in b]
                 if len(b):
                     least = 1 + int(rng.integers(length))
