@@ -15,7 +15,7 @@ from . import common as C
 #: Bytes of text in a block, and of all text for each part that strings are dealt to.
 BLOCK_BYTES, PART_BYTES = 4 << 20, 8 << 20
 #: Bytes of text in a bucket of the blocks' table; bytes of strings from which a part is decided in slices, and parts a slice after that.
-BUCKET_BYTES, LARGE, SPREAD = 32 << 20, 24 << 20, 16
+BUCKET_BYTES, LARGE, SPREAD = 32 << 20, 16 << 20, 16
 _M = np.uint64(0x9E3779B97F4A7C15)
 ROW = "block long, part long, kind int, n long, a binary, b binary"
 TEXTS, KEYS, SHARED, STRINGS, PLACES, CUTS = range(6)
