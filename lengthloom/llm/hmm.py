@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from . import common as C
 
 STATES = 8
-#: Words with an emission of their own, ending classes for all others, and words whose counts every worker holds.
+#: Words with an emission of their own during Baum-Welch, ending classes for all others, and words that every worker holds.
 SYMBOLS, CLASSES, KNOWN = 16_384, 512, 250_000
-#: Longest training sequence: a longer text is several, and those after the first have a start distribution of their own.
-SEGMENT = 512
-#: Weight of the corpus distribution in each state's emissions.
-PRIOR = 50.0
+#: Longer texts are recursed in pieces of this size, which exact messages join; longest piece of a text for starting values.
+SEGMENT, WINDOW = 2048, 4096
+#: Weight of the corpus distribution in each state's emissions, and of a word's share in those of its ending class.
+PRIOR, OWN = 50.0, 20.0
 BATCH = 500_000
 
 
@@ -45,7 +45,7 @@ class Vocabulary:
 
 @dataclass
 class Model:
-    start: np.ndarray  # 2 x states: first and later sequences of a text
+    start: np.ndarray  # states
     move: np.ndarray
     emit: np.ndarray  # symbols x states
 
@@ -58,61 +58,109 @@ def _time_major(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return live, begin, begin[t] + np.repeat(np.arange(len(lengths)), lengths)
 
 
-def expected(model: Model, sequences: list[np.ndarray], later: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of a batch: starts (2 x states), moves (states x states), emissions (symbols x states)."""
-    order = np.argsort([-len(s) for s in sequences], kind="stable")
-    later = later[order].astype(np.int64)
-    lengths = np.array([len(sequences[i]) for i in order])
+def _messages(model: Model, pieces: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pieces of texts in order: the filtered states before each (zero for a text's first), the backward values after it.
+
+    A piece of a long text acts as the product of its moves and emissions; products of all pieces are formed together, then
+    handed on from piece to piece.
+    """
+    n, k = len(pieces), len(model.start)
+    before, after = np.zeros((n, k)), np.ones((n, k))
+    last = np.append(first[1:], True)
+    cut = np.flatnonzero(~(first & last))
+    if not len(cut):
+        return before, after
+    order = cut[np.argsort([-len(pieces[i]) for i in cut], kind="stable")]
+    lengths = np.array([len(pieces[i]) for i in order])
+    flat, begin = np.concatenate([pieces[i] for i in order]), np.cumsum(lengths) - lengths
+    emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
+    product = np.tile(np.eye(k, dtype=np.float32), (len(order), 1, 1))
+    for t, m in enumerate(np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), "right")):
+        x = product[:m] @ move if t else np.where(first[order][:, None, None], product, product @ move)
+        x = x * emit[flat[begin[:m] + t]][:, None, :]
+        product[:m] = x / np.maximum(x.max(axis=(1, 2), keepdims=True), 1e-30)
+    of = dict(zip(order.tolist(), product.astype(np.float64), strict=True))
+    for i in cut.tolist():
+        if not last[i]:
+            v = (model.start if first[i] else before[i]) @ of[i]
+            before[i + 1] = v / v.sum()
+    for i in cut[::-1].tolist():
+        if not first[i]:
+            v = of[i] @ after[i]
+            after[i - 1] = v / v.max()
+    return before, after
+
+
+def posteriors(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward over whole texts: expected starts, expected moves, and each symbol's states in the texts' order."""
+    pieces = [x[i : i + SEGMENT] for x in texts for i in range(0, len(x), SEGMENT)]
+    first = np.concatenate([np.arange(-(-len(x) // SEGMENT)) == 0 for x in texts])
+    ahead_of, behind = _messages(model, pieces, first)
+    order = np.argsort([-len(s) for s in pieces], kind="stable")
+    lengths = np.array([len(pieces[i]) for i in order])
     live, begin, place = _time_major(lengths)
     n = int(lengths.sum())
     sym = np.empty(n, np.int64)
-    sym[place] = np.concatenate([sequences[i] for i in order])
+    sym[place] = np.concatenate([pieces[i] for i in order])
     e, move = model.emit.astype(np.float32)[sym], model.move.astype(np.float32)
+    begins = np.where(first[:, None], model.start, ahead_of @ model.move)[order].astype(np.float32)
     alpha, scale = np.empty_like(e), np.empty(n, np.float32)
     for t, (k, b) in enumerate(zip(live, begin, strict=True)):
-        a = (model.start[later].astype(np.float32) if not t else alpha[begin[t - 1] : begin[t - 1] + k] @ move) * e[b : b + k]
+        a = (begins if not t else alpha[begin[t - 1] : begin[t - 1] + k] @ move) * e[b : b + k]
         scale[b : b + k] = c = np.maximum(a.sum(axis=1), 1e-30)
         alpha[b : b + k] = a / c[:, None]
+    # backward values at the end of each piece, then from there to its begin
+    end = begin[lengths - 1] + np.arange(len(lengths))
+    tail = behind[order].astype(np.float32)
+    tail /= np.maximum((tail * alpha[end]).sum(axis=1), 1e-30)[:, None]
+    back = np.ones_like(e)
+    back[end] = tail
     ahead = e / scale[:, None]  # becomes emission times backward value over scale
-    gamma = alpha.copy()
-    for t in range(len(live) - 2, -1, -1):
-        b, nb, nk = begin[t], begin[t + 1], live[t + 1]
-        back = ahead[nb : nb + nk] @ move.T
-        ahead[b : b + nk] *= back
-        gamma[b : b + nk] *= back
-    moves = np.zeros_like(model.move)
+    for t in range(len(live) - 1, -1, -1):
+        b, k = begin[t], live[t]
+        if t + 1 < len(live):
+            nb, nk = begin[t + 1], live[t + 1]
+            back[b : b + nk] = ahead[nb : nb + nk] @ move.T
+        ahead[b : b + k] *= back[b : b + k]
+    moves = ahead_of[order].T @ ahead[: live[0]]  # from piece to piece
     if n > live[0]:
         before = np.concatenate([np.arange(begin[t - 1], begin[t - 1] + live[t]) for t in range(1, len(live))])
-        moves = (alpha[before].T @ ahead[live[0] :]).astype(np.float64) * model.move
-    starts = np.array([gamma[: live[0]][later == i].sum(axis=0) for i in range(2)], np.float64)
-    emissions = np.column_stack([np.bincount(sym, gamma[:, k], len(model.emit)) for k in range(gamma.shape[1])])
-    return starts, moves, emissions
-
-
-def likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each whole symbol sequence: the forward recursion, scaled at every step, over whole texts."""
-    order = np.argsort([-len(s) for s in texts], kind="stable")
-    lengths = np.array([len(texts[i]) for i in order])
-    flat, first = np.concatenate([texts[i] for i in order]), np.cumsum(lengths) - lengths
+        moves = moves + alpha[before].T @ ahead[live[0] :]
+    gamma = alpha * back
+    starts = gamma[: live[0]][first[order]].sum(axis=0, dtype=np.float64)
+    sizes = np.array([len(x) for x in pieces])
+    begin_of = (np.cumsum(sizes) - sizes)[order]
+    in_order = np.empty_like(gamma)
+    in_order[np.repeat(begin_of - (np.cumsum(lengths) - lengths), lengths) + np.arange(n)] = gamma[place]
+    return starts, moves.astype(np.float64) * model.move, in_order
+
+
+def expected(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch counts of a batch of whole texts: starts, moves (states x states), emissions (symbols x states)."""
+    starts, moves, gamma = posteriors(model, texts)
+    sym = np.concatenate(texts).astype(np.int64)
+    return starts, moves, np.column_stack([np.bincount(sym, gamma[:, k], len(model.emit)) for k in range(gamma.shape[1])])
+
+
+def likelihood(model: Model, emissions: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 probability of each whole text: the forward recursion, scaled at every step. emissions: symbols x states."""
+    order = np.argsort(-sizes, kind="stable")
+    lengths, first = sizes[order], (np.cumsum(sizes) - sizes)[order]
     live = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), "right")
-    total, alpha = np.zeros(len(texts)), None
+    total, alpha = np.zeros(len(sizes)), None
     for t, k in enumerate(live):
-        alpha = (model.start[0] if alpha is None else alpha[:k] @ model.move) * model.emit[flat[first[:k] + t]]
+        alpha = (model.start if alpha is None else alpha[:k] @ model.move) * emissions[first[:k] + t]
         c = alpha.sum(axis=1)
         total[:k] += np.log10(c)
         alpha /= c[:, None]
-    out = np.empty(len(texts))
+    out = np.empty(len(sizes))
     out[order] = total
     return out
 
 
 def maximised(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, prior: np.ndarray) -> Model:
     e = emissions + PRIOR * prior[:, None]
-    return Model((starts + 0.5) / (starts + 0.5).sum(axis=1, keepdims=True), (moves + 0.5) / (moves + 0.5).sum(axis=1, keepdims=True), e / e.sum(axis=0))
-
-
-def segments(ids: np.ndarray) -> list[np.ndarray]:
-    return [ids[i : i + SEGMENT] for i in range(0, len(ids), SEGMENT)]
+    return Model((starts + 0.5) / (starts + 0.5).sum(), (moves + 0.5) / (moves + 0.5).sum(axis=1, keepdims=True), e / e.sum(axis=0))
 
 
 def first_guess(sample: list[np.ndarray], prior: np.ndarray, rounds: int = 12) -> Model:
@@ -130,16 +178,16 @@ def first_guess(sample: list[np.ndarray], prior: np.ndarray, rounds: int = 12) -
             fit = np.bincount(rows, np.log(np.maximum(p, 1e-12))[cols] - log[cols], len(sample)) / np.array([len(s) for s in sample])
             gain = np.minimum(gain, -fit)
             share = fit[:, None] if share is None else np.column_stack([share, fit])
-            seed.append(int(np.argmax(np.where([len(s) >= SEGMENT // 4 for s in sample], gain, -np.inf))))
+            seed.append(int(np.argmax(np.where([len(s) >= 128 for s in sample], gain, -np.inf))))
         for _ in range(rounds):
             hard = share.argmax(axis=1)
             counts = np.column_stack([np.bincount(cols, hard[rows] == k, n) for k in range(STATES)])
             emit = (counts + PRIOR * prior[:, None]) / (counts.sum(axis=0) + PRIOR)
             share = np.column_stack([np.bincount(rows, np.log(np.maximum(emit[:, k], 1e-12))[cols], len(sample)) for k in range(STATES)])
     move = np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)
-    model = Model(np.full((2, STATES), 1 / STATES), move, emit)
+    model = Model(np.full(STATES, 1 / STATES), move, emit)
     for _ in range(4 if sample else 0):
-        model = maximised(*expected(model, sample, np.zeros(len(sample), bool)), prior)
+        model = maximised(*expected(model, sample), prior)
     return model
 
 
@@ -161,155 +209,244 @@ def _counts(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "word string, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("c"))
 
 
-ENCODED = "n_tokens long, n_known long, base double, within double, ids binary, rare array<struct<word:string,class:int,n:long>>"
+ENCODED = "n_tokens long, n_known long, base double, within double, ids binary, classes binary, rare array<struct<at:int,word:string,class:int,n:long>>"
+STATE_NAMES = [f"s{k}" for k in range(STATES)]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Integers byte by byte, lowest bytes first, which compress well."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def _encode(df: DataFrame, keep: list[str], shared) -> DataFrame:
+    """Texts as ids: 0 the end, then known words, then the text's own other words in order of appearance."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = shared.value
         names = [x.split(" ")[0] for x in ENCODED.split(", ")]
-        kind = pa.list_(pa.struct([("word", pa.string()), ("class", pa.int32()), ("n", pa.int64())]))
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string()), ("class", pa.int32()), ("n", pa.int64())]))
         for batch in batches:
             rows = []
             for t in batch.column(len(keep)):
                 words = tokens(t.as_py())
                 at = np.fromiter(map(v.ids.get, words, repeat(-1)), np.int64, len(words))
+                ids = np.append(at + 1, 0)
+                rare: dict[bytes, int] = {}
                 new = np.flatnonzero(at < 0)
-                sym = np.zeros(len(words) + 1, np.uint16)
-                sym[:-1] = v.symbol[at]
-                rare: Counter = Counter()
-                for i in new.tolist():
-                    k = ending(words[i])
-                    sym[i] = SYMBOLS + 1 + k
-                    rare[words[i], k] += 1
+                own = np.fromiter((rare.setdefault(words[i], len(rare)) for i in new.tolist()), np.int64, len(new))
+                ids[new] = len(v.symbol) + own
+                classes = [ending(w) for w in rare]
+                n = np.bincount(own, minlength=len(rare)).tolist()
                 known = at[at >= 0]
-                rows.append((len(words) + 1, len(known), float(v.base[known].sum()), float(v.within[known].sum()), sym.tobytes(), [{"word": w.decode(), "class": k, "n": n} for (w, k), n in rare.items()]))
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), kind)
+                rows.append((len(words) + 1, len(known), float(v.base[known].sum()), float(v.within[known].sum()), _planes(ids), np.array(classes, "<u2").tobytes(), [{"at": i, "word": w.decode(), "class": k, "n": m} for i, (w, k, m) in enumerate(zip(rare, classes, n, strict=True))]))
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array([r[i] for r in rows], x) for i, x in enumerate(types))], names=[*keep, *names])
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return df.mapInArrow(run, f"{fields}, {ENCODED}")
 
 
-def _pass(encoded: DataFrame, model: Model, prior: np.ndarray) -> Model:
-    """One Baum-Welch pass over all training texts: counts of each partition, summed by symbol; the driver gets the sums."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
-    names = [f"s{k}" for k in range(STATES)]
+def _symbols(ids: np.ndarray, classes: bytes, symbol: np.ndarray, first_class: int) -> np.ndarray:
+    """Baum-Welch symbols of a text: of the end and known words by ``symbol``, of others by their class."""
+    return np.concatenate([symbol, first_class + np.frombuffer(classes, "<u2").astype(np.int64)])[ids]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        total = [np.zeros((2, STATES)), np.zeros((STATES, STATES)), np.zeros(m.emit.shape)]
 
-        def add(seqs: list, later: list) -> None:
-            for x, y in zip(total, expected(m, seqs, np.array(later)), strict=True):
-                x += y
+def _batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[np.ndarray, bytes, int]]]:
+    """(ids, classes, row) of the texts of a partition, in lists of about ``most`` symbols; columns ids, classes, any third."""
+    some, held = [], 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            some.append((_from_planes(batch.column(0)[i].as_py()), batch.column(1)[i].as_py(), batch.column(2)[i]))
+            held += len(some[-1][0])
+            if held >= most:
+                yield some
+                some, held = [], 0
+    if some:
+        yield some
+
 
-        seqs, later, held = [], [], 0
+def _guesses(trained: DataFrame, sample: int, symbol: np.ndarray, first_class: int) -> list[np.ndarray]:
+    """Symbols of ``sample`` distinct texts, those of the smallest hashes; of a long text a window at a hashed place."""
+    shared = trained.sparkSession.sparkContext.broadcast(symbol)
+    drawn = [r["_h"] for r in trained.select("_h").distinct().orderBy("_h").limit(sample).collect()]
+    if not drawn:
+        return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.column(0):
-                for i, s in enumerate(segments(np.frombuffer(x.as_py(), np.uint16))):
-                    seqs.append(s)
-                    later.append(i > 0)
-                    held += len(s)
-                if held >= BATCH:
-                    add(seqs, later)
-                    seqs, later, held = [], [], 0
-        if seqs:
-            add(seqs, later)
-        rows = np.concatenate(total)
+            out = []
+            for ids, classes, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = _symbols(_from_planes(ids), classes, shared.value, first_class)
+                begin = h % max(1, len(x) - WINDOW + 1)
+                out.append(x[begin : begin + WINDOW].astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out, pa.binary())], names=["h", "x"])
+
+    d = trained.filter(F.col("_h") <= max(drawn)).select("ids", "classes", "_h").mapInArrow(run, "h long, x binary").dropDuplicates(["h"])
+    return [np.frombuffer(bytes(r["x"]), "<u2").astype(np.int64) for r in sorted(d.collect())]
+
+
+def _pass(encoded: DataFrame, model: Model, prior: np.ndarray, symbol: np.ndarray) -> Model:
+    """One Baum-Welch pass over all training texts: counts of each partition, summed by symbol; the driver gets the sums."""
+    shared = encoded.sparkSession.sparkContext.broadcast((model, symbol))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, symbol = shared.value
+        total = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros(m.emit.shape)]
+        for some in _batches(batches, BATCH):
+            for x, y in zip(total, expected(m, [_symbols(ids, c, symbol, len(m.emit) - CLASSES) for ids, c, _ in some]), strict=True):
+                x += y
+        rows = np.concatenate([total[0][None], *total[1:]])
         at = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(rows[at, k]) for k in range(STATES))], names=["row", *names])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(rows[at, k]) for k in range(STATES))], names=["row", *STATE_NAMES])
 
-    sums = encoded.select("ids").mapInArrow(run, "row int, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*(F.sum(n).alias(n) for n in names)).collect()
-    rows = np.zeros((2 + STATES + len(prior), STATES))
-    for r in sums:
+    d = encoded.select("ids", "classes", F.lit(0).alias("none")).mapInArrow(run, "row int, " + ", ".join(f"{n} double" for n in STATE_NAMES))
+    rows = np.zeros((1 + STATES + len(prior), STATES))
+    for r in d.groupBy("row").agg(*(F.sum(n).alias(n) for n in STATE_NAMES)).collect():
         rows[r["row"]] = r[1:]
     shared.unpersist()
-    return maximised(rows[:2], rows[2 : 2 + STATES], rows[2 + STATES :], prior)
+    return maximised(rows[0], rows[1 : 1 + STATES], rows[1 + STATES :], prior)
+
+
+def _words_by_state(encoded: DataFrame, model: Model, symbol: np.ndarray, names: list[str]) -> DataFrame:
+    """(word, class, known, c, s0, s1, ...): over all training texts, how often each word without a symbol is in each state."""
+    shared = encoded.sparkSession.sparkContext.broadcast((model, symbol, names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, symbol, names = shared.value
+        known = np.zeros((len(symbol), STATES))
+
+        def rows(word: list, kind: np.ndarray, is_known: bool, c: np.ndarray, states: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(kind, pa.int32()), pa.array([is_known] * len(word), pa.bool_()), pa.array(c, pa.int64()), *(pa.array(states[:, k], pa.float32()) for k in range(STATES))], names=["word", "class", "known", "c", *STATE_NAMES])
+
+        for some in _batches(batches, BATCH):
+            _, _, gamma = posteriors(m, [_symbols(ids, c, symbol, len(m.emit) - CLASSES) for ids, c, _ in some])
+            ids, of = np.concatenate([x[0] for x in some]), np.repeat(np.arange(len(some)), [len(x[0]) for x in some])
+            mid = np.flatnonzero((ids < len(symbol)) & (symbol[np.minimum(ids, len(symbol) - 1)] >= len(m.emit) - CLASSES))
+            for k in range(STATES):
+                known[:, k] += np.bincount(ids[mid], gamma[mid, k], len(known))
+            own = np.flatnonzero(ids >= len(symbol))
+            words = [w.as_py() for x in some for w in x[2]]
+            begin = np.cumsum([len(x[2]) for x in some]) - [len(x[2]) for x in some]
+            at = begin[of[own]] + ids[own] - len(symbol)
+            kinds = np.concatenate([np.frombuffer(x[1], "<u2") for x in some])
+            yield rows(words, kinds, False, np.bincount(at, minlength=len(words)), np.column_stack([np.bincount(at, gamma[own, k], len(words)) for k in range(STATES)]))
+        at = np.flatnonzero(known.any(axis=1))
+        yield rows([names[i] for i in at.tolist()], symbol[at] - (len(m.emit) - CLASSES), True, np.zeros(len(at), np.int64), known[at])
+
+    d = encoded.select("ids", "classes", F.col("rare.word").alias("words")).mapInArrow(run, "word string, class int, known boolean, c long, " + ", ".join(f"{n} float" for n in STATE_NAMES))
+    return C.keep(d.groupBy("word", "class", "known").agg(F.sum("c").alias("c"), *(F.sum(n).cast("float").alias(n) for n in STATE_NAMES)))
 
 
 def score(df: DataFrame, keep: list[str], text: str, training: Column, passes: int = 3, sample: int = 1500) -> DataFrame:
     """The ``keep`` columns with n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of whole texts).
 
-    Tokens are ASCII-lower-cased words and one end. The commonest SYMBOLS training words are emitted by the states; any other
-    word is one of CLASSES endings, and then has its smoothed share of the ending's count, so the model is proper over an
-    open vocabulary. Starting values come from ``sample`` texts; ``passes`` Baum-Welch passes then run over every training
-    text. Counts of the KNOWN commonest words travel to the workers, a bounded table; rarer words are joined with the counts
-    table by a shuffle. Null text is empty: its only token is the end. Equal texts get equal scores. No training text:
-    base_score is 0 by the formula, and the states stay uniform.
+    Tokens are ASCII-lower-cased words and one end. ``passes`` Baum-Welch passes run over every training text, uncut; in these
+    the commonest SYMBOLS training words are emitted by the states, any other word as one of CLASSES endings. The last model
+    then gathers, over all training texts, how often each other word is in each state, a table that grows with the corpus: such
+    a word has its share in its ending and state, smoothed by its share of the ending's count. So the model is proper over an
+    open vocabulary. Rows of the KNOWN commonest words travel to the workers, a bounded table; those of rarer words are
+    joined by a shuffle. Starting values come from ``sample`` distinct texts, of which a window of WINDOW symbols is read.
+
+    Null text is empty: its only token is the end. Equal texts get equal scores. No training text: base_score is 0 by the
+    formula, and the states stay uniform. A ``keep`` column that is named like a result is left out; other names don't matter.
+    An empty table gives no rows.
     """
     spark = df.sparkSession
-    d = df.select(*keep, F.col(text).alias("_text"), training.alias("_train"))
+    keep = [c for c in dict.fromkeys(keep) if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
+    inner = [f"_keep{i}" for i in range(len(keep))]
+    d = df.select(*(F.col(c).alias(k) for c, k in zip(keep, inner, strict=True)), F.col(text).alias("_text"), training.alias("_train"))
     counts = C.keep(_counts(d.filter("_train").select("_text")))
     docs = d.filter("_train").count()
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n + docs, v + bool(docs)
     whole = n + 0.1 * (v + 1)
-    bins = sorted(counts.groupBy(F.floor(F.log2("c") * 16).alias("bin")).count().collect(), reverse=True)
-    least, held = 0, 0
-    for b in bins:
-        held += b["count"]
-        if held > KNOWN:
-            break
-        least = b["bin"]
-    else:
-        least = 0
-    common = counts.filter(F.floor(F.log2("c") * 16) >= least).collect() if held <= KNOWN or least else []
-    common = sorted(((r["c"], r["word"].encode(), r["class"]) for r in common), key=lambda r: (-r[0], r[1]))
-    own = common[:SYMBOLS]
+    common = counts.orderBy(F.desc("c"), "word").limit(KNOWN).toArrow()
+    amount, kind = (np.append(np.array(common[c], np.int64), 0) for c in ("c", "class"))
+    names = [None, *common["word"].to_pylist()]
+    at = np.arange(len(amount))
+    own = min(SYMBOLS, len(amount) - 1)
     mass, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in counts.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("k")).collect():
         mass[r["class"]], kinds[r["class"]] = r["c"], r["k"]
-    for c, _, k in own:
-        mass[k] -= c
-        kinds[k] -= 1
+    mass -= np.bincount(kind[:own], amount[:own], CLASSES)
+    kinds -= np.bincount(kind[:own], minlength=CLASSES)
     total = mass + 0.1 * (kinds + 1)
-    amount = np.array([r[0] for r in common] + [0], np.float64)
-    kind = np.array([r[2] for r in common] + [0])
-    at = np.arange(len(amount))
-    within = np.where(at < len(own), 0.0, np.log10((amount + 0.1) / total[kind]))
-    vocabulary = Vocabulary({r[1]: i for i, r in enumerate(common)}, np.where(at < len(own), at + 1, SYMBOLS + 1 + kind).astype(np.uint16), np.log10((amount + 0.1) / whole), within)
-    prior = np.concatenate([[docs + 0.1], [r[0] for r in own], np.zeros(SYMBOLS - len(own)), total])
+    within = np.where(at < own, 0.0, np.log10((amount + 0.1) / total[kind]))
+    symbol = np.concatenate([[0], np.where(at < own, at + 1, own + 1 + kind)[:-1]])
+    prior = np.concatenate([[docs + 0.1], amount[:own], total])
     prior /= prior.sum()
 
-    shared = spark.sparkContext.broadcast(vocabulary)
-    encoded = C.keep(_encode(d.select(*keep, "_train", "_text"), [*keep, "_train"], shared).withColumn("_row", F.monotonically_increasing_id()))
+    shared = spark.sparkContext.broadcast(Vocabulary({w.encode(): i for i, w in enumerate(names[1:])}, symbol, np.log10((amount + 0.1) / whole), within))
+    d = d.withColumn("_h", F.xxhash64(F.lit("guess"), "_text"))
+    encoded = C.keep(_encode(d.select(*inner, "_train", "_h", "_text"), [*inner, "_train", "_h"], shared).withColumn("_row", F.monotonically_increasing_id()))
     trained = encoded.filter("_train")
-    part = min(1.0, sample / max(1, docs))
-    some = trained.filter((C.uniform(F.xxhash64(F.lit("guess"), "ids")) < part)).select(F.substring("ids", 1, 2 * SEGMENT).alias("ids")).limit(2 * sample).collect()
-    model = first_guess([np.frombuffer(bytes(r["ids"]), np.uint16).astype(np.int64) for r in some], prior)
+    model = first_guess(_guesses(trained, sample, symbol, own + 1), prior)
     for _ in range(passes if docs else 0):
-        model = _pass(trained, model, prior)
-
-    sent = spark.sparkContext.broadcast(model)
+        model = _pass(trained, model, prior, symbol)
+
+    # words without a symbol: their part of their ending in each state, against their share of the ending
+    words = _words_by_state(trained, model, symbol, names)
+    held = np.zeros((CLASSES, STATES))
+    for r in words.groupBy("class").agg(*(F.sum(s).alias(s) for s in STATE_NAMES)).collect():
+        held[r["class"]] = r[1:]
+    place = {w: i for i, w in enumerate(names)}
+    mid = words.filter("known").toArrow()
+    table = np.ones((len(symbol), STATES))
+    later = np.flatnonzero(symbol > own)
+    table[later] = OWN / (held[symbol[later] - own - 1] + OWN)
+    at = np.array([place[w] for w in mid["word"].to_pylist()], np.int64)
+    if len(at):
+        share = (amount[at - 1] + 0.1) / total[kind[at - 1]]
+        table[at] += np.column_stack([np.array(mid[s], np.float64) for s in STATE_NAMES]) / share[:, None] / (held[kind[at - 1]] + OWN)
+    table *= model.emit[symbol]
+    sent = spark.sparkContext.broadcast((model, table.astype(np.float32), held, total))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = sent.value
-        for batch in batches:
-            out, seqs, held = [], [], 0
-            for x in batch.column(1):
-                seqs.append(np.frombuffer(x.as_py(), np.uint16))
-                held += len(seqs[-1])
-                if held >= 4 * BATCH:
-                    out.append(likelihood(m, seqs))
-                    seqs, held = [], 0
-            if seqs:
-                out.append(likelihood(m, seqs))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else [], pa.float64())], names=["_row", "hmm"])
-
-    scored = encoded.select("_row", "ids").mapInArrow(run, "_row long, hmm double")
     shares = F.array(*(F.lit(float(x)) for x in total))
-    rare = encoded.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.class", "r.n").join(counts.select("word", "c"), "word", "left")
-    rare = rare.select("_row", "n", F.coalesce("c", F.lit(0)).alias("c"), F.element_at(shares, F.col("class") + 1).alias("t")).groupBy("_row").agg(
+    rare = encoded.select("_row", F.explode("rare").alias("r")).select("_row", "r.at", "r.word", "r.class", "r.n").join(words.filter("not known").drop("known", "class"), "word", "left")
+    rare = rare.withColumn("c", F.coalesce("c", F.lit(0))).withColumn("t", F.element_at(shares, F.col("class") + 1)).groupBy("_row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("_known"),
         F.sum(F.col("n") * F.log10((F.col("c") + 0.1) / F.lit(whole))).alias("_base"),
         F.sum(F.col("n") * F.log10((F.col("c") + 0.1) / F.col("t"))).alias("_within"),
+        F.collect_list(F.when(F.col("c") > 0, F.struct("at", F.col("c").cast("int").alias("c"), *STATE_NAMES))).alias("_own"),
     )
-    end = float(np.log10((docs + 0.1) / whole))
-    out = encoded.drop("ids", "rare").join(scored, "_row").join(rare, "_row", "left")
-    zero = F.lit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, table, held, total = sent.value
+
+        def emissions(ids: np.ndarray, classes: bytes, own) -> np.ndarray:
+            k = np.frombuffer(classes, "<u2").astype(np.int64)
+            if not len(k):
+                return table[ids]
+            words = OWN / (held[k] + OWN)
+            if own.is_valid and len(own.values):
+                x, c = (np.array(own.values.field(i), np.int64) for i in range(2))
+                g = np.column_stack([np.array(own.values.field(i + 2), np.float64) for i in range(STATES)])
+                words[x] += g / ((c + 0.1) / total[k[x]])[:, None] / (held[k[x]] + OWN)
+            words *= m.emit[len(m.emit) - CLASSES + k]
+            return np.where((ids >= len(table))[:, None], words[np.maximum(ids - len(table), 0)], table[np.minimum(ids, len(table) - 1)]).astype(np.float32)
+
+        for batch in batches:
+            columns, out, some, held_ = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}, [], [], 0
+            for i in range(batch.num_rows):
+                some.append(emissions(_from_planes(columns["ids"][i].as_py()), columns["classes"][i].as_py(), columns["_own"][i]))
+                held_ += len(some[-1])
+                if held_ >= 2 * BATCH or i + 1 == batch.num_rows:
+                    out.append(likelihood(m, np.concatenate(some), np.array([len(e) for e in some])))
+                    some, held_ = [], 0
+            scores = pa.array(np.concatenate(out) if out else [], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(columns[c] for c in rest), scores], names=[*rest, "hmm"])
+
+    full = encoded.join(rare, "_row", "left")
+    rest = [*inner, "n_tokens", "n_known", "base", "within", "_known", "_base", "_within"]
+    fields = ", ".join(f"`{c}` {full.schema[c].dataType.simpleString()}" for c in rest)
+    out = full.select("ids", "classes", "_own", *rest).mapInArrow(run, f"{fields}, hmm double")
+    zero, end = F.lit(0), float(np.log10((docs + 0.1) / whole))
     return out.select(
-        *keep, "n_tokens", (F.col("n_known") + F.coalesce("_known", zero) + int(docs > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        *(F.col(k).alias(c) for c, k in zip(keep, inner, strict=True)), "n_tokens", (F.col("n_known") + F.coalesce("_known", zero) + int(docs > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("_base", zero) + end).alias("base_score"), (F.col("hmm") + F.col("within") + F.coalesce("_within", zero)).alias("score"),
     )
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -118,27 +119,95 @@ def test_hidden_markov_base_and_coverage(spark, folders):
     assert all(r["score"] < 0 for r in got)
 
 
-def test_baum_welch_counts_are_those_of_all_paths(monkeypatch):
+@pytest.mark.parametrize("segment", [1, 2, 5, 100])
+def test_baum_welch_counts_are_those_of_all_paths(monkeypatch, segment):
     import itertools
 
     k, n = 3, 5
-    monkeypatch.setattr(hmm, "STATES", k)
+    monkeypatch.setattr(hmm, "SEGMENT", segment)
     rng = np.random.default_rng(0)
-    m = hmm.Model(rng.dirichlet(np.ones(k), 2), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(n), k).T)
-    x, total, emit, move = rng.integers(0, n, 6), 0.0, np.zeros((n, k)), np.zeros((k, k))
-    for path in itertools.product(range(k), repeat=6):
-        p = m.start[0][path[0]] * m.emit[x[0], path[0]]
-        for t in range(1, 6):
-            p *= m.move[path[t - 1], path[t]] * m.emit[x[t], path[t]]
-        total += p
-        for t in range(6):
-            emit[x[t], path[t]] += p
-        for t in range(1, 6):
-            move[path[t - 1], path[t]] += p
-    _, b, c = hmm.expected(m, [x, x[:3]], np.array([False, True]))
-    _, b0, c0 = hmm.expected(m, [x[:3]], np.array([True]))
-    assert np.allclose(c - c0, emit / total, atol=1e-5) and np.allclose(b - b0, move / total, atol=1e-5)
-    assert hmm.likelihood(m, [x[:2], x])[1] == pytest.approx(math.log10(total))
+    m = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(n), k).T)
+    texts = [rng.integers(0, n, size) for size in (6, 2, 1, 5)]
+    starts, moves, emit, log = np.zeros(k), np.zeros((k, k)), np.zeros((n, k)), []
+    for x in texts:
+        found = []
+        for path in itertools.product(range(k), repeat=len(x)):
+            p = m.start[path[0]] * m.emit[x[0], path[0]]
+            for t in range(1, len(x)):
+                p *= m.move[path[t - 1], path[t]] * m.emit[x[t], path[t]]
+            found.append((path, p))
+        total = sum(p for _, p in found)
+        log.append(math.log10(total))
+        for path, p in found:
+            starts[path[0]] += p / total
+            for t in range(len(x)):
+                emit[x[t], path[t]] += p / total
+            for t in range(1, len(x)):
+                moves[path[t - 1], path[t]] += p / total
+    a, b, c = hmm.expected(m, texts)
+    assert np.allclose(a, starts, atol=1e-5) and np.allclose(b, moves, atol=1e-5) and np.allclose(c, emit, atol=1e-5)
+    assert np.allclose(hmm.likelihood(m, m.emit[np.concatenate(texts)], np.array([len(x) for x in texts])), log)
+
+
+def test_hidden_markov_scores_against_a_second_version(spark, monkeypatch):
+    """Plain loops over one text at a time, with dictionaries for the vocabulary, give the same scores."""
+    monkeypatch.setattr(hmm, "KNOWN", 12)
+    monkeypatch.setattr(hmm, "SYMBOLS", 5)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words[: 8 + 4 * (i % 9)], k=rng.randrange(1, 60))) for i in range(60)] + ["", "new words here"]
+    keep = [(i, i % 5 != 0, t, "x") for i, t in enumerate(texts)]
+    models = []
+    guess = hmm.first_guess
+    monkeypatch.setattr(hmm, "first_guess", lambda sample, prior: models.append(guess(sample, prior)) or models[-1])
+    d = spark.createDataFrame(keep, "doc_id long, train boolean, text string, base string").coalesce(2)
+    got = {r["doc_id"]: r for r in hmm.score(d, ["doc_id", "base"], "text", F.col("train"), passes=2).collect()}
+    train = [t.split() for _, u, t, _ in keep if u]
+    c = Counter(w for t in train for w in t)
+    order = sorted(c, key=lambda w: (-c[w], w))
+    head = {w: i + 1 for i, w in enumerate(order[:5])}
+    kind = lambda w: zlib.crc32(w.encode()[-3:]) % hmm.CLASSES
+    total = Counter()
+    for w in order[5:]:
+        total[kind(w)] += c[w] + 0.1
+    total = defaultdict(lambda: 0.1, {k: v + 0.1 for k, v in total.items()})
+    symbol = lambda w: head.get(w, 6 + kind(w))
+    prior = np.array([len(train) + 0.1] + [c[w] for w in order[:5]] + [total[k] for k in range(hmm.CLASSES)])
+    prior /= prior.sum()
+    seqs, m = [np.array([symbol(w) for w in t] + [0]) for t in train], models[0]
+    for _ in range(2):
+        m = hmm.maximised(*hmm.expected(m, seqs), prior)
+    state = defaultdict(lambda: np.zeros(hmm.STATES))
+    for t, x in zip(train, seqs):
+        gamma = hmm.posteriors(m, [x])[2]
+        for w, y in zip(t, gamma):
+            state[w] += y
+    group = defaultdict(lambda: np.zeros(hmm.STATES))
+    for w in order[5:]:
+        group[kind(w)] = group[kind(w)] + state[w]
+
+    def emission(w):
+        if w in head:
+            return m.emit[head[w]]
+        k = kind(w)
+        return m.emit[6 + k] * (state[w] + hmm.OWN * (c[w] + 0.1) / total[k]) / (group[k] + hmm.OWN)
+
+    for i, _, t, x in keep:
+        p, log = m.start, 0.0
+        for j, w in enumerate([*t.split(), None]):
+            p = (p if not j else p @ m.move) * (m.emit[0] if w is None else emission(w))
+            log += math.log10(p.sum())
+            p = p / p.sum()
+        assert got[i]["score"] == pytest.approx(log, rel=1e-4), i
+        assert got[i]["base"] == "x"
+
+
+def test_hidden_markov_all_words_once_and_a_long_text(spark):
+    d = spark.createDataFrame([(i, " ".join(f"u{i}x{j}" for j in range(20))) for i in range(30)] + [(99, "again and " * 5000)], "doc_id long, text string")
+    got = hmm.score(d, ["doc_id"], "text", F.col("doc_id") != 3).collect()
+    assert len(got) == 31 and all(math.isfinite(r["score"]) for r in got)
+    once = [r["score"] for r in got if r["doc_id"] not in (3, 99)]
+    assert min(once) > max(r["score"] for r in got if r["doc_id"] == 3)  # words of the training texts are known
 
 
 def test_held_out_texts_score_above_the_base(spark):
