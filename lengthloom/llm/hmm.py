@@ -20,8 +20,8 @@ STATES = 8
 SYMBOLS, CLASSES, KNOWN = 16_384, 512, 250_000
 #: Longer texts are recursed in pieces of this size, which exact messages join; longest piece of a text for starting values.
 SEGMENT, WINDOW = 2048, 4096
-#: Weight of the corpus distribution in each state's emissions, and of a word's share in those of its ending class.
-PRIOR, OWN = 50.0, 20.0
+#: Weight of the corpus distribution in each state's emissions, and of its ending's states in those of a word.
+PRIOR, OWN = 50.0, 8.0
 BATCH = 500_000
 
 
@@ -317,7 +317,7 @@ def _words_by_state(encoded: DataFrame, model: Model, symbol: np.ndarray, names:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, symbol, names = shared.value
-        known = np.zeros((len(symbol), STATES))
+        known, often = np.zeros((len(symbol), STATES)), np.zeros(len(symbol), np.int64)
 
         def rows(word: list, kind: np.ndarray, is_known: bool, c: np.ndarray, states: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(kind, pa.int32()), pa.array([is_known] * len(word), pa.bool_()), pa.array(c, pa.int64()), *(pa.array(states[:, k], pa.float32()) for k in range(STATES))], names=["word", "class", "known", "c", *STATE_NAMES])
@@ -326,6 +326,7 @@ def _words_by_state(encoded: DataFrame, model: Model, symbol: np.ndarray, names:
             _, _, gamma = posteriors(m, [_symbols(ids, c, symbol, len(m.emit) - CLASSES) for ids, c, _ in some])
             ids, of = np.concatenate([x[0] for x in some]), np.repeat(np.arange(len(some)), [len(x[0]) for x in some])
             mid = np.flatnonzero((ids < len(symbol)) & (symbol[np.minimum(ids, len(symbol) - 1)] >= len(m.emit) - CLASSES))
+            often += np.bincount(ids[mid], minlength=len(often))
             for k in range(STATES):
                 known[:, k] += np.bincount(ids[mid], gamma[mid, k], len(known))
             own = np.flatnonzero(ids >= len(symbol))
@@ -334,8 +335,8 @@ def _words_by_state(encoded: DataFrame, model: Model, symbol: np.ndarray, names:
             at = begin[of[own]] + ids[own] - len(symbol)
             kinds = np.concatenate([np.frombuffer(x[1], "<u2") for x in some])
             yield rows(words, kinds, False, np.bincount(at, minlength=len(words)), np.column_stack([np.bincount(at, gamma[own, k], len(words)) for k in range(STATES)]))
-        at = np.flatnonzero(known.any(axis=1))
-        yield rows([names[i] for i in at.tolist()], symbol[at] - (len(m.emit) - CLASSES), True, np.zeros(len(at), np.int64), known[at])
+        at = np.flatnonzero(often)
+        yield rows([names[i] for i in at.tolist()], symbol[at] - (len(m.emit) - CLASSES), True, often[at], known[at])
 
     d = encoded.select("ids", "classes", F.col("rare.word").alias("words")).mapInArrow(run, "word string, class int, known boolean, c long, " + ", ".join(f"{n} float" for n in STATE_NAMES))
     return C.keep(d.groupBy("word", "class", "known").agg(F.sum("c").alias("c"), *(F.sum(n).cast("float").alias(n) for n in STATE_NAMES)))
@@ -347,7 +348,7 @@ def score(df: DataFrame, keep: list[str], text: str, training: Column, passes: i
     Tokens are ASCII-lower-cased words and one end. ``passes`` Baum-Welch passes run over every training text, uncut; in these
     the commonest SYMBOLS training words are emitted by the states, any other word as one of CLASSES endings. The last model
     then gathers, over all training texts, how often each other word is in each state, a table that grows with the corpus: such
-    a word has its share in its ending and state, smoothed by its share of the ending's count. So the model is proper over an
+    a word has its smoothed count of its ending, dealt to the states as it was in them, smoothed by all words of the ending. So the model is proper over an
     open vocabulary. Rows of the KNOWN commonest words travel to the workers, a bounded table; those of rarer words are
     joined by a shuffle. Starting values come from ``sample`` distinct texts, of which a window of WINDOW symbols is read.
 
@@ -388,22 +389,23 @@ def score(df: DataFrame, keep: list[str], text: str, training: Column, passes: i
     for _ in range(passes if docs else 0):
         model = _pass(trained, model, prior, symbol)
 
-    # words without a symbol: their part of their ending in each state, against their share of the ending
+    # a word without a symbol has c + 0.1 of its ending's count, dealt to the states as its own c and OWN of its ending's
     words = _words_by_state(trained, model, symbol, names)
-    held = np.zeros((CLASSES, STATES))
-    for r in words.groupBy("class").agg(*(F.sum(s).alias(s) for s in STATE_NAMES)).collect():
-        held[r["class"]] = r[1:]
+    part = (F.col("c") + 0.1) / (F.col("c") + OWN)
+    states, weight, amounts = np.zeros((CLASSES, STATES)), np.zeros(CLASSES), np.zeros((CLASSES, STATES))
+    for r in words.groupBy("class").agg(F.sum(part).alias("w"), *(F.sum(x).alias(x) for x in STATE_NAMES), *(F.sum(F.col(x) * part).alias(f"w{x}") for x in STATE_NAMES)).collect():
+        weight[r["class"]], states[r["class"]], amounts[r["class"]] = r["w"], r[2 : 2 + STATES], r[2 + STATES :]
+    usual = (states + 1e-3) / (states + 1e-3).sum(axis=1, keepdims=True)
+    ratio = total[:, None] / (amounts + (OWN * weight + 0.1)[:, None] * usual)
     place = {w: i for i, w in enumerate(names)}
     mid = words.filter("known").toArrow()
     table = np.ones((len(symbol), STATES))
-    later = np.flatnonzero(symbol > own)
-    table[later] = OWN / (held[symbol[later] - own - 1] + OWN)
     at = np.array([place[w] for w in mid["word"].to_pylist()], np.int64)
     if len(at):
-        share = (amount[at - 1] + 0.1) / total[kind[at - 1]]
-        table[at] += np.column_stack([np.array(mid[s], np.float64) for s in STATE_NAMES]) / share[:, None] / (held[kind[at - 1]] + OWN)
+        k = symbol[at] - own - 1
+        table[at] = (np.column_stack([np.array(mid[x], np.float64) for x in STATE_NAMES]) + OWN * usual[k]) / (np.array(mid["c"], np.float64) + OWN)[:, None] * ratio[k]
     table *= model.emit[symbol]
-    sent = spark.sparkContext.broadcast((model, table.astype(np.float32), held, total))
+    sent = spark.sparkContext.broadcast((model, table.astype(np.float32), usual, ratio))
 
     shares = F.array(*(F.lit(float(x)) for x in total))
     rare = encoded.select("_row", F.explode("rare").alias("r")).select("_row", "r.at", "r.word", "r.class", "r.n").join(words.filter("not known").drop("known", "class"), "word", "left")
@@ -415,18 +417,18 @@ def score(df: DataFrame, keep: list[str], text: str, training: Column, passes: i
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, table, held, total = sent.value
+        m, table, usual, ratio = sent.value
 
         def emissions(ids: np.ndarray, classes: bytes, own) -> np.ndarray:
             k = np.frombuffer(classes, "<u2").astype(np.int64)
             if not len(k):
                 return table[ids]
-            words = OWN / (held[k] + OWN)
+            words = usual[k]
             if own.is_valid and len(own.values):
                 x, c = (np.array(own.values.field(i), np.int64) for i in range(2))
                 g = np.column_stack([np.array(own.values.field(i + 2), np.float64) for i in range(STATES)])
-                words[x] += g / ((c + 0.1) / total[k[x]])[:, None] / (held[k[x]] + OWN)
-            words *= m.emit[len(m.emit) - CLASSES + k]
+                words[x] = (g + OWN * words[x]) / (c + OWN)[:, None]
+            words = words * ratio[k] * m.emit[len(m.emit) - CLASSES + k]
             return np.where((ids >= len(table))[:, None], words[np.maximum(ids - len(table), 0)], table[np.minimum(ids, len(table) - 1)]).astype(np.float32)
 
         for batch in batches:

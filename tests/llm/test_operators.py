@@ -182,15 +182,20 @@ def test_hidden_markov_scores_against_a_second_version(spark, monkeypatch):
         gamma = hmm.posteriors(m, [x])[2]
         for w, y in zip(t, gamma):
             state[w] += y
-    group = defaultdict(lambda: np.zeros(hmm.STATES))
+    group = defaultdict(lambda: np.full(hmm.STATES, 1e-3))
     for w in order[5:]:
         group[kind(w)] = group[kind(w)] + state[w]
+    usual = lambda k: group[k] / group[k].sum()
+    own = lambda w: (c[w] + 0.1) * (state[w] + hmm.OWN * usual(kind(w))) / (c[w] + hmm.OWN)
+    amount = defaultdict(lambda: np.zeros(hmm.STATES))
+    for w in order[5:]:
+        amount[kind(w)] = amount[kind(w)] + own(w)
 
     def emission(w):
         if w in head:
             return m.emit[head[w]]
         k = kind(w)
-        return m.emit[6 + k] * (state[w] + hmm.OWN * (c[w] + 0.1) / total[k]) / (group[k] + hmm.OWN)
+        return m.emit[6 + k] * own(w) / (amount[k] + 0.1 * usual(k))
 
     for i, _, t, x in keep:
         p, log = m.start, 0.0
