@@ -21,22 +21,17 @@ ORACLE_SQL = None
 #: The columns that stages read; others only pass through.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-_before = [0, 0]
-
 
 def _stage(f):
-    """f, after the tables that the stage before it left in the shared folder are deleted: its result is written by then.
+    """f, while which columns that it doesn't read have names of no meaning, so that none is taken for a result of an operator.
 
-    While f runs, columns that it doesn't read have names of no meaning, so that none is taken for a result of an operator.
+    An empty table gives an empty result with the same columns.
     """
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
-        C.release(spark, *_before)
-        _before[0] = C.written()
         plain = docs.toDF(*(c if c in COLUMNS else f"other_column_{i}" for i, c in enumerate(docs.columns)))
         out = f(plain)
-        _before[1] = C.written()
         return out.toDF(*docs.columns) if out.columns == plain.columns else out
 
     return run
@@ -62,13 +57,14 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 @_stage
 def without_personal_data(docs: DataFrame) -> DataFrame:
     """All documents, with pseudonyms for personal data."""
-    return privacy.pseudonymise(docs).select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns))
+    return privacy.pseudonymise(docs, privacy.session_key(docs.sparkSession)).select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
 @_stage
 def mixed(docs: DataFrame) -> DataFrame:
     """Documents as often as the mix takes them; the part of a copy that ends a source's share counts from a half on."""
-    d = mixing.pareto_mix(docs, F.col("source"), C.n_words(F.col("text")), F.struct("doc_id", "text"))
+    n = C.n_words(F.col("text"))
+    d = mixing.pareto_mix(docs, F.col("source"), n, F.struct("doc_id", "text"), mixing.usefulness(n))
     times = (F.col("copies") + (2 * F.col("part") >= F.col("size")).cast("long") * (F.col("part") > 0).cast("long")).cast("int")
     return d.withColumn("_n", times).filter("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
 
@@ -91,10 +87,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for documents."""
-    docs = C.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    """The last stage's rows for documents.
+
+    Tables that a stage leaves in the shared folder go once its result is written, and that result once the next one is. What
+    the last stage reads stays, as its result reads it; other runs and stages are not touched.
+    """
+    docs, before = C.table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
         path = f"{C.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with C.scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        C.delete(spark, *before)
+        docs, before = spark.read.parquet(path), [path]
     return STAGES[-1][1](spark, docs, sf_dir)

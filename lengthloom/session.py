@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,16 +29,23 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def kept(d: DataFrame) -> DataFrame:
-    """d, written to the folder that spark.checkpoint.dir names and read again: a short plan, and a table that outlives executors.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Where the session names no folder, as in a test, a new one of this machine serves.
+    Where it is unset, a session on this machine alone, as in a test, gets a new temporary folder; a cluster has to name one.
     """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def kept(d: DataFrame) -> DataFrame:
+    """d, written to the shared folder and read again: a short plan, and a table that outlives executors."""
     spark = d.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/sheets-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sheets-{uuid.uuid4().hex}"
     d.write.parquet(path)
     return spark.read.schema(d.schema).parquet(path)
