@@ -2,36 +2,62 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextvars
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lengthloom.session import shared_dir
+
 #: A word: a run of anything but the space and the five ASCII white-space controls.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Worker caches by the operator that fills them; see tidy().
 caches: dict[str, dict] = {}
 
-_scratch: list[tuple[SparkSession, str]] = []
+_scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end of the block, the tables that keep() wrote inside it in this thread: what reads them must be done by then."""
+    paths: list[str] = []
+    token = _scratch.set(paths)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        delete(spark, *paths)
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete tables in the shared folder."""
+    for path in paths:
+        name = path.rsplit("/", 1)[-1]
+        if name.startswith("lengthloom_"):
+            spark.sql(f"drop table if exists {name}")
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _note(path: str) -> None:
+    paths = _scratch.get()
+    if paths is not None:
+        paths.append(path)
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    Inside a scratch() block it is deleted at the end; else it stays until the folder is cleaned, as results may still read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lengthloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _scratch.append((spark, path))
+    _note(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,23 +70,10 @@ def keep_by(df: DataFrame, key: str, buckets: int, dealt: bool = False) -> DataF
     name = f"lengthloom_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     (df if dealt else df.repartition(buckets, key)).write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
-    _scratch.append((spark, path))
+    _note(path)
     return spark.table(name)
 
 
-def written() -> int:
-    """How many tables keep() has written so far: a mark for release()."""
-    return len(_scratch)
-
-
-def release(spark: SparkSession, begin: int, end: int) -> None:
-    """Delete the tables that keep() wrote between two marks; call it once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
-    for _, path in _scratch[begin:end]:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

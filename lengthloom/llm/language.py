@@ -231,11 +231,11 @@ def _unseen(counts: list[tuple[str, int]]) -> tuple[float, float] | None:
     return mean, float(np.sqrt(np.average((x - mean) ** 2 * lengths, weights=weight)))
 
 
-def train(df: DataFrame, text: str, lang: str, allowed: Column, docs_per_lang: int = 800, words_per_lang: int = 60_000) -> Model:
+def train(df: DataFrame, text: str, lang: str, allowed: Column, docs_per_lang: int = 800) -> Model:
     """Fit and calibrate on a bounded sample of labelled rows.
 
     About docs_per_lang documents of each language are drawn by a hash of the text, each whole, and at least one text. Half of
-    the distinct texts of each language give word counts, of which words_per_lang of the commonest are kept; the other half
+    the distinct texts of each language give word counts; the other half
     gives the mean and spread of the cross-entropy, from which the rejection limits follow. A language with fewer than HALF
     texts a half takes all for both; its limits then allow for words that the model hasn't seen, as estimated on words left
     out in turn. Rows with a null text or label teach nothing.
@@ -264,7 +264,6 @@ def train(df: DataFrame, text: str, lang: str, allowed: Column, docs_per_lang: i
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([r for _, r in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
 
     words = d.filter("coalesce(fit, true)").select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= words_per_lang)
     counts: dict[str, list] = {}
     for r in words.collect():
         counts.setdefault(r["lang"], []).append((r["word"], r["n"]))

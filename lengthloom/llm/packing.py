@@ -41,8 +41,10 @@ def encoder(path: str):
 def tokenize(df: DataFrame, text: str, tokenizer: str, keep: list[str], end_id: int = 1, longest: int = 2048) -> DataFrame:
     """Pieces of whole texts: the ``keep`` columns, start, length, doc_tokens, token_bytes (little-endian unsigned 32-bit ids).
 
-    Every text ends with end_id (a null or empty text is that id alone) and is cut every ``longest`` ids.
+    Every text ends with end_id (a null or empty text is that id alone) and is cut every ``longest`` ids. A ``keep`` column
+    that is named like a result is left out. Repeated rows are documents of their own. An empty table gives no rows.
     """
+    keep = [c for c in dict.fromkeys(keep) if c not in ("start", "length", "doc_tokens", "token_bytes")]
     fields = [df.schema[c] for c in keep]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +131,7 @@ def pack(pieces: DataFrame, identity: list[str], room: int = 2048) -> DataFrame:
             ranks[length] += count * k
             at += length * k
         base += count
-    unit = max(1, -(-sum(hist.values()) // (2 * room)))
+    unit = max(1, min(1 << 20, -(-sum(hist.values()) // (2 * room))))  # rows of a split
     spark = pieces.sparkSession
     place = spark.createDataFrame([(n, -(-hist[n] // unit), x) for n, x in ranges.items()], "length long, _splits long, _places array<struct<r:long,s:long,o:long,k:long>>")
     d = pieces.join(F.broadcast(place), "length").withColumn("_i", F.xxhash64(*identity)).withColumn("_split", F.pmod("_i", F.col("_splits")))

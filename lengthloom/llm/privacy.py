@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import secrets
 from collections.abc import Iterator
 from datetime import date, timedelta
 from functools import lru_cache
@@ -10,12 +11,13 @@ from hashlib import blake2b
 from math import isqrt, prod
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
 
-#: For tests and examples; a real run passes its own secret.
-EXAMPLE_KEY = b"an example key: replace it"
+#: The setting that holds the secret of the registered queries and the pipeline.
+KEY_SETTING = "spark.lengthloom.pseudonyms.key"
+_drawn: dict[str, bytes] = {}
 ROUNDS = 8
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
@@ -287,7 +289,13 @@ class Pseudonyms:
         return ("".join([*out, t[last:]]) if spans else t), spans
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: bytes = EXAMPLE_KEY, kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The secret that the session names, so that values stay linked across runs; else one drawn at random for the application."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def pseudonymise(df: DataFrame, key: bytes, text: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
     """df with personal data in ``text`` replaced by keyed pseudonyms of the same format, and replaced array<struct>.
 
     Numbers are replaced only if they are valid: Luhn cards, IBANs by remainder, IPv4 octets, social security numbers by
@@ -324,4 +332,4 @@ def _pseudonyms(key: bytes, kinds: tuple[str, ...]) -> Pseudonyms:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """All documents with their texts after replacement, and how many values were replaced."""
-    return pseudonymise(C.table(spark, sf_dir, "documents").select("doc_id", "text")).selectExpr("doc_id", "text", "cast(size(replaced) as long) as n_replaced", "array_join(array_sort(array_distinct(replaced.kind)), ',') as kinds")
+    return pseudonymise(C.table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark)).selectExpr("doc_id", "text", "cast(size(replaced) as long) as n_replaced", "array_join(array_sort(array_distinct(replaced.kind)), ',') as kinds")

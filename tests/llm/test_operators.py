@@ -108,6 +108,26 @@ def test_mixing(spark, folders):
     assert sorted(map(str, got)) == sorted(map(str, rows(spark, "op3_pareto_mix", folders[0])))
 
 
+def test_inclusion_follows_the_weights(spark):
+    """Sources alike but for their share, documents of one size: each is taken as often as its probability says."""
+    weight, k = [1.0, 2.0, 4.0, 8.0], 40
+    d = spark.createDataFrame([(i, weight[i % 4], f"s{i // (4 * k):02d}") for i in range(24 * 4 * k)], "i long, w double, s string").coalesce(1)
+    hits, target = Counter(), {}
+    for r in mixing.pareto_mix(d, F.col("s"), F.lit(10), F.col("i"), F.col("w"), weights=(1.0, 3.0), buckets=256).collect():
+        even = int(r["s"][1:]) % 2
+        hits[even, r["w"]] += r["taken"] / 10 / k / 12
+        target[even] = r["target"] / 10
+    for even, words in target.items():
+        whole, left = divmod(words, 4 * k)
+        lo, hi = 0.0, 1e6
+        for _ in range(100):
+            level = (lo + hi) / 2
+            lo, hi = (level, hi) if sum(k * min(1, level * w) for w in weight) < left else (lo, level)
+        assert len({hits[even, w] for w in weight}) > 2
+        for w in weight:
+            assert abs(hits[even, w] - whole - min(1, hi * w)) < 0.06, (even, w, hits[even, w], whole + min(1, hi * w))
+
+
 def test_hidden_markov_base_and_coverage(spark, folders):
     got = rows(spark, "op4_hidden_markov", folders[0])
     low = lambda t: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [0]
@@ -456,5 +476,6 @@ def test_pipeline(spark, folders):
     assert mixed.columns == docs.columns
     extra = lambda d: {tuple(r[c] for c in ("doc_id", "size", "target", "accepted", "replaced")) for r in d.collect()}
     assert extra(mixed) <= extra(docs) <= extra(C.table(spark, folders[0], "documents").selectExpr("*", "'keep' as accepted", "doc_id as replaced"))
-    assert cp.run(spark, folders[0]).count() > 0
+    one, two = cp.run(spark, folders[0]), cp.run(spark, folders[0])  # two results alive at once
+    assert one.count() == two.count() > 0
     assert cp.run(spark, folders[1]).count() == 0
