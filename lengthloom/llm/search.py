@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,59 +16,80 @@ from . import common as C
 LEAF = 64
 
 
-def kd_leaves(x: np.ndarray) -> list[np.ndarray]:
-    """Row numbers of each leaf: median splits along the widest side of the tight box, by rank, so ties split as well."""
-    todo, leaves = [np.arange(len(x))], []
-    while todo:
-        at = todo.pop()
-        if len(at) <= LEAF:
-            leaves.append(at)
-            continue
-        axis = int(np.argmax(x[at].max(axis=0) - x[at].min(axis=0)))
-        half = len(at) // 2
-        at = at[np.argpartition(x[at, axis], half)]
-        todo += [at[half:], at[:half]]
-    return leaves
-
-
-def best_first(q: np.ndarray, own: np.ndarray, floor: np.ndarray, x: np.ndarray, ids: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, k: int):
-    """Top k of each query among the rows of one tree: (score, id) arrays of k columns, unused places with score -inf.
-
-    A box bounds the inner product by its better corner. Each query visits leaves from the best bound down and stops when
-    the next bound is below its kth score so far, or below ``floor``, the kth score that it had elsewhere; bounds that equal
-    it are still visited, as ties go to smaller ids. Queries that visit the same leaf in a round are scored together.
+@dataclass
+class Tree:
+    """A KD-tree: rows in leaf order, and for each node its tight box, its rows and its two children (0 for a leaf)."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    child: np.ndarray  # nodes x 2
+    rows: np.ndarray  # nodes x 2: begin and end
+    low: np.ndarray
+    high: np.ndarray
+
+
+def kd_tree(ids: np.ndarray, x: np.ndarray) -> Tree:
+    """Median splits along the widest side of the tight box, by rank, so ties split as well, down to LEAF rows."""
+    order, rows, child, low, high = np.arange(len(x)), [(0, len(x))], [(0, 0)], [], []
+    node = 0
+    while node < len(rows):
+        begin, end = rows[node]
+        at = order[begin:end]
+        low.append(x[at].min(axis=0))
+        high.append(x[at].max(axis=0))
+        if len(at) > LEAF:
+            half = len(at) // 2
+            order[begin:end] = at[np.argpartition(x[at, int(np.argmax(high[-1] - low[-1]))], half)]
+            child[node] = (len(rows), len(rows) + 1)
+            rows += [(begin, begin + half), (begin + half, end)]
+            child += [(0, 0), (0, 0)]
+        node += 1
+    return Tree(ids[order], x[order], np.array(child), np.array(rows), np.array(low), np.array(high))
+
+
+def best_first(q: np.ndarray, own: np.ndarray, floor: np.ndarray, tree: Tree, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Top k of each query among the rows of a tree: scores and ids of k columns, unused places with score -inf; leaves visited.
+
+    A box bounds the inner product by its better corner. Each query keeps the nodes that it has reached but not opened, opens the
+    one of the best bound, and stops when that is below its kth score so far, or below ``floor``, the kth score that it had
+    in other shards; bounds that equal it are still opened, as ties go to smaller ids. All queries take a step at once;
+    those that open the same leaf are scored together.
     """
-    bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
-    order = np.argsort(-bound, axis=1, kind="stable")
-    begin = np.cumsum(sizes) - sizes
-    n = len(q)
-    best, who = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-    live = np.arange(n)
-    for r in range(len(sizes)):
-        leaf = order[live, r]
-        need = np.maximum(best[live, k - 1], floor[live])
-        on = bound[live, leaf] >= need
-        live, leaf = live[on], leaf[on]
-        if not len(live):
-            break
+    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
+    bound = np.full((len(q), len(tree.child)), -np.inf)
+    bound[:, 0] = plus @ tree.high[0] + minus @ tree.low[0]
+    best, who = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+    live, visited = np.arange(len(q)), 0
+    while len(live):
+        node = bound[live].argmax(axis=1)
+        top = bound[live, node]
+        on = (top >= np.maximum(best[live, k - 1], floor[live])) & (top > -np.inf)
+        live, node = live[on], node[on]
+        bound[live, node] = -np.inf
+        inner = tree.child[node, 0] > 0
+        at = live[inner]
+        for side in range(2):
+            c = tree.child[node[inner], side]
+            bound[at, c] = (plus[at] * tree.high[c] + minus[at] * tree.low[c]).sum(axis=1)
+        leaf, at = node[~inner], live[~inner]
+        visited += len(at)
         by = np.argsort(leaf, kind="stable")
-        for part in np.split(by, np.flatnonzero(np.diff(leaf[by])) + 1):
-            at, b = live[part], int(begin[leaf[part[0]]])
-            rows = slice(b, b + int(sizes[leaf[part[0]]]))
-            s = q[at] @ x[rows].T
-            s[own[at][:, None] == ids[rows][None, :]] = -np.inf
-            s[s < floor[at][:, None]] = -np.inf
-            s, i = np.hstack([best[at], s]), np.hstack([who[at], np.broadcast_to(ids[rows], (len(at), rows.stop - rows.start))])
-            top = np.lexsort((i, -s), axis=1)[:, :k]
-            best[at], who[at] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
-    return best, who
+        for part in np.split(by, np.flatnonzero(np.diff(leaf[by])) + 1) if len(by) else []:
+            i, rows = at[part], slice(*tree.rows[leaf[part[0]]])
+            s = q[i] @ tree.x[rows].T
+            s[own[i][:, None] == tree.ids[rows][None, :]] = -np.inf
+            s[s < floor[i][:, None]] = -np.inf
+            s, ids = np.hstack([best[i], s]), np.hstack([who[i], np.broadcast_to(tree.ids[rows], (len(i), rows.stop - rows.start))])
+            first = np.lexsort((ids, -s), axis=1)[:, :k]
+            best[i], who[i] = np.take_along_axis(s, first, 1), np.take_along_axis(ids, first, 1)
+    return best, who, visited
 
 
 def _matrix(data: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(data, "<i8").reshape(-1, dim).astype(np.float64)
 
 
-TREE = "dim int, shard long, ids binary, vectors binary, sizes binary, low binary, high binary"
+TREE = "dim int, shard long, ids binary, vectors binary, children binary, rows binary, low binary, high binary"
 BLOCK = "dim int, block long, query_ids binary, queries binary, floors binary"
 FOUND = "dim int, block long, nth int, query_id long, vec_id long, score long"
 
@@ -75,12 +97,9 @@ FOUND = "dim int, block long, nth int, query_id long, vec_id long, score long"
 def _build(table: pa.Table) -> pa.Table:
     dim, shard = table["dim"][0].as_py(), table["shard"][0].as_py()
     x = np.array(table["v"].combine_chunks().flatten(), np.int64).reshape(-1, dim)
-    leaves = kd_leaves(x)
-    at = np.concatenate(leaves)
-    low, high = np.array([x[i].min(axis=0) for i in leaves]), np.array([x[i].max(axis=0) for i in leaves])
-    as_bytes = lambda a: a.astype("<i8").tobytes()
-    ids = np.array(table["vec_id"].combine_chunks(), np.int64)
-    return pa.table({"dim": pa.array([dim], pa.int32()), "shard": [shard], "ids": [as_bytes(ids[at])], "vectors": [as_bytes(x[at])], "sizes": [as_bytes(np.array([len(i) for i in leaves]))], "low": [as_bytes(low)], "high": [as_bytes(high)]})
+    t = kd_tree(np.array(table["vec_id"].combine_chunks(), np.int64), x)
+    parts = {n: [a.astype("<i8").tobytes()] for n, a in (("ids", t.ids), ("vectors", t.x), ("children", t.child), ("rows", t.rows), ("low", t.low), ("high", t.high))}
+    return pa.table({"dim": pa.array([dim], pa.int32()), "shard": [shard], **parts})
 
 
 def _block(table: pa.Table) -> pa.Table:
@@ -97,13 +116,13 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
             for row in range(batch.num_rows):
                 r = {n: batch.column(i)[row].as_py() for i, n in enumerate(batch.schema.names)}
                 q, own = _matrix(r["queries"], r["dim"]), np.frombuffer(r["query_ids"], "<i8")
-                ids, sizes = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["sizes"], "<i8")
-                best, who = best_first(q, own, np.frombuffer(r["floors"]), _matrix(r["vectors"], r["dim"]), ids, sizes, _matrix(r["low"], r["dim"]), _matrix(r["high"], r["dim"]), k)
+                tree = Tree(np.frombuffer(r["ids"], "<i8"), _matrix(r["vectors"], r["dim"]), *(np.frombuffer(r[n], "<i8").reshape(-1, 2) for n in ("children", "rows")), _matrix(r["low"], r["dim"]), _matrix(r["high"], r["dim"]))
+                best, who, _ = best_first(q, own, np.frombuffer(r["floors"]), tree, k)
                 nth, place = np.nonzero(np.isfinite(best))
                 n = len(nth)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["dim"]), pa.int32()), pa.array(np.full(n, r["block"]), pa.int64()), pa.array(nth, pa.int32()), pa.array(own[nth], pa.int64()), pa.array(who[nth, place], pa.int64()), pa.array(best[nth, place].astype(np.int64), pa.int64())], names=[x.split()[0] for x in FOUND.split(", ")])
 
-    return pairs.select("dim", "block", "query_ids", "queries", "floors", "ids", "vectors", "sizes", "low", "high").mapInArrow(run, FOUND)
+    return pairs.select("dim", "block", "query_ids", "queries", "floors", "ids", "vectors", "children", "rows", "low", "high").mapInArrow(run, FOUND)
 
 
 def _with_floors(blocks: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -128,22 +147,29 @@ def top_k(df: DataFrame, vec_id: str, vector: Column, is_query: Column, k: int =
     """query_id, rank, vec_id, score: each query's k highest inner products with all other rows; ties go to smaller ids.
 
     vector: array<long>. Every row is in a KD-tree of about shard_rows rows; queries go through the trees in blocks of about
-    block_rows. Each block first searches one tree (its home), and the kth scores found there bound the search of all
-    others. Scores are exact while squared lengths stay below 2^53. Null ids, null vectors and vectors with null elements
-    take no part; vectors of another length meet only their like. A query isn't its own candidate, by id; of rows that
-    repeat an id and a vector one asks, and each is found. Empty input gives no rows.
+    block_rows. Each block first searches one tree, then 3, 12, 48 ... more; the best k found so far go on to the next
+    round as the bound that a box has to reach. Scores are exact while squared lengths stay below 2^53. Null ids, null
+    vectors and vectors with null elements take no part; vectors of another length meet only their like. A query isn't its
+    own candidate, by id; of rows that repeat an id and a vector one asks, and each is found. Other columns of df don't matter,
+    whatever their names. Empty input gives no rows.
     """
     d = C.keep(df.select(F.col(vec_id).cast("long").alias("vec_id"), vector.alias("v"), is_query.alias("_q")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(F.exists("v", F.isnull), F.lit(False)) & (F.size("v") > 0)).withColumn("dim", F.size("v")))
     n, asked = d.agg(F.count("*"), F.count(F.when(F.col("_q"), 1))).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_rows))
-    trees = C.keep(d.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards))).select("dim", "shard", "vec_id", "v").groupBy("dim", "shard").applyInArrow(_build, TREE))
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))  # rows of a written table: repeated ones are dealt apart
+    trees = C.keep(d.withColumn("shard", dealt).select("dim", "shard", "vec_id", "v").groupBy("dim", "shard").applyInArrow(_build, TREE))
     ask = d.filter("_q").select("dim", "vec_id", "v").dropDuplicates(["vec_id", "v"]).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)))
     ask = C.keep(ask.groupBy("dim", "block").applyInArrow(_block, BLOCK))
-    at_home = C.keep(_search(ask.withColumn("shard", F.pmod("block", F.lit(shards))).join(trees, ["dim", "shard"]), k))
-    away = _with_floors(ask, at_home, k).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))).filter(F.col("shard") != F.pmod("block", F.lit(shards)))
-    found = at_home.unionByName(_search(away.join(trees, ["dim", "shard"]), k))
     w = Window.partitionBy("dim", "block", "nth").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found, done, step = None, 0, 1
+    while done < shards:
+        turn = F.sequence(F.lit(done), F.lit(min(done + step, shards) - 1)).cast("array<bigint>")
+        now = (ask if found is None else _with_floors(ask, found, k)).withColumn("turn", F.explode(turn)).withColumn("shard", F.pmod(F.col("turn") + F.col("block"), F.lit(shards))).drop("turn")
+        got = _search(now.join(trees, ["dim", "shard"]), k)
+        got = got if found is None else found.drop("rank").unionByName(got)
+        found = C.keep(got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
+        done, step = done + step, 3 if step == 1 else 4 * step
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -401,6 +401,30 @@ def test_search(spark, folders):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
 
 
+def test_tree_boxes_prune_and_rounds_hand_bounds_on(spark):
+    rng = np.random.default_rng(1)
+    x = np.floor(64 * (rng.normal(size=(20, 6))[rng.integers(0, 20, 3000)] + rng.normal(0, 0.02, (3000, 6)))).astype(np.int64)
+    ids = np.arange(3000)
+    tree = search.kd_tree(ids, x)
+    for node, (i, j) in enumerate(tree.child):
+        rows = tree.x[slice(*tree.rows[node])]
+        assert (rows.min(axis=0) == tree.low[node]).all() and (rows.max(axis=0) == tree.high[node]).all()
+        if i:
+            assert tree.rows[i][0] == tree.rows[node][0] and tree.rows[i][1] == tree.rows[j][0] and tree.rows[j][1] == tree.rows[node][1]
+    q = x[:50].astype(np.float64)
+    best, who, visited = search.best_first(q, ids[:50], np.full(50, -np.inf), tree, 20)
+    every = q @ x.T
+    every[np.arange(50), np.arange(50)] = -np.inf
+    order = np.lexsort((np.broadcast_to(ids, every.shape), -every), axis=1)[:, :20]
+    assert (who == order).all()
+    leaves = int((tree.child[:, 0] == 0).sum())
+    assert visited < 0.3 * 50 * leaves
+    assert search.best_first(q, ids[:50], best[:, -1], tree, 20)[2] < visited  # a bound from elsewhere prunes more
+    d = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, v array<long>")
+    got = search.top_k(d.withColumn("rank", F.lit("x")).withColumn("dim", F.lit("y")), "vec_id", F.col("v"), F.col("vec_id") < 50, shard_rows=150, block_rows=20).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(i, n + 1, int(order[i, n])) for i in range(50) for n in range(20)]
+
+
 def test_quality(spark, folders):
     got = Counter(tuple(r[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) for r in rows(spark, "op9_repetition_rules", folders[0]))
     want = Counter()
