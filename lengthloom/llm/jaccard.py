@@ -18,8 +18,8 @@ BANDS, ROWS = 40, 4
 HASHES = BANDS * ROWS
 #: Values that are compared between two looks at the posterior.
 STEP = 16
-#: Rows of a block; groups beyond it are compared block by block.
-BLOCK = 512
+#: Rows of a block; groups beyond it are compared block by block. Classes from which a component is verified by its buckets.
+BLOCK, LARGE = 256, 2048
 _M = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
 _A, _B = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -211,10 +211,20 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return out
 
 
+def meet_first(left: np.ndarray, right: np.ndarray, band: int) -> np.ndarray:
+    """For each pair of signatures, whether this band is the first on which they agree."""
+    out = np.empty((len(left), len(right)), bool)
+    for i, row in enumerate(left):
+        agree = (row[None, : (band + 1) * ROWS] == right[:, : (band + 1) * ROWS]).reshape(len(right), band + 1, ROWS).all(axis=2)
+        out[i] = agree[:, band] & ~agree[:, :band].any(axis=1)
+    return out
+
+
 def exact_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(key, node, copies, shingles, size) rows of candidate components -> rows (node, other, links, class_links).
+    """(key, band, node, copies, sig, shingles, size) rows of groups -> rows (node, other, links, class_links).
 
-    Every pair in a component is decided by its exact Jaccard similarity. Counts are given per node and block pair (other is
+    Groups are candidate components (band is -1), in which every pair is decided by its exact Jaccard similarity, or buckets of
+    a band, in which only pairs are that meet in no earlier band. Counts are given per node and block pair (other is
     null), and a forest of the links as (node, other), so no row is made for each of a group's pairs.
     """
 
@@ -224,6 +234,7 @@ def exact_links(members: DataFrame, threshold: float) -> DataFrame:
             node, side, copies = t["node"].to_numpy(), t["side"].to_numpy(), t["copies"].to_numpy().astype(np.float64)
             two, end = t["lo"].to_numpy()[begin] != t["hi"].to_numpy()[begin], np.append(begin[1:], len(node))
             sets = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
+            band, sig = t["band"].to_numpy()[begin], t["sig"].to_pylist()
             n_links, n_classes = np.zeros(len(node)), np.zeros(len(node))
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for g in range(len(begin)):
@@ -236,6 +247,9 @@ def exact_links(members: DataFrame, threshold: float) -> DataFrame:
                 size = np.array([len(s) for s in mine], np.float64)
                 total = size[left - begin[g]][:, None] + size[right - begin[g]][None, :]
                 link = both * (1 + threshold) >= threshold * total - 1e-9
+                if band[g] >= 0:
+                    x, y = (np.frombuffer(b"".join(sig[r] for r in side_), np.uint8).reshape(-1, HASHES) for side_ in (left, right))
+                    link &= meet_first(x, y, int(band[g]))
                 if not two[g]:
                     np.fill_diagonal(link, False)
                 n_links[left] += link @ copies[right]
@@ -255,7 +269,7 @@ def exact_links(members: DataFrame, threshold: float) -> DataFrame:
                 names=["node", "other", "links", "class_links"],
             )
 
-    return _in_blocks(members, "key", "size").select("key", "lo", "hi", "side", "node", "copies", "shingles").mapInArrow(run, "node long, other long, links long, class_links long")
+    return _in_blocks(members, "key", "size").select("key", "lo", "hi", "side", "band", "node", "copies", "sig", "shingles").mapInArrow(run, "node long, other long, links long, class_links long")
 
 
 def _sketches(df: DataFrame, n: int) -> DataFrame:
@@ -292,29 +306,39 @@ def jaccard_join(df: DataFrame, doc_id: str, text: Column, threshold: float = 0.
     Texts with equal shingle sets (all copies among them) are one class and enter once. Classes that agree on a band of
     MinHash values are candidates; in each bucket pairs are compared a few values at a time and dropped when the posterior
     probability of reaching the threshold falls below ``tolerance``. What survives gives candidate components, and in these
-    every pair is decided by exact set sizes. No row is made for a pair: buckets and components give forests and counts, and
-    large ones are compared block by block. class_id is the smallest doc_id that links reach from the document; n_links
-    counts other documents (copies included), n_class_links other classes.
+    every pair is decided by exact set sizes; in a component of more than LARGE classes, which may be a long chain, only pairs
+    that share a bucket are, each in the first band on which their signatures agree. No row is made for a pair: buckets and
+    components give forests and counts, and large ones are compared block by block. class_id is the smallest doc_id that
+    links reach from the document; n_links counts other documents (copies included), n_class_links other classes. Classes
+    have 64-bit names: among 10^9 different sets two share one with a probability of 3 %.
 
     Null text is empty; texts without a word are copies of each other and link to nothing else. A null doc_id is kept and
-    never names a class unless all ids in it are null. Rows that repeat a doc_id are documents of their own.
+    never names a class unless all ids in it are null. Rows that repeat a doc_id are documents of their own. Other columns
+    of df don't matter, whatever their names. An empty table gives no rows.
     """
     docs = df.select(F.col(doc_id).alias("id"), text.alias("text"))
     d = C.keep(_sketches(docs, words))
     k = C.keep(d.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    band = k.select("node", F.explode("bands").alias("key"))
+    band = k.select("node", F.posexplode("bands").alias("band", "key"))
     full = C.keep(band.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))  # a table of its own, so that a hot bucket's join can be split
     members = band.join(full, "key").join(k.select("node", "sig"), "node")
     near = components(candidate_edges(members, least_matches(threshold, tolerance))).withColumnRenamed("root", "key")
-    near = C.keep(C.look_up(near, near.groupBy("key").agg(F.count("*").alias("size")), "key", "id").withColumnRenamed("id", "node").join(k.select("node", "rep", "copies"), "node"))
+    near = C.keep(C.look_up(near, near.groupBy("key").agg(F.count("*").alias("size")), "key", "id").withColumnRenamed("id", "node").join(k.select("node", "rep", "copies", "sig"), "node"))
     sets = _sets(docs.join(near.select(F.col("rep").alias("_r")).distinct(), F.col("id").eqNullSafe(F.col("_r")), "left_semi").select("text"), words).dropDuplicates(["found"])
-    found = C.keep(exact_links(near.join(sets, F.col("node") == F.col("found")).drop("found"), threshold))
+    sized = near.select("key", F.lit(-1).alias("band"), "node", "copies", "sig", "size")
+    large = near.filter(F.col("size") > LARGE).select("node", "copies", "sig", F.col("key").alias("_part"))
+    if not large.isEmpty():
+        shared = C.keep(band.join(full.select("key"), "key").join(large, "node").withColumn("key", F.xxhash64("key", "_part")).drop("_part"))
+        buckets = C.look_up(shared, shared.groupBy("key").agg(F.count("*").alias("size")), "key", "node").filter("size > 1")
+        sized = sized.filter(F.col("size") <= LARGE).unionByName(buckets.select("key", "band", "node", "copies", "sig", "size"))
+    found = C.keep(exact_links(sized.join(sets, F.col("node") == F.col("found")).drop("found"), threshold))
     counts = found.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"), F.sum("class_links").alias("class_links"))
     root = components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     c = k.select("node", "rep", "copies").join(root.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")).join(counts, "node", "left")
     first = c.groupBy("root").agg(F.min("rep").alias("class_id"))
     c = c.join(first, "root").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class_links", F.lit(0)).alias("n_class_links"))
-    return d.select(F.col("id").alias(doc_id), "node").join(c, "node").select(doc_id, "class_id", F.col("n_links").cast("long"), F.col("n_class_links").cast("long"))
+    c = C.keep(c)
+    return C.look_up(d.select(F.col("id").alias(doc_id), F.col("node").alias("_node")), c.withColumnRenamed("node", "_node"), "_node", doc_id).select(doc_id, "class_id", F.col("n_links").cast("long"), F.col("n_class_links").cast("long"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -419,7 +419,7 @@ def test_tree_boxes_prune_and_rounds_hand_bounds_on(spark):
     assert (who == order).all()
     leaves = int((tree.child[:, 0] == 0).sum())
     assert visited < 0.3 * 50 * leaves
-    assert search.best_first(q, ids[:50], best[:, -1], tree, 20)[2] < visited  # a bound from elsewhere prunes more
+    assert search.best_first(q, ids[:50], best[:, 4], tree, 20)[2] < visited  # a bound from elsewhere prunes more
     d = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, v array<long>")
     got = search.top_k(d.withColumn("rank", F.lit("x")).withColumn("dim", F.lit("y")), "vec_id", F.col("v"), F.col("vec_id") < 50, shard_rows=150, block_rows=20).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(i, n + 1, int(order[i, n])) for i in range(50) for n in range(20)]
@@ -472,6 +472,20 @@ def test_jaccard(spark, folders, source):
     assert sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"], r["n_class_links"]) for r in rows(spark, "op10_bayesian_jaccard", folder)) == want
 
 
+def test_large_components_by_bucket_give_the_same_links(spark, folders, monkeypatch):
+    monkeypatch.setattr(jaccard, "LARGE", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    test_jaccard(spark, folders, "nasty")
+    test_jaccard(spark, folders, "sf0.001")
+    words = [f"w{i}" for i in range(400)]
+    chain = spark.createDataFrame([(i, " ".join(words[i * 4 : i * 4 + 80])) for i in range(60)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in jaccard.jaccard_join(chain.withColumn("node", F.lit("x")), "doc_id", F.col("text")).collect()}
+    sets = [{tuple(words[i * 4 + k : i * 4 + k + 5]) for k in range(76)} for i in range(60)]
+    for i in range(60):
+        want = sum(i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(60))
+        assert (got[i]["class_id"], got[i]["n_links"], got[i]["n_class_links"]) == (0, want, want) and want >= 1
+
+
 def test_pruning_keeps_likely_pairs():
     least = jaccard.least_matches(0.8, 1e-8)
     assert (np.diff(least) > 0).all() and least[-1] < 0.8 * jaccard.HASHES
