@@ -63,8 +63,8 @@ def without_personal_data(docs: DataFrame) -> DataFrame:
 @_stage
 def mixed(docs: DataFrame) -> DataFrame:
     """Documents as often as the mix takes them; the part of a copy that ends a source's share counts from a half on."""
-    n = C.n_words(F.col("text"))
-    d = mixing.pareto_mix(docs, F.col("source"), n, F.struct("doc_id", "text"), mixing.usefulness(n))
+    n = F.col("_words")
+    d = mixing.pareto_mix(docs.withColumn("_words", C.n_words(F.col("text"))), F.col("source"), n, F.struct("doc_id", "text"), mixing.usefulness(n))
     times = (F.col("copies") + (2 * F.col("part") >= F.col("size")).cast("long") * (F.col("part") > 0).cast("long")).cast("int")
     return d.withColumn("_n", times).filter("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
 
