@@ -125,6 +125,7 @@ def tidy(owner: str) -> None:
         if name != owner:
             cache.clear()
     gc.collect()
+    pa.set_memory_pool(pa.system_memory_pool())
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

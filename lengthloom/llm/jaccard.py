@@ -158,13 +158,18 @@ def _pairs(begin: np.ndarray, end: np.ndarray, side: np.ndarray, two: np.ndarray
             yield a[ok], b[ok]
 
 
-def _in_blocks(df: DataFrame, key: str, size: str) -> DataFrame:
+def _with_blocks(df: DataFrame, size: str) -> DataFrame:
     """Rows of a group, once in each pair of its blocks (one block, unless the group is large): lo, hi and the row's side."""
     n = F.ceil(F.col(size) / F.lit(BLOCK)).cast("int")
     d = df.withColumn("_n", n).withColumn("_at", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("_n")).cast("int"))
     d = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     d = d.withColumns({"lo": F.least("_at", "_o"), "hi": F.greatest("_at", "_o"), "side": (F.col("_at") > F.col("_o")).cast("int")}).drop("_n", "_at", "_o")
-    return d.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", "node")  # so forests of different buckets root in the same nodes
+    return d
+
+
+def _in_blocks(df: DataFrame, key: str, size: str) -> DataFrame:
+    """The same, with the rows of a pair of blocks together."""
+    return _with_blocks(df, size).repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", "node")  # so forests of different buckets root in the same nodes
 
 
 def candidate_edges(members: DataFrame, least: np.ndarray) -> DataFrame:
@@ -220,8 +225,29 @@ def meet_first(left: np.ndarray, right: np.ndarray, band: int) -> np.ndarray:
     return out
 
 
-def exact_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(key, band, node, copies, sig, shingles, size) rows of groups -> rows (node, other, links, class_links).
+def meeting(blocks: DataFrame, least: np.ndarray) -> DataFrame:
+    """Of blocks of band buckets, (key, lo, hi, side, band, node) of the rows in a pair that survives and meets there first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.tidy("jaccard")
+        for t, begin in whole_groups(batches, ["key", "lo", "hi"]):
+            side, band = t["side"].to_numpy(), t["band"].to_numpy()
+            two = t["lo"].to_numpy()[begin] != t["hi"].to_numpy()[begin]
+            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, HASHES)
+            on = np.zeros(len(side), bool)
+            for x, y in _pairs(begin, np.append(begin[1:], len(side)), side, two):
+                ok = surviving(sig, x, y, least)
+                x, y = x[ok], y[ok]
+                agree = (sig[x] == sig[y]).reshape(-1, BANDS, ROWS).all(axis=2)
+                first = agree[np.arange(len(x)), band[x]] & (agree.argmax(axis=1) == band[x])
+                on[x[first]] = on[y[first]] = True
+            yield from t.select(["key", "lo", "hi", "side", "band", "node"]).filter(pa.array(on)).to_batches()
+
+    return blocks.select("key", "lo", "hi", "side", "band", "node", "sig").mapInArrow(run, "key long, lo int, hi int, side int, band int, node long")
+
+
+def exact_links(blocks: DataFrame, threshold: float) -> DataFrame:
+    """(key, lo, hi, side, band, node, copies, sig, shingles) rows of blocks -> rows (node, other, links, class_links).
 
     Groups are candidate components (band is -1), in which every pair is decided by its exact Jaccard similarity, or buckets of
     a band, in which only pairs are that meet in no earlier band. Counts are given per node and block pair (other is
@@ -269,7 +295,8 @@ def exact_links(members: DataFrame, threshold: float) -> DataFrame:
                 names=["node", "other", "links", "class_links"],
             )
 
-    return _in_blocks(members, "key", "size").select("key", "lo", "hi", "side", "band", "node", "copies", "sig", "shingles").mapInArrow(run, "node long, other long, links long, class_links long")
+    blocks = blocks.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    return blocks.select("key", "lo", "hi", "side", "band", "node", "copies", "sig", "shingles").mapInArrow(run, "node long, other long, links long, class_links long")
 
 
 def _sketches(df: DataFrame, n: int) -> DataFrame:
@@ -322,16 +349,18 @@ def jaccard_join(df: DataFrame, doc_id: str, text: Column, threshold: float = 0.
     band = k.select("node", F.posexplode("bands").alias("band", "key"))
     full = C.keep(band.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))  # a table of its own, so that a hot bucket's join can be split
     members = band.join(full, "key").join(k.select("node", "sig"), "node")
-    near = components(candidate_edges(members, least_matches(threshold, tolerance))).withColumnRenamed("root", "key")
+    least = least_matches(threshold, tolerance)
+    near = components(candidate_edges(members, least)).withColumnRenamed("root", "key")
     near = C.keep(C.look_up(near, near.groupBy("key").agg(F.count("*").alias("size")), "key", "id").withColumnRenamed("id", "node").join(k.select("node", "rep", "copies", "sig"), "node"))
     sets = _sets(docs.join(near.select(F.col("rep").alias("_r")).distinct(), F.col("id").eqNullSafe(F.col("_r")), "left_semi").select("text"), words).dropDuplicates(["found"])
-    sized = near.select("key", F.lit(-1).alias("band"), "node", "copies", "sig", "size")
-    large = near.filter(F.col("size") > LARGE).select("node", "copies", "sig", F.col("key").alias("_part"))
+    groups = _with_blocks(near.filter(F.col("size") <= LARGE).select("key", F.lit(-1).alias("band"), "node", "copies", "sig", "size"), "size").drop("size")
+    large = near.filter(F.col("size") > LARGE).select("node", "sig", F.col("key").alias("_part"))
     if not large.isEmpty():
         shared = C.keep(band.join(full.select("key"), "key").join(large, "node").withColumn("key", F.xxhash64("key", "_part")).drop("_part"))
         buckets = C.look_up(shared, shared.groupBy("key").agg(F.count("*").alias("size")), "key", "node").filter("size > 1")
-        sized = sized.filter(F.col("size") <= LARGE).unionByName(buckets.select("key", "band", "node", "copies", "sig", "size"))
-    found = C.keep(exact_links(sized.join(sets, F.col("node") == F.col("found")).drop("found"), threshold))
+        active = meeting(_in_blocks(buckets, "key", "size"), least).join(near.select("node", "copies", "sig"), "node")
+        groups = groups.unionByName(C.keep(active).select(*groups.columns))
+    found = C.keep(exact_links(groups.join(sets, F.col("node") == F.col("found")).drop("found"), threshold))
     counts = found.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"), F.sum("class_links").alias("class_links"))
     root = components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     c = k.select("node", "rep", "copies").join(root.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")).join(counts, "node", "left")

@@ -19,7 +19,7 @@ ORDER = 5
 #: Distinct drawn texts that each half of a language needs; with fewer all its texts serve for both.
 HALF = 8
 #: Scored tokens that a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 START, END = 2, 3
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,7 +109,7 @@ def fit_kneser_ney(counts: dict[str, list[tuple[str, int]]]) -> Model:
     model = Model(langs, base)
     for order in parts:
         keys, ctx = np.unique(np.concatenate([x[1] for x in order])), np.unique(np.concatenate([x[3] for x in order]))
-        share, back = np.zeros((len(keys), len(langs))), np.ones((len(ctx), len(langs)))
+        share, back = np.zeros((len(keys), len(langs)), np.float32), np.ones((len(ctx), len(langs)), np.float32)
         for k, g, s, h, b in order:
             share[np.searchsorted(keys, g), k] = s
             back[np.searchsorted(ctx, h), k] = b
@@ -202,7 +202,7 @@ def _sums(df: DataFrame, text: str, keep: list[str], shared: _Shared, schema: st
             at = 0
             while at < batch.num_rows:
                 texts, first, held = [], at, 0
-                while at < batch.num_rows and (not texts or held < 4_000_000):
+                while at < batch.num_rows and (not texts or held < 1_000_000):
                     texts.append(column[at].as_py() or "")
                     held += len(texts[-1])
                     at += 1

@@ -68,12 +68,13 @@ def pareto_mix(df: DataFrame, source: Column, size: Column, identity: Column, we
 
     Null source: a source of its own, last. Null or zero size: nothing is taken. Repeated rows tie and may trade places.
     Reruns agree: nothing is random but the hash. Other columns pass through; one that is named like a result is replaced, and
-    names that begin with an underscore are reserved. df is read three times. An empty table gives no rows.
+    names that begin with an underscore are reserved. df is read twice. An empty table gives no rows.
     """
     u = C.uniform(F.xxhash64(identity, F.lit(seed)))
     step = F.lit(0) if weight is None else F.coalesce(F.when(weight > 0, F.greatest(F.lit(-64), F.least(F.lit(64), F.round(F.log2(weight) * 4)))), F.lit(-64))
     d = df.withColumns({"_source": source, "size": F.coalesce(size, F.lit(0)).cast("long"), "_u": u, "_w": step.cast("int")}).drop("source_size", "target", "copies", "part", "taken")
-    steps = C.keep(d.groupBy(F.col("_source").alias("source"), F.col("_w").alias("class")).agg(F.sum("size").alias("n")))
+    narrow = C.keep(d.select(F.col("_source").alias("source"), F.col("_w").alias("class"), "_u", "size"))
+    steps = C.keep(narrow.groupBy("source", "class").agg(F.sum("size").alias("n")))
     t = source_targets(steps.groupBy("source").agg(F.sum("n").alias("source_size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
     t = C.keep(t.withColumn("_whole", whole).withColumn("_rest", F.greatest(F.lit(0), F.least(F.col("source_size"), F.round("target").cast("long") - F.col("_whole") * F.col("source_size")))))
@@ -81,10 +82,15 @@ def pareto_mix(df: DataFrame, source: Column, size: Column, identity: Column, we
     near = F.broadcast if n <= BROADCAST_SOURCES else (lambda x: x)
     rest = t.select(F.col("source").alias("_s"), F.col("_rest").alias("rest"))
     odds = C.keep(inclusion(steps.join(near(rest), F.col("source").eqNullSafe(F.col("_s"))).withColumn("weight", F.pow(F.lit(2.0), F.col("class") / 4))))  # at most 129 rows a source
-    d = d.join(near(odds.select(F.col("source").alias("_os"), F.col("class").alias("_ow"), "odds")), F.col("_source").eqNullSafe(F.col("_os")) & (F.col("_w") == F.col("_ow"))).drop("_os", "_ow", "_w")
-    d = d.withColumn("_q", F.when(F.col("odds").isNull(), F.col("_u") * 1e-15).otherwise(F.col("_u") / (1 - F.col("_u")) / F.col("odds"))).drop("_u", "odds")
-    d = d.withColumn("_b", F.least(F.lit(buckets - 1), F.floor(F.col("_q") / (F.col("_q") + 1) * buckets)).cast("int"))
-    cells = C.keep(d.groupBy(F.col("_source").alias("source"), "_b").agg(F.sum("size").alias("n")))
+
+    def ranked(x: DataFrame, source: str, step: str) -> DataFrame:
+        """x with its rank q in Pareto order and the bucket of that."""
+        x = x.join(near(odds.select(F.col("source").alias("_os"), F.col("class").alias("_ow"), F.col("odds").alias("_odds"))), F.col(source).eqNullSafe(F.col("_os")) & (F.col(step) == F.col("_ow")))
+        x = x.withColumn("_q", F.when(F.col("_odds").isNull(), F.col("_u") * 1e-15).otherwise(F.col("_u") / (1 - F.col("_u")) / F.col("_odds"))).drop("_u", "_os", "_ow", "_odds")
+        return x.withColumn("_b", F.least(F.lit(buckets - 1), F.floor(F.col("_q") / (F.col("_q") + 1) * buckets)).cast("int"))
+
+    cells = C.keep(ranked(narrow, "source", "class").groupBy("source", "_b").agg(F.sum("size").alias("n")))
+    d = ranked(d, "_source", "_w").drop("_w")
     wide = 1 << (buckets.bit_length() // 2)  # first the coarse bucket in which a source's words end, then the fine one
     ends = t.select(F.col("source").alias("_s"), F.col("_rest"), F.lit(0).cast("long").alias("_from"))
     coarse = cells.groupBy("source", F.floor(F.col("_b") / wide).alias("_c")).agg(F.sum("n").alias("n"))
@@ -93,9 +99,9 @@ def pareto_mix(df: DataFrame, source: Column, size: Column, identity: Column, we
     last = last.select(F.col("source").alias("_s"), F.col("_b").alias("_last"), "_before")
     plan = C.keep(t.join(near(last), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("source", "_plan").withColumn("_last", F.coalesce("_last", F.lit(-1))))
     d = d.join(near(plan), F.col("_source").eqNullSafe(F.col("_plan"))).drop("_plan")
-    ranked = Window.partitionBy("_source").orderBy("_q", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.partitionBy("_source").orderBy("_q", "size").rowsBetween(Window.unboundedPreceding, -1)
     clear = d.filter("_b <> _last").withColumn("part", F.when(F.col("_b") < F.col("_last"), F.col("size")).otherwise(0))
-    edge = d.filter("_b = _last").withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_before") - F.coalesce(F.sum("size").over(ranked), F.lit(0)))))
+    edge = d.filter("_b = _last").withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_before") - F.coalesce(F.sum("size").over(in_order), F.lit(0)))))
     out = clear.unionByName(edge)
     full = (F.col("part") == F.col("size")) & (F.col("size") > 0)
     out = out.withColumns({"copies": F.col("_whole") + full.cast("long"), "part": F.when(full, 0).otherwise(F.col("part")).cast("long")})
