@@ -351,14 +351,14 @@ def jaccard_join(df: DataFrame, doc_id: str, text: Column, threshold: float = 0.
     members = band.join(full, "key").join(k.select("node", "sig"), "node")
     least = least_matches(threshold, tolerance)
     near = components(candidate_edges(members, least)).withColumnRenamed("root", "key")
-    near = C.keep(C.look_up(near, near.groupBy("key").agg(F.count("*").alias("size")), "key", "id").withColumnRenamed("id", "node").join(k.select("node", "rep", "copies", "sig"), "node"))
+    near = C.keep(C.look_up(near, near.groupBy("key").agg(F.count("*").alias("size")), "key", "id").withColumnRenamed("id", "node").join(k.select("node", "rep", "copies"), "node"))
     sets = _sets(docs.join(near.select(F.col("rep").alias("_r")).distinct(), F.col("id").eqNullSafe(F.col("_r")), "left_semi").select("text"), words).dropDuplicates(["found"])
-    groups = _with_blocks(near.filter(F.col("size") <= LARGE).select("key", F.lit(-1).alias("band"), "node", "copies", "sig", "size"), "size").drop("size")
-    large = near.filter(F.col("size") > LARGE).select("node", "sig", F.col("key").alias("_part"))
+    groups = _with_blocks(near.filter(F.col("size") <= LARGE).select("key", F.lit(-1).alias("band"), "node", "copies", F.lit(None).cast("binary").alias("sig"), "size"), "size").drop("size")
+    large = near.filter(F.col("size") > LARGE).select("node", F.col("key").alias("_part"))
     if not large.isEmpty():
-        shared = C.keep(band.join(full.select("key"), "key").join(large, "node").withColumn("key", F.xxhash64("key", "_part")).drop("_part"))
+        shared = C.keep(band.join(full.select("key"), "key").join(large, "node").join(k.select("node", "sig"), "node").withColumn("key", F.xxhash64("key", "_part")).drop("_part"))
         buckets = C.look_up(shared, shared.groupBy("key").agg(F.count("*").alias("size")), "key", "node").filter("size > 1")
-        active = meeting(_in_blocks(buckets, "key", "size"), least).join(near.select("node", "copies", "sig"), "node")
+        active = meeting(_in_blocks(buckets, "key", "size"), least).join(k.select("node", "copies", "sig"), "node")
         groups = groups.unionByName(C.keep(active).select(*groups.columns))
     found = C.keep(exact_links(groups.join(sets, F.col("node") == F.col("found")).drop("found"), threshold))
     counts = found.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"), F.sum("class_links").alias("class_links"))
