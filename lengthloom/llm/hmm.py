@@ -209,7 +209,7 @@ def _counts(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "word string, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("c"))
 
 
-ENCODED = "n_tokens long, n_known long, base double, within double, ids binary, classes binary, rare array<struct<at:int,word:string,class:int,n:long>>"
+ENCODED = "n_tokens long, n_known long, base double, within double, ids binary, classes binary, rare array<struct<word:string,class:int,n:long>>"
 STATE_NAMES = [f"s{k}" for k in range(STATES)]
 
 
@@ -228,7 +228,7 @@ def _encode(df: DataFrame, keep: list[str], shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = shared.value
         names = [x.split(" ")[0] for x in ENCODED.split(", ")]
-        kind = pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string()), ("class", pa.int32()), ("n", pa.int64())]))
+        kind = pa.list_(pa.struct([("word", pa.string()), ("class", pa.int32()), ("n", pa.int64())]))
         for batch in batches:
             rows = []
             for t in batch.column(len(keep)):
@@ -242,7 +242,7 @@ def _encode(df: DataFrame, keep: list[str], shared) -> DataFrame:
                 classes = [ending(w) for w in rare]
                 n = np.bincount(own, minlength=len(rare)).tolist()
                 known = at[at >= 0]
-                rows.append((len(words) + 1, len(known), float(v.base[known].sum()), float(v.within[known].sum()), _planes(ids), np.array(classes, "<u2").tobytes(), [{"at": i, "word": w.decode(), "class": k, "n": m} for i, (w, k, m) in enumerate(zip(rare, classes, n, strict=True))]))
+                rows.append((len(words) + 1, len(known), float(v.base[known].sum()), float(v.within[known].sum()), _planes(ids), np.array(classes, "<u2").tobytes(), [{"word": w.decode(), "class": k, "n": m} for w, k, m in zip(rare, classes, n, strict=True)]))
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array([r[i] for r in rows], x) for i, x in enumerate(types))], names=[*keep, *names])
 
@@ -311,35 +311,52 @@ def _pass(encoded: DataFrame, model: Model, prior: np.ndarray, symbol: np.ndarra
     return maximised(rows[0], rows[1 : 1 + STATES], rows[1 + STATES :], prior)
 
 
-def _words_by_state(encoded: DataFrame, model: Model, symbol: np.ndarray, names: list[str]) -> DataFrame:
-    """(word, class, known, c, s0, s1, ...): over all training texts, how often each word without a symbol is in each state."""
-    shared = encoded.sparkSession.sparkContext.broadcast((model, symbol, names))
+def _words_by_state(encoded: DataFrame, model: Model, symbol: np.ndarray) -> np.ndarray:
+    """Over all training texts, how often each known word without a symbol is in each state; then the other words by class."""
+    shared = encoded.sparkSession.sparkContext.broadcast((model, symbol))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, symbol, names = shared.value
-        known, often = np.zeros((len(symbol), STATES)), np.zeros(len(symbol), np.int64)
-
-        def rows(word: list, kind: np.ndarray, is_known: bool, c: np.ndarray, states: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(kind, pa.int32()), pa.array([is_known] * len(word), pa.bool_()), pa.array(c, pa.int64()), *(pa.array(states[:, k], pa.float32()) for k in range(STATES))], names=["word", "class", "known", "c", *STATE_NAMES])
-
+        m, symbol = shared.value
+        first_class = len(m.emit) - CLASSES
+        total = np.zeros((len(symbol) + CLASSES, STATES))
         for some in _batches(batches, BATCH):
-            _, _, gamma = posteriors(m, [_symbols(ids, c, symbol, len(m.emit) - CLASSES) for ids, c, _ in some])
-            ids, of = np.concatenate([x[0] for x in some]), np.repeat(np.arange(len(some)), [len(x[0]) for x in some])
-            mid = np.flatnonzero((ids < len(symbol)) & (symbol[np.minimum(ids, len(symbol) - 1)] >= len(m.emit) - CLASSES))
-            often += np.bincount(ids[mid], minlength=len(often))
+            _, _, gamma = posteriors(m, [_symbols(ids, c, symbol, first_class) for ids, c, _ in some])
+            at = np.concatenate([_symbols(ids, c, np.where(symbol < first_class, -1, np.arange(len(symbol))), len(symbol)) for ids, c, _ in some])
+            own = np.flatnonzero(at >= 0)
             for k in range(STATES):
-                known[:, k] += np.bincount(ids[mid], gamma[mid, k], len(known))
-            own = np.flatnonzero(ids >= len(symbol))
-            words = [w.as_py() for x in some for w in x[2]]
-            begin = np.cumsum([len(x[2]) for x in some]) - [len(x[2]) for x in some]
-            at = begin[of[own]] + ids[own] - len(symbol)
-            kinds = np.concatenate([np.frombuffer(x[1], "<u2") for x in some])
-            yield rows(words, kinds, False, np.bincount(at, minlength=len(words)), np.column_stack([np.bincount(at, gamma[own, k], len(words)) for k in range(STATES)]))
-        at = np.flatnonzero(often)
-        yield rows([names[i] for i in at.tolist()], symbol[at] - (len(m.emit) - CLASSES), True, often[at], known[at])
+                total[:, k] += np.bincount(at[own], gamma[own, k], len(total))
+        at = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, k], pa.float32()) for k in range(STATES))], names=["at", *STATE_NAMES])
+
+    d = encoded.select("ids", "classes", F.lit(0).alias("none")).mapInArrow(run, "at int, " + ", ".join(f"{n} float" for n in STATE_NAMES))
+    t = d.groupBy("at").agg(*(F.sum(n).cast("float").alias(n) for n in STATE_NAMES)).toArrow()
+    out = np.zeros((len(symbol) + CLASSES, STATES))
+    out[np.array(t["at"], np.int64)] = np.column_stack([np.array(t[n], np.float64) for n in STATE_NAMES])
+    return out
 
-    d = encoded.select("ids", "classes", F.col("rare.word").alias("words")).mapInArrow(run, "word string, class int, known boolean, c long, " + ", ".join(f"{n} float" for n in STATE_NAMES))
-    return C.keep(d.groupBy("word", "class", "known").agg(F.sum("c").alias("c"), *(F.sum(n).cast("float").alias(n) for n in STATE_NAMES)))
+
+def by_word(model: Model, states: np.ndarray, symbol: np.ndarray, count: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Emissions of known words, then of other words by class, over their share of their ending's count.
+
+    A word without a symbol has c + 0.1 of its ending's count, dealt to the states as its own c occurrences and OWN of its
+    ending's are; the words of an ending that aren't known are dealt together.
+    """
+    first_class, n = len(model.emit) - CLASSES, len(symbol)
+    out = model.emit[np.append(symbol, np.arange(first_class, len(model.emit)))]
+    mid = np.flatnonzero(symbol >= first_class)
+    kind = symbol[mid] - first_class
+    usual = states[n:] + 1e-3
+    np.add.at(usual, kind, states[mid])
+    usual /= usual.sum(axis=1, keepdims=True)
+    rest = (states[n:] + OWN * usual) / (states[n:].sum(axis=1) + OWN)[:, None]
+    own = (states[mid] + OWN * usual[kind]) / (count[mid] + OWN)[:, None]
+    mass = total - np.bincount(kind, count[mid] + 0.1, CLASSES)
+    amount = mass[:, None] * rest
+    np.add.at(amount, kind, (count[mid] + 0.1)[:, None] * own)
+    ratio = total[:, None] / amount
+    out[mid] *= own * ratio[kind]
+    out[n:] *= rest * ratio
+    return out.astype(np.float32)
 
 
 def score(df: DataFrame, keep: list[str], text: str, training: Column, passes: int = 3, sample: int = 1500) -> DataFrame:
@@ -347,9 +364,10 @@ def score(df: DataFrame, keep: list[str], text: str, training: Column, passes: i
 
     Tokens are ASCII-lower-cased words and one end. ``passes`` Baum-Welch passes run over every training text, uncut; in these
     the commonest SYMBOLS training words are emitted by the states, any other word as one of CLASSES endings. The last model
-    then gathers, over all training texts, how often each other word is in each state, a table that grows with the corpus: such
-    a word has its smoothed count of its ending, dealt to the states as it was in them, smoothed by all words of the ending. So the model is proper over an
-    open vocabulary. Rows of the KNOWN commonest words travel to the workers, a bounded table; those of rarer words are
+    then gathers, over all training texts, how often each of the KNOWN commonest words is in each state: such a word has its
+    smoothed count of its ending, dealt to the states as it was in them, smoothed by all words of the ending. Rarer words
+    share the states of their ending and have their own counts, a table that grows with the corpus. So the model is proper
+    over an open vocabulary. What the KNOWN words need travels to the workers, a bounded table; counts of rarer words are
     joined by a shuffle. Starting values come from ``sample`` distinct texts, of which a window of WINDOW symbols is read.
 
     Null text is empty: its only token is the end. Equal texts get equal scores. No training text: base_score is 0 by the
@@ -389,65 +407,35 @@ def score(df: DataFrame, keep: list[str], text: str, training: Column, passes: i
     for _ in range(passes if docs else 0):
         model = _pass(trained, model, prior, symbol)
 
-    # a word without a symbol has c + 0.1 of its ending's count, dealt to the states as its own c and OWN of its ending's
-    words = _words_by_state(trained, model, symbol, names)
-    part = (F.col("c") + 0.1) / (F.col("c") + OWN)
-    states, weight, amounts = np.zeros((CLASSES, STATES)), np.zeros(CLASSES), np.zeros((CLASSES, STATES))
-    for r in words.groupBy("class").agg(F.sum(part).alias("w"), *(F.sum(x).alias(x) for x in STATE_NAMES), *(F.sum(F.col(x) * part).alias(f"w{x}") for x in STATE_NAMES)).collect():
-        weight[r["class"]], states[r["class"]], amounts[r["class"]] = r["w"], r[2 : 2 + STATES], r[2 + STATES :]
-    usual = (states + 1e-3) / (states + 1e-3).sum(axis=1, keepdims=True)
-    ratio = total[:, None] / (amounts + (OWN * weight + 0.1)[:, None] * usual)
-    place = {w: i for i, w in enumerate(names)}
-    mid = words.filter("known").toArrow()
-    table = np.ones((len(symbol), STATES))
-    at = np.array([place[w] for w in mid["word"].to_pylist()], np.int64)
-    if len(at):
-        k = symbol[at] - own - 1
-        table[at] = (np.column_stack([np.array(mid[x], np.float64) for x in STATE_NAMES]) + OWN * usual[k]) / (np.array(mid["c"], np.float64) + OWN)[:, None] * ratio[k]
-    table *= model.emit[symbol]
-    sent = spark.sparkContext.broadcast((model, table.astype(np.float32), usual, ratio))
-
-    shares = F.array(*(F.lit(float(x)) for x in total))
-    rare = encoded.select("_row", F.explode("rare").alias("r")).select("_row", "r.at", "r.word", "r.class", "r.n").join(words.filter("not known").drop("known", "class"), "word", "left")
-    rare = rare.withColumn("c", F.coalesce("c", F.lit(0))).withColumn("t", F.element_at(shares, F.col("class") + 1)).groupBy("_row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("_known"),
-        F.sum(F.col("n") * F.log10((F.col("c") + 0.1) / F.lit(whole))).alias("_base"),
-        F.sum(F.col("n") * F.log10((F.col("c") + 0.1) / F.col("t"))).alias("_within"),
-        F.collect_list(F.when(F.col("c") > 0, F.struct("at", F.col("c").cast("int").alias("c"), *STATE_NAMES))).alias("_own"),
-    )
+    table = by_word(model, _words_by_state(trained, model, symbol), symbol, np.append(0, amount[:-1]).astype(np.float64), total)
+    sent = spark.sparkContext.broadcast((model, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, table, usual, ratio = sent.value
-
-        def emissions(ids: np.ndarray, classes: bytes, own) -> np.ndarray:
-            k = np.frombuffer(classes, "<u2").astype(np.int64)
-            if not len(k):
-                return table[ids]
-            words = usual[k]
-            if own.is_valid and len(own.values):
-                x, c = (np.array(own.values.field(i), np.int64) for i in range(2))
-                g = np.column_stack([np.array(own.values.field(i + 2), np.float64) for i in range(STATES)])
-                words[x] = (g + OWN * words[x]) / (c + OWN)[:, None]
-            words = words * ratio[k] * m.emit[len(m.emit) - CLASSES + k]
-            return np.where((ids >= len(table))[:, None], words[np.maximum(ids - len(table), 0)], table[np.minimum(ids, len(table) - 1)]).astype(np.float32)
-
+        m, table = sent.value
+        known = np.arange(len(table) - CLASSES)
         for batch in batches:
-            columns, out, some, held_ = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}, [], [], 0
+            columns, out, some, held = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}, [], [], 0
             for i in range(batch.num_rows):
-                some.append(emissions(_from_planes(columns["ids"][i].as_py()), columns["classes"][i].as_py(), columns["_own"][i]))
-                held_ += len(some[-1])
-                if held_ >= 2 * BATCH or i + 1 == batch.num_rows:
-                    out.append(likelihood(m, np.concatenate(some), np.array([len(e) for e in some])))
-                    some, held_ = [], 0
+                some.append(_symbols(_from_planes(columns["ids"][i].as_py()), columns["classes"][i].as_py(), known, len(known)))
+                held += len(some[-1])
+                if held >= 2 * BATCH or i + 1 == batch.num_rows:
+                    out.append(likelihood(m, table[np.concatenate(some)], np.array([len(x) for x in some])))
+                    some, held = [], 0
             scores = pa.array(np.concatenate(out) if out else [], pa.float64())
             yield pa.RecordBatch.from_arrays([*(columns[c] for c in rest), scores], names=[*rest, "hmm"])
 
-    full = encoded.join(rare, "_row", "left")
-    rest = [*inner, "n_tokens", "n_known", "base", "within", "_known", "_base", "_within"]
-    fields = ", ".join(f"`{c}` {full.schema[c].dataType.simpleString()}" for c in rest)
-    out = full.select("ids", "classes", "_own", *rest).mapInArrow(run, f"{fields}, hmm double")
+    rest = [*inner, "_row", "n_tokens", "n_known", "base", "within"]
+    fields = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in rest)
+    scored = encoded.select("ids", "classes", *rest).mapInArrow(run, f"{fields}, hmm double")
+    shares = F.array(*(F.lit(float(x)) for x in total))
+    rare = encoded.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.class", "r.n").join(counts.select("word", "c"), "word", "left")
+    rare = rare.withColumn("c", F.coalesce("c", F.lit(0))).withColumn("t", F.element_at(shares, F.col("class") + 1)).groupBy("_row").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("_known"),
+        F.sum(F.col("n") * F.log10((F.col("c") + 0.1) / F.lit(whole))).alias("_base"),
+        F.sum(F.col("n") * F.log10((F.col("c") + 0.1) / F.col("t"))).alias("_within"),
+    )
     zero, end = F.lit(0), float(np.log10((docs + 0.1) / whole))
-    return out.select(
+    return scored.join(rare, "_row", "left").select(
         *(F.col(k).alias(c) for c, k in zip(keep, inner, strict=True)), "n_tokens", (F.col("n_known") + F.coalesce("_known", zero) + int(docs > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("_base", zero) + end).alias("base_score"), (F.col("hmm") + F.col("within") + F.coalesce("_within", zero)).alias("score"),
     )

@@ -206,7 +206,14 @@ def test_hidden_markov_scores_against_a_second_version(spark, monkeypatch):
     for w in order[5:]:
         group[kind(w)] = group[kind(w)] + state[w]
     usual = lambda k: group[k] / group[k].sum()
-    own = lambda w: (c[w] + 0.1) * (state[w] + hmm.OWN * usual(kind(w))) / (c[w] + hmm.OWN)
+    together = defaultdict(lambda: (np.zeros(hmm.STATES), 0))
+    for w in order[12:]:
+        together[kind(w)] = together[kind(w)][0] + state[w], together[kind(w)][1] + c[w]
+
+    def own(w):
+        g, m = (state[w], c[w]) if w in order[5:12] else together[kind(w)]
+        return (c[w] + 0.1) * (g + hmm.OWN * usual(kind(w))) / (m + hmm.OWN)
+
     amount = defaultdict(lambda: np.zeros(hmm.STATES))
     for w in order[5:]:
         amount[kind(w)] = amount[kind(w)] + own(w)
@@ -215,7 +222,8 @@ def test_hidden_markov_scores_against_a_second_version(spark, monkeypatch):
         if w in head:
             return m.emit[head[w]]
         k = kind(w)
-        return m.emit[6 + k] * own(w) / (amount[k] + 0.1 * usual(k))
+        g, n = together[k]
+        return m.emit[6 + k] * own(w) / (amount[k] + 0.1 * (g + hmm.OWN * usual(k)) / (n + hmm.OWN))
 
     for i, _, t, x in keep:
         p, log = m.start, 0.0
