@@ -252,7 +252,11 @@ def _encode(df: DataFrame, keep: list[str], shared) -> DataFrame:
 
 def _symbols(ids: np.ndarray, classes: bytes, symbol: np.ndarray, first_class: int) -> np.ndarray:
     """Baum-Welch symbols of a text: of the end and known words by ``symbol``, of others by their class."""
-    return np.concatenate([symbol, first_class + np.frombuffer(classes, "<u2").astype(np.int64)])[ids]
+    out = symbol[np.minimum(ids, len(symbol) - 1)]
+    own = np.flatnonzero(ids >= len(symbol))
+    if len(own):
+        out[own] = first_class + np.frombuffer(classes, "<u2").astype(np.int64)[ids[own] - len(symbol)]
+    return out
 
 
 def _batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[np.ndarray, bytes, int]]]:
@@ -318,10 +322,10 @@ def _words_by_state(encoded: DataFrame, model: Model, symbol: np.ndarray) -> np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, symbol = shared.value
         first_class = len(m.emit) - CLASSES
-        total = np.zeros((len(symbol) + CLASSES, STATES))
+        total, counted = np.zeros((len(symbol) + CLASSES, STATES)), np.where(symbol < first_class, -1, np.arange(len(symbol)))
         for some in _batches(batches, BATCH):
             _, _, gamma = posteriors(m, [_symbols(ids, c, symbol, first_class) for ids, c, _ in some])
-            at = np.concatenate([_symbols(ids, c, np.where(symbol < first_class, -1, np.arange(len(symbol))), len(symbol)) for ids, c, _ in some])
+            at = np.concatenate([_symbols(ids, c, counted, len(symbol)) for ids, c, _ in some])
             own = np.flatnonzero(at >= 0)
             for k in range(STATES):
                 total[:, k] += np.bincount(at[own], gamma[own, k], len(total))
