@@ -42,7 +42,7 @@ def nested_offsets(d: DataFrame, edges: DataFrame) -> DataFrame:
 
 def restore_lengths(d: DataFrame) -> DataFrame:
     """What was called no length comes back, unless one of the reasons for it holds."""
-    held = F.col("f_handwheel") | F.col("f_insulation_thickness") | F.col("support_repeat") | F.col("wheel_value") | (F.col("value_mm") <= 16) | F.col("small_repeat") | (F.col("f_near_plant_coord") & (F.col("value_mm") >= 9000))
+    held = F.col("f_handwheel") | F.col("f_insulation_thickness") | F.col("support_repeat") | (F.col("wheel_value") & ~F.col("f_pipe_opening")) | (F.col("value_mm") <= 16) | F.col("small_repeat") | (F.col("f_near_plant_coord") & (F.col("value_mm") >= 9000))
     return _set(d, _is(OTHER) & ~held, INCLUDE)
 
 
@@ -54,7 +54,7 @@ def restore_twins(d: DataFrame, twins: DataFrame) -> DataFrame:
 
 def take_ambiguous(d: DataFrame) -> DataFrame:
     """What is still open counts, unless it is known to be no length."""
-    held = F.col("f_handwheel") | F.col("f_insulation_thickness") | F.col("support_repeat") | F.col("wheel_value") | (F.col("value_mm") <= 16)
+    held = F.col("f_handwheel") | F.col("f_insulation_thickness") | F.col("support_repeat") | (F.col("wheel_value") & ~F.col("f_pipe_opening")) | (F.col("value_mm") <= 16)
     return _set(d, _is(OPEN) & ~held, INCLUDE)
 
 

@@ -58,9 +58,9 @@ CHAIN = """, tw as (select sheet_no, ao as ord, min(bo) as twin_ord from p
 ), g1 as (select r4.*, edge.ord is not null as has_parent, tw.ord is not null as has_twin from r4
     left join edge on r4.sheet_no = edge.sheet_no and r4.ord = edge.ord left join tw on r4.sheet_no = tw.sheet_no and r4.ord = tw.ord
 ), g2 as (select * replace (case when has_parent and decision in ('include', 'ambiguous', 'exclude_nested') and not om then 'exclude_nested' else decision end as decision) from g1
-), g3 as (select * replace (case when decision = 'not_length' and not (hw or ins or rep or wheel or value_mm <= 16 or small or (npc and value_mm >= 9000)) then 'include' else decision end as decision) from g2
+), g3 as (select * replace (case when decision = 'not_length' and not (hw or ins or rep or (wheel and not po) or value_mm <= 16 or small or (npc and value_mm >= 9000)) then 'include' else decision end as decision) from g2
 ), g4 as (select * replace (case when decision = 'exclude_nested' and not om and not has_parent and has_twin then 'include' else decision end as decision) from g3
-), g5 as (select * replace (case when decision = 'ambiguous' and not (hw or ins or rep or wheel or value_mm <= 16) then 'include' else decision end as decision) from g4)"""
+), g5 as (select * replace (case when decision = 'ambiguous' and not (hw or ins or rep or (wheel and not po) or value_mm <= 16) then 'include' else decision end as decision) from g4)"""
 
 
 def sheets(source: str) -> str:

@@ -109,7 +109,7 @@ FULL = """, e7 as (select * from rel where score >= 0.75
 ), h1 as (select *, above and not has_parent as is_parent from h0
 ), h2 as (select * replace (case when has_parent and decision in ('include', 'ambiguous', 'exclude_nested') then 'exclude_nested' else decision end as decision) from h1
 ), h3 as (select * replace (case when decision = 'exclude_nested' and not om and not has_parent and not (beside and not goes_on and not is_parent) then 'include' else decision end as decision) from h2
-), h4 as (select * replace (case when decision = 'not_length' and not (hw or ins or rep or wheel or value_mm <= 16 or small or (npc and value_mm >= 9000)) then 'include' else decision end as decision) from h3
+), h4 as (select * replace (case when decision = 'not_length' and not (hw or ins or rep or (wheel and not po) or value_mm <= 16 or small or (npc and value_mm >= 9000)) then 'include' else decision end as decision) from h3
 ), h5 as (select * replace (case when po and decision in ('not_length', 'ambiguous', 'exclude_nested') and not (hw or ins or rep or om or value_mm <= 16 or (decision = 'exclude_nested' and has_parent)) then 'include' else decision end as decision) from h4
 ), st as (select h.sheet_no, h.ord, h.is_parent, tg.target, t.decision = 'include' and not t.om and t.value_mm < h.value_mm as may, row_number() over (partition by h.sheet_no order by h.ord) as k
   from h5 h join tg on tg.sheet_no = h.sheet_no and tg.ord = h.ord join h5 t on t.sheet_no = h.sheet_no and t.ord = tg.target where h.decision = 'include' and not h.goes_on
@@ -134,7 +134,7 @@ FULL = """, e7 as (select * from rel where score >= 0.75
 ), mk as (select m.sheet_no, m.ord, coalesce(covers, false) as covered from h8 m left join cov on cov.sheet_no = m.sheet_no and cov.bo = m.ord where om and not has_parent
 ), h9 as (select h8.* replace (case when mk.covered and decision = 'include' then 'exclude_nested' when not mk.covered then 'include' else decision end as decision) from h8 left join mk on mk.sheet_no = h8.sheet_no and mk.ord = h8.ord
 ), h10 as (select * replace (case when decision = 'include' and (sheet_no, ord) in (select (part.sheet_no, part.ao) from part join mk on mk.sheet_no = part.sheet_no and mk.ord = part.bo where not mk.covered) then 'exclude_nested' else decision end as decision) from h9
-), h11 as (select * replace (case when decision = 'ambiguous' and not (hw or ins or rep or wheel or value_mm <= 16) then 'include' else decision end as decision) from h10)"""
+), h11 as (select * replace (case when decision = 'ambiguous' and not (hw or ins or rep or (wheel and not po) or value_mm <= 16) then 'include' else decision end as decision) from h10)"""
 
 QUERIES = {f.__name__: f for f in (best_parent_lines, along_run_assign, relations, guard_decisions, guard_full, larger_counted)}
 _FULL = f"with recursive {LINES}{RULES.format(base='c')}{FULL} "
