@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Radii and limits of the drawing rules, in points and millimetres.
 NEAR, NEAREST_SHOWN = 55.0, 12
-#: A support mark inside a joined list of neighbours.
-SUPPORT = r"(^|\| )[ОOФFПP][0-9]+"
+#: A support mark in a joined list of neighbours, as relations read it; a neighbour that is a support tag.
+SUPPORT, SUPPORT_TAG = r"(?iU)\b[ОOФF][0-9]+", r"(?iU)(^|\|)\s*[ОOФFПP][0-9]+[АAБB]?\s*($|\|)"
 
 
 def d2(a: str, b: str) -> Column:
@@ -54,11 +54,18 @@ def overlap_flags(c: DataFrame) -> DataFrame:
     p = p.select(F.col("a.sheet_no").alias("sheet_no"), small.alias("lo"), large.alias("hi")).withColumn("r", F.col("hi.value_mm") / F.col("lo.value_mm"))
     close, stacked = F.col("r").between(1.08, 1.55), F.col("r").between(2.0, 3.5)
     envelope = (F.col("hi.value_mm") >= 8000) | F.col("hi.f_overall_mark")
-    nested = close | (stacked & F.col("lo.nearby").rlike(SUPPORT) & ~envelope)
+    nested = close | (stacked & F.col("lo.nearby").rlike(SUPPORT_TAG) & ~envelope)
     flag = F.when(nested, F.struct(F.col("lo.ord").alias("ord"), F.lit("nested_offset").alias("flag"))).when(stacked & envelope, F.struct(F.col("hi.ord").alias("ord"), F.lit("overall_pair").alias("flag")))
     return p.withColumn("f", flag).filter("f is not null").select("sheet_no", "f.ord", "f.flag").distinct()
 
 
+def with_overlaps(c: DataFrame) -> DataFrame:
+    """Candidates with f_nested_offset and f_overall_pair."""
+    has = lambda flag: F.bool_or(F.col("flag") == flag).alias(f"f_{flag}")
+    f = overlap_flags(c).groupBy("sheet_no", "ord").agg(has("nested_offset"), has("overall_pair"))
+    return c.join(f, ["sheet_no", "ord"], "left").withColumns({k: F.coalesce(k, F.lit(False)) for k in ("f_nested_offset", "f_overall_pair")})
+
+
 def text_score() -> Column:
     """How surely b is the parent of a, by what their neighbours say; 0 if it isn't."""
     r, d = F.col("a.value_mm") / F.col("b.value_mm"), d2("a", "b")
@@ -86,10 +93,18 @@ def nesting(parents: DataFrame, least: float = 0.75) -> DataFrame:
     return sure.join(above, ["sheet_no", "ord"], "left_anti")
 
 
-def sequential(c: DataFrame) -> DataFrame:
-    """Candidates with a neighbour within 45 points that continues them: both at least 500, ratio 1.5 to 2.8."""
+def run_parents(c: DataFrame, edges: DataFrame) -> DataFrame:
+    """sheet_no, ord of candidates without a parent that have a part: by an edge, or a smaller nested offset that names them or is named."""
+    part = (F.col("b.value_mm") < F.col("a.value_mm")) & F.col("b.f_nested_offset")
+    named = within_sheet(c, 1e6).filter(part & (mentions("a", "b") | mentions("b", "a"))).select("a.sheet_no", "a.ord")
+    above = edges.select("sheet_no", F.col("parent_ord").alias("ord")).unionByName(named).distinct()
+    return above.join(edges, ["sheet_no", "ord"], "left_anti")
+
+
+def sequential(c: DataFrame, edges: DataFrame) -> DataFrame:
+    """Candidates without a parent and with a neighbour within 45 points that continues them: both at least 500, ratio 1.5 to 2.8."""
     lo, hi = F.least("a.value_mm", "b.value_mm"), F.greatest("a.value_mm", "b.value_mm")
-    return within_sheet(c, 45.0).filter((lo >= 500) & (hi / lo).between(1.5, 2.8)).select("a.sheet_no", "a.ord").distinct()
+    return within_sheet(c, 45.0).filter((lo >= 500) & (hi / lo).between(1.5, 2.8)).select("a.sheet_no", "a.ord").distinct().join(edges, ["sheet_no", "ord"], "left_anti")
 
 
 def envelopes(c: DataFrame) -> DataFrame:
@@ -143,7 +158,7 @@ def chain_parts(c: DataFrame, band: float = 60.0) -> DataFrame:
     Seeds name the overall, or are named by it within 160 points. The two farthest seeds (or the only one and the overall)
     give the direction; pieces in a band around it count.
     """
-    fits = (F.col("a.value_mm") >= 300) & (F.col("a.value_mm") < F.col("b.value_mm")) & ~F.col("a.f_overall_mark")
+    fits = (F.col("a.value_mm") >= 300) & (F.col("a.value_mm") < F.col("b.value_mm")) & ~F.col("a.f_overall_mark") & ~F.col("a.f_overall_pair")
     p = within_sheet(c, 1e6).filter(F.col("b.f_overall_mark") & fits)
     seeds = p.filter(mentions("a", "b") | (mentions("b", "a") & (d2("a", "b") <= 160.0 * 160.0))).select("a.sheet_no", F.col("b.ord").alias("o"), "a.ord", "a.x", "a.y", (F.col("a.x") - F.col("b.x")).alias("ux"), (F.col("a.y") - F.col("b.y")).alias("uy"))
     same = (F.col("a.sheet_no") == F.col("b.sheet_no")) & (F.col("a.o") == F.col("b.o")) & (F.col("a.ord") < F.col("b.ord"))

@@ -58,15 +58,14 @@ def take_ambiguous(d: DataFrame) -> DataFrame:
     return _set(d, _is(OPEN) & ~held, INCLUDE)
 
 
-def relation_facts(d: DataFrame, edges: DataFrame, envelopes: DataFrame, sequential: DataFrame) -> DataFrame:
-    """What the rules ask of relations: has_parent, is_parent (and not nested), overall_beside and continues."""
+def relation_facts(d: DataFrame, edges: DataFrame, run_parents: DataFrame, envelopes: DataFrame, sequential: DataFrame) -> DataFrame:
+    """What the rules ask of relations: has_parent, is_parent, overall_beside and continues."""
     on, yes = ["sheet_no", "ord"], F.lit(True)
     d = d.join(edges.select(*on, yes.alias("has_parent")), on, "left")
-    d = d.join(edges.select("sheet_no", F.col("parent_ord").alias("ord"), yes.alias("above")).distinct(), on, "left")
+    d = d.join(run_parents.select(*on, yes.alias("is_parent")), on, "left")
     d = d.join(envelopes.select("sheet_no", F.col("large_ord").alias("ord"), yes.alias("overall_beside")).distinct(), on, "left")
     d = d.join(sequential.select(*on, yes.alias("continues")), on, "left")
-    d = d.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_parent", "above", "overall_beside", "continues")})
-    return d.withColumn("is_parent", F.col("above") & ~F.col("has_parent")).drop("above")
+    return d.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_parent", "is_parent", "overall_beside", "continues")})
 
 
 def nest_offsets(d: DataFrame) -> DataFrame:

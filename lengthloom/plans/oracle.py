@@ -29,9 +29,17 @@ NEAR = A1 + """, tx as (
     a.dir_x * b.dir_x + a.dir_y * b.dir_y >= 0.985 as along, a.nearby as an, b.nearby as bn, a.om as aom, b.om as bom, b.po as bpo, b.hw as bhw, b.ins as bins,
     list_contains(a.nums, cast(b.value_mm as varchar)) as one, list_contains(b.nums, cast(a.value_mm as varchar)) as two,
     contains(a.nearby, cast(b.value_mm as varchar)) as hold_ab, contains(b.nearby, cast(a.value_mm as varchar)) as hold_ba
-  from c a join c b on a.sheet_no = b.sheet_no and a.ord <> b.ord)"""
+  from c a join c b on a.sheet_no = b.sheet_no and a.ord <> b.ord
+), ov as (select *, r between 1.08 and 1.55 as close, r between 2.0 and 3.5 as stacked, hv >= 8000 or hom as env, regexp_matches(ln, '(?i)(^|[|]) *[ОOФFПP][0-9]+[АAБB]? *($|[|])') as tag from (
+  select sheet_no, case when av <= bv then ao else bo end as lo, case when av <= bv then bo else ao end as hi, greatest(av, bv) / least(av, bv) as r, greatest(av, bv) as hv,
+    case when av <= bv then an else bn end as ln, case when av <= bv then bom else aom end as hom from p where ao < bo and d2 <= 784 and (hold_ab or hold_ba))
+), fl as (select distinct sheet_no, lo as ord, 'nested_offset' as flag from ov where close or (stacked and tag and not env)
+  union select distinct sheet_no, hi, 'overall_pair' from ov where not (close or (stacked and tag and not env)) and stacked and env)"""
+NOTED = """, cn as (select * replace (case when nearby = '' then note else nearby || ' | ' || note end as nearby) from (select *, ['z+ 37329', 'DN50', 'LT', '10 см', 'Z 24100', 'X 1234567', 'Y8999'][ord % 7 + 1] as note from c)
+), fc as (select *, count(*) over (partition by sheet_no, value_mm) >= 3 and value_mm between 50 and 200 as rep, (sheet_no, ord) in (select (sheet_no, ord) from fl where flag = 'nested_offset') as noff,
+  (sheet_no, ord) in (select (sheet_no, ord) from fl where flag = 'overall_pair') as opair, lower(nearby) as low from cn)"""
 
-SUP = "'(^|[|] )[ОOФFПP][0-9]+'"
+SUP = "'(?i)(^|[^\\p{L}\\p{N}_])[ОOФF][0-9]+'"
 PARENTS = NEAR + f""", sc as (
   select sheet_no, ao, bo, case
     when aom or bom or bpo or bhw or bins or not (av / bv between 0.15 and 0.9) or not along or d2 > 36100 then 0.0
@@ -90,7 +98,7 @@ ORACLE = {
     select distinct sheet_no, ao as ord, bo as parent_ord, 'mentions' as problem from t where list_contains(list_transform(nums, lambda z: cast(z as bigint)), ov) and ov <> av and ov <> bv and ov > bv * 0.45
     union select distinct sheet_no, ao, bo, 'closer' from t where ov >= 8000 and sqrt(od) + 25 < sqrt(d2)""",
     "chain_cover": f"""with {NEAR}, q as (select p.sheet_no, p.ao, p.bo, p.av, p.bv, p.d2, p.one, p.two, a.x as ax, a.y as ay, b.x as bx, b.y as by_, a.hw, a.ins from p
-      join c a on a.sheet_no = p.sheet_no and a.ord = p.ao join c b on b.sheet_no = p.sheet_no and b.ord = p.bo where bom and not aom and av >= 300 and av < bv
+      join c a on a.sheet_no = p.sheet_no and a.ord = p.ao join c b on b.sheet_no = p.sheet_no and b.ord = p.bo where bom and not aom and av >= 300 and av < bv and (p.sheet_no, p.ao) not in (select (sheet_no, ord) from fl where flag = 'overall_pair')
     ), seed as (select * from q where one or (two and d2 <= 25600)
     ), two_ as (select *, row_number() over (partition by sheet_no, bo order by d desc, i, j) as r from (
       select s.sheet_no, s.bo, s.ao as i, z.ao as j, z.ax - s.ax as ux, z.ay - s.ay as uy, (z.ax - s.ax) * (z.ax - s.ax) + (z.ay - s.ay) * (z.ay - s.ay) as d from seed s join seed z on s.sheet_no = z.sheet_no and s.bo = z.bo and s.ao < z.ao)
@@ -105,11 +113,17 @@ ORACLE = {
     ), m as (select *, sqrt((qx - least(greatest(t, 0), 1) * vx) * (qx - least(greatest(t, 0), 1) * vx) + (qy - least(greatest(t, 0), 1) * vy) * (qy - least(greatest(t, 0), 1) * vy)) as e from k where cs >= 0.9
     ), d as (select *, case when e <= 60 then e when off <= 60 and t between -0.15 and 1.15 then off end as dist from m)
     select seg, line, round(dist, 6) as dist from (select *, row_number() over (partition by seg order by dist, cs desc, line) as r from d where dist is not null) where r = 1""",
-    "audit_problems": f"""with {A1}, s0 as (select sheet_no, ord, case when ord % 13 = 0 then value_mm + 1 else value_mm end as mm, case when ord % 5 = 0 and value_mm > 9000 then 'maybe' else decision end as decision from a1 where ord % 11 <> 0
-    ), s as (select * from s0 union all select * from s0 where ord % 7 = 0)
-    select sheet_no, ord, 'missing' as problem from a1 where ord % 11 = 0 union all select sheet_no, ord, 'duplicate' from s group by 1, 2 having count(*) > 1
-    union all select distinct s.sheet_no, s.ord, 'value' from s join a1 on s.sheet_no = a1.sheet_no and s.ord = a1.ord where mm <> value_mm
-    union all select distinct sheet_no, ord, 'class' from s where decision not in ('include', 'exclude_nested', 'not_length', 'ambiguous')""",
+    "audit_problems": f"""with {A1}, s0 as (select sheet_no, ord as id, case when ord % 13 = 0 or value_mm = 81 then value_mm + 1 else value_mm end as mm, case when ord % 5 = 0 and value_mm > 9000 then 'maybe' else decision end as decision from a1 where ord % 11 <> 0 and sheet_no % 17 <> 0
+    ), h0 as (select sheet_no, ord as id, nullif(value_mm, 12) as mm, case when ord % 3 = 0 then ord + 1 end as pid, (value_mm % 13) / 10.0 as conf from a1 where sheet_no % 19 <> 0 and (ord <> 2 or sheet_no % 5 <> 0)
+    ), both_ as (select distinct sheet_no from s0 intersect select distinct sheet_no from h0
+    ), s as (select * from (select * from s0 union all select * from s0 where id % 7 = 0) where sheet_no in (from both_)
+    ), h as (select * from (select * from h0 union all select * from h0 where id % 6 = 0) where sheet_no in (from both_))
+    select distinct sheet_no, cast(null as integer) as id, 'no_hits' as problem from s0 where sheet_no not in (from both_) union all select distinct sheet_no, null, 'no_saved' from h0 where sheet_no not in (from both_)
+    union all select sheet_no, id, 'duplicate_saved' from s group by 1, 2 having count(*) > 1 union all select sheet_no, id, 'duplicate_hits' from h group by 1, 2 having count(*) > 1
+    union all select distinct sheet_no, id, 'missing' from h where (sheet_no, id) not in (select (sheet_no, id) from s) union all select distinct sheet_no, id, 'extra' from s where (sheet_no, id) not in (select (sheet_no, id) from h)
+    union all select distinct sheet_no, id, 'parent' from h where pid is not null and (sheet_no, pid) not in (select (sheet_no, id) from h) union all select distinct sheet_no, id, 'confidence' from h where conf < 0 or conf > 1
+    union all select distinct h.sheet_no, h.id, 'parent_value' from h join h u on u.sheet_no = h.sheet_no and u.id = h.pid where u.mm <> 3000 union all select distinct s.sheet_no, s.id, 'value' from s join h on s.sheet_no = h.sheet_no and s.id = h.id where s.mm <> h.mm
+    union all select distinct sheet_no, id, 'class' from s where decision not in ('include', 'exclude_nested', 'not_length', 'ambiguous') union all select distinct sheet_no, id, 'no_value' from h where mm is null""",
     "group_split": "select part, count(*) as n_sheets, cast(sum(n) as bigint) as n_rows from (select l_orderkey, count(*) as n, case when substring(md5(cast(l_orderkey as varchar)), 1, 2) < '2e' then 'validation' else 'train' end as part from lineitem group by 1) group by part",
     "sheet_length": f"with {A1}{RULES.format(base='a1')} " + sheets("r4"),
     "guard_chain": f"with {PARENTS}{RULES.format(base='c')}{CHAIN} " + sheets("g5"),
@@ -118,30 +132,39 @@ ORACLE = {
     "repeat_values": f"with {A1} select sheet_no, value_mm, count(*) as n, case when value_mm <= 25 then 'not_length' else 'support_repeat' end as flag from a1 where value_mm <= 25 or value_mm between 50 and 200 group by 1, 2 having count(*) >= 3",
     "neighbor_text": f"with {NEAR} select sheet_no, ord, nearby from near",
     "overall_argmax": f"with {NEAR} select sheet_no, ao as ord, bo as target_ord, bv as target_value from (select *, row_number() over (partition by sheet_no, ao order by bv desc, bo) as r from p where aom and d2 <= 8100) where r = 1",
-    "overlap_pairs": f"""with {NEAR}, o as (select sheet_no, case when av <= bv then ao else bo end as lo, case when av <= bv then bo else ao end as hi, greatest(av, bv) / least(av, bv) as r, greatest(av, bv) as hv,
-      case when av <= bv then an else bn end as ln, case when av <= bv then bom else aom end as hom from p where ao < bo and d2 <= 784 and (hold_ab or hold_ba)
-    ), q as (select *, r between 1.08 and 1.55 as close, r between 2.0 and 3.5 as stacked, hv >= 8000 or hom as env from o)
-    select distinct sheet_no, lo as ord, 'nested_offset' as flag from q where close or (stacked and regexp_matches(ln, {SUP}) and not env)
-    union select distinct sheet_no, hi, 'overall_pair' from q where not (close or (stacked and regexp_matches(ln, {SUP}) and not env)) and stacked and env""",
+    "overlap_pairs": f"with {NEAR} select sheet_no, ord, flag from fl",
     "best_parent_text": f"with {PARENTS} select * from best",
     "nest_drop_middle": f"with {PARENTS} select * from edge",
-    "sequential_neighbor": f"with {NEAR} select distinct sheet_no, ao as ord from p where d2 <= 2025 and least(av, bv) >= 500 and greatest(av, bv) / least(av, bv) between 1.5 and 2.8",
-    "envelope_pairs": f"with {NEAR} select sheet_no, ao as large_ord, bo as small_ord from p where d2 <= 3025 and av >= 8000 and bv >= 800 and av / bv >= 2.2 and (d2 <= 784 or (av / bv >= 4 and bv >= 2000 and hold_ab))",
+    "sequential_neighbor": f"with {PARENTS} select distinct sheet_no, ao as ord from p where d2 <= 2025 and least(av, bv) >= 500 and greatest(av, bv) / least(av, bv) between 1.5 and 2.8 and (sheet_no, ao) not in (select (sheet_no, ord) from edge)",
+    "envelope_pairs": f"""with {A1}, w as (select a.sheet_no, a.ord as large_ord, b.ord as small_ord, b.value_mm as bv, a.value_mm / b.value_mm as r, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) as d2
+      from a1 a join a1 b on a.sheet_no = b.sheet_no and a.ord <> b.ord where a.value_mm >= 8000 and b.value_mm >= 800 and a.value_mm / b.value_mm >= 2.2
+    ), big as (select * from w where d2 <= 3025), t as (
+      select b.sheet_no, b.large_ord, b.small_ord, b.bv, n.ord * 2 + k as pos, case when k = 0 then cast(n.value_mm as varchar) else 'О' || cast(n.ord as varchar) end as t
+      from big b join a1 o on o.sheet_no = b.sheet_no and o.ord = b.large_ord join a1 n on n.sheet_no = o.sheet_no and n.ord <> o.ord and (n.x - o.x) * (n.x - o.x) + (n.y - o.y) * (n.y - o.y) <= 3025
+      cross join (values (0), (1)) as kinds(k) where b.d2 > 784 and b.r >= 4 and b.bv >= 2000 and (k = 0 or n.sup)
+    ), u as (select sheet_no, large_ord, small_ord, bv, t, row_number() over (partition by sheet_no, large_ord, small_ord order by min(pos)) as rn from t group by 1, 2, 3, 4, 5)
+    select sheet_no, large_ord, small_ord from big where d2 <= 784 union select distinct sheet_no, large_ord, small_ord from u where rn <= 12 and contains(t, cast(bv as varchar))""",
     "twin_run": f"with {NEAR} select sheet_no, ao as ord, min(bo) as twin_ord from p where one and greatest(av, bv) < 8000 and greatest(av, bv) / least(av, bv) <= 1.35 and d2 >= 1600 group by 1, 2",
-    "run_parent": f"with {PARENTS} select distinct sheet_no, parent_ord as ord from sure where (sheet_no, parent_ord) not in (select (sheet_no, ord) from edge)",
-    "features": f"""with {PARENTS}, n as (select c.*, list_filter(list_transform(nums, lambda x: cast(x as bigint)), lambda x: x > value_mm) as larger from c)
-      select n.sheet_no, n.ord, cast(value_mm as double) as value, round(ln(1 + value_mm), 9) as log_value, cast(value_mm >= 8000 as int) as big, cast(value_mm <= 200 as int) as small,
-      case when nearby = '' then 0 else len(string_split(nearby, '|')) end as n_near, cast(len(larger) > 0 as int) as has_larger_near,
-      case when len(larger) > 0 then round(value_mm / list_max(larger), 9) else 0.0 end as nested_ratio, cast(edge.ord is not null as int) as has_parent, coalesce(edge.score, 0.0) as geo_confidence
-      from n left join edge on n.sheet_no = edge.sheet_no and n.ord = edge.ord""",
-    "sample_weights": f"with {A1} select sheet_no, ord, round((case when om then 5.0 else 1.0 end) * (case when hw then 3.5 else 1.0 end) * (case decision when 'exclude_nested' then 1.2 when 'not_length' then 1.6 else 1.0 end) * (case when value_mm >= 2000 then 1.8 else 1.0 end) * (case when value_mm <= 25 then 2.0 else 1.0 end), 6)::double as weight from a1",
+    "run_parent": f"""with {PARENTS}, ab as (select sheet_no, parent_ord as ord from edge union select sheet_no, ao from p where av > bv and (one or two) and (sheet_no, bo) in (select (sheet_no, ord) from fl where flag = 'nested_offset'))
+      select distinct sheet_no, ord from ab where (sheet_no, ord) not in (select (sheet_no, ord) from edge)""",
+    "features": f"""with {PARENTS}{NOTED}, n as (select *, list_max(list_filter(list_transform(regexp_extract_all(nearby, '[0-9]+'), lambda z: cast(z as bigint)), lambda z: z > value_mm)) as larger from fc)
+      select n.sheet_no, n.ord, cast(n.value_mm as double) as value, round(ln(1 + n.value_mm), 9) as log_value, n.x, n.y, cast(n.value_mm >= 8000 as double) as big, cast(n.value_mm <= 200 as double) as small,
+      cast(regexp_matches(low, '\\bz[+]?\\b') as double) as has_z, cast(contains(low, 'см') as double) as has_sm, cast(contains(low, 'dn') as double) as has_dn, cast(contains(low, 'lt') as double) as has_lt,
+      cast(len(string_split(low, '|')) as double) as n_near, cast(larger is not null as double) as has_larger_near, coalesce(round(n.value_mm / larger, 9), 0.0) as nested_ratio, cast(regexp_matches(low, '[оo][0-9]') as double) as support_mark,
+      cast(n.om as double) as f_overall_mark, cast(opair as double) as f_overall_pair, cast(n.hw as double) as f_handwheel, cast(n.ins as double) as f_insulation, cast(rep as double) as f_support_repeat, cast(n.npc as double) as f_near_plant_coord,
+      cast(0 as double) as f_near_endpoint, cast(noff as double) as f_nested_offset, cast(coalesce(score, 0) >= 0.75 as double) as has_parent, coalesce(score, 0.0) as geo_confidence, coalesce(round(n.value_mm / u.value_mm, 9), 0.0) as parent_ratio,
+      coalesce(round(least(1.0, sqrt((n.x - u.x) * (n.x - u.x) + (n.y - u.y) * (n.y - u.y)) / 190.0), 9), 0.0) as parent_dist_norm, cast(case when n.ord % 7 <> 0 then 6 * n.ord else 0 end as double) as dist_to_line, cast(n.ord % 7 <> 0 as double) as parallel_score
+      from n left join best on n.sheet_no = best.sheet_no and n.ord = best.ord left join c u on u.sheet_no = best.sheet_no and u.ord = best.parent_ord""",
+    "sample_weights": f"""with {NEAR}{NOTED}, n as (select *, list_max(list_filter(list_transform(list_filter(regexp_split_to_array(nearby, '[ |]+'), lambda t: regexp_matches(t, '^[0-9]+$')), lambda t: cast(t as bigint)), lambda z: z > value_mm)) as larger from fc)
+      select sheet_no, ord, round((case when sheet_no % 9 = 0 then 8.0 else 1.0 end)::double * (case when om or opair then 5.0 else 1.0 end) * (case when noff then 2.0 else 1.0 end) * (case when hw or ins then 3.5 else 1.0 end) * (case when rep then 2.5 else 1.0 end)
+      * (case when value_mm / larger between 0.12 and 0.55 then 3.0 else 1.0 end) * (case decision when 'exclude_nested' then 1.2 when 'not_length' then 1.6 else 1.0 end) * (case when value_mm >= 2000 then 1.8 else 1.0 end) * (case when value_mm <= 25 then 2.0 else 1.0 end), 6)::double as weight from n""",
     "segment_kind": f"with {A3} select seg, sheet_no, case when length between 28 and 900 and width between 0.18 and 1.2 then 'body' when length between 3.5 and 16 and width <= 1.2 then 'tick' else 'drop' end as kind from a3",
     "line_clusters": """with e as (select user_id % 50 as bucket, event_id as ord, epoch_us(ts) / 6e7 as t0, epoch_us(ts) / 6e7 + value as t1 from events
     ), r as (select *, max(t1) over (partition by bucket order by t0, ord rows between unbounded preceding and 1 preceding) as reach from e
     ), i as (select *, sum(case when t0 > reach + 14 then 1 when reach is null then 1 else 0 end) over (partition by bucket order by t0, ord rows unbounded preceding) as island from r)
     select bucket, cast(island as bigint) as island, min(ord) as first_ord, count(*) as n, round(max(t1) - min(t0), 3) as extent from i group by 1, 2""",
     "span_classes": f"with {A6}, k as (select case when regexp_matches(text, '(?i)^(X|Y|Z[+]?)[ ]*[0-9]+$') then 'coordinate_xyz' when regexp_matches(text, '(?i)^DN[0-9]') then 'nominal_diameter' when regexp_matches(text, '(?i)^[ОOФFПP][0-9]+[АAБB]?$') then 'support_tag' when regexp_matches(text, '^<[0-9]+>$') then 'item_balloon' when not regexp_matches(text, '^[0-9]+$') then 'text' when cast(text as bigint) <= 16 then 'bom_or_weld_index' else 'candidate' end as reason from a6) select reason, count(*) as n from k group by reason",
-    "plant_coord_flag": f"with {A6}, m as (select sheet_no, cast(regexp_extract(text, '(?i)[XYZ][+]?[ ]*([0-9]{{4,6}})', 1) as bigint) as n from a6 where regexp_matches(text, '(?i)[XYZ][+]?[ ]*[0-9]{{4,6}}')) select sheet_no, count(*) as n_coords, max(n) as highest from m where n >= 9000 group by sheet_no",
+    "plant_coord_flag": f"with {NEAR}{NOTED} select sheet_no, ord from cn where len(list_filter(regexp_extract_all(nearby, '(?i)\\b([XYZ][+]?)[ ]*([0-9]{{4,6}})\\b', 2), lambda z: cast(z as integer) >= 9000 and cast(z as integer) <> value_mm)) > 0",
     "page_meta": "select page_id, coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), 'UNKNOWN_' || page_id) as line_id, length(html) as n_chars, regexp_extract(url, '^[a-z]+://([^/]+)', 1) as host from pages",
     "json_props": "select event_type, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) as total_k, count(*) as n from events group by event_type",
     "confusion": f"with {A5} select a.class as y, b.class as pred, count(a5.y) as n from cl a cross join cl b left join a5 on a5.y = a.class and a5.pred = b.class group by 1, 2",

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import audit
 from ..operators import evaluation as E
+from ..operators import features as X
 from ..operators import pairs as P
 from ..operators import rules as R
 from ..sources import adapters as A
@@ -53,27 +55,27 @@ def repeat_values(spark, sf) -> DataFrame:
 
 
 def run_parent(spark, sf) -> DataFrame:
-    """Candidates that are a sure parent and aren't nested themselves."""
-    best = P.best_parents(_n(spark, sf))
-    return best.filter("score >= 0.75").select("sheet_no", F.col("parent_ord").alias("ord")).distinct().join(P.nesting(best), ["sheet_no", "ord"], "left_anti")
+    """Candidates that aren't nested themselves and have a sure part, or name a smaller nested offset or are named by one."""
+    n = P.with_overlaps(_n(spark, sf))
+    return P.run_parents(n, P.nesting(P.best_parents(n)))
 
 
-def features(spark, sf) -> DataFrame:
-    """Model features of a candidate from its value, its neighbours and its parent."""
+def sequential_neighbor(spark, sf) -> DataFrame:
     n = _n(spark, sf)
-    larger = F.filter(F.transform("nums", lambda x: x.cast("long")), lambda x: x > F.col("value_mm"))
-    d = n.withColumn("larger", larger).join(P.nesting(P.best_parents(n)).select("sheet_no", "ord", "score"), ["sheet_no", "ord"], "left")
-    return d.select(
-        "sheet_no", "ord", F.col("value_mm").cast("double").alias("value"), F.round(F.log1p("value_mm"), 9).alias("log_value"), (F.col("value_mm") >= 8000).cast("int").alias("big"), (F.col("value_mm") <= 200).cast("int").alias("small"),
-        F.when(F.col("nearby") == "", 0).otherwise(F.size(F.split("nearby", "[|]"))).cast("long").alias("n_near"), (F.size("larger") > 0).cast("int").alias("has_larger_near"),
-        F.when(F.size("larger") > 0, F.round(F.col("value_mm") / F.array_max("larger"), 9)).otherwise(0.0).alias("nested_ratio"), F.col("score").isNotNull().cast("int").alias("has_parent"), F.coalesce("score", F.lit(0.0)).alias("geo_confidence"),
-    )
+    return P.sequential(n, P.nesting(P.best_parents(n)))
+
+
+def _noted(spark, sf) -> DataFrame:
+    return A.with_notes(R.facts(P.with_overlaps(_n(spark, sf))))
+
+
+def features(spark, sf) -> DataFrame:
+    """The 28 model features of a candidate from its value, its neighbours, its flags and its parent."""
+    return X.features(_noted(spark, sf), P.best_parents(_n(spark, sf)))
 
 
 def sample_weights(spark, sf) -> DataFrame:
-    one = lambda when, k: F.when(when, F.lit(k)).otherwise(F.lit(1.0))
-    kind = F.when(F.col("decision") == "exclude_nested", 1.2).when(F.col("decision") == "not_length", 1.6).otherwise(1.0)
-    return _c(spark, sf).select("sheet_no", "ord", F.round(one(F.col("f_overall_mark"), 5.0) * one(F.col("f_handwheel"), 3.5) * kind * one(F.col("value_mm") >= 2000, 1.8) * one(F.col("value_mm") <= 25, 2.0), 6).alias("weight"))
+    return _noted(spark, sf).select("sheet_no", "ord", F.round(X.weight(), 6).alias("weight"))
 
 
 def segment_kind(spark, sf) -> DataFrame:
@@ -93,8 +95,8 @@ def span_classes(spark, sf) -> DataFrame:
 
 
 def plant_coord_flag(spark, sf) -> DataFrame:
-    d = A.spans(A.table(spark, sf, "lineitem")).select("sheet_no", F.regexp_extract("text", "(?iU)[XYZ][+]? *([0-9]{4,6})", 1).try_cast("long").alias("n"))
-    return d.filter("n >= 9000").groupBy("sheet_no").agg(F.count("*").alias("n_coords"), F.max("n").alias("highest"))
+    """Candidates beside a coordinate of the plant."""
+    return A.with_note(_n(spark, sf)).filter(X.near_plant_coord()).select("sheet_no", "ord")
 
 
 def page_meta(spark, sf) -> DataFrame:
@@ -179,15 +181,8 @@ def nearest_line(spark, sf) -> DataFrame:
 
 
 def audit_problems(spark, sf) -> DataFrame:
-    """Faults between saved decisions and candidates: missing, duplicate, changed value, unknown class."""
-    c = _c(spark, sf).select("sheet_no", "ord", "value_mm", "decision")
-    saved = c.filter("ord % 11 <> 0").selectExpr("sheet_no", "ord", "case when ord % 13 = 0 then value_mm + 1 else value_mm end as saved_mm", "case when ord % 5 = 0 and value_mm > 9000 then 'maybe' else decision end as decision")
-    saved = saved.unionByName(saved.filter("ord % 7 = 0"))
-    missing = c.join(saved, ["sheet_no", "ord"], "left_anti").select("sheet_no", "ord", F.lit("missing").alias("problem"))
-    twice = saved.groupBy("sheet_no", "ord").count().filter("count > 1").select("sheet_no", "ord", F.lit("duplicate").alias("problem"))
-    other = saved.join(c.drop("decision"), ["sheet_no", "ord"]).filter("saved_mm <> value_mm").select("sheet_no", "ord", F.lit("value").alias("problem")).distinct()
-    unknown = saved.filter(~F.col("decision").isin(*KINDS)).select("sheet_no", "ord", F.lit("class").alias("problem")).distinct()
-    return missing.unionByName(twice).unionByName(other).unionByName(unknown)
+    """Faults between saved decisions and candidates, ten kinds, and sheets that one side lacks."""
+    return audit.problems(*A.saved_and_hits(_c(spark, sf)))
 
 
 def group_split(spark, sf) -> DataFrame:
@@ -199,7 +194,7 @@ def group_split(spark, sf) -> DataFrame:
 def queries() -> dict:
     return {
         "other_runs": lambda s, d: P.other_runs(_n(s, d)),
-        "chain_cover": lambda s, d: P.chain_cover(P.chain_parts(_n(s, d))),
+        "chain_cover": lambda s, d: P.chain_cover(P.chain_parts(P.with_overlaps(_n(s, d)))),
         "nearest_line": nearest_line,
         "audit_problems": audit_problems,
         "group_split": group_split,
@@ -213,7 +208,7 @@ def queries() -> dict:
         "overlap_pairs": lambda s, d: P.overlap_flags(_n(s, d)),
         "best_parent_text": lambda s, d: P.best_parents(_n(s, d)),
         "nest_drop_middle": lambda s, d: P.nesting(P.best_parents(_n(s, d))),
-        "sequential_neighbor": lambda s, d: P.sequential(_c(s, d)),
+        "sequential_neighbor": sequential_neighbor,
         "envelope_pairs": lambda s, d: P.envelopes(_n(s, d)),
         "twin_run": lambda s, d: P.twins(_n(s, d)),
         "run_parent": run_parent,

@@ -14,7 +14,7 @@ from .oracle import PARENTS, RULES, SUP, sheets
 
 
 def _lined(spark, sf) -> DataFrame:
-    return kept(A.with_lines(P.with_neighbours(A.candidates(A.table(spark, sf, "lineitem")))))
+    return kept(A.with_lines(P.with_overlaps(P.with_neighbours(A.candidates(A.table(spark, sf, "lineitem"))))))
 
 
 def best_parent_lines(spark, sf) -> DataFrame:
@@ -42,7 +42,7 @@ def _decided(spark, sf) -> DataFrame:
     n = _lined(spark, sf)
     edges = kept(_relations(n).filter(F.col("score") >= L.SURE))
     shells, parts = P.envelopes(n), P.chain_parts(n)
-    d = R.row_rules(R.relation_facts(R.facts(n), edges, shells, P.sequential(n)))
+    d = R.row_rules(R.relation_facts(R.facts(n), edges, P.run_parents(n, edges), shells, P.sequential(n, edges)))
     # the rules so far are one pass over rows; later ones join their own decisions, so these are written once
     d = kept(R.take_openings(R.restore_lengths(R.restore_nested(R.nest_offsets(d)))))
     d = kept(R.restore_orphans(R.restore_twins(R.resolve_envelopes(d, P.first_envelope(n)), P.twins(n))))
@@ -51,12 +51,12 @@ def _decided(spark, sf) -> DataFrame:
 
 
 def guard_decisions(spark, sf) -> DataFrame:
-    """The decision of every candidate after all rules."""
+    """The decision of every candidate after the rules of `rules`."""
     return _decided(spark, sf).select("sheet_no", "ord", "decision")
 
 
 def guard_full(spark, sf) -> DataFrame:
-    """Length, formula and status of every sheet after all rules."""
+    """Length, formula and status of every sheet after the rules of `rules`."""
     return R.sheets(_decided(spark, sf))
 
 
@@ -104,8 +104,8 @@ FULL = """, e7 as (select * from rel where score >= 0.75
 ), env as (select sheet_no, ao as ord, bo, one from p where d2 <= 3025 and av >= 8000 and bv >= 800 and av / bv >= 2.2 and (d2 <= 784 or (av / bv >= 4 and bv >= 2000 and hold_ab))
 ), tg as (select sheet_no, ord, min(bo) as target from env where one group by 1, 2
 ), tw as (select sheet_no, ao as ord, min(bo) as twin_ord from p where one and greatest(av, bv) < 8000 and greatest(av, bv) / least(av, bv) <= 1.35 and d2 >= 1600 group by 1, 2
-), h0 as (select r4.*, (sheet_no, ord) in (select (sheet_no, ord) from e7) as has_parent, (sheet_no, ord) in (select (sheet_no, parent_ord) from e7) as above, (sheet_no, ord) in (select (sheet_no, ord) from env) as beside,
-    (sheet_no, ord) in (select (sheet_no, ao) from p where d2 <= 2025 and least(av, bv) >= 500 and greatest(av, bv) / least(av, bv) between 1.5 and 2.8) as goes_on, (sheet_no, ord) in (select (sheet_no, ord) from tw) as has_twin from r4
+), h0 as (select r4.*, (sheet_no, ord) in (select (sheet_no, ord) from e7) as has_parent, (sheet_no, ord) in (select (sheet_no, parent_ord) from e7 union all select (sheet_no, ao) from p where av > bv and (one or two) and (sheet_no, bo) in (select (sheet_no, ord) from fl where flag = 'nested_offset')) as above, (sheet_no, ord) in (select (sheet_no, ord) from env) as beside,
+    (sheet_no, ord) in (select (sheet_no, ao) from p where d2 <= 2025 and least(av, bv) >= 500 and greatest(av, bv) / least(av, bv) between 1.5 and 2.8) and (sheet_no, ord) not in (select (sheet_no, ord) from e7) as goes_on, (sheet_no, ord) in (select (sheet_no, ord) from tw) as has_twin from r4
 ), h1 as (select *, above and not has_parent as is_parent from h0
 ), h2 as (select * replace (case when has_parent and decision in ('include', 'ambiguous', 'exclude_nested') then 'exclude_nested' else decision end as decision) from h1
 ), h3 as (select * replace (case when decision = 'exclude_nested' and not om and not has_parent and not (beside and not goes_on and not is_parent) then 'include' else decision end as decision) from h2
@@ -124,7 +124,7 @@ FULL = """, e7 as (select * from rel where score >= 0.75
 ), orph as (select n.sheet_no, n.ord from (select sheet_no, ord, value_mm as own, cast(unnest(nums) as bigint) as v from h7) n join sv on sv.sheet_no = n.sheet_no and sv.value_mm = n.v where v > own group by 1, 2 having not bool_or(counted)
 ), h8 as (select * replace (case when decision = 'exclude_nested' and not om and not offs and (sheet_no, ord) in (select (sheet_no, ord) from orph) then 'include' else decision end as decision) from h7
 ), q as (select p.sheet_no, p.ao, p.bo, p.av, p.bv, p.d2, p.one, p.two, a.x as ax, a.y as ay, b.x as bx, b.y as by_, a.hw, a.ins from p
-  join c a on a.sheet_no = p.sheet_no and a.ord = p.ao join c b on b.sheet_no = p.sheet_no and b.ord = p.bo where bom and not aom and av >= 300 and av < bv
+  join c a on a.sheet_no = p.sheet_no and a.ord = p.ao join c b on b.sheet_no = p.sheet_no and b.ord = p.bo where bom and not aom and av >= 300 and av < bv and (p.sheet_no, p.ao) not in (select (sheet_no, ord) from fl where flag = 'overall_pair')
 ), seed as (select * from q where one or (two and d2 <= 25600)
 ), two_ as (select *, row_number() over (partition by sheet_no, bo order by d desc, i, j) as r from (
   select s.sheet_no, s.bo, s.ao as i, z.ao as j, z.ax - s.ax as ux, z.ay - s.ay as uy, (z.ax - s.ax) * (z.ax - s.ax) + (z.ay - s.ay) * (z.ay - s.ay) as d from seed s join seed z on s.sheet_no = z.sheet_no and s.bo = z.bo and s.ao < z.ao)

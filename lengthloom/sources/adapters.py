@@ -45,6 +45,32 @@ def with_lines(c: DataFrame) -> DataFrame:
     return c.select("*", line.alias("line"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("dir_x") * n).alias("x2"), (F.col("y") + F.col("dir_y") * n).alias("y2"), (F.lit(6.0) * F.col("ord")).alias("offset"))
 
 
+#: Texts beside candidates, by remainder modulo 7 of their number.
+NOTES = ("z+ 37329", "DN50", "LT", "10 см", "Z 24100", "X 1234567", "Y8999")
+
+
+def with_note(c: DataFrame) -> DataFrame:
+    """Candidates with a further text beside them."""
+    note = F.element_at(F.array(*map(F.lit, NOTES)), F.col("ord") % 7 + 1)
+    return c.withColumn("nearby", F.when(F.col("nearby") == "", note).otherwise(F.concat("nearby", F.lit(" | "), note)))
+
+
+def with_notes(c: DataFrame) -> DataFrame:
+    """Candidates with a further text beside them, flags as an array, a mark of locked sheets and figures of the nearest line."""
+    on = (("overall_mark", "f_overall_mark"), ("overall_pair", "f_overall_pair"), ("handwheel", "f_handwheel"), ("insulation", "f_insulation_thickness"), ("support_repeat", "support_repeat"), ("near_plant_coord", "f_near_plant_coord"), ("nested_offset", "f_nested_offset"))
+    return with_note(c).withColumns({
+        "flags": F.array_compact(F.array(*(F.when(F.col(k), F.lit(n)) for n, k in on))), "locked": F.col("sheet_no") % 9 == 0,
+        "dist_to_line": F.when(F.col("ord") % 7 != 0, F.lit(6.0) * F.col("ord")), "parallel_score": F.when(F.col("ord") % 7 != 0, F.lit(1.0)),
+    })
+
+
+def saved_and_hits(c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Saved decisions and the candidates that they are about, with faults of every kind."""
+    saved = c.filter("ord % 11 <> 0 and sheet_no % 17 <> 0").selectExpr("sheet_no", "ord as id", "case when ord % 13 = 0 or value_mm = 81 then value_mm + 1 else value_mm end as value_mm", "case when ord % 5 = 0 and value_mm > 9000 then 'maybe' else decision end as decision")
+    hits = c.filter("sheet_no % 19 <> 0 and (ord <> 2 or sheet_no % 5 <> 0)").selectExpr("sheet_no", "ord as id", "case when value_mm <> 12 then value_mm end as value_mm", "case when ord % 3 = 0 then ord + 1 end as parent_id", "cast(value_mm % 13 as double) / 10 as geometry_confidence", "3000 as parent_value_mm")
+    return saved.unionByName(saved.filter("id % 7 = 0")), hits.unionByName(hits.filter("id % 6 = 0"))
+
+
 def intervals(events: DataFrame) -> DataFrame:
     """Events as intervals on 50 lines, in minutes."""
     t = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(6e7)
