@@ -43,7 +43,7 @@ def features(c: DataFrame, parents: DataFrame) -> DataFrame:
         _yes(F.col("_larger").isNotNull()).alias("has_larger_near"), F.coalesce(F.round(F.col("_v") / F.col("_larger"), 9), F.lit(0.0)).alias("nested_ratio"),
         _yes(near.rlike("[оo][0-9]")).alias("support_mark"), *(_yes(F.array_contains("flags", f)).alias(f"f_{f}") for f in FLAGS),
         _yes(F.col("_score") >= 0.75).alias("has_parent"), F.coalesce("_score", F.lit(0.0)).alias("geo_confidence"), F.when(F.col("_pv") > 0, F.round(F.col("_v") / F.col("_pv"), 9)).otherwise(0.0).alias("parent_ratio"),
-        F.coalesce(F.round(F.least(F.lit(1.0), F.sqrt(dx * dx + dy * dy) / REACH), 9), F.lit(0.0)).alias("parent_dist_norm"), *(F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in ("dist_to_line", "parallel_score")),
+        F.round(F.least(F.lit(1.0), F.coalesce(F.sqrt(dx * dx + dy * dy) / REACH, F.lit(0.0))), 9).alias("parent_dist_norm"), *(F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in ("dist_to_line", "parallel_score")),
     )
 
 

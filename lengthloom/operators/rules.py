@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 INCLUDE, NESTED, OTHER, OPEN = "include", "exclude_nested", "not_length", "ambiguous"
+#: Fixed value: from here on (mm) an LT beside a value makes it an overall.
+LT_LEAST = 2500
 
 
 def facts(c: DataFrame) -> DataFrame:
@@ -24,9 +26,24 @@ def _is(*kinds: str) -> Column:
     return F.col("decision").isin(*kinds)
 
 
+def mark_overalls(d: DataFrame) -> DataFrame:
+    """Overall marks are nested."""
+    return _set(d, F.col("f_overall_mark") & _is(INCLUDE, NESTED), NESTED)
+
+
+def pair_rules(d: DataFrame) -> DataFrame:
+    """All rules on one row, with relation_facts: the larger of a pair is nested, or a whole run that no other of these rules touches.
+
+    What stands beside an LT from 2500 on is nested too.
+    """
+    d = mark_overalls(d).withColumn("_run", F.col("f_overall_pair") & F.col("is_parent") & _is(INCLUDE, NESTED))
+    d = _set(d, (F.col("f_overall_pair") | F.col("lt")) & _is(INCLUDE, NESTED), NESTED)
+    return _set(row_rules(d), F.col("_run"), INCLUDE).drop("_run")
+
+
 def row_rules(d: DataFrame) -> DataFrame:
     """Rules on one row: overall marks are nested; handwheels, insulation, repeats, coordinates and tiny values no lengths."""
-    d = _set(d, F.col("f_overall_mark") & _is(INCLUDE, NESTED), NESTED)
+    d = mark_overalls(d)
     d = _set(d, _is(INCLUDE, OPEN) & (F.col("f_handwheel") | (F.col("wheel_value") & ~F.col("f_pipe_opening"))), OTHER)
     d = _set(d, _is(INCLUDE, OPEN) & F.col("f_insulation_thickness"), OTHER)
     d = _set(d, _is(INCLUDE) & F.col("support_repeat"), OTHER)
@@ -46,10 +63,10 @@ def restore_lengths(d: DataFrame) -> DataFrame:
     return _set(d, _is(OTHER) & ~held, INCLUDE)
 
 
-def restore_twins(d: DataFrame, twins: DataFrame) -> DataFrame:
-    """A nested candidate without a parent comes back if it has a twin run."""
+def restore_twins(d: DataFrame, twins: DataFrame, flagged: Column | None = None) -> DataFrame:
+    """A nested candidate without a parent comes back if it has a twin run; flagged ones don't."""
     d = d.join(twins.select("sheet_no", "ord", F.lit(True).alias("has_twin")), ["sheet_no", "ord"], "left")
-    return _set(d, _is(NESTED) & ~F.col("f_overall_mark") & ~F.col("has_parent") & F.coalesce("has_twin", F.lit(False)), INCLUDE)
+    return _set(d, _is(NESTED) & ~F.col("f_overall_mark") & ~F.col("has_parent") & F.coalesce("has_twin", F.lit(False)) & ~(F.lit(False) if flagged is None else flagged), INCLUDE)
 
 
 def take_ambiguous(d: DataFrame) -> DataFrame:
@@ -59,24 +76,26 @@ def take_ambiguous(d: DataFrame) -> DataFrame:
 
 
 def relation_facts(d: DataFrame, edges: DataFrame, run_parents: DataFrame, envelopes: DataFrame, sequential: DataFrame) -> DataFrame:
-    """What the rules ask of relations: has_parent, is_parent, overall_beside and continues."""
+    """What the rules ask of relations: has_parent, is_parent, overall_beside, continues and lt."""
     on, yes = ["sheet_no", "ord"], F.lit(True)
     d = d.join(edges.select(*on, yes.alias("has_parent")), on, "left")
     d = d.join(run_parents.select(*on, yes.alias("is_parent")), on, "left")
     d = d.join(envelopes.select("sheet_no", F.col("large_ord").alias("ord"), yes.alias("overall_beside")).distinct(), on, "left")
     d = d.join(sequential.select(*on, yes.alias("continues")), on, "left")
-    return d.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_parent", "is_parent", "overall_beside", "continues")})
+    return d.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_parent", "is_parent", "overall_beside", "continues")} | {"lt": (F.col("value_mm") >= LT_LEAST) & F.upper("nearby").rlike(r"(^|\|)\s*LT\s*($|\|)")})
 
 
 def nest_offsets(d: DataFrame) -> DataFrame:
-    """A candidate with a sure parent is nested, an overall mark too."""
-    return _set(d, F.col("has_parent") & _is(INCLUDE, OPEN, NESTED), NESTED)
+    """A candidate with a sure parent is nested, and a nested offset; overall marks and pairs only with a parent or a part."""
+    overall = (F.col("f_overall_mark") | F.col("f_overall_pair")) & ~F.col("has_parent") & ~F.col("is_parent")
+    return _set(d, (F.col("has_parent") | F.col("f_nested_offset")) & ~overall & _is(INCLUDE, OPEN, NESTED), NESTED)
 
 
 def restore_nested(d: DataFrame) -> DataFrame:
-    """A nested candidate without a parent comes back, unless it is an overall mark or surrounds others and continues none."""
+    """A nested candidate without a parent comes back, unless it is an overall or surrounds others and continues none; a pair's larger one as a whole run."""
+    d = _set(d, _is(NESTED) & F.col("f_overall_pair") & F.col("is_parent"), INCLUDE)
     shell = F.col("overall_beside") & ~F.col("continues") & ~F.col("is_parent")
-    return _set(d, _is(NESTED) & ~F.col("f_overall_mark") & ~F.col("has_parent") & ~shell, INCLUDE)
+    return _set(d, _is(NESTED) & ~F.col("f_overall_mark") & ~F.col("f_overall_pair") & ~F.col("lt") & ~F.col("has_parent") & ~shell, INCLUDE)
 
 
 def take_openings(d: DataFrame) -> DataFrame:
@@ -109,7 +128,7 @@ def restore_orphans(d: DataFrame) -> DataFrame:
     d = d.withColumns({"_values": F.collect_set("value_mm").over(w), "_counted": F.collect_set(F.when(_is(INCLUDE), F.col("value_mm"))).over(w)})
     larger = F.filter(F.array_intersect(F.transform("nums", lambda n: n.try_cast("int")), F.col("_values")), lambda n: n > F.col("value_mm"))
     orphan = (F.size(larger) > 0) & ~F.arrays_overlap(larger, "_counted")
-    return _set(d, _is(NESTED) & ~F.col("f_overall_mark") & ~F.col("offset_role") & orphan, INCLUDE).drop("_values", "_counted")
+    return _set(d, _is(NESTED) & ~F.col("f_overall_mark") & ~F.col("f_overall_pair") & ~F.col("lt") & ~F.col("f_nested_offset") & ~F.col("offset_role") & orphan, INCLUDE).drop("_values", "_counted")
 
 
 def cover_overalls(d: DataFrame, parts: DataFrame, cover: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ ORACLE = {
       cast(len(string_split(low, '|')) as double) as n_near, cast(larger is not null as double) as has_larger_near, coalesce(round(n.value_mm / larger, 9), 0.0) as nested_ratio, cast(regexp_matches(low, '[оo][0-9]') as double) as support_mark,
       cast(n.om as double) as f_overall_mark, cast(opair as double) as f_overall_pair, cast(n.hw as double) as f_handwheel, cast(n.ins as double) as f_insulation, cast(rep as double) as f_support_repeat, cast(n.npc as double) as f_near_plant_coord,
       cast(0 as double) as f_near_endpoint, cast(noff as double) as f_nested_offset, cast(coalesce(score, 0) >= 0.75 as double) as has_parent, coalesce(score, 0.0) as geo_confidence, coalesce(round(n.value_mm / u.value_mm, 9), 0.0) as parent_ratio,
-      coalesce(round(least(1.0, sqrt((n.x - u.x) * (n.x - u.x) + (n.y - u.y) * (n.y - u.y)) / 190.0), 9), 0.0) as parent_dist_norm, cast(case when n.ord % 7 <> 0 then 6 * n.ord else 0 end as double) as dist_to_line, cast(n.ord % 7 <> 0 as double) as parallel_score
+      round(least(1.0, coalesce(sqrt((n.x - u.x) * (n.x - u.x) + (n.y - u.y) * (n.y - u.y)) / 190.0, 0.0)), 9) as parent_dist_norm, cast(case when n.ord % 7 <> 0 then 6 * n.ord else 0 end as double) as dist_to_line, cast(n.ord % 7 <> 0 as double) as parallel_score
       from n left join best on n.sheet_no = best.sheet_no and n.ord = best.ord left join c u on u.sheet_no = best.sheet_no and u.ord = best.parent_ord""",
     "sample_weights": f"""with {NEAR}{NOTED}, n as (select *, list_max(list_filter(list_transform(list_filter(regexp_split_to_array(nearby, '[ |]+'), lambda t: regexp_matches(t, '^[0-9]+$')), lambda t: cast(t as bigint)), lambda z: z > value_mm)) as larger from fc)
       select sheet_no, ord, round((case when sheet_no % 9 = 0 then 8.0 else 1.0 end)::double * (case when om or opair then 5.0 else 1.0 end) * (case when noff then 2.0 else 1.0 end) * (case when hw or ins then 3.5 else 1.0 end) * (case when rep then 2.5 else 1.0 end)

@@ -42,10 +42,10 @@ def _decided(spark, sf) -> DataFrame:
     n = _lined(spark, sf)
     edges = kept(_relations(n).filter(F.col("score") >= L.SURE))
     shells, parts = P.envelopes(n), P.chain_parts(n)
-    d = R.row_rules(R.relation_facts(R.facts(n), edges, P.run_parents(n, edges), shells, P.sequential(n, edges)))
+    d = R.pair_rules(R.relation_facts(R.facts(n), edges, P.run_parents(n, edges), shells, P.sequential(n, edges)))
     # the rules so far are one pass over rows; later ones join their own decisions, so these are written once
     d = kept(R.take_openings(R.restore_lengths(R.restore_nested(R.nest_offsets(d)))))
-    d = kept(R.restore_orphans(R.restore_twins(R.resolve_envelopes(d, P.first_envelope(n)), P.twins(n))))
+    d = kept(R.restore_orphans(R.restore_twins(R.resolve_envelopes(d, P.first_envelope(n)), P.twins(n), F.col("f_overall_pair") | F.col("f_nested_offset"))))
     parts = kept(parts)
     return R.take_ambiguous(R.cover_overalls(d, parts, P.chain_cover(parts)))
 
@@ -99,16 +99,22 @@ LINES = PARENTS + f""", ln as (select *, case when ord % 7 <> 0 then ord - cast(
   from lb full join ar on lb.sheet_no = ar.sheet_no and lb.ord = ar.ord
 ), rel as (select sheet_no, ord, parent_ord, score, dist from rw where in_run or not exists (select 1 from rw z where z.score >= 0.75 and z.sheet_no = rw.sheet_no and z.parent_ord = rw.ord))"""
 
-#: The rules on relations, from the row rules' r4 on; the fold over surrounding candidates is a recursion by position.
+#: All rules, from the facts f2 on; the fold over surrounding candidates is a recursion by position.
 FULL = """, e7 as (select * from rel where score >= 0.75
 ), env as (select sheet_no, ao as ord, bo, one from p where d2 <= 3025 and av >= 8000 and bv >= 800 and av / bv >= 2.2 and (d2 <= 784 or (av / bv >= 4 and bv >= 2000 and hold_ab))
 ), tg as (select sheet_no, ord, min(bo) as target from env where one group by 1, 2
 ), tw as (select sheet_no, ao as ord, min(bo) as twin_ord from p where one and greatest(av, bv) < 8000 and greatest(av, bv) / least(av, bv) <= 1.35 and d2 >= 1600 group by 1, 2
-), h0 as (select r4.*, (sheet_no, ord) in (select (sheet_no, ord) from e7) as has_parent, (sheet_no, ord) in (select (sheet_no, parent_ord) from e7 union all select (sheet_no, ao) from p where av > bv and (one or two) and (sheet_no, bo) in (select (sheet_no, ord) from fl where flag = 'nested_offset')) as above, (sheet_no, ord) in (select (sheet_no, ord) from env) as beside,
-    (sheet_no, ord) in (select (sheet_no, ao) from p where d2 <= 2025 and least(av, bv) >= 500 and greatest(av, bv) / least(av, bv) between 1.5 and 2.8) and (sheet_no, ord) not in (select (sheet_no, ord) from e7) as goes_on, (sheet_no, ord) in (select (sheet_no, ord) from tw) as has_twin from r4
+), h0 as (select f2.*, (sheet_no, ord) in (select (sheet_no, ord) from fl where flag = 'overall_pair') as op, (sheet_no, ord) in (select (sheet_no, ord) from fl where flag = 'nested_offset') as nf, value_mm >= 2500 and regexp_matches(upper(nearby), '(^|[|]) *LT *($|[|])') as lt, (sheet_no, ord) in (select (sheet_no, ord) from e7) as has_parent, (sheet_no, ord) in (select (sheet_no, parent_ord) from e7 union all select (sheet_no, ao) from p where av > bv and (one or two) and (sheet_no, bo) in (select (sheet_no, ord) from fl where flag = 'nested_offset')) as above, (sheet_no, ord) in (select (sheet_no, ord) from env) as beside,
+    (sheet_no, ord) in (select (sheet_no, ao) from p where d2 <= 2025 and least(av, bv) >= 500 and greatest(av, bv) / least(av, bv) between 1.5 and 2.8) and (sheet_no, ord) not in (select (sheet_no, ord) from e7) as goes_on, (sheet_no, ord) in (select (sheet_no, ord) from tw) as has_twin from f2
 ), h1 as (select *, above and not has_parent as is_parent from h0
-), h2 as (select * replace (case when has_parent and decision in ('include', 'ambiguous', 'exclude_nested') then 'exclude_nested' else decision end as decision) from h1
-), h3 as (select * replace (case when decision = 'exclude_nested' and not om and not has_parent and not (beside and not goes_on and not is_parent) then 'include' else decision end as decision) from h2
+), k1 as (select * replace (case when om and decision in ('include', 'exclude_nested') then 'exclude_nested' else decision end as decision) from h1
+), k2 as (select *, op and is_parent and decision in ('include', 'exclude_nested') as whole from k1
+), k3 as (select * replace (case when whole then 'include' when (op or lt) and decision in ('include', 'exclude_nested') then 'exclude_nested' else decision end as decision) from k2
+), k4 as (select * replace (case when not whole and decision in ('include', 'ambiguous') and (hw or (wheel and not po) or ins) then 'not_length' else decision end as decision) from k3
+), k5 as (select * replace (case when not whole and decision = 'include' and (rep or (npc and value_mm >= 9000)) then 'not_length' else decision end as decision) from k4
+), k6 as (select * replace (case when not whole and decision in ('include', 'ambiguous') and (value_mm <= 16 or small) then 'not_length' else decision end as decision) from k5
+), h2 as (select * replace (case when (has_parent or nf) and (not (om or op) or has_parent or is_parent) and decision in ('include', 'ambiguous', 'exclude_nested') then 'exclude_nested' else decision end as decision) from k6
+), h3 as (select * replace (case when decision = 'exclude_nested' and op and is_parent then 'include' when decision = 'exclude_nested' and not om and not op and not lt and not has_parent and not (beside and not goes_on and not is_parent) then 'include' else decision end as decision) from h2
 ), h4 as (select * replace (case when decision = 'not_length' and not (hw or ins or rep or (wheel and not po) or value_mm <= 16 or small or (npc and value_mm >= 9000)) then 'include' else decision end as decision) from h3
 ), h5 as (select * replace (case when po and decision in ('not_length', 'ambiguous', 'exclude_nested') and not (hw or ins or rep or om or value_mm <= 16 or (decision = 'exclude_nested' and has_parent)) then 'include' else decision end as decision) from h4
 ), st as (select h.sheet_no, h.ord, h.is_parent, tg.target, t.decision = 'include' and not t.om and t.value_mm < h.value_mm as may, row_number() over (partition by h.sheet_no order by h.ord) as k
@@ -119,10 +125,10 @@ FULL = """, e7 as (select * from rel where score >= 0.75
   from walk w join st on st.sheet_no = w.sheet_no and st.k = w.k + 1
 ), fin as (select sheet_no, arg_max(own, k) as own, arg_max(other, k) as other from walk group by 1
 ), h6 as (select h5.* replace (case when list_contains(own || other, ord) then 'exclude_nested' else decision end as decision), has_parent or coalesce(list_contains(other, ord), false) as offs from h5 left join fin using (sheet_no)
-), h7 as (select * replace (case when decision = 'exclude_nested' and not om and not has_parent and has_twin then 'include' else decision end as decision) from h6
+), h7 as (select * replace (case when decision = 'exclude_nested' and not om and not op and not nf and not has_parent and has_twin then 'include' else decision end as decision) from h6
 ), sv as (select sheet_no, value_mm, bool_or(decision = 'include') as counted from h7 group by 1, 2
 ), orph as (select n.sheet_no, n.ord from (select sheet_no, ord, value_mm as own, cast(unnest(nums) as bigint) as v from h7) n join sv on sv.sheet_no = n.sheet_no and sv.value_mm = n.v where v > own group by 1, 2 having not bool_or(counted)
-), h8 as (select * replace (case when decision = 'exclude_nested' and not om and not offs and (sheet_no, ord) in (select (sheet_no, ord) from orph) then 'include' else decision end as decision) from h7
+), h8 as (select * replace (case when decision = 'exclude_nested' and not om and not op and not lt and not nf and not offs and (sheet_no, ord) in (select (sheet_no, ord) from orph) then 'include' else decision end as decision) from h7
 ), q as (select p.sheet_no, p.ao, p.bo, p.av, p.bv, p.d2, p.one, p.two, a.x as ax, a.y as ay, b.x as bx, b.y as by_, a.hw, a.ins from p
   join c a on a.sheet_no = p.sheet_no and a.ord = p.ao join c b on b.sheet_no = p.sheet_no and b.ord = p.bo where bom and not aom and av >= 300 and av < bv and (p.sheet_no, p.ao) not in (select (sheet_no, ord) from fl where flag = 'overall_pair')
 ), seed as (select * from q where one or (two and d2 <= 25600)
