@@ -73,12 +73,14 @@ def _messages(model: Model, pieces: list[np.ndarray], first: np.ndarray) -> tupl
     order = cut[np.argsort([-len(pieces[i]) for i in cut], kind="stable")]
     lengths = np.array([len(pieces[i]) for i in order])
     flat, begin = np.concatenate([pieces[i] for i in order]), np.cumsum(lengths) - lengths
-    emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
-    product = np.tile(np.eye(k, dtype=np.float32), (len(order), 1, 1))
-    for t, m in enumerate(np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), "right")):
-        x = product[:m] @ move if t else np.where(first[order][:, None, None], product, product @ move)
-        x = x * emit[flat[begin[:m] + t]][:, None, :]
-        product[:m] = x / np.maximum(x.max(axis=(1, 2), keepdims=True), 1e-30)
+    emit, move = (model.emit / model.emit.max(axis=1, keepdims=True)).astype(np.float32), model.move.astype(np.float32)  # only ratios count
+    product = np.where(first[order][:, None, None], np.eye(k, dtype=np.float32), move) * emit.take(flat[begin], axis=0)[:, None, :]
+    for t, m in enumerate(np.searchsorted(-lengths, -np.arange(2, lengths[0] + 1), "right").tolist(), 1):
+        x = (product[:m].reshape(-1, k) @ move).reshape(m, k, k)
+        x *= emit.take(flat[begin[:m] + t], axis=0)[:, None, :]
+        if t % 4 == 0:
+            x /= np.maximum(x.max(axis=(1, 2), keepdims=True), 1e-30)
+        product[:m] = x
     of = dict(zip(order.tolist(), product.astype(np.float64), strict=True))
     for i in cut.tolist():
         if not last[i]:
@@ -102,13 +104,18 @@ def posteriors(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     n = int(lengths.sum())
     sym = np.empty(n, np.int64)
     sym[place] = np.concatenate([pieces[i] for i in order])
-    e, move = model.emit.astype(np.float32)[sym], model.move.astype(np.float32)
+    e, move = model.emit.astype(np.float32).take(sym, axis=0), model.move.astype(np.float32)
+    back_move, ones = np.ascontiguousarray(move.T), np.ones(len(move), np.float32)
+    steps = list(zip(live.tolist(), begin.tolist(), strict=True))
     begins = np.where(first[:, None], model.start, ahead_of @ model.move)[order].astype(np.float32)
     alpha, scale = np.empty_like(e), np.empty(n, np.float32)
-    for t, (k, b) in enumerate(zip(live, begin, strict=True)):
-        a = (begins if not t else alpha[begin[t - 1] : begin[t - 1] + k] @ move) * e[b : b + k]
-        scale[b : b + k] = c = np.maximum(a.sum(axis=1), 1e-30)
-        alpha[b : b + k] = a / c[:, None]
+    before = None
+    for k, b in steps:
+        a, c = alpha[b : b + k], scale[b : b + k]
+        np.multiply(begins if before is None else before[:k] @ move, e[b : b + k], out=a)
+        np.maximum(a @ ones, 1e-30, out=c)
+        a /= c[:, None]
+        before = a
     # backward values at the end of each piece, then from there to its begin
     end = begin[lengths - 1] + np.arange(len(lengths))
     tail = behind[order].astype(np.float32)
@@ -116,23 +123,23 @@ def posteriors(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     back = np.ones_like(e)
     back[end] = tail
     ahead = e / scale[:, None]  # becomes emission times backward value over scale
-    for t in range(len(live) - 1, -1, -1):
-        b, k = begin[t], live[t]
-        if t + 1 < len(live):
-            nb, nk = begin[t + 1], live[t + 1]
-            back[b : b + nk] = ahead[nb : nb + nk] @ move.T
-        ahead[b : b + k] *= back[b : b + k]
+    after = None
+    for k, b in reversed(steps):
+        if after is not None:
+            np.matmul(after, back_move, out=back[b : b + len(after)])
+        after = ahead[b : b + k]
+        after *= back[b : b + k]
     moves = ahead_of[order].T @ ahead[: live[0]]  # from piece to piece
     if n > live[0]:
-        before = np.concatenate([np.arange(begin[t - 1], begin[t - 1] + live[t]) for t in range(1, len(live))])
-        moves = moves + alpha[before].T @ ahead[live[0] :]
+        before = np.arange(live[0], n) - np.repeat(live[:-1], live[1:])
+        moves = moves + alpha.take(before, axis=0).T @ ahead[live[0] :]
     gamma = alpha * back
     starts = gamma[: live[0]][first[order]].sum(axis=0, dtype=np.float64)
     sizes = np.array([len(x) for x in pieces])
     begin_of = (np.cumsum(sizes) - sizes)[order]
-    in_order = np.empty_like(gamma)
-    in_order[np.repeat(begin_of - (np.cumsum(lengths) - lengths), lengths) + np.arange(n)] = gamma[place]
-    return starts, moves.astype(np.float64) * model.move, in_order
+    at = np.empty(n, np.int64)
+    at[np.repeat(begin_of - (np.cumsum(lengths) - lengths), lengths) + np.arange(n)] = place
+    return starts, moves.astype(np.float64) * model.move, gamma.take(at, axis=0)
 
 
 def expected(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,10 +154,10 @@ def likelihood(model: Model, emissions: np.ndarray, sizes: np.ndarray) -> np.nda
     order = np.argsort(-sizes, kind="stable")
     lengths, first = sizes[order], (np.cumsum(sizes) - sizes)[order]
     live = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), "right")
-    total, alpha = np.zeros(len(sizes)), None
-    for t, k in enumerate(live):
-        alpha = (model.start if alpha is None else alpha[:k] @ model.move) * emissions[first[:k] + t]
-        c = alpha.sum(axis=1)
+    total, alpha, ones = np.zeros(len(sizes)), None, np.ones(len(model.start))
+    for t, k in enumerate(live.tolist()):
+        alpha = (model.start if alpha is None else alpha[:k] @ model.move) * emissions.take(first[:k] + t, axis=0)
+        c = alpha @ ones
         total[:k] += np.log10(c)
         alpha /= c[:, None]
     out = np.empty(len(sizes))
