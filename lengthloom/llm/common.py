@@ -7,6 +7,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +114,16 @@ def doc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in order, in slices of about ``size`` bytes of a text column, so that what a task holds is bounded by
+    the longest text and not by the session's rows a batch."""
+    for batch in batches:
+        end = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(end // size)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def tidy(owner: str) -> None:
     """In a Python worker, at the start of an operator's task: drop other operators' caches and give freed memory back.
 
@@ -119,8 +132,6 @@ def tidy(owner: str) -> None:
     import ctypes
     import gc
 
-    import pyarrow as pa
-
     for name, cache in caches.items():
         if name != owner:
             cache.clear()

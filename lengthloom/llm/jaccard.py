@@ -303,7 +303,7 @@ def _sketches(df: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         C.tidy("jaccard")
         shingle = Shingler(n)
-        for batch in batches:
+        for batch in C.slices(batches, 1):
             node, sig, bands = [], [], []
             for t in batch.column(1):
                 s = shingle(t.as_py() or "")
@@ -320,7 +320,7 @@ def _sets(df: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         C.tidy("jaccard")
         shingle = Shingler(n)
-        for batch in batches:
+        for batch in C.slices(batches, 0):
             sets = [shingle(t.as_py() or "") for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["found", "shingles"])
 

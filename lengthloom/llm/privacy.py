@@ -310,8 +310,8 @@ def pseudonymise(df: DataFrame, key: bytes, text: str = "text", kinds: tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         C.tidy("privacy")
         p = _pseudonyms(key, kinds)
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
+        at = names.index(text)
+        for batch in C.slices(batches, at):
             texts, found = [], []
             for t in batch.column(at).to_pylist():
                 new, spans = p.text(t) if t else (t, [])
