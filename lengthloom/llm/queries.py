@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hmm, jaccard, language, mixing, packing, privacy, quality, repeats, search, sharding, whitening
+from . import hmm, jaccard, language, mixing, packing, privacy, quality, repair, repeats, search, sharding, whitening
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_kd_tree_search": search.query,
         "op9_repetition_rules": quality.query,
         "op10_bayesian_jaccard": jaccard.query,
+        "op12_duckdb_repair": repair.query,
         "op13_two_pass_whitening": whitening.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_kd_tree_search": search.ORACLE}
+    return {"op8_kd_tree_search": search.ORACLE, "op12_duckdb_repair": repair.ORACLE}

@@ -33,4 +33,5 @@ def folders(spark, tmp_path_factory):
     for name, docs, vecs in (("nasty", nasty_rows(), vectors), ("empty", [], [])):
         spark.createDataFrame(docs, SCHEMA).repartition(3).write.parquet(f"{top}/{name}/documents.parquet")
         spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").write.parquet(f"{top}/{name}/embeddings.parquet")
+        spark.createDataFrame([(1, 0, "user", "a.", "x"), (None, None, None, None, None)] if docs else [], "conv_id long, turn long, role string, text string, audit string").write.parquet(f"{top}/{name}/conversations.parquet")
     return f"{top}/nasty", f"{top}/empty"
