@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hmm, jaccard, language, mixing, packing, privacy, quality, repair, repeats, search, sharding, whitening
+from . import hmm, jaccard, language, mixing, neardup, packing, privacy, quality, repair, repeats, search, sharding, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_kd_tree_search": search.query,
         "op9_repetition_rules": quality.query,
         "op10_bayesian_jaccard": jaccard.query,
+        "op11_small_world_graphs": neardup.query,
         "op12_duckdb_repair": repair.query,
         "op13_two_pass_whitening": whitening.query,
     }
