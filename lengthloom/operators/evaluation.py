@@ -74,10 +74,19 @@ def threshold_sweep(rows: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.6,
     return g.select("threshold", F.round(F.col("k") / F.col("n"), 9).alias("coverage"), F.round(F.when(F.col("k") > 0, F.col("right") / F.col("k")).otherwise(0.0), 9).alias("accuracy"))
 
 
-def islands(d: DataFrame, gap: float = 14.0) -> DataFrame:
-    """Intervals of a bucket joined over gaps: begin, end and size of each island."""
-    w = Window.partitionBy("bucket").orderBy("t0", "ord")
-    reach = F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("new", F.coalesce((F.col("t0") > reach + gap).cast("int"), F.lit(1)))
-    d = d.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def islands(d: DataFrame, gap: float = 14.0, span: float = 1440.0) -> DataFrame:
+    """Intervals of a bucket joined over gaps: begin, end and size of each island.
+
+    A bucket is cut into ranges of ``span`` by where intervals begin. Windows run inside a range; what reaches out of the ranges
+    before, and how many islands have begun there, comes from a table with a row a range. So no task sorts a whole bucket.
+    """
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("part", F.floor(F.col("t0") / span))
+    inside, parts = Window.partitionBy("bucket", "part").orderBy("t0", "ord"), Window.partitionBy("bucket").orderBy("part")
+    tops = d.groupBy("bucket", "part").agg(F.max("t1").alias("top")).withColumn("earlier", F.max("top").over(before(parts))).drop("top")
+    d = d.withColumn("reach", F.max("t1").over(before(inside))).join(tops, ["bucket", "part"])
+    d = d.withColumn("new", F.coalesce((F.col("t0") > F.greatest("reach", "earlier") + gap).cast("int"), F.lit(1)))
+    d = d.withColumn("here", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    begun = d.groupBy("bucket", "part").agg(F.sum("new").alias("n")).withColumn("begun", F.coalesce(F.sum("n").over(before(parts)), F.lit(0))).drop("n")
+    d = d.join(begun, ["bucket", "part"]).withColumn("island", F.col("begun") + F.col("here"))
     return d.groupBy("bucket", "island").agg(F.min("ord").alias("first_ord"), F.count("*").alias("n"), F.round(F.max("t1") - F.min("t0"), 3).alias("extent"))

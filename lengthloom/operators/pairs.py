@@ -175,20 +175,3 @@ def chain_cover(parts: DataFrame) -> DataFrame:
     """sheet_no, ord, n_parts, sum_parts, covers: whether the pieces make up the length: 0.97 of it, or all but 80 mm."""
     g = parts.groupBy("sheet_no", "ord", "length").agg(F.count("*").alias("n_parts"), F.sum("part_mm").cast("long").alias("sum_parts"))
     return g.select("sheet_no", "ord", "n_parts", "sum_parts", ((F.col("sum_parts") >= F.col("length") * 0.97) | (F.col("length") - F.col("sum_parts") <= 80)).alias("covers"))
-
-
-def nearest_lines(points: DataFrame, lines: DataFrame, reach: float = 22.0, parallel: float = 0.97) -> DataFrame:
-    """seg, line, dist: the nearest line of like direction on the sheet; a point may lie past an end by 0.15 of the length.
-
-    points: sheet_no, seg, x, y and a unit direction ux, uy. lines: sheet_no, seg, two ends and length.
-    """
-    vx, vy = F.col("l.x2") - F.col("l.x1"), F.col("l.y2") - F.col("l.y1")
-    qx, qy, n2 = F.col("p.x") - F.col("l.x1"), F.col("p.y") - F.col("l.y1"), vx * vx + vy * vy
-    j = points.alias("p").join(lines.alias("l"), (F.col("p.sheet_no") == F.col("l.sheet_no")) & (F.col("p.seg") != F.col("l.seg")))
-    j = j.withColumns({"t": (qx * vx + qy * vy) / n2, "off": F.abs(qx * vy - qy * vx) / F.col("l.length"), "cos": F.abs(F.col("p.ux") * vx + F.col("p.uy") * vy) / F.col("l.length")})
-    past = F.least(F.greatest("t", F.lit(0.0)), F.lit(1.0))
-    ex, ey = qx - past * vx, qy - past * vy
-    j = j.withColumn("end", F.sqrt(ex * ex + ey * ey)).filter(F.col("cos") >= parallel)
-    j = j.withColumn("dist", F.when(F.col("end") <= reach, F.col("end")).when((F.col("off") <= reach) & F.col("t").between(-0.15, 1.15), F.col("off"))).filter("dist is not null")
-    best = F.min(F.struct("dist", (-F.col("cos")).alias("c"), F.col("l.seg").alias("line")))
-    return j.groupBy("p.seg").agg(best.alias("m")).select("seg", "m.line", F.round("m.dist", 6).alias("dist"))

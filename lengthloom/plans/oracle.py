@@ -106,13 +106,6 @@ ORACLE = {
     ), part as (select q.sheet_no, q.bo, q.bv, count(*) as n_parts, cast(sum(av) as bigint) as sum_parts from q join way on q.sheet_no = way.sheet_no and q.bo = way.bo
       where (ux <> 0 or uy <> 0) and not hw and not ins and ((ax - bx) * uy - (ay - by_) * ux) * ((ax - bx) * uy - (ay - by_) * ux) <= 3600 * (ux * ux + uy * uy) group by 1, 2, 3)
     select sheet_no, bo as ord, n_parts, sum_parts, sum_parts >= bv * 0.97 or bv - sum_parts <= 80 as covers from part""",
-    "nearest_line": f"""with {A3}, body as (select * from a3 where length between 28 and 900 and width between 0.18 and 1.2
-    ), pt as (select sheet_no, seg, (x1 + x2) / 2 as x, (y1 + y2) / 2 as y, (x2 - x1) / length as ux, (y2 - y1) / length as uy from a3 where not (length between 28 and 900 and width between 0.18 and 1.2) and length > 0
-    ), j as (select pt.seg, l.seg as line, l.x2 - l.x1 as vx, l.y2 - l.y1 as vy, x - l.x1 as qx, y - l.y1 as qy, l.length as n, ux, uy from pt join body l on pt.sheet_no = l.sheet_no and pt.seg <> l.seg
-    ), k as (select *, (qx * vx + qy * vy) / (vx * vx + vy * vy) as t, abs(qx * vy - qy * vx) / n as off, abs(ux * vx + uy * vy) / n as cs from j
-    ), m as (select *, sqrt((qx - least(greatest(t, 0), 1) * vx) * (qx - least(greatest(t, 0), 1) * vx) + (qy - least(greatest(t, 0), 1) * vy) * (qy - least(greatest(t, 0), 1) * vy)) as e from k where cs >= 0.9
-    ), d as (select *, case when e <= 60 then e when off <= 60 and t between -0.15 and 1.15 then off end as dist from m)
-    select seg, line, round(dist, 6) as dist from (select *, row_number() over (partition by seg order by dist, cs desc, line) as r from d where dist is not null) where r = 1""",
     "audit_problems": f"""with {A1}, s0 as (select sheet_no, ord as id, case when ord % 13 = 0 or value_mm = 81 then value_mm + 1 else value_mm end as mm, case when ord % 5 = 0 and value_mm > 9000 then 'maybe' else decision end as decision from a1 where ord % 11 <> 0 and sheet_no % 17 <> 0
     ), h0 as (select sheet_no, ord as id, nullif(value_mm, 12) as mm, case when ord % 3 = 0 then ord + 1 end as pid, (value_mm % 13) / 10.0 as conf from a1 where sheet_no % 19 <> 0 and (ord <> 2 or sheet_no % 5 <> 0)
     ), both_ as (select distinct sheet_no from s0 intersect select distinct sheet_no from h0

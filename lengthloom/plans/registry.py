@@ -12,7 +12,7 @@ from ..operators import features as X
 from ..operators import pairs as P
 from ..operators import rules as R
 from ..sources import adapters as A
-from . import audits, runs, saved
+from . import audits, runs, saved, strokes
 from .oracle import ORACLE
 
 KINDS = ("include", "exclude_nested", "not_length", "ambiguous")
@@ -172,14 +172,6 @@ def price_lookup(spark, sf) -> DataFrame:
     return m.select("role", "model", F.col("n").alias("tokens"), F.round(usd, 9).alias("usd"))
 
 
-def nearest_line(spark, sf) -> DataFrame:
-    """Midpoints of strokes that are no lines, and the nearest line of like direction; wide limits, as strokes are few."""
-    d = A.segments(A.table(spark, sf, "embeddings"))
-    body = F.col("length").between(28, 900) & F.col("width").between(0.18, 1.2)
-    mid = d.filter(~body & (F.col("length") > 0)).selectExpr("sheet_no", "seg", "(x1 + x2) / 2 as x", "(y1 + y2) / 2 as y", "(x2 - x1) / length as ux", "(y2 - y1) / length as uy")
-    return P.nearest_lines(mid, d.filter(body), reach=60.0, parallel=0.9)
-
-
 def audit_problems(spark, sf) -> DataFrame:
     """Faults between saved decisions and candidates, ten kinds, and sheets that one side lacks."""
     return audit.problems(*A.saved_and_hits(_c(spark, sf)))
@@ -195,7 +187,6 @@ def queries() -> dict:
     return {
         "other_runs": lambda s, d: P.other_runs(_n(s, d)),
         "chain_cover": lambda s, d: P.chain_cover(P.chain_parts(P.with_overlaps(_n(s, d)))),
-        "nearest_line": nearest_line,
         "audit_problems": audit_problems,
         "group_split": group_split,
         "sheet_length": _sheets,
@@ -233,10 +224,11 @@ def queries() -> dict:
         "unmatched_decisions": unmatched_decisions,
         "price_lookup": price_lookup,
         **runs.QUERIES,
+        **strokes.QUERIES,
         **audits.QUERIES,
         **saved.QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | runs.ORACLE | audits.ORACLE | saved.ORACLE
+    return ORACLE | runs.ORACLE | strokes.ORACLE | audits.ORACLE | saved.ORACLE

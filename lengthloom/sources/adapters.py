@@ -85,6 +85,25 @@ def segments(embeddings: DataFrame) -> DataFrame:
     return d.withColumn("length", F.sqrt(dx * dx + dy * dy))
 
 
+#: Directions of strokes.
+DIRECTIONS = ((1.0, 0.0), (0.0, 1.0), (0.7071067811865476, 0.7071067811865476), (0.8660254037844387, 0.5))
+
+
+def drawings(embeddings: DataFrame) -> DataFrame:
+    """Vectors of 64 numbers or more as drawings of a sheet: seven lines and a rectangle from eight numbers each, on a grid of 20 points."""
+    e = F.col("embedding").cast("array<double>")
+
+    def item(g: int):
+        v = [e[8 * g + k] for k in range(6)]
+        x, y, n = F.rint(v[0] * 32) * 20 + 300, F.rint(v[1] * 32) * 20 + 300, F.when(F.abs(v[4]) < 0.05, F.abs(v[4]) * 200 + 4).otherwise(F.abs(v[4]) * 400 + 28)
+        way = F.element_at(F.array(*(F.array(*map(F.lit, w)) for w in DIRECTIONS)), (F.floor(F.abs(v[2]) * 64) % 4 + 1).cast("int"))
+        n = F.when(v[3] < 0, -n).otherwise(n)
+        return F.struct(F.lit("re" if g == 7 else "l").alias("kind"), x.alias("x0"), y.alias("y0"), (x + n * (1.0 if g == 7 else way[0])).alias("x1"), (y + n * (0.5 if g == 7 else way[1])).alias("y1"))
+
+    whole = ~F.exists(e, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & (F.size(e) >= 64)
+    return embeddings.filter(F.coalesce(whole, F.lit(False))).select(F.floor(F.col("vec_id") / 25).alias("sheet_no"), (F.col("vec_id") % 25).alias("seqno"), (F.abs(e[6]) * 4 + 0.1).alias("width"), F.array(*map(item, range(8))).alias("items"))
+
+
 def evaluations(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled documents as rows with a true class, a predicted one, a confidence and a group."""
     m = F.col("n_chars") % 10
