@@ -22,18 +22,22 @@ def _on_axis(x: Column, y: Column) -> Column:
     return (x - F.col("b.x1")) * F.col("b.dir_x") + (y - F.col("b.y1")) * F.col("b.dir_y")
 
 
-def pairs(c: DataFrame) -> DataFrame:
-    """Pairs a < b by value, b no handwheel or insulation, with geo (the score by lines), text (by neighbours) and along."""
+def _measured(d: DataFrame) -> DataFrame:
+    """Pairs a, b with overlap (of a's line on b's, as a part of a's), apart, touch, d2 and cos."""
     c0, c1 = _on_axis(F.col("a.x1"), F.col("a.y1")), _on_axis(F.col("a.x2"), F.col("a.y2"))
     p1 = _on_axis(F.col("b.x2"), F.col("b.y2"))
     sq = lambda i, j: (F.col(f"a.x{i}") - F.col(f"b.x{j}")) * (F.col(f"a.x{i}") - F.col(f"b.x{j}")) + (F.col(f"a.y{i}") - F.col(f"b.y{j}")) * (F.col(f"a.y{i}") - F.col(f"b.y{j}"))
     inner = F.greatest(F.lit(0.0), F.least(F.greatest(c0, c1), F.greatest(F.lit(0.0), p1)) - F.greatest(F.least(c0, c1), F.least(F.lit(0.0), p1)))
-    d = P.within_sheet(c, 1e6).filter("b.value_mm > a.value_mm")
-    d = d.withColumns({
+    return d.withColumns({
         "overlap": inner / F.greatest(F.lit(1.0), F.abs(c1 - c0)), "apart": F.abs(F.col("a.offset") - F.col("b.offset")),
         "touch": F.least(*(sq(i, j) for i in (1, 2) for j in (1, 2))) <= 22.0 * 22.0, "d2": P.d2("a", "b"),
         "cos": F.col("a.dir_x") * F.col("b.dir_x") + F.col("a.dir_y") * F.col("b.dir_y"),
     })
+
+
+def pairs(c: DataFrame) -> DataFrame:
+    """Pairs a < b by value, with geo (the score by lines), text (by neighbours), along, and no_parent for handwheels and insulation."""
+    d = _measured(P.within_sheet(c, 1e6).filter("b.value_mm > a.value_mm"))
     return d.select(
         F.col("a.sheet_no").alias("sheet_no"), F.col("a.ord").alias("ord"), F.col("b.ord").alias("parent_ord"), "d2", F.col("a.line").alias("line"),
         (F.col("a.nearby").rlike(P.SUPPORT) | F.upper("a.nearby").rlike("Н[.]О|H[.]O")).alias("supportish"), (F.col("b.f_handwheel") | F.col("b.f_insulation_thickness")).alias("no_parent"),
@@ -46,7 +50,7 @@ def _geometry() -> Column:
     r, o = F.col("a.value_mm") / F.col("b.value_mm"), F.col("overlap")
     named, bare = P.mentions("a", "b") | P.mentions("b", "a"), ~F.col("b.nearby").rlike(BALLOON)
     possible = (
-        F.col("a.line").isNotNull() & F.col("b.line").isNotNull() & ~F.col("b.f_overall_mark") & ~F.col("b.f_pipe_opening") & (F.col("a.line") != F.col("b.line"))
+        F.col("a.line").isNotNull() & F.col("b.line").isNotNull() & ~P.bars_children() & (F.col("a.line") != F.col("b.line"))
         & (F.col("cos") >= 0.985) & F.col("apart").between(6.0, 140.0) & (o >= 0.35) & (F.col("d2") <= 220.0 * 220.0) & (r >= 0.20)
     )
     return (
@@ -57,17 +61,19 @@ def _geometry() -> Column:
     )
 
 
-def _along() -> Column:
-    """Whether a is a piece that falls on the long line b, before other runs are asked."""
+def _projects() -> Column:
+    """Whether a falls on b's line: parallel, overlapping and 4 to 160 points beside it, or without a line; its middle near and between the ends."""
     middle = lambda k: F.when(F.col("a.line").isNotNull(), (F.col(f"a.{k}1") + F.col(f"a.{k}2")) / 2).otherwise(F.col(f"a.{k}"))
     x, y = middle("x"), middle("y")
     n = _on_axis(F.col("b.x2"), F.col("b.y2"))
     beside = F.abs((x - F.col("b.x1")) * F.col("b.dir_y") - (y - F.col("b.y1")) * F.col("b.dir_x"))
     lined = F.col("a.line").isNull() | ((F.abs("cos") >= 0.97) & (F.col("overlap") >= 0.45) & F.col("apart").between(4.0, 160.0))
-    return (
-        (F.col("b.value_mm") >= RUN) & F.col("b.line").isNotNull() & (F.col("a.value_mm") >= 250) & ~F.col("a.f_handwheel") & ~F.col("a.f_insulation_thickness")
-        & (n >= 8) & lined & (beside <= BESIDE) & _on_axis(x, y).between(-PAST, n + PAST)
-    )
+    return (n >= 8) & lined & (beside <= BESIDE) & _on_axis(x, y).between(-PAST, n + PAST)
+
+
+def _along() -> Column:
+    """Whether a is a piece that falls on the long line b, before other runs are asked."""
+    return (F.col("b.value_mm") >= RUN) & F.col("b.line").isNotNull() & (F.col("a.value_mm") >= 250) & ~F.col("a.f_handwheel") & ~F.col("a.f_insulation_thickness") & _projects()
 
 
 def best_parents(p: DataFrame) -> DataFrame:
@@ -103,3 +109,32 @@ def relations(best: DataFrame, along: DataFrame) -> DataFrame:
     )
     above = e.filter(F.col("score") >= SURE).select("sheet_no", F.col("parent_ord").alias("ord"), F.lit(True).alias("is_parent")).distinct()
     return e.join(above, ["sheet_no", "ord"], "left").filter("in_run or is_parent is null").drop("in_run", "is_parent")
+
+
+def chain_parts(c: DataFrame, band: float = 60.0) -> DataFrame:
+    """sheet_no, ord, length, part_ord, part_mm: the pieces along each overall mark.
+
+    Seeds name the overall, or are named by it within 160 points; the larger of a pair may be one. The two farthest seeds (or the
+    only one and the overall) give the direction. Pieces lie in a band around it, and on the overall's line if it has one.
+    """
+    fits = (F.col("a.value_mm") >= 300) & (F.col("a.value_mm") < F.col("b.value_mm")) & ~F.col("a.f_overall_mark")
+    p = P.within_sheet(c, 1e6).filter(F.col("b.f_overall_mark") & fits)
+    seed = P.mentions("a", "b") | (P.mentions("b", "a") & (P.d2("a", "b") <= 160.0 * 160.0))
+    piece = ~F.col("a.f_overall_pair") & ~F.col("a.f_handwheel") & ~F.col("a.f_insulation_thickness") & (F.col("b.line").isNull() | F.coalesce(_projects(), F.lit(False)))
+    d = _measured(p).select(F.col("b.sheet_no").alias("sheet_no"), F.col("b.ord").alias("ord"), F.col("b.value_mm").alias("length"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), F.struct("a.ord", "a.x", "a.y", F.col("a.value_mm").alias("mm"), seed.alias("seed"), piece.alias("piece")).alias("p"))
+    g = d.groupBy("sheet_no", "ord", "length", "bx", "by").agg(F.sort_array(F.collect_list("p")).alias("all"))  # an overall's sheet
+    seeds = F.filter("all", lambda s: s["seed"])
+    two = F.flatten(F.transform("seeds", lambda s: F.transform(F.filter("seeds", lambda t: t["ord"] > s["ord"]), lambda t: F.struct(((t["x"] - s["x"]) * (t["x"] - s["x"]) + (t["y"] - s["y"]) * (t["y"] - s["y"])).alias("d"), (-s["ord"]).alias("i"), (-t["ord"]).alias("j"), (t["x"] - s["x"]).alias("ux"), (t["y"] - s["y"]).alias("uy")))))
+    only = F.struct((F.get("seeds", 0)["x"] - F.col("bx")).alias("ux"), (F.get("seeds", 0)["y"] - F.col("by")).alias("uy"))
+    far = F.array_max(two)
+    way = F.when(F.size("seeds") == 1, only).when(F.size("seeds") > 1, F.struct(far["ux"].alias("ux"), far["uy"].alias("uy")))
+    g = g.withColumn("seeds", seeds).withColumn("way", way).filter("way.ux <> 0 or way.uy <> 0").select("sheet_no", "ord", "length", "bx", "by", "way", F.explode("all").alias("p"))
+    cross = (F.col("p.x") - F.col("bx")) * F.col("way.uy") - (F.col("p.y") - F.col("by")) * F.col("way.ux")
+    inside = cross * cross <= band * band * (F.col("way.ux") * F.col("way.ux") + F.col("way.uy") * F.col("way.uy"))
+    return g.filter(F.col("p.piece") & inside).select("sheet_no", "ord", "length", F.col("p.ord").alias("part_ord"), F.col("p.mm").alias("part_mm"))
+
+
+def chain_cover(parts: DataFrame) -> DataFrame:
+    """sheet_no, ord, n_parts, sum_parts, covers: whether the pieces make up the length: 0.97 of it, or all but 80 mm."""
+    g = parts.groupBy("sheet_no", "ord", "length").agg(F.count("*").alias("n_parts"), F.sum("part_mm").cast("long").alias("sum_parts"))
+    return g.select("sheet_no", "ord", "n_parts", "sum_parts", ((F.col("sum_parts") >= F.col("length") * 0.97) | (F.col("length") - F.col("sum_parts") <= 80)).alias("covers"))

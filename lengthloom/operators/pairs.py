@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Radii and limits of the drawing rules, in points and millimetres.
 NEAR, NEAREST_SHOWN = 55.0, 12
+#: Fixed value: from here on (mm) an LT beside a value makes it an overall.
+LT_LEAST = 2500
 #: A support mark in a joined list of neighbours, as relations read it; a neighbour that is a support tag.
 SUPPORT, SUPPORT_TAG = r"(?iU)\b[ОOФF][0-9]+", r"(?iU)(^|\|)\s*[ОOФFПP][0-9]+[АAБB]?\s*($|\|)"
 
@@ -17,23 +19,42 @@ def d2(a: str, b: str) -> Column:
 
 
 def within_sheet(c: DataFrame, reach: float, ordered: bool = False) -> DataFrame:
-    """Pairs a, b of a sheet's candidates no farther apart than reach; with ordered, a before b. The key is the sheet."""
+    """Pairs a, b of a sheet's candidates no farther apart than reach; with ordered, a before b. The key is the sheet.
+
+    c: candidates, or the pairs that pair_table made of them, which are only filtered.
+    """
     apart = F.col("a.ord") < F.col("b.ord") if ordered else F.col("a.ord") != F.col("b.ord")
-    return c.alias("a").join(c.alias("b"), (F.col("a.sheet_no") == F.col("b.sheet_no")) & apart & (d2("a", "b") <= reach * reach))
+    near = apart & (d2("a", "b") <= reach * reach)
+    if c.columns == ["a", "b"]:
+        return c.filter(near)
+    return c.alias("a").join(c.alias("b"), (F.col("a.sheet_no") == F.col("b.sheet_no")) & near)
+
+
+def pair_table(c: DataFrame) -> DataFrame:
+    """All ordered pairs of a sheet's candidates as structs a and b: written once, it serves every operator on pairs."""
+    return within_sheet(c, 1e6).select(*(F.struct(*(f"{s}.{n}" for n in c.columns)).alias(s) for s in "ab"))
 
 
 def neighbour_text(c: DataFrame) -> DataFrame:
-    """sheet_no, ord, nearby: texts within 55 points, distinct in order, the first 12, joined by a bar."""
-    texts = F.array_compact(F.array(F.col("b.value_mm").cast("string"), F.when(F.col("b.has_support"), F.concat(F.lit("О"), F.col("b.ord").cast("string")))))
+    """sheet_no, ord, nearby: texts within 55 points, distinct in order, the first 12, joined by a bar.
+
+    A candidate's own texts are its value, the support mark beside it and a note (null where there is none).
+    """
+    texts = F.array_compact(F.array(F.col("b.value_mm").cast("string"), F.when(F.col("b.has_support"), F.concat(F.lit("О"), F.col("b.ord").cast("string"))), F.col("b.note")))
     p = within_sheet(c, NEAR).select("a.sheet_no", "a.ord", F.struct(F.col("b.ord").alias("o"), texts.alias("t")).alias("n"))
     g = p.groupBy("sheet_no", "ord").agg(F.sort_array(F.collect_list("n")).alias("n"))
     return g.select("sheet_no", "ord", F.array_join(F.slice(F.array_distinct(F.flatten(F.col("n.t"))), 1, NEAREST_SHOWN), " | ").alias("nearby"))
 
 
 def with_neighbours(c: DataFrame) -> DataFrame:
-    """Candidates with nearby (empty where nothing is near) and nums, the digit runs in it."""
+    """Candidates with nearby (empty where nothing is near), nums, the digit runs in it, and lt."""
     d = c.join(neighbour_text(c), ["sheet_no", "ord"], "left").withColumn("nearby", F.coalesce("nearby", F.lit("")))
-    return d.withColumn("nums", F.regexp_extract_all("nearby", F.lit("[0-9]+"), F.lit(0)))
+    return d.withColumns({"nums": F.regexp_extract_all("nearby", F.lit("[0-9]+"), F.lit(0)), "lt": beside_lt()})
+
+
+def beside_lt() -> Column:
+    """Whether LT stands beside a value that is long enough to be an overall for it."""
+    return (F.col("value_mm") >= LT_LEAST) & F.upper("nearby").rlike(r"(^|\|)\s*LT\s*($|\|)")
 
 
 def mentions(a: str, b: str) -> Column:
@@ -66,12 +87,17 @@ def with_overlaps(c: DataFrame) -> DataFrame:
     return c.join(f, ["sheet_no", "ord"], "left").withColumns({k: F.coalesce(k, F.lit(False)) for k in ("f_nested_offset", "f_overall_pair")})
 
 
+def bars_children() -> Column:
+    """Whether b is an overall or an opening, of which nothing is a part."""
+    return F.col("b.f_overall_mark") | F.col("b.f_overall_pair") | F.col("b.lt") | F.col("b.f_pipe_opening")
+
+
 def text_score() -> Column:
     """How surely b is the parent of a, by what their neighbours say; 0 if it isn't."""
     r, d = F.col("a.value_mm") / F.col("b.value_mm"), d2("a", "b")
     along = F.col("a.dir_x") * F.col("b.dir_x") + F.col("a.dir_y") * F.col("b.dir_y") >= 0.985
     child, parent = F.col("a.nearby").rlike(SUPPORT), F.col("b.nearby").rlike(SUPPORT)
-    barred = F.col("a.f_overall_mark") | F.col("b.f_overall_mark") | F.col("b.f_pipe_opening") | F.col("b.f_handwheel") | F.col("b.f_insulation_thickness")
+    barred = F.col("a.f_overall_mark") | F.col("a.f_overall_pair") | bars_children() | F.col("b.f_handwheel") | F.col("b.f_insulation_thickness")
     one, other = mentions("a", "b"), mentions("b", "a")
     return (
         F.when(barred | ~r.between(0.15, 0.90) | ~along | (d > 190.0 * 190.0), 0.0)
@@ -93,40 +119,59 @@ def nesting(parents: DataFrame, least: float = 0.75) -> DataFrame:
     return sure.join(above, ["sheet_no", "ord"], "left_anti")
 
 
+def _surrounds() -> Column:
+    """Whether a is so much larger than b and so near that it is its overall."""
+    r, d = F.col("a.value_mm") / F.col("b.value_mm"), d2("a", "b")
+    large = (F.col("a.value_mm") >= 8000) & (F.col("b.value_mm") >= 800) & (r >= 2.2)
+    return large & ((d <= 28.0 * 28.0) | ((d <= NEAR * NEAR) & (r >= 4.0) & (F.col("b.value_mm") >= 2000) & holds("a", "b")))
+
+
+def _continues() -> Column:
+    lo, hi = F.least("a.value_mm", "b.value_mm"), F.greatest("a.value_mm", "b.value_mm")
+    return (d2("a", "b") <= 45.0 * 45.0) & (lo >= 500) & (hi / lo).between(1.5, 2.8)
+
+
+def _twin() -> Column:
+    lo, hi = F.least("a.value_mm", "b.value_mm"), F.greatest("a.value_mm", "b.value_mm")
+    return mentions("a", "b") & (hi < 8000) & (hi / lo <= 1.35) & (d2("a", "b") >= 1600.0)
+
+
+def _named_part() -> Column:
+    """Whether b is a smaller nested offset that a names or that names a."""
+    return (F.col("b.value_mm") < F.col("a.value_mm")) & F.col("b.f_nested_offset") & (mentions("a", "b") | mentions("b", "a"))
+
+
+def pair_facts(p: DataFrame) -> DataFrame:
+    """What the rules ask of a candidate's pairs, in one pass: has_part, beside, target, continues_raw and twin.
+
+    target: the first candidate (ord, cid, value_mm) that it mentions and surrounds; twin: the first mentioned one of like length.
+    """
+    first = lambda when: F.min(F.when(when, F.struct("b.ord", "b.cid", "b.value_mm")))
+    return within_sheet(p, 1e6).groupBy("a.sheet_no", "a.ord").agg(
+        F.bool_or(_named_part()).alias("has_part"), F.bool_or(_surrounds()).alias("beside"), first(_surrounds() & mentions("a", "b")).alias("target"), F.bool_or(_continues()).alias("continues_raw"), first(_twin()).alias("twin")
+    )
+
+
 def run_parents(c: DataFrame, edges: DataFrame) -> DataFrame:
     """sheet_no, ord of candidates without a parent that have a part: by an edge, or a smaller nested offset that names them or is named."""
-    part = (F.col("b.value_mm") < F.col("a.value_mm")) & F.col("b.f_nested_offset")
-    named = within_sheet(c, 1e6).filter(part & (mentions("a", "b") | mentions("b", "a"))).select("a.sheet_no", "a.ord")
+    named = within_sheet(c, 1e6).filter(_named_part()).select("a.sheet_no", "a.ord")
     above = edges.select("sheet_no", F.col("parent_ord").alias("ord")).unionByName(named).distinct()
     return above.join(edges, ["sheet_no", "ord"], "left_anti")
 
 
 def sequential(c: DataFrame, edges: DataFrame) -> DataFrame:
     """Candidates without a parent and with a neighbour within 45 points that continues them: both at least 500, ratio 1.5 to 2.8."""
-    lo, hi = F.least("a.value_mm", "b.value_mm"), F.greatest("a.value_mm", "b.value_mm")
-    return within_sheet(c, 45.0).filter((lo >= 500) & (hi / lo).between(1.5, 2.8)).select("a.sheet_no", "a.ord").distinct().join(edges, ["sheet_no", "ord"], "left_anti")
+    return within_sheet(c, 45.0).filter(_continues()).select("a.sheet_no", "a.ord").distinct().join(edges, ["sheet_no", "ord"], "left_anti")
 
 
 def envelopes(c: DataFrame) -> DataFrame:
     """Pairs of a large candidate and a smaller one that it surrounds."""
-    r, d = F.col("a.value_mm") / F.col("b.value_mm"), d2("a", "b")
-    p = within_sheet(c, NEAR).filter((F.col("a.value_mm") >= 8000) & (F.col("b.value_mm") >= 800) & (r >= 2.2))
-    p = p.filter((d <= 28.0 * 28.0) | ((r >= 4.0) & (F.col("b.value_mm") >= 2000) & holds("a", "b")))
-    return p.select("a.sheet_no", F.col("a.ord").alias("large_ord"), F.col("b.ord").alias("small_ord"))
-
-
-def first_envelope(c: DataFrame) -> DataFrame:
-    """sheet_no, ord, target_ord: the first candidate that ord mentions and surrounds."""
-    named = within_sheet(c, NEAR).filter(mentions("a", "b")).select("a.sheet_no", F.col("a.ord").alias("large_ord"), F.col("b.ord").alias("small_ord"))
-    e = envelopes(c).join(named, ["sheet_no", "large_ord", "small_ord"])
-    return e.groupBy("sheet_no", F.col("large_ord").alias("ord")).agg(F.min("small_ord").alias("target_ord"))
+    return within_sheet(c, NEAR).filter(_surrounds()).select("a.sheet_no", F.col("a.ord").alias("large_ord"), F.col("b.ord").alias("small_ord"))
 
 
 def twins(c: DataFrame) -> DataFrame:
     """sheet_no, ord, twin_ord: the first mentioned candidate of like length that lies apart."""
-    lo, hi = F.least("a.value_mm", "b.value_mm"), F.greatest("a.value_mm", "b.value_mm")
-    p = within_sheet(c, 1e6).filter(mentions("a", "b") & (hi < 8000) & (hi / lo <= 1.35) & (d2("a", "b") >= 1600.0))
-    return p.groupBy("a.sheet_no", "a.ord").agg(F.min("b.ord").alias("twin_ord"))
+    return within_sheet(c, 1e6).filter(_twin()).groupBy("a.sheet_no", "a.ord").agg(F.min("b.ord").alias("twin_ord"))
 
 
 def overall_argmax(c: DataFrame, reach: float = 90.0) -> DataFrame:
@@ -139,39 +184,13 @@ def other_runs(c: DataFrame) -> DataFrame:
     """sheet_no, ord, parent_ord, problem: pieces that their neighbours or their place give to another run than a long parent.
 
     mentions: a number beside the piece is another candidate's value and over 0.45 of the parent. closer: another candidate
-    of 8000 or more is nearer by over 25 points.
+    of 8000 or more is nearer by over 25 points. A piece's pairs are gathered once; a sheet's few candidates are all that an array holds.
     """
-    p = within_sheet(c, 1e6).filter("b.value_mm >= 8000 and a.value_mm >= 250 and a.value_mm < b.value_mm")
-    p = p.select("a.sheet_no", "a.ord", F.col("b.ord").alias("parent_ord"), F.col("a.value_mm").alias("v"), F.col("b.value_mm").alias("pv"), F.col("a.x").alias("px"), F.col("a.y").alias("py"), F.sqrt(d2("a", "b")).alias("d"), F.transform("a.nums", lambda n: n.cast("long")).alias("n"))
-    o = c.select(F.col("sheet_no").alias("s"), F.col("ord").alias("o"), F.col("value_mm").alias("ov"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    t = p.join(o, (F.col("sheet_no") == F.col("s")) & (F.col("o") != F.col("ord")) & (F.col("o") != F.col("parent_ord")))
-    dx, dy = F.col("px") - F.col("ox"), F.col("py") - F.col("oy")
-    named = F.array_contains("n", F.col("ov").cast("long")) & (F.col("ov") != F.col("v")) & (F.col("ov") != F.col("pv")) & (F.col("ov") > F.col("pv") * 0.45)
-    closer = (F.col("ov") >= 8000) & (F.sqrt(dx * dx + dy * dy) + 25 < F.col("d"))
+    long = F.transform(F.col("a.nums"), lambda n: n.try_cast("long"))
+    o = F.struct(F.col("b.ord").alias("ord"), F.col("b.value_mm").alias("v"), F.sqrt(d2("a", "b")).alias("d"), F.array_contains(long, F.col("b.value_mm").cast("long")).alias("named"))
+    g = within_sheet(c, 1e6).filter("a.value_mm >= 250").groupBy("a.sheet_no", "a.ord").agg(F.first("a.value_mm").alias("v"), F.collect_list(o).alias("all"))
+    p = g.select("sheet_no", "ord", "v", "all", F.explode(F.filter("all", lambda x: (x["v"] >= 8000) & (x["v"] > F.col("v")))).alias("p"))
+    named = F.exists("all", lambda x: x["named"] & (x["ord"] != F.col("p.ord")) & (x["v"] != F.col("v")) & (x["v"] != F.col("p.v")) & (x["v"] > F.col("p.v") * 0.45))
+    closer = F.exists("all", lambda x: (x["ord"] != F.col("p.ord")) & (x["v"] >= 8000) & (x["d"] + 25 < F.col("p.d")))
     found = F.array_compact(F.array(F.when(named, F.lit("mentions")), F.when(closer, F.lit("closer"))))
-    return t.select("sheet_no", "ord", "parent_ord", F.explode(found).alias("problem")).distinct()
-
-
-def chain_parts(c: DataFrame, band: float = 60.0) -> DataFrame:
-    """sheet_no, ord, length, part_ord, part_mm: the pieces along each overall mark.
-
-    Seeds name the overall, or are named by it within 160 points. The two farthest seeds (or the only one and the overall)
-    give the direction; pieces in a band around it count.
-    """
-    fits = (F.col("a.value_mm") >= 300) & (F.col("a.value_mm") < F.col("b.value_mm")) & ~F.col("a.f_overall_mark") & ~F.col("a.f_overall_pair")
-    p = within_sheet(c, 1e6).filter(F.col("b.f_overall_mark") & fits)
-    seeds = p.filter(mentions("a", "b") | (mentions("b", "a") & (d2("a", "b") <= 160.0 * 160.0))).select("a.sheet_no", F.col("b.ord").alias("o"), "a.ord", "a.x", "a.y", (F.col("a.x") - F.col("b.x")).alias("ux"), (F.col("a.y") - F.col("b.y")).alias("uy"))
-    same = (F.col("a.sheet_no") == F.col("b.sheet_no")) & (F.col("a.o") == F.col("b.o")) & (F.col("a.ord") < F.col("b.ord"))
-    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
-    two = seeds.alias("a").join(seeds.alias("b"), same).groupBy("a.sheet_no", "a.o").agg(F.max(F.struct(d2("a", "b").alias("d"), (-F.col("a.ord")).alias("i"), (-F.col("b.ord")).alias("j"), dx.alias("ux"), dy.alias("uy"))).alias("m")).select("sheet_no", "o", "m.ux", "m.uy")
-    one = seeds.groupBy("sheet_no", "o").agg(F.count("*").alias("k"), F.first("ux").alias("ux"), F.first("uy").alias("uy")).filter("k = 1").drop("k")
-    way = two.unionByName(one).filter("ux <> 0 or uy <> 0").withColumnsRenamed({"sheet_no": "s"})
-    cross = (F.col("a.x") - F.col("b.x")) * F.col("uy") - (F.col("a.y") - F.col("b.y")) * F.col("ux")
-    parts = p.join(way, (F.col("a.sheet_no") == F.col("s")) & (F.col("b.ord") == F.col("o"))).filter(~F.col("a.f_handwheel") & ~F.col("a.f_insulation_thickness") & (cross * cross <= band * band * (F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy"))))
-    return parts.select("a.sheet_no", F.col("b.ord").alias("ord"), F.col("b.value_mm").alias("length"), F.col("a.ord").alias("part_ord"), F.col("a.value_mm").alias("part_mm"))
-
-
-def chain_cover(parts: DataFrame) -> DataFrame:
-    """sheet_no, ord, n_parts, sum_parts, covers: whether the pieces make up the length: 0.97 of it, or all but 80 mm."""
-    g = parts.groupBy("sheet_no", "ord", "length").agg(F.count("*").alias("n_parts"), F.sum("part_mm").cast("long").alias("sum_parts"))
-    return g.select("sheet_no", "ord", "n_parts", "sum_parts", ((F.col("sum_parts") >= F.col("length") * 0.97) | (F.col("length") - F.col("sum_parts") <= 80)).alias("covers"))
+    return p.select("sheet_no", "ord", F.col("p.ord").alias("parent_ord"), F.explode(found).alias("problem"))

@@ -1,4 +1,4 @@
-"""Correction rules: ordered updates of the decision, each on what the one before it left."""
+"""Correction rules on decisions alone: the short chain, locks, edits and sheet totals. guards.py has the whole chain."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 INCLUDE, NESTED, OTHER, OPEN = "include", "exclude_nested", "not_length", "ambiguous"
-#: Fixed value: from here on (mm) an LT beside a value makes it an overall.
-LT_LEAST = 2500
 
 
 def facts(c: DataFrame) -> DataFrame:
@@ -31,16 +29,6 @@ def mark_overalls(d: DataFrame) -> DataFrame:
     return _set(d, F.col("f_overall_mark") & _is(INCLUDE, NESTED), NESTED)
 
 
-def pair_rules(d: DataFrame) -> DataFrame:
-    """All rules on one row, with relation_facts: the larger of a pair is nested, or a whole run that no other of these rules touches.
-
-    What stands beside an LT from 2500 on is nested too.
-    """
-    d = mark_overalls(d).withColumn("_run", F.col("f_overall_pair") & F.col("is_parent") & _is(INCLUDE, NESTED))
-    d = _set(d, (F.col("f_overall_pair") | F.col("lt")) & _is(INCLUDE, NESTED), NESTED)
-    return _set(row_rules(d), F.col("_run"), INCLUDE).drop("_run")
-
-
 def row_rules(d: DataFrame) -> DataFrame:
     """Rules on one row: overall marks are nested; handwheels, insulation, repeats, coordinates and tiny values no lengths."""
     d = mark_overalls(d)
@@ -63,10 +51,10 @@ def restore_lengths(d: DataFrame) -> DataFrame:
     return _set(d, _is(OTHER) & ~held, INCLUDE)
 
 
-def restore_twins(d: DataFrame, twins: DataFrame, flagged: Column | None = None) -> DataFrame:
-    """A nested candidate without a parent comes back if it has a twin run; flagged ones don't."""
+def restore_twins(d: DataFrame, twins: DataFrame) -> DataFrame:
+    """A nested candidate without a parent comes back if it has a twin run."""
     d = d.join(twins.select("sheet_no", "ord", F.lit(True).alias("has_twin")), ["sheet_no", "ord"], "left")
-    return _set(d, _is(NESTED) & ~F.col("f_overall_mark") & ~F.col("has_parent") & F.coalesce("has_twin", F.lit(False)) & ~(F.lit(False) if flagged is None else flagged), INCLUDE)
+    return _set(d, _is(NESTED) & ~F.col("f_overall_mark") & ~F.col("has_parent") & F.coalesce("has_twin", F.lit(False)), INCLUDE)
 
 
 def take_ambiguous(d: DataFrame) -> DataFrame:
@@ -75,73 +63,6 @@ def take_ambiguous(d: DataFrame) -> DataFrame:
     return _set(d, _is(OPEN) & ~held, INCLUDE)
 
 
-def relation_facts(d: DataFrame, edges: DataFrame, run_parents: DataFrame, envelopes: DataFrame, sequential: DataFrame) -> DataFrame:
-    """What the rules ask of relations: has_parent, is_parent, overall_beside, continues and lt."""
-    on, yes = ["sheet_no", "ord"], F.lit(True)
-    d = d.join(edges.select(*on, yes.alias("has_parent")), on, "left")
-    d = d.join(run_parents.select(*on, yes.alias("is_parent")), on, "left")
-    d = d.join(envelopes.select("sheet_no", F.col("large_ord").alias("ord"), yes.alias("overall_beside")).distinct(), on, "left")
-    d = d.join(sequential.select(*on, yes.alias("continues")), on, "left")
-    return d.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_parent", "is_parent", "overall_beside", "continues")} | {"lt": (F.col("value_mm") >= LT_LEAST) & F.upper("nearby").rlike(r"(^|\|)\s*LT\s*($|\|)")})
-
-
-def nest_offsets(d: DataFrame) -> DataFrame:
-    """A candidate with a sure parent is nested, and a nested offset; overall marks and pairs only with a parent or a part."""
-    overall = (F.col("f_overall_mark") | F.col("f_overall_pair")) & ~F.col("has_parent") & ~F.col("is_parent")
-    return _set(d, (F.col("has_parent") | F.col("f_nested_offset")) & ~overall & _is(INCLUDE, OPEN, NESTED), NESTED)
-
-
-def restore_nested(d: DataFrame) -> DataFrame:
-    """A nested candidate without a parent comes back, unless it is an overall or surrounds others and continues none; a pair's larger one as a whole run."""
-    d = _set(d, _is(NESTED) & F.col("f_overall_pair") & F.col("is_parent"), INCLUDE)
-    shell = F.col("overall_beside") & ~F.col("continues") & ~F.col("is_parent")
-    return _set(d, _is(NESTED) & ~F.col("f_overall_mark") & ~F.col("f_overall_pair") & ~F.col("lt") & ~F.col("has_parent") & ~shell, INCLUDE)
-
-
-def take_openings(d: DataFrame) -> DataFrame:
-    """Pieces at an opening are lengths, unless another reason holds or they are nested in a parent."""
-    held = F.col("f_handwheel") | F.col("f_insulation_thickness") | F.col("support_repeat") | F.col("f_overall_mark") | (F.col("value_mm") <= 16) | (_is(NESTED) & F.col("has_parent"))
-    return _set(d, F.col("f_pipe_opening") & _is(OTHER, OPEN, NESTED) & ~held, INCLUDE)
-
-
-def resolve_envelopes(d: DataFrame, targets: DataFrame) -> DataFrame:
-    """Included candidates that surround a mentioned one, in order: a parent of others nests that one, any other itself.
-
-    targets: sheet_no, ord, target_ord, the first candidate that ord mentions and surrounds. A row that an earlier one has
-    nested does nothing. The fold runs over a sheet's few rows with a target, each with its target's state.
-    """
-    t = d.select("sheet_no", F.col("ord").alias("target_ord"), ((F.col("decision") == INCLUDE) & ~F.col("f_overall_mark")).alias("open"), F.col("value_mm").alias("tv"))
-    s = d.filter(_is(INCLUDE) & ~F.col("continues")).join(targets, ["sheet_no", "ord"]).join(t, ["sheet_no", "target_ord"])
-    g = s.groupBy("sheet_no").agg(F.sort_array(F.collect_list(F.struct("ord", "target_ord", "is_parent", (F.col("open") & (F.col("tv") < F.col("value_mm"))).alias("may")))).alias("steps"))
-    done = lambda out, ord_: F.exists(out, lambda o: o["ord"] == ord_)
-    add = lambda out, ord_, by: F.array_append(out, F.struct(ord_.alias("ord"), F.lit(by).alias("by_other")))
-    step = lambda out, x: F.when(done(out, x["ord"]), out).when(~x["is_parent"], add(out, x["ord"], False)).when(x["may"] & ~done(out, x["target_ord"]), add(out, x["target_ord"], True)).otherwise(out)
-    fold = F.aggregate("steps", F.array().cast("array<struct<ord:int,by_other:boolean>>"), step)
-    out = g.select("sheet_no", F.explode(fold).alias("o")).select("sheet_no", "o.ord", "o.by_other")
-    d = _set(d.join(out, ["sheet_no", "ord"], "left"), F.col("by_other").isNotNull(), NESTED)
-    return d.withColumn("offset_role", F.col("has_parent") | F.coalesce("by_other", F.lit(False))).drop("by_other")
-
-
-def restore_orphans(d: DataFrame) -> DataFrame:
-    """A nested candidate comes back if larger values stand beside it and none of them counts. All look at one state."""
-    w = Window.partitionBy("sheet_no")
-    d = d.withColumns({"_values": F.collect_set("value_mm").over(w), "_counted": F.collect_set(F.when(_is(INCLUDE), F.col("value_mm"))).over(w)})
-    larger = F.filter(F.array_intersect(F.transform("nums", lambda n: n.try_cast("int")), F.col("_values")), lambda n: n > F.col("value_mm"))
-    orphan = (F.size(larger) > 0) & ~F.arrays_overlap(larger, "_counted")
-    return _set(d, _is(NESTED) & ~F.col("f_overall_mark") & ~F.col("f_overall_pair") & ~F.col("lt") & ~F.col("f_nested_offset") & ~F.col("offset_role") & orphan, INCLUDE).drop("_values", "_counted")
-
-
-def cover_overalls(d: DataFrame, parts: DataFrame, cover: DataFrame) -> DataFrame:
-    """An overall mark counts if its chain of pieces doesn't cover it, and then the pieces don't; else they do. Nested marks stay."""
-    on = ["sheet_no", "ord"]
-    marks = d.filter(F.col("f_overall_mark") & ~F.col("has_parent")).select(*on).join(cover.select(*on, "covers"), on, "left").select(*on, F.coalesce("covers", F.lit(False)).alias("covered"))
-    inner = parts.join(marks.filter("not covered"), on, "left_semi").select("sheet_no", F.col("part_ord").alias("ord"), F.lit(True).alias("inner")).distinct()
-    d = d.join(marks, on, "left").join(inner, on, "left")
-    d = _set(d, F.col("covered") & _is(INCLUDE), NESTED)
-    d = _set(d, ~F.coalesce("covered", F.lit(True)), INCLUDE)
-    return _set(d, F.coalesce("inner", F.lit(False)) & _is(INCLUDE), NESTED).drop("covered", "inner")
-
-
 def unless_locked(d: DataFrame, rules) -> DataFrame:
     """rules on the rows that aren't locked; locked ones stay as they are."""
     return rules(d.withColumn("_was", F.col("decision"))).withColumn("decision", F.when(F.col("locked"), F.col("_was")).otherwise(F.col("decision"))).drop("_was")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 A1 = """a1 as (
-  select sheet_no, ord, value_mm, x, y, dir_x, dir_y, dc = 10 as om, tc = 8 as hw, tc = 7 as ins, dc = 9 as npc, dc = 8 as po, tc <= 2 as sup,
+  select sheet_no, ord, value_mm, x, y, dir_x, dir_y, dc = 10 as om, tc = 8 as hw, tc = 7 as ins, dc = 9 as npc, dc = 8 as po, tc <= 2 as sup, stamped, note, role, reason,
     case qm when 0 then 'exclude_nested' when 1 then 'not_length' when 2 then 'ambiguous' else 'include' end as decision
   from (select l_orderkey as sheet_no,
     cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) as integer) as ord,
@@ -11,22 +11,25 @@ A1 = """a1 as (
     cast(100 as double) + (l_partkey % 7) * 20 as x, cast(100 as double) + (l_suppkey % 5) * 15 as y,
     case when l_linenumber % 2 = 0 then cast(1 as double) else cast(0 as double) end as dir_x,
     case when l_linenumber % 2 = 0 then cast(0 as double) else cast(1 as double) end as dir_y,
-    cast(round(l_discount * 100) as int) as dc, cast(round(l_tax * 100) as int) as tc, cast(l_quantity as int) % 8 as qm from lineitem) q)"""
+    cast(round(l_discount * 100) as int) as dc, cast(round(l_tax * 100) as int) as tc, cast(l_quantity as int) % 8 as qm, l_partkey % 29 = 7 as stamped,
+    ['LT', 'Гидр. 1,5 МПа', 'ItemCode', 'ВРЕЗКА', 'HOLE'][l_partkey % 23 + 1] as note, ['main', 'other', 'support_offset'][l_suppkey % 4 + 1] as role,
+    ['внутри 300', 'рядом Координата Z', 'Полный размер Н.О.', null, 'внутри D2=24100', 'z+ узла', 'сомнение'][l_partkey % 7 + 1] as reason from lineitem) q)"""
 
 NEAR = A1 + """, tx as (
   select sheet_no, ord, x, y, 0 as k, cast(value_mm as varchar) as t from a1
   union all select sheet_no, ord, x, y, 1, 'О' || cast(ord as varchar) from a1 where sup
+  union all select sheet_no, ord, x, y, 2, note from a1 where note is not null
 ), nb as (
-  select a.sheet_no, a.ord, t.t, min(t.ord * 2 + t.k) as pos from a1 a join tx t on a.sheet_no = t.sheet_no and a.ord <> t.ord
+  select a.sheet_no, a.ord, t.t, min(t.ord * 3 + t.k) as pos from a1 a join tx t on a.sheet_no = t.sheet_no and a.ord <> t.ord
     and (a.x - t.x) * (a.x - t.x) + (a.y - t.y) * (a.y - t.y) <= 3025 group by 1, 2, 3
 ), nr as (select *, row_number() over (partition by sheet_no, ord order by pos) as r from nb
 ), near as (select sheet_no, ord, string_agg(t, ' | ' order by pos) as nearby from nr where r <= 12 group by 1, 2
 ), c as (
-  select a1.*, coalesce(nearby, '') as nearby, regexp_extract_all(coalesce(nearby, ''), '[0-9]+') as nums
+  select a1.*, coalesce(nearby, '') as nearby, value_mm >= 2500 and regexp_matches(upper(coalesce(nearby, '')), '(^|[|])[ ]*LT[ ]*($|[|])') as lt, regexp_extract_all(coalesce(nearby, ''), '[0-9]+') as nums
   from a1 left join near using (sheet_no, ord)
 ), p as (
   select a.sheet_no, a.ord as ao, b.ord as bo, a.value_mm as av, b.value_mm as bv, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) as d2,
-    a.dir_x * b.dir_x + a.dir_y * b.dir_y >= 0.985 as along, a.nearby as an, b.nearby as bn, a.om as aom, b.om as bom, b.po as bpo, b.hw as bhw, b.ins as bins,
+    a.dir_x * b.dir_x + a.dir_y * b.dir_y >= 0.985 as along, a.nearby as an, b.nearby as bn, a.om as aom, b.om as bom, b.po as bpo, b.hw as bhw, b.ins as bins, b.lt as blt,
     list_contains(a.nums, cast(b.value_mm as varchar)) as one, list_contains(b.nums, cast(a.value_mm as varchar)) as two,
     contains(a.nearby, cast(b.value_mm as varchar)) as hold_ab, contains(b.nearby, cast(a.value_mm as varchar)) as hold_ba
   from c a join c b on a.sheet_no = b.sheet_no and a.ord <> b.ord
@@ -34,15 +37,16 @@ NEAR = A1 + """, tx as (
   select sheet_no, case when av <= bv then ao else bo end as lo, case when av <= bv then bo else ao end as hi, greatest(av, bv) / least(av, bv) as r, greatest(av, bv) as hv,
     case when av <= bv then an else bn end as ln, case when av <= bv then bom else aom end as hom from p where ao < bo and d2 <= 784 and (hold_ab or hold_ba))
 ), fl as (select distinct sheet_no, lo as ord, 'nested_offset' as flag from ov where close or (stacked and tag and not env)
-  union select distinct sheet_no, hi, 'overall_pair' from ov where not (close or (stacked and tag and not env)) and stacked and env)"""
-NOTED = """, cn as (select * replace (case when nearby = '' then note else nearby || ' | ' || note end as nearby) from (select *, ['z+ 37329', 'DN50', 'LT', '10 см', 'Z 24100', 'X 1234567', 'Y8999'][ord % 7 + 1] as note from c)
+  union select distinct sheet_no, hi, 'overall_pair' from ov where not (close or (stacked and tag and not env)) and stacked and env
+), op as (select sheet_no, ord from fl where flag = 'overall_pair')"""
+NOTED = """, cn as (select * replace (case when nearby = '' then remark else nearby || ' | ' || remark end as nearby) from (select *, ['z+ 37329', 'DN50', 'LT', '10 см', 'Z 24100', 'X 1234567', 'Y8999'][ord % 7 + 1] as remark from c)
 ), fc as (select *, count(*) over (partition by sheet_no, value_mm) >= 3 and value_mm between 50 and 200 as rep, (sheet_no, ord) in (select (sheet_no, ord) from fl where flag = 'nested_offset') as noff,
   (sheet_no, ord) in (select (sheet_no, ord) from fl where flag = 'overall_pair') as opair, lower(nearby) as low from cn)"""
 
 SUP = "'(?i)(^|[^\\p{L}\\p{N}_])[ОOФF][0-9]+'"
 PARENTS = NEAR + f""", sc as (
   select sheet_no, ao, bo, case
-    when aom or bom or bpo or bhw or bins or not (av / bv between 0.15 and 0.9) or not along or d2 > 36100 then 0.0
+    when aom or bom or (sheet_no, ao) in (from op) or (sheet_no, bo) in (from op) or blt or bpo or bhw or bins or not (av / bv between 0.15 and 0.9) or not along or d2 > 36100 then 0.0
     when one and two and av / bv >= 0.65 and d2 <= 5625 then 0.9
     when (one or two) and (regexp_matches(an, {SUP}) or regexp_matches(bn, {SUP})) then 0.85
     when regexp_matches(an, {SUP}) and d2 >= 1225 then 0.7 else 0.0 end as score
@@ -97,15 +101,6 @@ ORACLE = {
     ), t as (select q.*, o.value_mm as ov, (q.x - o.x) * (q.x - o.x) + (q.y - o.y) * (q.y - o.y) as od from q join c o on o.sheet_no = q.sheet_no and o.ord <> q.ao and o.ord <> q.bo)
     select distinct sheet_no, ao as ord, bo as parent_ord, 'mentions' as problem from t where list_contains(list_transform(nums, lambda z: cast(z as bigint)), ov) and ov <> av and ov <> bv and ov > bv * 0.45
     union select distinct sheet_no, ao, bo, 'closer' from t where ov >= 8000 and sqrt(od) + 25 < sqrt(d2)""",
-    "chain_cover": f"""with {NEAR}, q as (select p.sheet_no, p.ao, p.bo, p.av, p.bv, p.d2, p.one, p.two, a.x as ax, a.y as ay, b.x as bx, b.y as by_, a.hw, a.ins from p
-      join c a on a.sheet_no = p.sheet_no and a.ord = p.ao join c b on b.sheet_no = p.sheet_no and b.ord = p.bo where bom and not aom and av >= 300 and av < bv and (p.sheet_no, p.ao) not in (select (sheet_no, ord) from fl where flag = 'overall_pair')
-    ), seed as (select * from q where one or (two and d2 <= 25600)
-    ), two_ as (select *, row_number() over (partition by sheet_no, bo order by d desc, i, j) as r from (
-      select s.sheet_no, s.bo, s.ao as i, z.ao as j, z.ax - s.ax as ux, z.ay - s.ay as uy, (z.ax - s.ax) * (z.ax - s.ax) + (z.ay - s.ay) * (z.ay - s.ay) as d from seed s join seed z on s.sheet_no = z.sheet_no and s.bo = z.bo and s.ao < z.ao)
-    ), way as (select sheet_no, bo, ux, uy from two_ where r = 1 union all select sheet_no, bo, min(ax - bx), min(ay - by_) from seed group by 1, 2 having count(*) = 1
-    ), part as (select q.sheet_no, q.bo, q.bv, count(*) as n_parts, cast(sum(av) as bigint) as sum_parts from q join way on q.sheet_no = way.sheet_no and q.bo = way.bo
-      where (ux <> 0 or uy <> 0) and not hw and not ins and ((ax - bx) * uy - (ay - by_) * ux) * ((ax - bx) * uy - (ay - by_) * ux) <= 3600 * (ux * ux + uy * uy) group by 1, 2, 3)
-    select sheet_no, bo as ord, n_parts, sum_parts, sum_parts >= bv * 0.97 or bv - sum_parts <= 80 as covers from part""",
     "audit_problems": f"""with {A1}, s0 as (select sheet_no, ord as id, case when ord % 13 = 0 or value_mm = 81 then value_mm + 1 else value_mm end as mm, case when ord % 5 = 0 and value_mm > 9000 then 'maybe' else decision end as decision from a1 where ord % 11 <> 0 and sheet_no % 17 <> 0
     ), h0 as (select sheet_no, ord as id, nullif(value_mm, 12) as mm, case when ord % 3 = 0 then ord + 1 end as pid, (value_mm % 13) / 10.0 as conf from a1 where sheet_no % 19 <> 0 and (ord <> 2 or sheet_no % 5 <> 0)
     ), both_ as (select distinct sheet_no from s0 intersect select distinct sheet_no from h0
@@ -132,9 +127,9 @@ ORACLE = {
     "envelope_pairs": f"""with {A1}, w as (select a.sheet_no, a.ord as large_ord, b.ord as small_ord, b.value_mm as bv, a.value_mm / b.value_mm as r, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) as d2
       from a1 a join a1 b on a.sheet_no = b.sheet_no and a.ord <> b.ord where a.value_mm >= 8000 and b.value_mm >= 800 and a.value_mm / b.value_mm >= 2.2
     ), big as (select * from w where d2 <= 3025), t as (
-      select b.sheet_no, b.large_ord, b.small_ord, b.bv, n.ord * 2 + k as pos, case when k = 0 then cast(n.value_mm as varchar) else 'О' || cast(n.ord as varchar) end as t
+      select b.sheet_no, b.large_ord, b.small_ord, b.bv, n.ord * 3 + k as pos, case k when 0 then cast(n.value_mm as varchar) when 1 then 'О' || cast(n.ord as varchar) else n.note end as t
       from big b join a1 o on o.sheet_no = b.sheet_no and o.ord = b.large_ord join a1 n on n.sheet_no = o.sheet_no and n.ord <> o.ord and (n.x - o.x) * (n.x - o.x) + (n.y - o.y) * (n.y - o.y) <= 3025
-      cross join (values (0), (1)) as kinds(k) where b.d2 > 784 and b.r >= 4 and b.bv >= 2000 and (k = 0 or n.sup)
+      cross join (values (0), (1), (2)) as kinds(k) where b.d2 > 784 and b.r >= 4 and b.bv >= 2000 and (k = 0 or (k = 1 and n.sup) or (k = 2 and n.note is not null))
     ), u as (select sheet_no, large_ord, small_ord, bv, t, row_number() over (partition by sheet_no, large_ord, small_ord order by min(pos)) as rn from t group by 1, 2, 3, 4, 5)
     select sheet_no, large_ord, small_ord from big where d2 <= 784 union select distinct sheet_no, large_ord, small_ord from u where rn <= 12 and contains(t, cast(bv as varchar))""",
     "twin_run": f"with {NEAR} select sheet_no, ao as ord, min(bo) as twin_ord from p where one and greatest(av, bv) < 8000 and greatest(av, bv) / least(av, bv) <= 1.35 and d2 >= 1600 group by 1, 2",

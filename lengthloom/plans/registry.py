@@ -28,13 +28,18 @@ def _n(spark, sf) -> DataFrame:
     return P.with_neighbours(_c(spark, sf))
 
 
+def _o(spark, sf) -> DataFrame:
+    """Candidates with neighbours and overlaps, written once for the operators on pairs."""
+    return runs.candidates(spark, sf)
+
+
 def _sheets(spark, sf) -> DataFrame:
     return R.sheets(R.row_rules(R.facts(_c(spark, sf))))
 
 
 def guard_chain(spark, sf) -> DataFrame:
-    """All set-based correction rules in order, then a row a sheet."""
-    n = _n(spark, sf)
+    """The short chain of rules in order, on decisions alone and relations by neighbours, then a row a sheet; guard_full has them all."""
+    n = _o(spark, sf)
     d = R.nested_offsets(R.row_rules(R.facts(n)), P.nesting(P.best_parents(n)))
     return R.sheets(R.take_ambiguous(R.restore_twins(R.restore_lengths(d), P.twins(n))))
 
@@ -56,26 +61,27 @@ def repeat_values(spark, sf) -> DataFrame:
 
 def run_parent(spark, sf) -> DataFrame:
     """Candidates that aren't nested themselves and have a sure part, or name a smaller nested offset or are named by one."""
-    n = P.with_overlaps(_n(spark, sf))
+    n = _o(spark, sf)
     return P.run_parents(n, P.nesting(P.best_parents(n)))
 
 
 def sequential_neighbor(spark, sf) -> DataFrame:
-    n = _n(spark, sf)
+    n = _o(spark, sf)
     return P.sequential(n, P.nesting(P.best_parents(n)))
 
 
-def _noted(spark, sf) -> DataFrame:
-    return A.with_notes(R.facts(P.with_overlaps(_n(spark, sf))))
+def _noted(c: DataFrame) -> DataFrame:
+    return A.with_notes(R.facts(c))
 
 
 def features(spark, sf) -> DataFrame:
     """The 28 model features of a candidate from its value, its neighbours, its flags and its parent."""
-    return X.features(_noted(spark, sf), P.best_parents(_n(spark, sf)))
+    n = _o(spark, sf)
+    return X.features(_noted(n), P.best_parents(n))
 
 
 def sample_weights(spark, sf) -> DataFrame:
-    return _noted(spark, sf).select("sheet_no", "ord", F.round(X.weight(), 6).alias("weight"))
+    return _noted(P.with_overlaps(_n(spark, sf))).select("sheet_no", "ord", F.round(X.weight(), 6).alias("weight"))
 
 
 def segment_kind(spark, sf) -> DataFrame:
@@ -186,7 +192,6 @@ def group_split(spark, sf) -> DataFrame:
 def queries() -> dict:
     return {
         "other_runs": lambda s, d: P.other_runs(_n(s, d)),
-        "chain_cover": lambda s, d: P.chain_cover(P.chain_parts(P.with_overlaps(_n(s, d)))),
         "audit_problems": audit_problems,
         "group_split": group_split,
         "sheet_length": _sheets,
@@ -197,8 +202,8 @@ def queries() -> dict:
         "neighbor_text": lambda s, d: P.neighbour_text(_c(s, d)),
         "overall_argmax": lambda s, d: P.overall_argmax(_c(s, d)),
         "overlap_pairs": lambda s, d: P.overlap_flags(_n(s, d)),
-        "best_parent_text": lambda s, d: P.best_parents(_n(s, d)),
-        "nest_drop_middle": lambda s, d: P.nesting(P.best_parents(_n(s, d))),
+        "best_parent_text": lambda s, d: P.best_parents(_o(s, d)),
+        "nest_drop_middle": lambda s, d: P.nesting(P.best_parents(_o(s, d))),
         "sequential_neighbor": sequential_neighbor,
         "envelope_pairs": lambda s, d: P.envelopes(_n(s, d)),
         "twin_run": lambda s, d: P.twins(_n(s, d)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +11,17 @@ VALUES = (12, 20, 34, 81, 159, 244, 300, 650, 840, 916, 1950, 3000, 6000, 10200,
 DECISIONS = ("exclude_nested", "not_length", "ambiguous")
 
 
+#: Texts beside parts, by remainder modulo 23 of their number; roles and reasons that decisions come with, by remainders modulo 4 and 7.
+BESIDE = ("LT", "Гидр. 1,5 МПа", "ItemCode", "ВРЕЗКА", "HOLE")
+ROLES = ("main", "other", "support_offset", None)
+REASONS = ("внутри 300", "рядом Координата Z", "Полный размер Н.О.", None, "внутри D2=24100", "z+ узла", "сомнение")
+
+
+def _pick(values: tuple, k) -> Column:
+    """The value of that place, null beyond the last."""
+    return F.get(F.array(*map(F.lit, values)), k.cast("int"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,7 +44,11 @@ def candidates(lineitem: DataFrame) -> DataFrame:
         (tc == 7).alias("f_insulation_thickness"),
         (dc == 9).alias("f_near_plant_coord"),
         (dc == 8).alias("f_pipe_opening"),
+        (F.col("l_partkey") % 29 == 7).alias("f_stamp"),
         (tc <= 2).alias("has_support"),
+        _pick(BESIDE, F.col("l_partkey") % 23).alias("note"),
+        _pick(ROLES, F.col("l_suppkey") % 4).alias("role"),
+        _pick(REASONS, F.col("l_partkey") % 7).alias("reason"),
         F.when(qm == 0, DECISIONS[0]).when(qm == 1, DECISIONS[1]).when(qm == 2, DECISIONS[2]).otherwise("include").alias("decision"),
     ).withColumn("cid", F.concat(F.lit("D"), F.col("ord").cast("string")))
 
