@@ -120,9 +120,14 @@ def pack(pieces: DataFrame, identity: list[str], room: int = 2048) -> DataFrame:
     gap: a frequent length is split by the hash of ``identity``, each split is numbered by itself and starts where the one
     before it ended. A row's number picks its place among the places that the patterns have for that length. pieces is read
     three times: pass a written table. Columns named like the results are
-    replaced. An empty table gives no rows; rows alike in all of ``identity`` may trade places.
+    replaced; all others come back as they are, whatever their names. An empty table gives no rows; rows alike in all of
+    ``identity`` may trade places.
     """
     pieces = pieces.drop("sequence_id", "offset")
+    own = "_"  # begins no column of the caller's
+    while any(c.startswith(own) for c in pieces.columns):
+        own += "_"
+    i, split, rank, p, n, splits, places, start = (own + x for x in ("i", "split", "rank", "p", "n", "splits", "places", "first"))
     hist = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     if not hist:
         return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
@@ -137,16 +142,16 @@ def pack(pieces: DataFrame, identity: list[str], room: int = 2048) -> DataFrame:
         base += count
     unit = max(1, min(1 << 20, -(-sum(hist.values()) // (2 * room))))  # rows of a split
     spark = pieces.sparkSession
-    place = spark.createDataFrame([(n, -(-hist[n] // unit), x) for n, x in ranges.items()], "length long, _splits long, _places array<struct<r:long,s:long,o:long,k:long>>")
-    d = pieces.join(F.broadcast(place), "length").withColumn("_i", F.xxhash64(*identity)).withColumn("_split", F.pmod("_i", F.col("_splits")))
-    sizes, first, begun = sorted(d.groupBy("length", "_split").count().collect()), [], {}
-    for length, split, n in sizes:
-        first.append((length, split, begun.get(length, 0)))
-        begun[length] = begun.get(length, 0) + n
-    d = d.join(F.broadcast(spark.createDataFrame(first, "length long, _split long, _first long")), ["length", "_split"])
-    d = d.withColumn("_rank", F.col("_first") + F.row_number().over(Window.partitionBy("length", "_split").orderBy("_i", *identity)) - 1)
-    d = d.withColumn("_p", F.element_at(F.filter("_places", lambda p: p["r"] <= F.col("_rank")), -1)).withColumn("_n", F.col("_rank") - F.col("_p.r"))
-    d = d.withColumns({"sequence_id": F.col("_p.s") + F.floor(F.col("_n") / F.col("_p.k")), "offset": F.col("_p.o") + F.col("_n") % F.col("_p.k") * F.col("length")})
+    place = spark.createDataFrame([(k, -(-hist[k] // unit), x) for k, x in ranges.items()], f"length long, {splits} long, {places} array<struct<r:long,s:long,o:long,k:long>>")
+    d = pieces.join(F.broadcast(place), "length").withColumn(i, F.xxhash64(*identity)).withColumn(split, F.pmod(i, F.col(splits)))
+    first, begun = [], {}
+    for length, part, count in sorted(d.groupBy("length", split).count().collect()):
+        first.append((length, part, begun.get(length, 0)))
+        begun[length] = begun.get(length, 0) + count
+    d = d.join(F.broadcast(spark.createDataFrame(first, f"length long, {split} long, {start} long")), ["length", split])
+    d = d.withColumn(rank, F.col(start) + F.row_number().over(Window.partitionBy("length", split).orderBy(i, *identity)) - 1)
+    d = d.withColumn(p, F.element_at(F.filter(places, lambda x: x["r"] <= F.col(rank)), -1)).withColumn(n, F.col(rank) - F.col(f"{p}.r"))
+    d = d.withColumns({"sequence_id": F.col(f"{p}.s") + F.floor(F.col(n) / F.col(f"{p}.k")), "offset": F.col(f"{p}.o") + F.col(n) % F.col(f"{p}.k") * F.col("length")})
     return d.select(*pieces.columns, F.col("sequence_id").cast("long"), F.col("offset").cast("long"))
 
 
