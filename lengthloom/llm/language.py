@@ -234,7 +234,8 @@ def _unseen(counts: list[tuple[str, int]]) -> tuple[float, float] | None:
 def train(df: DataFrame, text: str, lang: str, allowed: Column, docs_per_lang: int = 800) -> Model:
     """Fit and calibrate on a bounded sample of labelled rows.
 
-    About docs_per_lang documents of each language are drawn by a hash of the text, each whole, and at least one text. Half of
+    About docs_per_lang documents of each language are drawn by a hash of the text, each whole, and at least one text; copies of
+    a drawn text go on as one row with their number, which weighs it. Half of
     the distinct texts of each language give word counts; the other half
     gives the mean and spread of the cross-entropy, from which the rejection limits follow. A language with fewer than HALF
     texts a half takes all for both; its limits then allow for words that the model hasn't seen, as estimated on words left
@@ -243,27 +244,26 @@ def train(df: DataFrame, text: str, lang: str, allowed: Column, docs_per_lang: i
     spark = df.sparkSession
     d = df.filter(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     drawn = C.uniform(F.xxhash64(F.lit("draw"), "text"))
-    sizes = {r["lang"]: max(min(1.0, docs_per_lang / r["n"]), r["least"]) for r in d.groupBy("lang").agg(F.count("*").alias("n"), F.min(drawn).alias("least")).collect()}
-    if not sizes:
-        return Model([], np.zeros(0))
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(x)) for k, x in sizes.items()))
-    d = C.keep(d.filter(drawn <= share).withColumn("half", F.xxhash64(F.lit("half"), "text")))
+    n = d.groupBy("lang").agg(F.count("*").alias("n"), F.min(drawn).alias("least"))
+    shares = n.select("lang", F.greatest(F.least(F.lit(1.0), F.lit(float(docs_per_lang)) / F.col("n")), "least").alias("share"))
+    d = d.join(shares, "lang").filter(drawn <= F.col("share")).groupBy("text", "lang").agg(F.count("*").alias("copies"))  # a drawn text of very many copies is one row
+    d = C.keep(d.withColumn("half", F.xxhash64(F.lit("half"), "text")))
     by_lang = Window.partitionBy("lang")
     halves = d.select("lang", "half").distinct().withColumns({"r": F.row_number().over(by_lang.orderBy("half")), "texts": F.count("*").over(by_lang)})
     halves = C.keep(halves.select("lang", "half", F.when(F.col("texts") >= 2 * HALF, F.col("r") % 2 == 0).alias("fit")))
     few = {r["lang"] for r in halves.filter("fit is null").select("lang").distinct().collect()}
-    d = d.join(F.broadcast(halves), ["lang", "half"]).select("text", "lang", "fit")
+    d = d.join(halves, ["lang", "half"]).select("text", "lang", "copies", "fit")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
-            for t, k in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+            for t, k, copies in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for token, n in Counter(t.lower().split()).items():
                     for r in letter_runs(token):
-                        found[k, r] += n
+                        found[k, r] += n * copies
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([r for _, r in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
 
-    words = d.filter("coalesce(fit, true)").select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = d.filter("coalesce(fit, true)").select("text", "lang", "copies").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, list] = {}
     for r in words.collect():
         counts.setdefault(r["lang"], []).append((r["word"], r["n"]))
@@ -276,14 +276,15 @@ def train(df: DataFrame, text: str, lang: str, allowed: Column, docs_per_lang: i
         at = [model.langs.index(x) if x in model.langs else 0 for x in kept[0].to_pylist()]
         return [pa.array(-sums[np.arange(len(at)), at] / n / np.log(2)), pa.array(sums[:, -1])]
 
-    seen = _sums(d.filter("not coalesce(fit, false)"), "text", ["lang"], _Shared(spark, model), "bits double, n double", own).filter("n > 0").collect()
+    seen = _sums(d.filter("not coalesce(fit, false)"), "text", ["lang", "copies"], _Shared(spark, model), "bits double, n double", own).filter("n > 0").collect()
     for k in model.langs:
-        x = np.array([(r["bits"], r["n"]) for r in seen if r["lang"] == k] or [(8.0, 1.0)])
-        mean = float(np.average(x[:, 0], weights=x[:, 1]))
-        noise = float(np.sqrt(np.mean((x[:, 0] - mean) ** 2 * np.minimum(x[:, 1], 200))))  # a symbol's spread, as text length allows
+        bits, n, copies = np.array([(r["bits"], r["n"], r["copies"]) for r in seen if r["lang"] == k] or [(8.0, 1.0, 1.0)]).T
+        mean = float(np.average(bits, weights=n * copies))
+        noise = float(np.sqrt(np.average((bits - mean) ** 2 * np.minimum(n, 200), weights=copies)))  # a symbol's spread, as text length allows
+        spread = float(np.sqrt(np.average((bits - np.average(bits, weights=copies)) ** 2, weights=copies)))
         if k in few and (unseen := _unseen(sorted(counts[k]))):
             mean, noise = max(mean, unseen[0]), max(noise, unseen[1])
-        model.limits.append((mean, 6 * float(x[:, 0].std()) + 1.0, 6 * noise + 2.0))
+        model.limits.append((mean, 6 * spread + 1.0, 6 * noise + 2.0))
     return model
 
 
