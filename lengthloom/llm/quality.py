@@ -88,7 +88,7 @@ def repetition(texts: list[str], min_words: int):
     words = np.fromiter((ids.setdefault(w, len(ids)) for x in split for w in x), np.int64, n)
     doc = np.repeat(np.arange(len(texts)), sizes)
     order, lcp = suffix_order(words, doc)
-    best = np.zeros(n, np.int64)  # the longest earlier or later match of the suffix at each word: its deepest lcp interval
+    best = np.zeros(n, np.int64)  # the value of the deepest lcp interval around each suffix
     if n:
         best[order] = np.maximum(lcp, np.append(lcp[1:], 0))
     three = np.flatnonzero(best >= 3)
@@ -117,8 +117,9 @@ def apply_rules(df: DataFrame, text: str, keep: list[str], min_words: int = 8, m
 
     A text fails the base rules with under 50 words or more than half of its words in repeated 3-word windows. It fails the
     method if maximal repeated substrings of min_words words or more cover over most_covered of its words, or if one is
-    longer than most_longest words. The spans come from the lcp intervals of the text's suffix array: at each word the
-    deepest interval gives the longest repeat that starts there, and their union is what maximal repeats cover.
+    longer than most_longest words. No interval is listed: the value of the deepest lcp interval around a suffix is the larger
+    of its lcps with its two neighbours in the suffix array, which is the longest repeat that starts at its word; the union of these
+    spans is what maximal repeats cover.
     Null and empty texts have no words and fail. Rows are judged one by one, so copies and ties get equal verdicts.
     A ``keep`` column that is named like a result is left out. An empty table gives no rows.
     """
