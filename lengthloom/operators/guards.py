@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import lines as L
 from . import marks as M
 from . import pairs as P
 from . import rules as R
@@ -216,6 +217,17 @@ def chain(d: DataFrame, parts: DataFrame, cover: DataFrame, between=lambda d: d)
     return take_ambiguous(cover_overalls(d, parts, cover))
 
 
+def correct(c: DataFrame, write) -> DataFrame:
+    """Candidates of whole sheets after the chain. ``write`` makes a table of what is read more than once.
+
+    The in-sheet pairs are written once, and relations, facts and chains of pieces are read off them.
+    """
+    pairs = write(P.pair_table(c))
+    edges = write(L.sure_relations(pairs, write).filter(F.col("score") >= L.SURE))
+    parts = write(L.chain_parts(pairs))
+    return chain(facts(c, pairs, edges), parts, L.chain_cover(parts), write)
+
+
 def notes(d: DataFrame) -> DataFrame:
     """sheet_no, note: what the chain did to a sheet, in order; sheets that it left alone have no row."""
     g = d.groupBy("sheet_no").agg(F.sort_array(F.flatten(F.collect_list("log"))).alias("log")).filter(F.size("log") > 0)

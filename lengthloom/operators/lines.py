@@ -138,3 +138,9 @@ def chain_cover(parts: DataFrame) -> DataFrame:
     """sheet_no, ord, n_parts, sum_parts, covers: whether the pieces make up the length: 0.97 of it, or all but 80 mm."""
     g = parts.groupBy("sheet_no", "ord", "length").agg(F.count("*").alias("n_parts"), F.sum("part_mm").cast("long").alias("sum_parts"))
     return g.select("sheet_no", "ord", "n_parts", "sum_parts", ((F.col("sum_parts") >= F.col("length") * 0.97) | (F.col("length") - F.col("sum_parts") <= 80)).alias("covers"))
+
+
+def sure_relations(pairs_: DataFrame, write) -> DataFrame:
+    """relations from pair_table's pairs; ``write`` is applied to what is read twice."""
+    n = write(pairs(pairs_))
+    return relations(best_parents(n), along_runs(n, P.other_runs(pairs_)))

@@ -9,6 +9,7 @@ from ..operators import evaluation as E
 from ..operators import marks as M
 from ..operators import rules as R
 from ..sources import adapters as A
+from ..sources import hits as H
 from .oracle import A1, A5, A6, RULES, sheets
 
 
@@ -95,6 +96,12 @@ def changed_totals(spark, sf) -> DataFrame:
     return old.join(new, "sheet_no").withColumn("change", F.when(F.col("old_mm") == F.col("new_mm"), "").otherwise(F.concat_ws(" → ", F.col("old_mm").cast("string"), F.col("new_mm").cast("string"))))
 
 
+def value_spans(spark, sf) -> DataFrame:
+    """The nearest text run of every candidate's sheet that shows its value; candidates without one have no row."""
+    d = H.nearest_spans(_c(spark, sf), A.number_runs(A.table(spark, sf, "lineitem")))
+    return d.select("sheet_no", "ord", *(F.round(F.col("bbox")[i], 6).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
+
+
 SPANS = A6 + """, s6 as (select sheet_no, text, cast(100 as double) + (l_partkey % 7) * 20 as x, cast(100 as double) + (l_partkey % 5) * 15 as y, l_partkey from a6)"""
 MARKERS = """mk as (select l_orderkey as sheet_no, l_partkey as mark, cast(100 as double) + (l_suppkey % 7) * 20 as x, cast(100 as double) + (l_partkey % 5) * 15 as y,
   case l_partkey % 11 when 0 then 'Н.О.' when 1 then 'ШТУРВАЛ' when 2 then 'ИЗОЛЯЦИЯ' when 3 then 'ВРЕЗКА' when 4 then 'ЗАГЛУШКА, ВРЕЗКА' end as text from lineitem where l_partkey % 11 <= 4)"""
@@ -104,6 +111,9 @@ FRAME = f"""with {SPANS} select sheet_no, l_partkey, reason from (select sheet_n
 
 ORACLE = {
     "frame_reason": FRAME,
+    "value_spans": f"""with {A1}, t as (select l_orderkey as sheet_no, [12, 20, 34, 81, 159, 244, 300, 650, 840, 916, 1950, 3000, 6000, 10200, 22250, 24100][l_partkey % 16 + 1] as v, cast(90 + (l_partkey % 7) * 20 + (l_partkey % 3) * 10 as double) as tx, cast(100 + (l_suppkey % 5) * 15 + (l_suppkey % 4) * 5 as double) as ty
+      from lineitem where l_linenumber % 5 <> 0), j as (select a1.sheet_no, ord, tx, ty, length(cast(v as varchar)) * 2.75::double as n, row_number() over (partition by a1.sheet_no, ord order by (x - tx) * (x - tx) + (y - ty) * (y - ty), tx - length(cast(v as varchar)) * 2.75, ty) as r from a1 join t on a1.sheet_no = t.sheet_no and a1.value_mm = v)
+    select sheet_no, ord, tx - n as x0, ty - 5 as y0, tx + n as x1, ty + 5 as y1 from j where r = 1""",
     "marker_flags": f"""with {A1}, {MARKERS}, n as (select distinct a1.sheet_no, ord, value_mm, mk.text, mark, mk.x as mx, mk.y as my, (a1.x - mk.x) * (a1.x - mk.x) + (a1.y - mk.y) * (a1.y - mk.y) as d2, abs(a1.x - mk.x) <= 14 and abs(a1.y - mk.y) <= 14 as inside
       from a1 join mk on a1.sheet_no = mk.sheet_no)
     select sheet_no, ord, 'overall_mark' as flag from (select *, row_number() over (partition by sheet_no, mark, mx, my order by value_mm desc, ord) as r from n where text = 'Н.О.' and d2 <= 8100) where r = 1

@@ -19,11 +19,6 @@ def candidates(spark, sf) -> DataFrame:
     return kept(A.with_lines(P.with_overlaps(P.with_neighbours(A.candidates(A.table(spark, sf, "lineitem"))))))
 
 
-def _relations(p: DataFrame) -> DataFrame:
-    n = kept(L.pairs(p))
-    return L.relations(L.best_parents(n), L.along_runs(n, P.other_runs(p)))
-
-
 def best_parent_lines(spark, sf) -> DataFrame:
     """The best parent of a candidate by lines and neighbours."""
     return L.best_parents(L.pairs(candidates(spark, sf))).drop("d2")
@@ -37,21 +32,14 @@ def along_run_assign(spark, sf) -> DataFrame:
 
 def relations(spark, sf) -> DataFrame:
     """The parent of a candidate after runs and chains."""
-    return _relations(candidates(spark, sf)).withColumn("dist", F.round("dist", 6))
+    return L.sure_relations(candidates(spark, sf), kept).withColumn("dist", F.round("dist", 6))
 
 
 def _decided(spark, sf) -> DataFrame:
-    """All candidates after the whole chain; sheets with a number divisible by 9 are locked.
-
-    The in-sheet pairs are written once, and relations, facts and chains of pieces are read off them.
-    """
+    """All candidates after the whole chain; sheets with a number divisible by 9 are locked."""
     n = candidates(spark, sf)
-    p = kept(P.pair_table(n.withColumn("cid", F.concat(F.lit("D"), F.col("ord").cast("string")))))
-    edges = kept(_relations(p).filter(F.col("score") >= L.SURE))
-    parts = kept(L.chain_parts(p))
     locked = F.col("sheet_no") % 9 == 0
-    d = Q.chain(Q.facts(n.filter(~locked), p, edges), parts, L.chain_cover(parts), kept)
-    return d.unionByName(n.filter(locked).withColumn("log", F.array().cast(f"array<{Q.ENTRY}>")), allowMissingColumns=True)
+    return Q.correct(n.filter(~locked), kept).unionByName(n.filter(locked).withColumn("log", F.array().cast(f"array<{Q.ENTRY}>")), allowMissingColumns=True)
 
 
 def guard_decisions(spark, sf) -> DataFrame:
@@ -69,6 +57,13 @@ def guard_notes(spark, sf) -> DataFrame:
     return Q.notes(_decided(spark, sf))
 
 
+def relabeled_items(spark, sf) -> DataFrame:
+    """Saved decisions that the rules change, with what they were; locked sheets keep theirs."""
+    old = A.candidates(A.table(spark, sf, "lineitem")).select("sheet_no", "ord", F.struct("decision", "role", "reason").alias("was"))
+    d = _decided(spark, sf).withColumn("now", F.struct("decision", "role", "reason")).join(old, ["sheet_no", "ord"]).filter(~F.col("was").eqNullSafe(F.col("now")))
+    return d.select("sheet_no", "ord", F.col("was.decision").alias("was"), "decision", "role", "reason")
+
+
 def chain_cover(spark, sf) -> DataFrame:
     """Whether the pieces along an overall mark make it up."""
     return L.chain_cover(L.chain_parts(candidates(spark, sf)))
@@ -203,7 +198,7 @@ FULL = """, e7 as (select * from rel where score >= 0.75
   from f2 left join up using (sheet_no, ord) left join tg using (sheet_no, ord) left join tw using (sheet_no, ord) where sheet_no % 9 <> 0
 ), k0 as (select *, (edge_parent or has_part) and not has_parent as is_parent, near_run and not has_parent as goes_on, hw or (wheel and not opening) as wheeled, cast([] as struct(p integer, a integer, s integer, t varchar)[]) as log from y0)"""
 
-QUERIES = {f.__name__: f for f in (best_parent_lines, along_run_assign, relations, chain_cover, guard_decisions, guard_full, guard_notes, larger_counted)}
+QUERIES = {f.__name__: f for f in (best_parent_lines, along_run_assign, relations, chain_cover, guard_decisions, guard_full, guard_notes, relabeled_items, larger_counted)}
 _FULL = f"with recursive {LINES}{CHAIN_PARTS}{RULES.format(base='c')}{FULL}{_all()} "
 ORACLE = {
     "best_parent_lines": f"with {LINES} select sheet_no, ord, parent_ord, score from lb",
@@ -212,6 +207,7 @@ ORACLE = {
     "guard_decisions": _FULL + "select sheet_no, ord, decision, role, reason from done",
     "guard_full": _FULL + sheets("done"),
     "guard_notes": _FULL + "select sheet_no, 'авто: ' || string_agg(e.t, ', ' order by e.p, e.a, e.s) as note from (select sheet_no, unnest(log) as e from done) group by sheet_no",
+    "relabeled_items": _FULL + "select n.sheet_no, n.ord, c.decision as was, n.decision, n.role, n.reason from done n join c on c.sheet_no = n.sheet_no and c.ord = n.ord where (n.decision, n.role, n.reason) is distinct from (c.decision, c.role, c.reason)",
     "chain_cover": f"with {LINES}{CHAIN_PARTS} select sheet_no, bo as ord, n_parts, sum_parts, covers from cov",
     "larger_counted": f"""with {PARENTS}, n as (select distinct sheet_no, ord, value_mm as own, cast(unnest(nums) as integer) as value_mm from c), v as (select sheet_no, value_mm, bool_or(decision = 'include') as counted from c group by 1, 2)
     select n.sheet_no, n.ord, n.value_mm, counted from n join v on n.sheet_no = v.sheet_no and n.value_mm = v.value_mm where n.value_mm > own""",

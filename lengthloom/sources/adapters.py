@@ -148,6 +148,18 @@ def placed_spans(lineitem: DataFrame) -> DataFrame:
     return spans(lineitem).select("*", (F.lit(100.0) + (k % 7) * 20).alias("x"), (F.lit(100.0) + (k % 5) * 15).alias("y"), k.alias("span_ord"))
 
 
+def number_runs(lineitem: DataFrame) -> DataFrame:
+    """The numbers of candidates as text runs near them; every fifth line has none, and some sheets repeat a number."""
+    k = F.col("l_partkey")
+    value = F.element_at(F.array(*map(F.lit, VALUES)), (k % 16 + 1).cast("int"))
+    x, y = F.lit(90.0) + (k % 7) * 20 + (k % 3) * 10, F.lit(100.0) + (F.col("l_suppkey") % 5) * 15 + (F.col("l_suppkey") % 4) * 5
+    n = F.length(value.cast("string")) * 2.75
+    return lineitem.filter("l_linenumber % 5 <> 0").select(
+        F.col("l_orderkey").alias("sheet_no"), F.concat(F.lit(" "), value.cast("string")).alias("text"), x.alias("x"), y.alias("y"),
+        F.array(x - n, y - 5, x + n, y + 5).alias("bbox"), F.array((k % 2).cast("double"), (1 - k % 2).cast("double")).alias("direction"),
+    )
+
+
 #: Texts that parts stand for, by remainder modulo 11; others are no markers.
 MARKERS = ("Н.О.", "ШТУРВАЛ", "ИЗОЛЯЦИЯ", "ВРЕЗКА", "ЗАГЛУШКА, ВРЕЗКА")
 
