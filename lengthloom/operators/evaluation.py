@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -52,11 +52,16 @@ def choose_threshold(rows: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.6,
     return g.agg(best).filter("m is not null").select((-F.col("m.t")).alias("threshold"), F.round("m.coverage", 9).alias("coverage"), F.round("m.accuracy", 9).alias("accuracy"), F.round("m.f", 9).alias("macro_f1"))
 
 
+def winner(p: Column) -> Column:
+    """Struct of pred and p from an array of probabilities by class: the greatest, to nine digits; the first wins a tie."""
+    best = F.array_max(F.array(*(F.struct(F.round(p[i], 9).alias("p"), F.lit(-i).alias("i")) for i in range(len(CLASSES)))))
+    return F.struct(F.element_at(F.array(*map(F.lit, CLASSES)), 1 - best["i"]).alias("pred"), best["p"].alias("p"))
+
+
 def soft_vote(votes: DataFrame, key: str) -> DataFrame:
     """key, pred, confidence from members' arrays of probabilities: the class with the greatest mean; the first wins a tie."""
-    g = votes.groupBy(key).agg(*(F.avg(F.col("probabilities")[i]).alias(c) for i, c in enumerate(CLASSES)))
-    best = F.array_max(F.array(*(F.struct(F.round(c, 9).alias("p"), F.lit(-i).alias("i")) for i, c in enumerate(CLASSES))))
-    return g.withColumn("b", best).select(key, F.element_at(F.array(*map(F.lit, CLASSES)), 1 - F.col("b.i")).alias("pred"), F.col("b.p").alias("confidence"))
+    g = votes.groupBy(key).agg(F.array(*(F.avg(F.col("probabilities")[i]) for i in range(len(CLASSES)))).alias("p")).withColumn("b", winner(F.col("p")))
+    return g.select(key, "b.pred", F.col("b.p").alias("confidence"))
 
 
 def sheet_errors(rows: DataFrame) -> DataFrame:

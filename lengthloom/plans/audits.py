@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from ..operators import marks as M
 from ..operators import rules as R
+from ..operators import splits as S
 from ..sources import adapters as A
+from ..sources import files
 from ..sources import hits as H
 from .oracle import A1, A5, A6, RULES, sheets
 
@@ -67,10 +69,28 @@ def ensemble_vote(spark, sf) -> DataFrame:
 
 def fold_scores(spark, sf) -> DataFrame:
     """Mean and spread over folds of the accuracy; a group is in one fold."""
-    g = _rows(spark, sf).groupBy((F.abs(F.length("grp")) % 5).alias("fold")).agg((F.count_if(F.col("y") == F.col("pred")) / F.count("*")).alias("acc"))
+    d = _rows(spark, sf)
+    d = d.withColumn("grp", F.coalesce("grp", F.lit("")))
+    g = d.join(S.folds(d, "grp", 5), "grp").groupBy("fold").agg((F.count_if(F.col("y") == F.col("pred")) / F.count("*")).alias("acc"))
     return g.agg(F.count("*").alias("n_folds"), F.round(F.avg("acc"), 9).alias("mean"), F.round(F.stddev_pop("acc"), 9).alias("spread"))
 
 
+def split_parts(spark, sf) -> DataFrame:
+    """Sheets and rows for training, validation and test; a sheet is in one part."""
+    n = _c(spark, sf).groupBy("sheet_no").agg(F.count("*").alias("n"))
+    return S.three_way(n, "sheet_no").join(n, "sheet_no").groupBy("part").agg(F.count("*").alias("n_sheets"), F.sum("n").alias("n_rows"))
+
+
+def sheet_folds(spark, sf) -> DataFrame:
+    """The fold of every sheet, of seven."""
+    return S.folds(_c(spark, sf), "sheet_no", 7, seed=3)
+
+
+def manifest_sheets(spark, sf) -> DataFrame:
+    """The pages of every job that are for training: all but those that its manifest keeps for tests."""
+    return files.training_pages(A.manifests(A.table(spark, sf, "orders")))
+
+
 def locked_sheets(spark, sf) -> DataFrame:
     """The row rules on sheets that nobody has locked; locked ones keep their decisions."""
     d = R.facts(_c(spark, sf)).withColumn("locked", F.col("sheet_no") % 4 == 0)
@@ -132,7 +152,15 @@ ORACLE = {
     "ensemble_vote": """with p as (select doc_id, [(n_chars % 7 + 1) / (3 * (n_chars % 7) + 6), (n_chars % 7 + 2) / (3 * (n_chars % 7) + 6), (n_chars % 7 + 3) / (3 * (n_chars % 7) + 6)] as q from documents
     ), m as (select doc_id, [(q[1] + q[1] + q[2]) / 3, (q[2] + q[2] + q[3]) / 3, (q[3] + q[3] + q[1]) / 3] as v from p)
     select doc_id, ['include', 'exclude_nested', 'not_length'][list_position(list_transform(v, lambda z: round(z, 9)), list_max(list_transform(v, lambda z: round(z, 9))))] as pred, round(list_max(v), 9) as confidence from m""",
-    "fold_scores": f"with {A5}, g as (select length(grp) % 5 as fold, count(*) filter (y = pred) / count(*) as acc from a5 group by 1) select count(*) as n_folds, round(avg(acc), 9) as mean, round(stddev_pop(acc), 9) as spread from g",
+    "fold_scores": f"""with {A5}, gs as (select distinct coalesce(grp, '') as grp from a5), rk as (select grp, row_number() over (order by md5('7:' || grp), grp) - 1 as r, count(*) over () as n from gs
+    ), fo as (select grp, case when r < (n % 5) * (n // 5 + 1) then r // (n // 5 + 1) else n % 5 + (r - (n % 5) * (n // 5 + 1)) // greatest(n // 5, 1) end as fold from rk
+    ), g as (select fold, count(*) filter (y = pred) / count(*) as acc from a5 join fo on coalesce(a5.grp, '') = fo.grp group by 1) select count(*) as n_folds, round(avg(acc), 9) as mean, round(stddev_pop(acc), 9) as spread from g""",
+    "split_parts": f"""with {A1}, g as (select sheet_no, count(*) as c from a1 group by 1), rk as (select *, row_number() over (order by md5('7:' || sheet_no), sheet_no) - 1 as r, count(*) over () as n from g
+    ), pt as (select *, ceil(n * 0.15::double) as t from rk) select case when r < t then 'test' when r < t + ceil((n - t) * 0.1765::double) then 'validation' else 'train' end as part, count(*) as n_sheets, cast(sum(c) as bigint) as n_rows from pt group by 1""",
+    "sheet_folds": f"""with {A1}, g as (select distinct sheet_no from a1), rk as (select sheet_no, row_number() over (order by md5('3:' || sheet_no), sheet_no) - 1 as r, count(*) over () as n from g)
+    select sheet_no, cast(case when r < (n % 7) * (n // 7 + 1) then r // (n // 7 + 1) else n % 7 + (r - (n % 7) * (n // 7 + 1)) // greatest(n // 7, 1) end as integer) as fold from rk""",
+    "manifest_sheets": """with j as (select distinct o_orderkey // 1000 as job from orders) select cast(job as varchar) as job, cast(page as integer) as page from j, lateral (select unnest(range(1, 1001)) as page) u
+    where (job, page) not in (select (o_orderkey // 1000, o_orderkey % 1000 + 1) from orders where o_orderkey % 10 = 7)""",
     "locked_sheets": f"with {A1}{RULES.format(base='a1')}, mix as (select * from r4 where sheet_no % 4 <> 0 union all select * from f2 where sheet_no % 4 = 0) " + sheets("mix"),
     "manual_edits": f"with {A1}, ed as (select * replace (case when sheet_no % 5 = 0 and ord % 3 = 0 then case decision when 'include' then 'exclude_nested' when 'exclude_nested' then 'not_length' when 'not_length' then 'ambiguous' else 'include' end else decision end as decision) from a1) " + sheets("ed"),
     "markup_boxes": f"with {A1} select sheet_no, ord, 'D' || ord || '=' || value_mm as tag, x - 6 as x0, y - 6 as y0, x + 6 as x1, y + 6 as y1, case decision when 'include' then 'green' when 'exclude_nested' then 'orange' when 'not_length' then 'grey' else 'red' end as colour from a1",

@@ -11,6 +11,7 @@ from ..operators import evaluation as E
 from ..operators import features as X
 from ..operators import pairs as P
 from ..operators import rules as R
+from ..session import kept
 from ..sources import adapters as A
 from . import audits, runs, saved, strokes
 from .oracle import ORACLE
@@ -81,7 +82,7 @@ def features(spark, sf) -> DataFrame:
 
 
 def sample_weights(spark, sf) -> DataFrame:
-    return _noted(P.with_overlaps(_n(spark, sf))).select("sheet_no", "ord", F.round(X.weight(), 6).alias("weight"))
+    return _noted(_o(spark, sf)).select("sheet_no", "ord", F.round(X.weight(), 6).alias("weight"))
 
 
 def segment_kind(spark, sf) -> DataFrame:
@@ -201,7 +202,7 @@ def queries() -> dict:
         "repeat_values": repeat_values,
         "neighbor_text": lambda s, d: P.neighbour_text(_c(s, d)),
         "overall_argmax": lambda s, d: P.overall_argmax(_c(s, d)),
-        "overlap_pairs": lambda s, d: P.overlap_flags(_n(s, d)),
+        "overlap_pairs": lambda s, d: P.overlap_flags(kept(_n(s, d))),
         "best_parent_text": lambda s, d: P.best_parents(_o(s, d)),
         "nest_drop_middle": lambda s, d: P.nesting(P.best_parents(_o(s, d))),
         "sequential_neighbor": sequential_neighbor,

@@ -15,8 +15,12 @@ from .oracle import PARENTS, RULES, SUP, sheets
 
 
 def candidates(spark, sf) -> DataFrame:
-    """Candidates with neighbours, overlaps and lines: written once, as every operator on relations reads them."""
-    return kept(A.with_lines(P.with_overlaps(P.with_neighbours(A.candidates(A.table(spark, sf, "lineitem"))))))
+    """Candidates with neighbours, overlaps and lines: written once, as every operator on relations reads them.
+
+    Each of the two joins of a sheet with itself has a written table on both sides, so neither is planned anew for a later one.
+    """
+    n = kept(P.with_neighbours(kept(A.candidates(A.table(spark, sf, "lineitem")))))
+    return kept(A.with_lines(P.with_overlaps(n)))
 
 
 def best_parent_lines(spark, sf) -> DataFrame:

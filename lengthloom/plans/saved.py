@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import classes
+from ..operators import classes, features, guards, models, pairs, rules, splits
 from ..session import kept
 from ..sources import adapters as A
+from . import runs
 from .oracle import A1
 
-FEATURES = ["value", "log_value", "big", "small", "n_near", "has_larger_near", "nested_ratio", "has_parent", "geo_confidence", "overall", "handwheel"]
-
-
 def _c(spark, sf) -> DataFrame:
     return A.candidates(A.table(spark, sf, "lineitem"))
 
@@ -40,19 +38,35 @@ def merged_rows(spark, sf) -> DataFrame:
     return first.unionByName(second.join(first, ["sheet_no", "ord"], "left_anti"))
 
 
+def _training(spark, sf) -> DataFrame:
+    """Candidates with their 28 features, the decision that the rules leave as the label, the weight, and every fifth sheet held out."""
+    c = runs.candidates(spark, sf)
+    label = guards.correct(c, kept).select("sheet_no", "ord", "decision")
+    noted = A.with_notes(rules.facts(c)).drop("decision").join(label, ["sheet_no", "ord"])
+    f = features.features(noted, pairs.best_parents(c))
+    w = noted.select("sheet_no", "ord", "decision", features.weight().alias("weight"))
+    held = splits.folds(c, "sheet_no", 5).select("sheet_no", (F.col("fold") == 0).alias("held_out"))
+    return kept(f.join(w, ["sheet_no", "ord"]).join(held, "sheet_no"))
+
+
+def _names(d: DataFrame) -> list[str]:
+    return [n for n in d.columns if n not in ("sheet_no", "ord", "decision", "weight", "held_out")]
+
+
 def cascade_classes(spark, sf) -> DataFrame:
     """Classes of all candidates by two models trained on four fifths of the sheets; training differs, so there is no SQL."""
-    from . import registry
-
-    c = _c(spark, sf)
-    own = c.select("sheet_no", "ord", "decision", F.col("f_overall_mark").cast("int").alias("overall"), F.col("f_handwheel").cast("int").alias("handwheel"))
-    f = registry.features(spark, sf)
-    weights = registry.sample_weights(spark, sf)
-    d = kept(own.join(f.select("sheet_no", "ord", *(n for n in FEATURES if n in f.columns)), ["sheet_no", "ord"]).join(weights, ["sheet_no", "ord"]).withColumn("held_out", F.pmod(F.xxhash64("sheet_no"), F.lit(5)) == 0))
-    model = classes.fit_cascade(d.filter(~F.col("held_out")), FEATURES, "decision", "weight")
+    d = _training(spark, sf)
+    model = classes.fit_cascade(d.filter(~F.col("held_out")), _names(d), "decision", "weight")
     return model.classify(d).select("sheet_no", "ord", "held_out", "decision", "linear", "forest", "confidence", "pred")
 
 
+def forest_classes(spark, sf) -> DataFrame:
+    """Classes of all candidates by the mean of five forests; training differs, so there is no SQL."""
+    d = _training(spark, sf)
+    model = models.fit_forests(d.filter(~F.col("held_out")), _names(d), "decision", "weight")
+    return model.classify(d).select("sheet_no", "ord", "held_out", "decision", "pred", "confidence", "why")
+
+
 ORACLE = {
     "valid_saves": f"""with {A1}, s as (select sheet_no, ord, value_mm + case when ord = 5 and sheet_no % 4 = 0 then 1 else 0 end as saved_mm from a1 where ord <> 6 or sheet_no % 3 <> 0)
     select a1.sheet_no, count(*) as n_wanted, count(*) filter (saved_mm is null or saved_mm <> value_mm) as n_stale, count(*) filter (saved_mm is null or saved_mm <> value_mm) = 0 as valid
@@ -63,6 +77,6 @@ ORACLE = {
     "merged_rows": f"""with {A1} select sheet_no, ord, value_mm, decision from a1 where ord % 2 = 0
     union all select sheet_no, ord, value_mm, 'ambiguous' from a1 where ord % 3 = 0 and ord % 2 <> 0""",
 }
-QUERIES = {"valid_saves": valid_saves, "usage": usage, "merged_rows": merged_rows, "cascade_classes": cascade_classes}
+QUERIES = {"valid_saves": valid_saves, "usage": usage, "merged_rows": merged_rows, "cascade_classes": cascade_classes, "forest_classes": forest_classes}
 #: Queries that SQL can't express.
-WITHOUT_SQL = {"cascade_classes"}
+WITHOUT_SQL = {"cascade_classes", "forest_classes"}

@@ -148,6 +148,14 @@ def placed_spans(lineitem: DataFrame) -> DataFrame:
     return spans(lineitem).select("*", (F.lit(100.0) + (k % 7) * 20).alias("x"), (F.lit(100.0) + (k % 5) * 15).alias("y"), k.alias("span_ord"))
 
 
+def manifests(orders: DataFrame) -> DataFrame:
+    """Jobs of a thousand orders as manifests: pages in all, and lists of those that tests keep."""
+    k = F.col("o_orderkey")
+    d = orders.select(F.floor(k / 1000).cast("string").alias("job"), (k % 1000 + 1).cast("int").alias("page"), (k % 10 == 7).alias("held"), (k % 3 + 1).cast("string").alias("test"))
+    tests = d.groupBy("job", "test").agg(F.sort_array(F.collect_list(F.when(F.col("held"), F.col("page")))).alias("pages"))
+    return tests.groupBy("job").agg(F.lit(1000).alias("total"), F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("test_"), "test"), "pages"))).alias("holdout_test_pages"))
+
+
 def number_runs(lineitem: DataFrame) -> DataFrame:
     """The numbers of candidates as text runs near them; every fifth line has none, and some sheets repeat a number."""
     k = F.col("l_partkey")

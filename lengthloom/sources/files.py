@@ -64,3 +64,26 @@ def write_examples(rows: DataFrame, path: str) -> None:
 def upsert(index: DataFrame, job: DataFrame) -> DataFrame:
     """The index with job's rows in place of those with their ids; latest marks the new ones."""
     return job.withColumn("latest", F.lit(True)).unionByName(index.drop("latest").join(job.select("id"), "id", "left_anti").withColumn("latest", F.lit(False)), allowMissingColumns=True)
+
+
+MANIFEST = "job string, total int, holdout_test_pages map<string,array<int>>, test_sets map<string,array<int>>"
+
+
+def read_manifests(spark: SparkSession, path: str, total: int = 307) -> DataFrame:
+    """job, total, holdout_test_pages of manifests, one a file; the older name of the lists is read too, a missing total is ``total``."""
+    d = spark.read.schema(MANIFEST).json(path, multiLine=True)
+    none = F.create_map().cast("map<string,array<int>>")
+    return d.select("job", F.coalesce("total", F.lit(total)).alias("total"), F.coalesce("holdout_test_pages", "test_sets", none).alias("holdout_test_pages"))
+
+
+def training_pages(manifests: DataFrame) -> DataFrame:
+    """job, page: the pages from 1 to total that no list of the manifest keeps for tests, whatever it says itself."""
+    held = F.flatten(F.map_values("holdout_test_pages"))
+    pages = F.array_except(F.sequence(F.lit(1), F.greatest("total", F.lit(1))), F.coalesce(held, F.array().cast("array<int>")))
+    return manifests.select("job", "total", F.explode(pages).alias("page")).filter("page <= total").select("job", "page")
+
+
+def holdout_leaks(used: DataFrame, manifests: DataFrame) -> DataFrame:
+    """job, test, page: pages that were used although a test keeps them."""
+    held = manifests.select("job", F.explode("holdout_test_pages").alias("test", "pages")).select("job", "test", F.explode("pages").alias("page"))
+    return held.join(used.select("job", "page").distinct(), ["job", "page"]).select("job", "test", "page")
