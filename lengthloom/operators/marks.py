@@ -1,4 +1,4 @@
-"""What texts and places on a sheet say about candidates: areas of the frame, marker texts, openings, marks to draw."""
+"""What texts on a sheet say about candidates: marker texts, openings, marks to draw."""
 
 from __future__ import annotations
 
@@ -15,23 +15,6 @@ REACH = {"overall": 90.0, "handwheel": 40.0, "insulation": 100.0, "opening": 140
 COLOURS = {"include": "green", "exclude_nested": "orange", "not_length": "grey", "ambiguous": "red"}
 
 
-def frame_reasons(spans: DataFrame, width: float, height: float) -> DataFrame:
-    """spans with reason: the area they lie in (table of lengths, right column, bottom), or the words; null on the drawing.
-
-    The table of lengths begins at its header, the first by span_ord of a sheet, and ends above the bottom area.
-    """
-    head = F.upper(F.replace("text", F.lit("\u00a0"), F.lit(" "))).rlike("ДЛИНЫ.*ОТРЕЗК|ОТРЕЗК.*ДЛИНЫ")
-    first = spans.filter(head).groupBy("sheet_no").agg(F.min_by(F.struct("x", "y"), "span_ord").alias("h"))
-    d = spans.join(first, "sheet_no", "left")
-    left = F.least(F.greatest(F.lit(0.0), F.col("h.x") - width * 0.02), F.lit(width * 0.62))
-    table = F.col("h").isNotNull() & (F.col("x") >= left) & F.col("y").between(F.greatest(F.lit(0.0), F.col("h.y") - height * 0.01), F.lit(height * 0.92))
-    reason = (
-        F.when(table, "cut_lengths_table").when(F.col("x") >= width * 0.68, "materials_spec").when(F.col("y") >= height * 0.86, "title_block")
-        .when(F.col("text").rlike(PARTS_TABLE), "cut_lengths_table").when(F.col("text").rlike(TITLE), "title_block")
-    )
-    return d.select("sheet_no", "l_partkey", reason.alias("reason"))
-
-
 def _kind() -> Column:
     t = F.upper(F.trim("text"))
     short = F.regexp_replace(t, "^[ .,;:]+|[ .,;:]+$| ", "")

@@ -8,20 +8,41 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from ..operators import marks as M
 from ..operators import rules as R
+from ..operators import sheets as T
 from ..operators import splits as S
+from ..session import kept
 from ..sources import adapters as A
 from ..sources import files
 from ..sources import hits as H
-from .oracle import A1, A5, A6, RULES, sheets
+from .oracle import A1, A5, RULES, sheets
 
 
 def _c(spark, sf) -> DataFrame:
     return A.candidates(A.table(spark, sf, "lineitem"))
 
 
+def _spans(spark, sf) -> DataFrame:
+    return kept(T.spans(A.text_pages(A.table(spark, sf, "lineitem"))))
+
+
+def text_spans(spark, sf) -> DataFrame:
+    """Runs of the pages' nested text, with their place and direction."""
+    return _spans(spark, sf).select("sheet_no", "span.line", "span.number", "text", "x", "y", "size", F.col("direction")[0].alias("dir_x"))
+
+
 def frame_reason(spark, sf) -> DataFrame:
-    """Why a text run is no dimension by its place on the sheet or its words; runs of the drawing itself have no row."""
-    return M.frame_reasons(A.placed_spans(A.table(spark, sf, "lineitem")), 240.0, 170.0).filter("reason is not null")
+    """Why a run is no dimension: by its text, its place, the words beside it or its value; candidates too, other text has no row."""
+    return T.reasons(T.with_nearby(_spans(spark, sf))).filter("reason is not null").select("sheet_no", "span.line", "span.number", "reason")
+
+
+def page_candidates(spark, sf) -> DataFrame:
+    """The candidates that a page's text leaves, with what stands beside them and the hint that it gives."""
+    return T.candidates(T.reasons(T.with_nearby(_spans(spark, sf)))).select("sheet_no", "ord", "value_mm", "x", "y", "nearby", "hint")
+
+
+def sheet_meta(spark, sf) -> DataFrame:
+    """A page's line, number, count and source as its last texts name them."""
+    return T.meta(_spans(spark, sf))
 
 
 def marker_flags(spark, sf) -> DataFrame:
@@ -122,15 +143,28 @@ def value_spans(spark, sf) -> DataFrame:
     return d.select("sheet_no", "ord", *(F.round(F.col("bbox")[i], 6).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
 
 
-SPANS = A6 + """, s6 as (select sheet_no, text, cast(100 as double) + (l_partkey % 7) * 20 as x, cast(100 as double) + (l_partkey % 5) * 15 as y, l_partkey from a6)"""
+SPANS = """k6 as (select l_orderkey as sheet_no, l_partkey as k, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 as integer) as line, cast(20 + (l_partkey % 7) * 24 as double) as px, cast(10 + (l_suppkey % 7) * 24 as double) as py from lineitem
+), s6 as (select sheet_no, line, 0 as number, case k % 9 when 0 then 'X ' || (k + 30000) when 1 then 'DN50' when 2 then 'О' || (k % 30) when 3 then '<' || (k % 9) || '>' when 4 then cast(k % 17 as varchar) when 5 then 'ШТУРВАЛ UP' when 6 then 'z+37329' when 7 then 'ф7а' else cast(k + 50 as varchar) end as text, px as x, py as y, cast(k % 2 <> 0 as integer)::double as dir_x from k6
+  union all select sheet_no, line, 1, ['ДЛИНЫ' || chr(160) || 'ОТРЕЗКОВ', 'Гидр. 1,5', 'ItemCode', 'Лист 2 из 7', 'AB12_0345', 'Страница 4 исходного', 'ШТУРВАЛ', null, 'СМ. узел', 'ВРЕЗКА'][k % 13 + 1], px + 12, py + 6, cast(k % 2 <> 0 as integer)::double from k6 where k % 13 < 10 and k % 13 <> 7)"""
 MARKERS = """mk as (select l_orderkey as sheet_no, l_partkey as mark, cast(100 as double) + (l_suppkey % 7) * 20 as x, cast(100 as double) + (l_partkey % 5) * 15 as y,
   case l_partkey % 11 when 0 then 'Н.О.' when 1 then 'ШТУРВАЛ' when 2 then 'ИЗОЛЯЦИЯ' when 3 then 'ВРЕЗКА' when 4 then 'ЗАГЛУШКА, ВРЕЗКА' end as text from lineitem where l_partkey % 11 <= 4)"""
-FRAME = f"""with {SPANS} select sheet_no, l_partkey, reason from (select sheet_no, l_partkey, case when x >= 240 * 0.68 then 'materials_spec' when y >= 170 * 0.86 then 'title_block'
-  when regexp_matches(text, '(?i)Длина,[ ]*мм|Поз[.][ ]*№|ItemCode|Кол-во|ДЛИНЫ[ ]+ОТРЕЗКОВ|СПЕЦИФИКАЦИЯ[ ]+МАТЕРИАЛОВ') then 'cut_lengths_table'
-  when regexp_matches(text, '(?i)°C|МПа|Гидр[.]|Класс трубопровода|Рабоч(ая|ее)[ ]+температур|Давление испытаний') then 'title_block' end as reason from s6) where reason is not null"""
+FRAME = f"""{SPANS}, num as (select * from s6 where regexp_matches(text, '^[0-9]+$')
+), nb as (select a.sheet_no, a.line, a.number, b.text, min(b.line * 2 + b.number) as pos from num a join s6 b on a.sheet_no = b.sheet_no and (a.line, a.number) <> (b.line, b.number) and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 3025 group by 1, 2, 3, 4
+), nr as (select *, row_number() over (partition by sheet_no, line, number order by pos) as r from nb), near as (select sheet_no, line, number, string_agg(text, ' | ' order by pos) as nearby from nr where r <= 12 group by 1, 2, 3
+), hd as (select sheet_no, arg_min(x - 8, line * 2 + number) as hx, arg_min(y - 4, line * 2 + number) as hy from s6 where text = 'ДЛИНЫ' || chr(160) || 'ОТРЕЗКОВ' group by 1
+), fr as (select s6.*, coalesce(nearby, '') as nearby, case when hx is not null and x >= least(greatest(0, hx - 4.8), 148.8) and x <= 240 and y >= greatest(0, hy - 1.7) and y <= 170 * 0.92 then 'cut_lengths_table' when x >= 240 * 0.68 then 'materials_spec' when y >= 170 * 0.86 then 'title_block'
+    when regexp_matches(coalesce(nearby, ''), '(?i)Длина,[ ]*мм|Поз[.][ ]*№|ItemCode|Кол-во|ДЛИНЫ[ \u00a0]+ОТРЕЗКОВ|СПЕЦИФИКАЦИЯ[ ]+МАТЕРИАЛОВ') then 'cut_lengths_table' when regexp_matches(coalesce(nearby, ''), '(?i)°C|МПа|Гидр[.]|Класс трубопровода|Давление испытаний') then 'title_block' end as frame
+  from s6 left join near using (sheet_no, line, number) left join hd using (sheet_no)
+), rs as (select *, case when regexp_matches(text, '(?i)^(X|Y|Z[+]?)[ ]*[0-9]+$') then 'coordinate_xyz' when regexp_matches(text, '(?i)^DN[0-9]') then 'nominal_diameter' when regexp_matches(text, '(?i)^[ОOФFПP][0-9]+[АAБB]?$') then 'support_tag' when regexp_matches(text, '^<[0-9]+>$') then 'item_balloon'
+    when regexp_matches(text, '^[0-9]+$') then coalesce(frame, case when cast(text as bigint) <= 16 then 'bom_or_weld_index' else 'candidate' end) end as reason from fr)"""
 
 ORACLE = {
-    "frame_reason": FRAME,
+    "text_spans": f"with {SPANS} select sheet_no, line, number, text, x, y, 9.0::double as size, dir_x from s6",
+    "frame_reason": f"with {FRAME} select sheet_no, line, number, reason from rs where reason is not null",
+    "page_candidates": f"""with {FRAME} select sheet_no, cast(row_number() over (partition by sheet_no order by line, number) as integer) as ord, cast(text as bigint) as value_mm, x, y, nearby, case when contains(upper(nearby), 'ШТУРВАЛ') then 'near_valve_handwheel' else 'dimension_candidate' end
+      || case when contains(nearby, 'СМ.') then '|near_endpoint' else '' end || case when contains(nearby, 'ВРЕЗКА') then '|pipe_opening' else '' end as hint from rs where reason = 'candidate'""",
+    "sheet_meta": f"""with {SPANS}, m as (select sheet_no, line * 2 + number as o, text from s6), l as (select sheet_no, arg_max(text, o) filter (text = 'AB12_0345') as line_id, arg_max(2, o) filter (text like 'Лист%') as number, arg_max(7, o) filter (text like 'Лист%') as count, arg_max(text, o) filter (text like 'Страница%') as source_page from m group by 1)
+      select sheet_no, coalesce(line_id, 'UNKNOWN_' || sheet_no) as line_id, cast(number as integer) as number, cast(count as integer) as count, coalesce(source_page, '') as source_page from l""",
     "value_spans": f"""with {A1}, t as (select l_orderkey as sheet_no, [12, 20, 34, 81, 159, 244, 300, 650, 840, 916, 1950, 3000, 6000, 10200, 22250, 24100][l_partkey % 16 + 1] as v, cast(90 + (l_partkey % 7) * 20 + (l_partkey % 3) * 10 as double) as tx, cast(100 + (l_suppkey % 5) * 15 + (l_suppkey % 4) * 5 as double) as ty
       from lineitem where l_linenumber % 5 <> 0), j as (select a1.sheet_no, ord, tx, ty, length(cast(v as varchar)) * 2.75::double as n, row_number() over (partition by a1.sheet_no, ord order by (x - tx) * (x - tx) + (y - ty) * (y - ty), tx - length(cast(v as varchar)) * 2.75, ty) as r from a1 join t on a1.sheet_no = t.sheet_no and a1.value_mm = v)
     select sheet_no, ord, tx - n as x0, ty - 5 as y0, tx + n as x1, ty + 5 as y1 from j where r = 1""",

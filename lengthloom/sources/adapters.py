@@ -130,22 +130,37 @@ def evaluations(documents: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def spans(lineitem: DataFrame) -> DataFrame:
-    """Lines as text runs of a drawing."""
+def _own_text() -> Column:
+    """The text that a part stands for."""
     k = F.col("l_partkey")
-    s = k.cast("string")
-    text = (
+    return (
         F.when(k % 9 == 0, F.concat(F.lit("X "), (k + 30000).cast("string"))).when(k % 9 == 1, "DN50").when(k % 9 == 2, F.concat(F.lit("О"), (k % 30).cast("string")))
         .when(k % 9 == 3, F.concat(F.lit("<"), (k % 9).cast("string"), F.lit(">"))).when(k % 9 == 4, (k % 17).cast("string")).when(k % 9 == 5, "ШТУРВАЛ UP")
         .when(k % 9 == 6, "z+37329").when(k % 9 == 7, "ф7а").otherwise((k + 50).cast("string"))
     )
-    return lineitem.select(F.col("l_orderkey").alias("sheet_no"), k.alias("l_partkey"), text.alias("text")).filter(s.isNotNull())
 
 
-def placed_spans(lineitem: DataFrame) -> DataFrame:
-    """Text runs with a place on the sheet and an order."""
+def spans(lineitem: DataFrame) -> DataFrame:
+    """Lines as text runs of a drawing."""
+    return lineitem.filter("l_partkey is not null").select(F.col("l_orderkey").alias("sheet_no"), "l_partkey", _own_text().alias("text"))
+
+
+#: Texts after parts' own, by remainder modulo 13 of their number; others have none.
+AFTER = ("ДЛИНЫ\u00a0ОТРЕЗКОВ", "Гидр. 1,5", "ItemCode", "Лист 2 из 7", "AB12_0345", "Страница 4 исходного", "ШТУРВАЛ", " \t", "СМ. узел", "ВРЕЗКА")
+
+
+def text_pages(lineitem: DataFrame) -> DataFrame:
+    """A page per order with nested text: a block with a line of one or two runs for each of its lines, and a block that is no text."""
     k = F.col("l_partkey")
-    return spans(lineitem).select("*", (F.lit(100.0) + (k % 7) * 20).alias("x"), (F.lit(100.0) + (k % 5) * 15).alias("y"), k.alias("span_ord"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    x, y = F.lit(20.0) + (k % 7) * 24, F.lit(10.0) + (F.col("l_suppkey") % 7) * 24
+    run = lambda t, dx, dy: F.struct(t.alias("text"), F.array(x + dx - 8, y + dy - 4, x + dx + 8, y + dy + 4).alias("bbox"), F.lit(9.0).alias("size"))
+    runs = F.array_compact(F.array(run(_own_text(), 0, 0), F.when(k % 13 < len(AFTER), run(_pick(AFTER, k % 13), 12, 6))))
+    line = F.struct(F.when(k % 2 == 0, F.array(F.lit(0.0), F.lit(1.0))).alias("dir"), runs.alias("spans"))
+    g = lineitem.select("l_orderkey", F.row_number().over(w).alias("i"), line.alias("l")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("i", "l"))).alias("ls"))
+    text = F.struct(F.lit(0).alias("type"), F.transform("ls", lambda v: v["l"]).alias("lines"))
+    image = F.struct(F.lit(1).alias("type"), F.slice(text["lines"], 1, 1).alias("lines"))
+    return g.select(F.col("l_orderkey").alias("sheet_no"), F.lit(240.0).alias("width"), F.lit(170.0).alias("height"), F.array(image, text).alias("blocks"))
 
 
 def manifests(orders: DataFrame) -> DataFrame:
