@@ -48,13 +48,13 @@ def features(c: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def weight() -> Column:
-    """How much a row with value_mm, nearby, flags, decision and locked weighs: costly mistakes count more."""
+    """How much a row with value_mm, nearby, flags, decision, locked and reviewed_by_human weighs: costly mistakes count more."""
     has = lambda *names: F.arrays_overlap("flags", F.array(*map(F.lit, names)))
     v = F.col("value_mm")
     alone = F.filter(F.split(F.coalesce("nearby", F.lit("")), r"[\s|]+"), lambda t: t.rlike("^[0-9]+$"))
     larger = F.array_max(F.filter(F.transform(alone, lambda t: t.try_cast("long")), lambda n: (n > v) & (v > 0)))
     factors = (
-        (F.col("locked"), 8.0), (has("overall_mark", "overall_pair"), 5.0), (has("nested_offset"), 2.0), (has("handwheel", "insulation"), 3.5), (has("support_repeat"), 2.5), ((v / larger).between(0.12, 0.55), 3.0),
+        (F.coalesce("locked", F.lit(False)) | F.coalesce("reviewed_by_human", F.lit(False)), 8.0), (has("overall_mark", "overall_pair"), 5.0), (has("nested_offset"), 2.0), (has("handwheel", "insulation"), 3.5), (has("support_repeat"), 2.5), ((v / larger).between(0.12, 0.55), 3.0),
         (F.col("decision") == "exclude_nested", 1.2), (F.col("decision") == "not_length", 1.6), (v >= 2000, 1.8), (v <= 25, 2.0),
     )
     product = F.lit(1.0)

@@ -136,26 +136,33 @@ def _twin() -> Column:
     return mentions("a", "b") & (hi < 8000) & (hi / lo <= 1.35) & (d2("a", "b") >= 1600.0)
 
 
-def _named_part() -> Column:
-    """Whether b is a smaller nested offset that a names or that names a."""
-    return (F.col("b.value_mm") < F.col("a.value_mm")) & F.col("b.f_nested_offset") & (mentions("a", "b") | mentions("b", "a"))
+def _named() -> Column:
+    """Whether b is smaller and a names it or is named by it."""
+    return (F.col("b.value_mm") < F.col("a.value_mm")) & (mentions("a", "b") | mentions("b", "a"))
+
+
+def named_parts(c: DataFrame, edges: DataFrame) -> DataFrame:
+    """sheet_no, ord of candidates that name a smaller nested offset or are named by one; who has a sure parent (edges) is one."""
+    nested = edges.select(F.col("sheet_no").alias("_s"), F.col("ord").alias("_o")).distinct()
+    p = within_sheet(c, 1e6).filter(_named()).select("a.sheet_no", "a.ord", F.col("b.ord").alias("part"), F.col("b.f_nested_offset").alias("flag"))
+    by_edge = p.filter("not flag").join(nested, (F.col("sheet_no") == F.col("_s")) & (F.col("part") == F.col("_o")), "left_semi")
+    return p.filter("flag").unionByName(by_edge).select("sheet_no", "ord").distinct()
 
 
 def pair_facts(p: DataFrame) -> DataFrame:
-    """What the rules ask of a candidate's pairs, in one pass: has_part, beside, target, continues_raw and twin.
+    """What the rules ask of a candidate's pairs, in one pass: beside, target, continues_raw and twin.
 
     target: the first candidate (ord, cid, value_mm) that it mentions and surrounds; twin: the first mentioned one of like length.
     """
     first = lambda when: F.min(F.when(when, F.struct("b.ord", "b.cid", "b.value_mm")))
     return within_sheet(p, 1e6).groupBy("a.sheet_no", "a.ord").agg(
-        F.bool_or(_named_part()).alias("has_part"), F.bool_or(_surrounds()).alias("beside"), first(_surrounds() & mentions("a", "b")).alias("target"), F.bool_or(_continues()).alias("continues_raw"), first(_twin()).alias("twin")
+        F.bool_or(_surrounds()).alias("beside"), first(_surrounds() & mentions("a", "b")).alias("target"), F.bool_or(_continues()).alias("continues_raw"), first(_twin()).alias("twin")
     )
 
 
 def run_parents(c: DataFrame, edges: DataFrame) -> DataFrame:
     """sheet_no, ord of candidates without a parent that have a part: by an edge, or a smaller nested offset that names them or is named."""
-    named = within_sheet(c, 1e6).filter(_named_part()).select("a.sheet_no", "a.ord")
-    above = edges.select("sheet_no", F.col("parent_ord").alias("ord")).unionByName(named).distinct()
+    above = edges.select("sheet_no", F.col("parent_ord").alias("ord")).unionByName(named_parts(c, edges)).distinct()
     return above.join(edges, ["sheet_no", "ord"], "left_anti")
 
 

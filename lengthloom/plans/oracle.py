@@ -112,6 +112,11 @@ ORACLE = {
     union all select distinct sheet_no, id, 'parent' from h where pid is not null and (sheet_no, pid) not in (select (sheet_no, id) from h) union all select distinct sheet_no, id, 'confidence' from h where conf < 0 or conf > 1
     union all select distinct h.sheet_no, h.id, 'parent_value' from h join h u on u.sheet_no = h.sheet_no and u.id = h.pid where u.mm <> 3000 union all select distinct s.sheet_no, s.id, 'value' from s join h on s.sheet_no = h.sheet_no and s.id = h.id where s.mm <> h.mm
     union all select distinct sheet_no, id, 'class' from s where decision not in ('include', 'exclude_nested', 'not_length', 'ambiguous') union all select distinct sheet_no, id, 'no_value' from h where mm is null""",
+    "audit_counts": f"""with {A1}, s0 as (select sheet_no % 4 as job, sheet_no, decision from a1 where ord % 11 <> 0 and sheet_no % 17 <> 0
+    ), s as (select job, sheet_no, count(*) filter (decision = 'include') as include, count(*) filter (decision = 'exclude_nested') as exclude_nested, count(*) filter (decision = 'not_length') as not_length, count(*) filter (decision = 'ambiguous') as ambiguous from s0 group by 1, 2
+    ), h as (select sheet_no % 4 as job, sheet_no, count(*) as candidates, cast(sheet_no % 9 = 0 as integer) as locked from a1 where sheet_no % 19 <> 0 group by 1, 2
+    ), j as (select coalesce(s.job, h.job) as job, * exclude (job, sheet_no) from s full join h on s.job = h.job and s.sheet_no = h.sheet_no)
+    select job, count(*) as sheets, cast(coalesce(sum(candidates), 0) as bigint) as candidates, cast(coalesce(sum(locked), 0) as bigint) as locked, cast(coalesce(sum(include), 0) as bigint) as include, cast(coalesce(sum(exclude_nested), 0) as bigint) as exclude_nested, cast(coalesce(sum(not_length), 0) as bigint) as not_length, cast(coalesce(sum(ambiguous), 0) as bigint) as ambiguous from j group by rollup (job)""",
     "group_split": "select part, count(*) as n_sheets, cast(sum(n) as bigint) as n_rows from (select l_orderkey, count(*) as n, case when substring(md5(cast(l_orderkey as varchar)), 1, 2) < '2e' then 'validation' else 'train' end as part from lineitem group by 1) group by part",
     "sheet_length": f"with {A1}{RULES.format(base='a1')} " + sheets("r4"),
     "guard_chain": f"with {PARENTS}{RULES.format(base='c')}{CHAIN} " + sheets("g5"),
@@ -133,7 +138,7 @@ ORACLE = {
     ), u as (select sheet_no, large_ord, small_ord, bv, t, row_number() over (partition by sheet_no, large_ord, small_ord order by min(pos)) as rn from t group by 1, 2, 3, 4, 5)
     select sheet_no, large_ord, small_ord from big where d2 <= 784 union select distinct sheet_no, large_ord, small_ord from u where rn <= 12 and contains(t, cast(bv as varchar))""",
     "twin_run": f"with {NEAR} select sheet_no, ao as ord, min(bo) as twin_ord from p where one and greatest(av, bv) < 8000 and greatest(av, bv) / least(av, bv) <= 1.35 and d2 >= 1600 group by 1, 2",
-    "run_parent": f"""with {PARENTS}, ab as (select sheet_no, parent_ord as ord from edge union select sheet_no, ao from p where av > bv and (one or two) and (sheet_no, bo) in (select (sheet_no, ord) from fl where flag = 'nested_offset'))
+    "run_parent": f"""with {PARENTS}, ab as (select sheet_no, parent_ord as ord from edge union select sheet_no, ao from p where av > bv and (one or two) and (sheet_no, bo) in (select (sheet_no, ord) from fl where flag = 'nested_offset' union all select (sheet_no, ord) from edge))
       select distinct sheet_no, ord from ab where (sheet_no, ord) not in (select (sheet_no, ord) from edge)""",
     "features": f"""with {PARENTS}{NOTED}, n as (select *, list_max(list_filter(list_transform(regexp_extract_all(nearby, '[0-9]+'), lambda z: cast(z as bigint)), lambda z: z > value_mm)) as larger from fc)
       select n.sheet_no, n.ord, cast(n.value_mm as double) as value, round(ln(1 + n.value_mm), 9) as log_value, n.x, n.y, cast(n.value_mm >= 8000 as double) as big, cast(n.value_mm <= 200 as double) as small,
@@ -144,7 +149,7 @@ ORACLE = {
       round(least(1.0, coalesce(sqrt((n.x - u.x) * (n.x - u.x) + (n.y - u.y) * (n.y - u.y)) / 190.0, 0.0)), 9) as parent_dist_norm, cast(case when n.ord % 7 <> 0 then 6 * n.ord else 0 end as double) as dist_to_line, cast(n.ord % 7 <> 0 as double) as parallel_score
       from n left join best on n.sheet_no = best.sheet_no and n.ord = best.ord left join c u on u.sheet_no = best.sheet_no and u.ord = best.parent_ord""",
     "sample_weights": f"""with {NEAR}{NOTED}, n as (select *, list_max(list_filter(list_transform(list_filter(regexp_split_to_array(nearby, '[ |]+'), lambda t: regexp_matches(t, '^[0-9]+$')), lambda t: cast(t as bigint)), lambda z: z > value_mm)) as larger from fc)
-      select sheet_no, ord, round((case when sheet_no % 9 = 0 then 8.0 else 1.0 end)::double * (case when om or opair then 5.0 else 1.0 end) * (case when noff then 2.0 else 1.0 end) * (case when hw or ins then 3.5 else 1.0 end) * (case when rep then 2.5 else 1.0 end)
+      select sheet_no, ord, round((case when sheet_no % 9 = 0 or sheet_no % 11 = 0 then 8.0 else 1.0 end)::double * (case when om or opair then 5.0 else 1.0 end) * (case when noff then 2.0 else 1.0 end) * (case when hw or ins then 3.5 else 1.0 end) * (case when rep then 2.5 else 1.0 end)
       * (case when value_mm / larger between 0.12 and 0.55 then 3.0 else 1.0 end) * (case decision when 'exclude_nested' then 1.2 when 'not_length' then 1.6 else 1.0 end) * (case when value_mm >= 2000 then 1.8 else 1.0 end) * (case when value_mm <= 25 then 2.0 else 1.0 end), 6)::double as weight from n""",
     "segment_kind": f"with {A3} select seg, sheet_no, case when length between 28 and 900 and width between 0.18 and 1.2 then 'body' when length between 3.5 and 16 and width <= 1.2 then 'tick' else 'drop' end as kind from a3",
     "line_clusters": """with e as (select user_id % 50 as bucket, event_id as ord, epoch_us(ts) / 6e7 as t0, epoch_us(ts) / 6e7 + value as t1 from events

@@ -184,6 +184,13 @@ def audit_problems(spark, sf) -> DataFrame:
     return audit.problems(*A.saved_and_hits(_c(spark, sf)))
 
 
+def audit_counts(spark, sf) -> DataFrame:
+    """Sheets, candidates, locked sheets and saved classes by job, and of all jobs."""
+    c = _c(spark, sf).withColumn("job", F.col("sheet_no") % 4)
+    locked = c.filter("sheet_no % 9 = 0").select("job", "sheet_no").distinct()
+    return audit.counts(c.filter("ord % 11 <> 0 and sheet_no % 17 <> 0"), c.filter("sheet_no % 19 <> 0"), locked)
+
+
 def group_split(spark, sf) -> DataFrame:
     """Sheets in train and validation, 0.18 of the hash space; a sheet is never in both."""
     g = _c(spark, sf).groupBy("sheet_no").agg(F.count("*").alias("n"))
@@ -194,6 +201,7 @@ def queries() -> dict:
     return {
         "other_runs": lambda s, d: P.other_runs(_n(s, d)),
         "audit_problems": audit_problems,
+        "audit_counts": audit_counts,
         "group_split": group_split,
         "sheet_length": _sheets,
         "guard_chain": guard_chain,

@@ -194,8 +194,8 @@ FULL = """, e7 as (select * from rel where score >= 0.75
 ), tg as (select sheet_no, ord, min(bo) as target from env where one group by 1, 2
 ), tw as (select sheet_no, ao as ord, min(bo) as twin_ord from p where one and greatest(av, bv) < 8000 and greatest(av, bv) / least(av, bv) <= 1.35 and d2 >= 1600 group by 1, 2
 ), up as (select e7.sheet_no, e7.ord, e7.parent_ord as pord, c.value_mm as pval from e7 join c on c.sheet_no = e7.sheet_no and c.ord = e7.parent_ord
-), y0 as (select f2.*, 'D' || f2.ord as cid, (sheet_no, ord) in (from op) as op, (sheet_no, ord) in (select (sheet_no, ord) from fl where flag = 'nested_offset') as nf, pord, pval, pord is not null as has_parent, target, twin_ord,
-    (sheet_no, ord) in (select (sheet_no, parent_ord) from e7) as edge_parent, (sheet_no, ord) in (select (sheet_no, ao) from p where av > bv and (one or two) and (sheet_no, bo) in (select (sheet_no, ord) from fl where flag = 'nested_offset')) as has_part, (sheet_no, ord) in (select (sheet_no, ord) from env) as beside,
+), y0 as (select f2.*, 'D' || f2.ord as cid, (sheet_no, ord) in (from op) as op, pord is not null or (sheet_no, ord) in (select (sheet_no, ord) from fl where flag = 'nested_offset') as nf, pord, pval, pord is not null as has_parent, target, twin_ord,
+    (sheet_no, ord) in (select (sheet_no, parent_ord) from e7) as edge_parent, (sheet_no, ord) in (select (sheet_no, ao) from p where av > bv and (one or two) and (sheet_no, bo) in (select (sheet_no, ord) from fl where flag = 'nested_offset' union all select (sheet_no, ord) from e7)) as has_part, (sheet_no, ord) in (select (sheet_no, ord) from env) as beside,
     (sheet_no, ord) in (select (sheet_no, ao) from p where d2 <= 2025 and least(av, bv) >= 500 and greatest(av, bv) / least(av, bv) between 1.5 and 2.8) as near_run,
     stamped or regexp_matches(nearby, '(?i)Длина,[ ]*мм|Поз[.][ ]*№|ItemCode|Кол-во|ДЛИНЫ[ ]+ОТРЕЗКОВ|СПЕЦИФИКАЦИЯ[ ]+МАТЕРИАЛОВ') or regexp_matches(nearby, '(?i)°C|МПа|Гидр[.]|Класс трубопровода|Рабоч(ая|ее)[ ]+температур|Давление испытаний') as stamp,
     po or regexp_matches(nearby, '(?i)ОТВЕРСТ|ВРЕЗК|СЪ[ЕЁ]МН[а-яё]{0,8}[ ]*УЧАСТ|HOLE|OPENING|\\bSTUB\\b') as opening

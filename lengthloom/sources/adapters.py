@@ -74,7 +74,7 @@ def with_notes(c: DataFrame) -> DataFrame:
     """Candidates with a further text beside them, flags as an array, a mark of locked sheets and figures of the nearest line."""
     on = (("overall_mark", "f_overall_mark"), ("overall_pair", "f_overall_pair"), ("handwheel", "f_handwheel"), ("insulation", "f_insulation_thickness"), ("support_repeat", "support_repeat"), ("near_plant_coord", "f_near_plant_coord"), ("nested_offset", "f_nested_offset"))
     return with_note(c).withColumns({
-        "flags": F.array_compact(F.array(*(F.when(F.col(k), F.lit(n)) for n, k in on))), "locked": F.col("sheet_no") % 9 == 0,
+        "flags": F.array_compact(F.array(*(F.when(F.col(k), F.lit(n)) for n, k in on))), "locked": F.col("sheet_no") % 9 == 0, "reviewed_by_human": F.col("sheet_no") % 11 == 0,
         "dist_to_line": F.when(F.col("ord") % 7 != 0, F.lit(6.0) * F.col("ord")), "parallel_score": F.when(F.col("ord") % 7 != 0, F.lit(1.0)),
     })
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import guards as Q
+from ..operators import lines as L
 from ..operators import marks as M
 from ..operators import pairs as P
 from . import files
@@ -110,6 +111,28 @@ def documents(c: DataFrame, heads: DataFrame) -> DataFrame:
     return heads.join(g, ["job", "sheet_no"], "left").select("job", "sheet_no", "line_id", "width", "height", F.lit(1).alias("relations_version"), F.coalesce("candidates", F.array().cast(f"array<{HIT}>")).alias("candidates"))
 
 
+def with_relations(c: DataFrame, write) -> DataFrame:
+    """Candidates with the parent that relations give them (none, if they give none); who has a sure one gets the flag and the hint nested_offset, which are never taken away."""
+    r = L.sure_relations(write(P.pair_table(c)), write).select("sheet_no", "ord", "parent_ord", "score", "dist")
+    up = c.select("sheet_no", F.col("ord").alias("parent_ord"), F.col("cid").alias("_cid"), F.col("value_mm").alias("_mm"))
+    d = c.join(r.join(up, ["sheet_no", "parent_ord"]).drop("parent_ord"), ["sheet_no", "ord"], "left")
+    sure = F.coalesce(F.col("score") >= L.SURE, F.lit(False))
+    hint = F.when(sure & ~F.contains("local_hint", F.lit("nested_offset")), F.concat("local_hint", F.lit("|nested_offset"))).otherwise(F.col("local_hint"))
+    return d.withColumns({
+        "parent_id": F.col("_cid"), "parent_value_mm": F.col("_mm"), "relation_kind": F.when(F.col("_cid").isNull(), "").otherwise("nested_in"), "geometry_confidence": F.coalesce("score", F.lit(0.0)), "parent_dist": F.coalesce("dist", F.lit(0.0)),
+        "flags": F.when(sure, F.array_union("flags", F.array(F.lit("nested_offset")))).otherwise(F.col("flags")), "local_hint": hint, "f_nested_offset": F.col("f_nested_offset") | sure,
+    }).drop("_cid", "_mm", "score", "dist")
+
+
+def refresh(hits: DataFrame, write, spans: DataFrame | None = None) -> DataFrame:
+    """The hits documents whose relations, boxes or directions change, as they are then. What was decided doesn't matter; locked sheets are no exception."""
+    old = write(hits)
+    new = documents(write(with_relations(write(candidates(old, spans)), write)), old)
+    was = old.select("job", "sheet_no", F.col("candidates").alias("_was"), F.col("relations_version").alias("_version"))
+    d = new.join(was, ["job", "sheet_no"])
+    return d.filter(~(F.col("candidates").eqNullSafe(F.col("_was")) & F.col("_version").eqNullSafe(F.col("relations_version")))).drop("_was", "_version")
+
+
 def relabel(decisions: DataFrame, hits: DataFrame, write, spans: DataFrame | None = None, ignore_locked: bool = False) -> DataFrame:
     """The decision documents that the rules change, as they are then; others aren't returned.
 

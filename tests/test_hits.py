@@ -107,3 +107,22 @@ def test_lines_of_hits_give_relations(spark):
     d = docs(spark, ("a", 1, [hit(1, 300, 110, nearby="О5", dim_line_id="L1", dim_endpoints=[[100.0, 0.0], [150.0, 0.0]], dim_offset=10.0), hit(2, 900, 160, **ends)]))
     r = L.sure_relations(H.candidates(d), kept).collect()
     assert [(x["sheet_no"], x["ord"], x["parent_ord"], x["score"]) for x in r] == [("a/1", 1, 2, 1.0)]
+
+
+def test_relations_are_refreshed(spark, tmp_path):
+    """Only sheets whose relations change are written; a flag is added, never taken away."""
+    ends = {"dim_endpoints": [[100.0, 0.0], [200.0, 0.0]], "dim_line_id": "L2", "dim_offset": 20.0, "dim_axis": [1.0, 0.0], "direction": [1.0, 0.0]}
+    child = hit(1, 300, 110, nearby="О5", local_hint="a", flags=["handwheel"], dim_line_id="L1", dim_endpoints=[[100.0, 0.0], [150.0, 0.0]], dim_offset=10.0)
+    path = f"{tmp_path}/hits"
+    H.save(docs(spark, ("a", 1, [child, hit(2, 900, 160, **ends)]), ("a", 2, [hit(1, 40, 5, flags=["nested_offset"])])), path)
+    first = kept(H.refresh(H.read(spark, path, H.HITS), kept))
+    H.save(first, path)
+    got = {r["sheet_no"]: [h.asDict() for h in r["candidates"]] for r in H.read(spark, path, H.HITS).collect()}
+    a, b = got[1]
+    assert (a["parent_id"], a["parent_value_mm"], a["relation_kind"], a["geometry_confidence"], a["parent_dist"], a["flags"], a["local_hint"]) == ("D2", 900, "nested_in", 1.0, 50.0, ["handwheel", "nested_offset"], "a|nested_offset")
+    assert (b["parent_id"], b["relation_kind"], b["geometry_confidence"], b["flags"]) == (None, "", 0.0, []) and got[2][0]["flags"] == ["nested_offset"]
+    before = files(path)
+    second = kept(H.refresh(H.read(spark, path, H.HITS), kept))
+    assert second.count() == 0
+    H.save(second, path)
+    assert files(path) == before

@@ -68,6 +68,9 @@ def test_parts_named_beside_a_run(spark):
     c = sheet(spark, (1, 4000, 0, "700", "include"), (2, 700, 500, "", "include", "f_nested_offset"), (3, 800, 900, "4000", "include"))
     assert [r["ord"] for r in P.run_parents(c, edges(spark)).collect()] == [1]
     assert P.run_parents(c, edges(spark, (1, 3))).collect()[0]["ord"] == 3
+    # a sure parent makes a nested offset too: 1 is named by 3, which lies in 2
+    plain = sheet(spark, (1, 4000, 0, "", "include"), (2, 900, 500, "", "include"), (3, 800, 900, "4000", "include"))
+    assert sorted(r["ord"] for r in P.run_parents(plain, edges(spark, (3, 2))).collect()) == [1, 2] and P.run_parents(plain, edges(spark)).count() == 0
 
 
 def test_nested_candidates_continue_nothing(spark):
@@ -84,7 +87,7 @@ def test_plant_coordinates(spark):
 
 def test_weights(spark):
     rows = [(100, "", [], "include", False, 1.0), (100, "400 | a250", ["nested_offset"], "exclude_nested", True, 8 * 2 * 3 * 1.2), (2000, None, ["overall_pair", "handwheel"], "not_length", False, 5 * 3.5 * 1.6 * 1.8), (25, "100", ["support_repeat"], "include", None, 2.5 * 3 * 2)]
-    d = spark.createDataFrame(rows, "value_mm int, nearby string, flags array<string>, decision string, locked boolean, want double")
+    d = spark.createDataFrame(rows, "value_mm int, nearby string, flags array<string>, decision string, locked boolean, want double").withColumn("reviewed_by_human", F.lit(None).cast("boolean"))
     assert [round(r["w"], 9) for r in d.select(X.weight().alias("w")).collect()] == [round(r[-1], 9) for r in rows]
 
 
@@ -154,7 +157,7 @@ def test_openings(spark):
 
 
 def test_shells(spark):
-    c = sheet(spark, (1, 9000, 0, "900 | 1000", "include"), (2, 900, 10, "", "include"), (3, 1000, 20, "", "include"), (4, 9000, 5000, "900", "include"), (5, 900, 5010, "", "include"), (6, 9000, 9000, "900", "include"), (7, 900, 9010, "", "include", "f_overall_mark"))
+    c = sheet(spark, (1, 9000, 0, "900", "include"), (2, 900, 10, "", "include"), (3, 1000, 20, "", "include"), (4, 9000, 5000, "900", "include"), (5, 900, 5010, "", "include"), (6, 9000, 9000, "900", "include"), (7, 900, 9010, "", "include", "f_overall_mark"))
     got = after(spark, Q.resolve_shells, c, (3, 4), (8, 6))
     assert got[1] == ("exclude_nested", "overall_same_run", "габарит рядом с D2", ["D1 габарит рядом с D2"]) and got[4][0] == "include"
     assert got[5] == ("exclude_nested", "support_offset", "внутри D4=9000", ["D5 внутри D4"]) and got[7][0] == "include" and got[6][0] == "include"
