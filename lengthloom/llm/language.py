@@ -18,6 +18,8 @@ from . import common as C
 ORDER = 5
 #: Distinct drawn texts that each half of a language needs; with fewer all its texts serve for both.
 HALF = 8
+#: Languages up to this number have their shares broadcast.
+BROADCAST_LANGS = 10_000
 #: Scored tokens that a worker remembers.
 REMEMBERED = 100_000
 START, END = 2, 3
@@ -245,8 +247,10 @@ def train(df: DataFrame, text: str, lang: str, allowed: Column, docs_per_lang: i
     d = df.filter(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     drawn = C.uniform(F.xxhash64(F.lit("draw"), "text"))
     n = d.groupBy("lang").agg(F.count("*").alias("n"), F.min(drawn).alias("least"))
-    shares = n.select("lang", F.greatest(F.least(F.lit(1.0), F.lit(float(docs_per_lang)) / F.col("n")), "least").alias("share"))
-    d = d.join(shares, "lang").filter(drawn <= F.col("share")).groupBy("text", "lang").agg(F.count("*").alias("copies"))  # a drawn text of very many copies is one row
+    shares = C.keep(n.select("lang", F.greatest(F.least(F.lit(1.0), F.lit(float(docs_per_lang)) / F.col("n")), "least").alias("share")))
+    few_langs = shares.count() <= BROADCAST_LANGS  # else a join that deals a frequent language to many tasks; the rows are the same
+    d = d.join(F.broadcast(shares), "lang") if few_langs else C.look_up(d, shares, "lang", "text")
+    d = d.filter(drawn <= F.col("share")).groupBy("text", "lang").agg(F.count("*").alias("copies"))  # a drawn text of very many copies is one row
     d = C.keep(d.withColumn("half", F.xxhash64(F.lit("half"), "text")))
     by_lang = Window.partitionBy("lang")
     halves = d.select("lang", "half").distinct().withColumns({"r": F.row_number().over(by_lang.orderBy("half")), "texts": F.count("*").over(by_lang)})

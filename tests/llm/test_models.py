@@ -40,6 +40,16 @@ def test_copies_of_a_drawn_text_are_one_row(spark, monkeypatch):
     assert language.identify(d.limit(1).unionByName(d.filter("lang = 'hot'").limit(1)), "text", model, ["lang"]).filter("lang = lang_pred and accepted").count() == 2
 
 
+def test_very_many_languages_are_joined(spark, monkeypatch):
+    ship(spark)
+    rng = np.random.default_rng(6)
+    d = spark.createDataFrame([(prose(rng, "aeioulmnrst", 20), "a") for _ in range(30)] + [(prose(rng, "αεηιλμνορστ", 20), "b")] * 9, "text string, lang string")
+    one = language.train(d, "text", "lang", F.lit(True), docs_per_lang=10)
+    monkeypatch.setattr(language, "BROADCAST_LANGS", 1)
+    other = language.train(d, "text", "lang", F.lit(True), docs_per_lang=10)
+    assert one.langs == other.langs and one.limits == other.limits and all((a[1] == b[1]).all() for a, b in zip(one.grams, other.grams))
+
+
 def test_a_language_that_was_not_taught_is_rejected(spark):
     ship(spark)
     rng = np.random.default_rng(2)
