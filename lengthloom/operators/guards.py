@@ -30,14 +30,14 @@ def facts(c: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFrame:
     on, yes = ["sheet_no", "ord"], F.lit(True)
     above = c.select("sheet_no", F.col("ord").alias("parent_ord"), F.struct("ord", "cid", "value_mm").alias("parent"))
     up = edges.select("sheet_no", "ord", "parent_ord").join(above, ["sheet_no", "parent_ord"]).drop("parent_ord")
+    stamp = F.col("f_stamp") | F.col("nearby").rlike(M.PARTS_TABLE) | F.col("nearby").rlike(M.TITLE)
+    c = c.withColumns({"lt": P.beside_lt(), "stamp": stamp, "opening": F.col("f_pipe_opening") | F.col("nearby").rlike(M.OPENING)}).drop(*P.PLACES)  # narrow rows for what is shuffled below
     d = R.facts(c).join(P.pair_facts(pairs), on, "left").join(up, on, "left")
     d = d.join(edges.select("sheet_no", F.col("parent_ord").alias("ord"), yes.alias("edge_parent")).distinct(), on, "left")
     d = d.join(P.named_parts(pairs, edges).withColumn("has_part", yes), on, "left")
     d = d.withColumns({n: F.coalesce(n, F.lit(False)) for n in ("has_part", "beside", "continues_raw", "edge_parent")} | {"has_parent": F.col("parent").isNotNull()})
     d = d.withColumn("f_nested_offset", F.col("f_nested_offset") | F.col("has_parent"))
     d = d.withColumns({"is_parent": (F.col("edge_parent") | F.col("has_part")) & ~F.col("has_parent"), "continues": F.col("continues_raw") & ~F.col("has_parent")})
-    stamp = F.col("f_stamp") | F.col("nearby").rlike(M.PARTS_TABLE) | F.col("nearby").rlike(M.TITLE)
-    d = d.withColumns({"lt": P.beside_lt(), "stamp": stamp, "opening": F.col("f_pipe_opening") | F.col("nearby").rlike(M.OPENING)})
     return d.withColumns({"wheel": F.col("f_handwheel") | (F.col("wheel_value") & ~F.col("opening")), "log": F.array().cast(f"array<{ENTRY}>")})
 
 

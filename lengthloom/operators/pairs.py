@@ -30,8 +30,14 @@ def within_sheet(c: DataFrame, reach: float, ordered: bool = False) -> DataFrame
     return c.alias("a").join(c.alias("b"), (F.col("a.sheet_no") == F.col("b.sheet_no")) & near)
 
 
+#: What operators on pairs read of a candidate, and what no rule reads once its pairs are judged.
+PLACES = ("x", "y", "dir_x", "dir_y", "line", "x1", "y1", "x2", "y2", "offset", "nearby")
+PAIRED = ("sheet_no", "ord", "cid", "value_mm", "nums", "lt", "f_overall_mark", "f_overall_pair", "f_handwheel", "f_insulation_thickness", "f_pipe_opening", "f_nested_offset", *PLACES)
+
+
 def pair_table(c: DataFrame) -> DataFrame:
     """All ordered pairs of a sheet's candidates as structs a and b: written once, it serves every operator on pairs."""
+    c = c.select(*(n for n in PAIRED if n in c.columns))
     return within_sheet(c, 1e6).select(*(F.struct(*(f"{s}.{n}" for n in c.columns)).alias(s) for s in "ab"))
 
 
