@@ -83,10 +83,13 @@ def no_leak(names: list[str]) -> None:
 
 
 def fit_forests(rows: DataFrame, names: list[str], label: str, weight: str, seeds: tuple[int, ...] = SEEDS, trees: int = 10, depth: int = 5) -> Forests:
-    """A forest for each seed on the rows of resolved classes, weighted by class too. rows is read often: pass a written table."""
+    """A forest for each seed on the rows of resolved classes, weighted by class too. rows is read often: pass a written table.
+
+    Trees see all features and draw their rows: with few of the many flags in sight, most splits would show the weights alone.
+    """
     no_leak(names)
     d = _labelled(rows, names, label, weight)
-    fit = lambda s: RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=20, seed=s).fit(d)
+    fit = lambda s: RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=20, featureSubsetStrategy="all", subsamplingRate=0.7, seed=s).fit(d)
     return Forests(names, [fit(s) for s in seeds])
 
 
