@@ -39,8 +39,8 @@ def overall_metrics(rows: DataFrame) -> DataFrame:
     return d.groupBy("n").agg(F.round(F.first("acc"), 9).alias("accuracy"), F.round(F.avg("f1"), 9).alias("macro_f1"), F.round(F.sum(F.col("f1") * F.col("support")) / F.sum("support"), 9).alias("weighted_f1"))
 
 
-def choose_threshold(rows: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9), least: float = 0.9) -> DataFrame:
-    """The threshold with the best mean F1, then coverage, among those accurate enough (all, if none is)."""
+def choose_threshold(rows: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9), least: float = 0.9, by: tuple[str, str] = ("f1", "coverage")) -> DataFrame:
+    """The threshold that is best ``by`` two of f1, coverage, accuracy, then the least, among those accurate enough (all, if none is)."""
     y, p = F.col("y"), F.col("pred")
     d = rows.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     on = F.col("conf") >= F.col("threshold")
@@ -48,8 +48,8 @@ def choose_threshold(rows: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.6,
     g = d.groupBy("threshold").agg(F.count("*").alias("n"), F.count_if(on).alias("k"), F.count_if(on & (y == p)).alias("right"), F.array(*per).alias("per"))
     g = g.select("threshold", (F.col("k") / F.col("n")).alias("coverage"), F.when(F.col("k") > 0, F.col("right") / F.col("k")).otherwise(0.0).alias("accuracy"), F.inline("per")).withColumn("f1", _f1("tp", "np", "support"))
     g = g.groupBy("threshold", "coverage", "accuracy").agg(F.avg("f1").alias("f1"))
-    best = F.max(F.struct((F.col("accuracy") >= least).alias("ok"), F.round("f1", 12).alias("f"), "coverage", (-F.col("threshold")).alias("t"), "accuracy")).alias("m")
-    return g.agg(best).filter("m is not null").select((-F.col("m.t")).alias("threshold"), F.round("m.coverage", 9).alias("coverage"), F.round("m.accuracy", 9).alias("accuracy"), F.round("m.f", 9).alias("macro_f1"))
+    best = F.max(F.struct((F.col("accuracy") >= least).alias("ok"), *(F.round(c, 12).alias(f"by_{c}") for c in by), (-F.col("threshold")).alias("t"), "coverage", "accuracy", "f1")).alias("m")
+    return g.agg(best).filter("m is not null").select((-F.col("m.t")).alias("threshold"), F.round("m.coverage", 9).alias("coverage"), F.round("m.accuracy", 9).alias("accuracy"), F.round("m.f1", 9).alias("macro_f1"))
 
 
 def winner(p: Column) -> Column:

@@ -11,14 +11,13 @@ from ..operators import evaluation as E
 from ..operators import features as X
 from ..operators import pairs as P
 from ..operators import rules as R
+from ..operators.reports import PRICES
 from ..session import kept
 from ..sources import adapters as A
-from . import audits, runs, saved, strokes
+from . import audits, runs, saved, strokes, told
 from .oracle import ORACLE
 
 KINDS = ("include", "exclude_nested", "not_length", "ambiguous")
-#: Prices in USD a million tokens, in, out; the first name that a model's name contains decides.
-PRICES = (("gpt-5-codex", 1.25, 10.0), ("gpt-4o", 2.5, 10.0), ("gpt-4o-mini", 0.15, 0.6), ("gemini-2.5-flash", 0.3, 2.5), ("gemini-2.5-pro", 1.25, 10.0))
 
 
 def _c(spark, sf) -> DataFrame:
@@ -241,8 +240,9 @@ def queries() -> dict:
         **strokes.QUERIES,
         **audits.QUERIES,
         **saved.QUERIES,
+        **told.QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | runs.ORACLE | strokes.ORACLE | audits.ORACLE | saved.ORACLE
+    return ORACLE | runs.ORACLE | strokes.ORACLE | audits.ORACLE | saved.ORACLE | told.ORACLE

@@ -194,3 +194,16 @@ def markers(lineitem: DataFrame) -> DataFrame:
         F.col("l_orderkey").alias("sheet_no"), F.col("l_partkey").alias("mark"), F.element_at(F.array(*map(F.lit, MARKERS)), (k + 1).cast("int")).alias("text"),
         (F.lit(100.0) + (F.col("l_suppkey") % 7) * 20).alias("x"), (F.lit(100.0) + (F.col("l_partkey") % 5) * 15).alias("y"),
     )
+
+
+def line_id() -> Column:
+    """A sheet's line, with signs that pages have to escape on every fifth."""
+    no = F.col("sheet_no").cast("string")
+    return F.when(F.col("sheet_no") % 5 == 0, F.concat(F.lit('<LC & "'), no, F.lit("'\">"))).otherwise(F.concat(F.lit("LC_"), no))
+
+
+def job_heads(orders: DataFrame) -> DataFrame:
+    """job, pdf, updated of jobs of 64 orders each, in time of the last; every tenth job has none."""
+    job = F.floor(F.col("o_orderkey") / 64)
+    d = orders.withColumn("job", job).filter("job % 10 <> 3").groupBy("job").agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd HH:mm").alias("updated"))
+    return d.select("job", F.concat(F.lit("чертёж <"), F.col("job").cast("string"), F.lit(">.pdf")).alias("pdf"), "updated")
