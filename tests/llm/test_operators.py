@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lengthloom.llm import common as C
 from lengthloom.llm import hmm, jaccard, language, mixing, packing, privacy, quality, queries, repeats, search, sharding
@@ -433,6 +434,42 @@ def test_tree_boxes_prune_and_rounds_hand_bounds_on(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(i, n + 1, int(order[i, n])) for i in range(50) for n in range(20)]
 
 
+def test_shards_by_space_are_left_out(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 6))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    x = np.floor(640 * (centres[rng.integers(0, 40, 8000)] + rng.normal(0, 0.02, (8000, 6)))).astype(np.int64)
+    x[:1500] = x[0]  # many equal vectors, more than a shard has
+    ids = np.arange(8000)
+    cuts = search.space_cuts(x, 40)
+    cell = cuts.place(x)
+    assert cell.min() == 0 and len(np.unique(cell)) == cell.max() + 1 > 4 and len(np.unique(cell[:1500])) == 1
+    assert (search.space_cuts(x[:1500], 16).place(x) == 0).all()
+    d = spark.createDataFrame([(int(i), v.tolist(), bool(i % 40 == 0)) for i, v in zip(ids, x)], "vec_id long, v array<bigint>, _q boolean").withColumn("dim", F.size("v"))
+    kept = C.keep(search._dealt(C.keep(search._in_cells(C.keep(d), {6: cuts})), 200, 10))
+    sizes = kept.groupBy("shard").count().collect()
+    assert sum(r["count"] for r in sizes) == 8000 and max(r["count"] for r in sizes) < 350 and kept.filter("_q").select("block").distinct().count() > 3
+    trees = C.keep(kept.select("dim", "shard", "vec_id", "v").groupBy("dim", "shard").applyInArrow(search._build, search.TREE))
+    roots = trees.select("dim", "shard", F.substring("low", F.lit(1), F.lit(48)).alias("low"), F.substring("high", F.lit(1), F.lit(48)).alias("high"))
+    ask = C.keep(kept.filter("_q").select("dim", "block", "vec_id", "v").groupBy("dim", "block").applyInArrow(search._block, search.BLOCK))
+    order = C.keep(search._ranked(ask, roots))
+    assert order.count() == ask.count() * trees.count()
+    first = search._search(search._reaching(ask, order.filter("place < 4"), roots).join(trees, ["dim", "shard"]), 20)
+    w = Window.partitionBy("dim", "block", "nth").orderBy(F.desc("score"), "vec_id")
+    first = C.keep(first.withColumn("rank", F.row_number().over(w)).filter("rank <= 20"))
+    later = order.filter("place >= 4")
+    left = search._reaching(search._with_floors(ask, first, 20), later, roots).select((F.octet_length("nths") / 8).alias("n"))
+    n_pairs, n_queries = left.agg(F.count("*"), F.sum("n")).first()
+    assert n_pairs < 0.5 * later.count() and n_queries < 0.25 * 200 * trees.count()  # root boxes leave out most shards, of a block and of a query
+    every = x @ x.T
+    got = search.top_k(d, "vec_id", F.col("v"), F.col("_q"), shard_rows=200, block_rows=10, sample_values=12000).collect()
+    want = []
+    for q in range(0, 8000, 40):
+        at = np.lexsort((ids, -every[q]))
+        want += [(q, n + 1, int(i), int(every[q, i])) for n, i in enumerate(at[at != q][:20])]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+
+
 def test_quality(spark, folders):
     got = Counter(tuple(r[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) for r in rows(spark, "op9_repetition_rules", folders[0]))
     want = Counter()
