@@ -23,20 +23,31 @@ def near_plant_coord(nearby: str = "nearby", value: str = "value_mm") -> Column:
 
 
 def features(c: DataFrame, parents: DataFrame) -> DataFrame:
-    """sheet_no, ord and 28 doubles.
+    """The features of candidates whose parents (sheet_no, ord, parent_ord, score) are a table. Both joins are by sheet and number."""
+    on = ["sheet_no", "ord"]
+    above = c.select("sheet_no", F.col("ord").alias("parent_ord"), "value_mm", "x", "y").alias("p")
+    up = parents.select(*on, "parent_ord", "score").join(above, ["sheet_no", "parent_ord"], "left").select(*on, F.struct("score", "p.value_mm", "p.x", "p.y").alias("up"))
+    return shown(c.join(up, on, "left"))
+
+
+def shown(c: DataFrame) -> DataFrame:
+    """sheet_no, ord and the features of with_features."""
+    return with_features(c).select("sheet_no", "ord", "features.*")
 
-    c: candidates with value_mm, x, y, nearby, flags (an array of names), dist_to_line and parallel_score; nulls count as empty
-    or zero. parents: sheet_no, ord, parent_ord, score. Both joins are by sheet and number.
+
+def with_features(c: DataFrame) -> DataFrame:
+    """Candidates with features, a struct of 28 doubles.
+
+    c: candidates with value_mm, x, y, nearby, flags (an array of names), dist_to_line, parallel_score and up, the parent's score,
+    value_mm, x and y; nulls count as empty or zero.
     """
-    on = ["sheet_no", "ord"]
-    above = c.select("sheet_no", F.col("ord").alias("parent_ord"), F.col("value_mm").alias("_pv"), F.col("x").alias("_px"), F.col("y").alias("_py"))
-    d = c.join(parents.select(*on, "parent_ord", F.col("score").alias("_score")), on, "left").join(above, ["sheet_no", "parent_ord"], "left")
+    d = c.withColumns({"_score": F.col("up.score"), "_pv": F.col("up.value_mm"), "_px": F.col("up.x"), "_py": F.col("up.y")})
     low, v = F.lower(F.coalesce("nearby", F.lit(""))), F.coalesce("value_mm", F.lit(0))
     larger = F.array_max(F.filter(F.transform(F.regexp_extract_all(low, F.lit("[0-9]+"), F.lit(0)), lambda n: n.try_cast("long")), lambda n: n > v))
     d = d.withColumns({"_low": low, "_v": v, "_larger": larger})
     dx, dy, near = F.col("x") - F.col("_px"), F.col("y") - F.col("_py"), F.col("_low")
-    return d.select(
-        *on, F.col("_v").cast("double").alias("value"), F.round(F.log1p(F.greatest("_v", F.lit(0))), 9).alias("log_value"), F.coalesce(F.col("x"), F.lit(0.0)).alias("x"), F.coalesce(F.col("y"), F.lit(0.0)).alias("y"),
+    x = F.struct(
+        F.col("_v").cast("double").alias("value"), F.round(F.log1p(F.greatest("_v", F.lit(0))), 9).alias("log_value"), F.coalesce(F.col("x"), F.lit(0.0)).alias("x"), F.coalesce(F.col("y"), F.lit(0.0)).alias("y"),
         _yes(F.col("_v") >= 8000).alias("big"), _yes(F.col("_v") <= 200).alias("small"), _yes(near.rlike(r"(?U)\bz\+?\b")).alias("has_z"),
         *(_yes(F.contains(near, F.lit(t))).alias(n) for n, t in (("has_sm", "см"), ("has_dn", "dn"), ("has_lt", "lt"))),
         F.when(F.trim(near) == "", 0.0).otherwise(F.size(F.split(near, "[|]")).cast("double")).alias("n_near"),
@@ -45,6 +56,7 @@ def features(c: DataFrame, parents: DataFrame) -> DataFrame:
         _yes(F.col("_score") >= 0.75).alias("has_parent"), F.coalesce("_score", F.lit(0.0)).alias("geo_confidence"), F.when(F.col("_pv") > 0, F.round(F.col("_v") / F.col("_pv"), 9)).otherwise(0.0).alias("parent_ratio"),
         F.round(F.least(F.lit(1.0), F.coalesce(F.sqrt(dx * dx + dy * dy) / REACH, F.lit(0.0))), 9).alias("parent_dist_norm"), *(F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in ("dist_to_line", "parallel_score")),
     )
+    return d.withColumn("features", x).drop("_low", "_v", "_larger", "_score", "_pv", "_px", "_py")
 
 
 def weight() -> Column:

@@ -22,25 +22,26 @@ COORDINATE, KEPT_NESTED, INSIDE = r"(?iU)z\+|координата z|вертик
 ENTRY = "struct<pass:int,at:int,sub:int,text:string>"
 
 
-def facts(c: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Candidates with what the rules ask: parent (ord, cid, value_mm), edge_parent, is_parent, beside, continues, target, twin, lt, stamp, opening.
+def known(c: DataFrame) -> DataFrame:
+    """Candidates of pair_table that have edge (a sure parent's ord, or null) with what the rules ask: parent (ord, cid, value_mm), edge_parent, is_parent, beside, continues, target, twin, lt, stamp, opening.
 
-    pairs: pair_table of the candidates. edges: sheet_no, ord, parent_ord of sure relations; who has one is a nested offset too.
+    Who has a sure parent is a nested offset too.
     """
-    on, yes = ["sheet_no", "ord"], F.lit(True)
-    above = c.select("sheet_no", F.col("ord").alias("parent_ord"), F.struct("ord", "cid", "value_mm").alias("parent"))
-    up = edges.select("sheet_no", "ord", "parent_ord").join(above, ["sheet_no", "parent_ord"]).drop("parent_ord")
+    up = F.get(F.filter("_sheet", lambda b: b["ord"] == F.col("edge")), F.lit(0))
+    d = P.with_facts(P.with_parts(c)).withColumn("parent", F.when(F.col("edge").isNotNull(), up))
     stamp = F.col("f_stamp") | F.col("nearby").rlike(M.PARTS_TABLE) | F.col("nearby").rlike(M.TITLE)
-    c = c.withColumns({"lt": P.beside_lt(), "stamp": stamp, "opening": F.col("f_pipe_opening") | F.col("nearby").rlike(M.OPENING)}).drop(*P.PLACES)  # narrow rows for what is shuffled below
-    d = R.facts(c).join(P.pair_facts(pairs), on, "left").join(up, on, "left")
-    d = d.join(edges.select("sheet_no", F.col("parent_ord").alias("ord"), yes.alias("edge_parent")).distinct(), on, "left")
-    d = d.join(P.named_parts(pairs, edges).withColumn("has_part", yes), on, "left")
-    d = d.withColumns({n: F.coalesce(n, F.lit(False)) for n in ("has_part", "beside", "continues_raw", "edge_parent")} | {"has_parent": F.col("parent").isNotNull()})
+    d = d.withColumns({"lt": P.beside_lt(), "stamp": stamp, "opening": F.col("f_pipe_opening") | F.col("nearby").rlike(M.OPENING), "has_parent": F.col("parent").isNotNull(), "parent": F.struct("parent.ord", "parent.cid", "parent.value_mm")})
+    d = R.facts(d.drop("_sheet", *P.SEEN, *P.PLACES))  # narrow rows for what is sorted below
     d = d.withColumn("f_nested_offset", F.col("f_nested_offset") | F.col("has_parent"))
     d = d.withColumns({"is_parent": (F.col("edge_parent") | F.col("has_part")) & ~F.col("has_parent"), "continues": F.col("continues_raw") & ~F.col("has_parent")})
     return d.withColumns({"wheel": F.col("f_handwheel") | (F.col("wheel_value") & ~F.col("opening")), "log": F.array().cast(f"array<{ENTRY}>")})
 
 
+def facts(c: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same for edges from a table: sheet_no, ord, parent_ord of sure relations. pairs: pair_table of the candidates."""
+    return known(P.given_edges(c.join(pairs.select("sheet_no", "ord", "_sheet", *P.SEEN), ["sheet_no", "ord"]), edges))
+
+
 def _is(*kinds: str) -> Column:
     return F.col("decision").isin(*kinds)
 
@@ -187,23 +188,29 @@ def restore_orphans(d: DataFrame) -> DataFrame:
     return rule(d, (9, 0), F.col("_orphan"), INCLUDE, role, "родитель не в сумме", _own("вернул в сумму")).drop("_smaller", "_orphan")
 
 
-def cover_overalls(d: DataFrame, parts: DataFrame, cover: DataFrame) -> DataFrame:
-    """An overall mark counts if its chain of pieces doesn't cover it, and then the pieces don't; else they do. Nested marks stay.
+def cover_marks(d: DataFrame) -> DataFrame:
+    """An overall mark counts if its chain of pieces (parts, covers) doesn't cover it, and then the pieces don't; else they do. Nested marks stay.
 
     A piece of several uncovered overalls goes to the first.
     """
-    on = ["sheet_no", "ord"]
-    d = d.join(cover.select(*on, "covers"), on, "left").withColumn("_mark", F.col("f_overall_mark") & ~F.col("has_parent"))
-    open_ = d.filter(F.col("_mark") & ~F.coalesce("covers", F.lit(False))).select("sheet_no", "ord", "cid")
-    inner = parts.join(open_, on).groupBy("sheet_no", F.col("part_ord").alias("ord")).agg(F.min(F.struct(F.col("ord").alias("ord"), "cid")).alias("_over"))
-    d = d.join(inner, on, "left")
     covered = F.coalesce("covers", F.lit(False))
+    d = d.withColumn("_mark", F.col("f_overall_mark") & ~F.col("has_parent"))
+    pieces = F.when(F.col("_mark") & ~covered, F.transform("parts", lambda p: F.struct(F.col("ord").alias("ord"), F.col("cid").alias("cid"), p["part_ord"].alias("part"))))
+    d = d.withColumn("_over", F.flatten(F.collect_list(pieces).over(P.sheet())))
+    d = d.withColumn("_over", F.array_min(F.transform(F.filter("_over", lambda p: p["part"] == F.col("ord")), lambda p: F.struct(p["ord"].alias("ord"), p["cid"].alias("cid")))))
     d = rule(d, (10, -1), F.col("_mark") & covered & _is(INCLUDE), NESTED, SAME, "цепочка закрывает участок", _own("габарит, цепочка полная"))
     d = rule(d, (10, -1), F.col("_mark") & ~covered & ~_is(INCLUDE), INCLUDE, MAIN, "полный размер, цепочка не закрывает", _own("полный размер"))
     piece = F.col("_over").isNotNull() & _is(INCLUDE)
     log = F.array_append("log", F.struct(F.lit(10).alias("pass"), F.col("_over.ord").alias("at"), F.col("ord").alias("sub"), _text(F.col("cid"), " опора в ", F.col("_over.cid")).alias("text")))
     new = {"decision": F.lit(NESTED), "role": F.lit(PART), "reason": _text("опора, ", F.col("_over.cid"), " не закрыт"), "log": log}
-    return d.withColumns({k: F.when(piece, v).otherwise(F.col(k)) for k, v in new.items()}).drop("covers", "_mark", "_over")
+    return d.withColumns({k: F.when(piece, v).otherwise(F.col(k)) for k, v in new.items()}).drop("parts", "covers", "_mark", "_over")
+
+
+def cover_overalls(d: DataFrame, parts: DataFrame, cover: DataFrame) -> DataFrame:
+    """The same for pieces and covers from tables, as lines.chain_parts and lines.chain_cover give them."""
+    on = ["sheet_no", "ord"]
+    p = parts.groupBy(*on).agg(F.collect_list(F.struct("part_ord", "part_mm")).alias("parts"))
+    return cover_marks(d.join(p, on, "left").join(cover.select(*on, "covers"), on, "left"))
 
 
 def take_ambiguous(d: DataFrame) -> DataFrame:
@@ -212,22 +219,21 @@ def take_ambiguous(d: DataFrame) -> DataFrame:
     return rule(d, (11, 0), _is(OPEN) & ~held, INCLUDE, MAIN, "принят как длина", _own("из сомнения в сумму"))
 
 
-def chain(d: DataFrame, parts: DataFrame, cover: DataFrame, between=lambda d: d) -> DataFrame:
-    """All passes on rows with facts. ``between`` may write the rows before the joins of the last passes."""
+def chain(d: DataFrame) -> DataFrame:
+    """All passes on rows with facts, parts and covers."""
     d = take_openings(restore_lengths(restore_nested(nest_offsets(row_rules(d)))))
-    d = between(restore_orphans(restore_twins(restore_coordinates(resolve_shells(d)))))
-    return take_ambiguous(cover_overalls(d, parts, cover))
+    return take_ambiguous(cover_marks(restore_orphans(restore_twins(restore_coordinates(resolve_shells(d))))))
 
 
-def correct(c: DataFrame, write) -> DataFrame:
-    """Candidates of whole sheets after the chain. ``write`` makes a table of what is read more than once.
+def correct(c: DataFrame, write=lambda d: d) -> DataFrame:
+    """Candidates of whole sheets after the chain; ``write`` may make a table of them.
 
-    The in-sheet pairs are written once, and relations, facts and chains of pieces are read off them.
+    Rows are shuffled by sheet once: relations, facts and chains of pieces are columns that each row reads off its sheet.
     """
-    pairs = write(P.pair_table(c))
-    edges = write(L.sure_relations(pairs, write).filter(F.col("score") >= L.SURE))
-    parts = write(L.chain_parts(pairs))
-    return chain(facts(c, pairs, edges), parts, L.chain_cover(parts), write)
+    d = L.with_chain(L.with_relation(c))
+    total = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["part_mm"])
+    d = d.withColumns({"edge": F.when(F.col("relation.score") >= L.SURE, F.col("relation.parent_ord")), "covers": F.when(F.size("parts") > 0, L.covers(total, F.col("value_mm")))}).drop("relation")
+    return write(chain(known(d)))
 
 
 def notes(d: DataFrame) -> DataFrame:

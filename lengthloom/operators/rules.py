@@ -39,9 +39,8 @@ def row_rules(d: DataFrame) -> DataFrame:
     return _set(d, _is(INCLUDE, OPEN) & ((F.col("value_mm") <= 16) | F.col("small_repeat")), OTHER)
 
 
-def nested_offsets(d: DataFrame, edges: DataFrame) -> DataFrame:
-    """A candidate with a sure parent is nested, unless it is an overall mark."""
-    d = d.join(edges.select("sheet_no", "ord", F.lit(True).alias("has_parent")), ["sheet_no", "ord"], "left").withColumn("has_parent", F.coalesce("has_parent", F.lit(False)))
+def nested_offsets(d: DataFrame) -> DataFrame:
+    """A candidate with a sure parent (has_parent) is nested, unless it is an overall mark."""
     return _set(d, F.col("has_parent") & _is(INCLUDE, OPEN, NESTED) & ~F.col("f_overall_mark"), NESTED)
 
 
@@ -51,10 +50,9 @@ def restore_lengths(d: DataFrame) -> DataFrame:
     return _set(d, _is(OTHER) & ~held, INCLUDE)
 
 
-def restore_twins(d: DataFrame, twins: DataFrame) -> DataFrame:
-    """A nested candidate without a parent comes back if it has a twin run."""
-    d = d.join(twins.select("sheet_no", "ord", F.lit(True).alias("has_twin")), ["sheet_no", "ord"], "left")
-    return _set(d, _is(NESTED) & ~F.col("f_overall_mark") & ~F.col("has_parent") & F.coalesce("has_twin", F.lit(False)), INCLUDE)
+def restore_twins(d: DataFrame) -> DataFrame:
+    """A nested candidate without a parent comes back if it has a twin run (has_twin)."""
+    return _set(d, _is(NESTED) & ~F.col("f_overall_mark") & ~F.col("has_parent") & F.col("has_twin"), INCLUDE)
 
 
 def take_ambiguous(d: DataFrame) -> DataFrame:

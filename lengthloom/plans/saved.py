@@ -40,13 +40,13 @@ def merged_rows(spark, sf) -> DataFrame:
 
 def _training(spark, sf) -> DataFrame:
     """Candidates with their 28 features, the decision that the rules leave as the label, the weight, and every fifth sheet held out."""
-    c = runs.candidates(spark, sf)
-    label = guards.correct(c, kept).select("sheet_no", "ord", "decision")
-    noted = A.with_notes(rules.facts(c)).drop("decision").join(label, ["sheet_no", "ord"])
-    f = features.features(noted, pairs.best_parents(c))
-    w = noted.select("sheet_no", "ord", "decision", features.weight().alias("weight"))
-    held = splits.folds(c, "sheet_no", 5).select("sheet_no", (F.col("fold") == 0).alias("held_out"))
-    return kept(f.join(w, ["sheet_no", "ord"]).join(held, "sheet_no"))
+    saved = ("nearby", "flags", "locked", "reviewed_by_human")
+    c = pairs.with_parent(rules.facts(runs.candidates(spark, sf))).filter("sheet_no is not null").withColumn("_plain", F.col("nearby"))
+    c = features.with_features(A.with_notes(c)).withColumns({"noted": F.struct(*saved), "nearby": F.col("_plain")}).drop("_plain", "up", "dist_to_line", "parallel_score", *saved[1:])
+    d = guards.correct(c).withColumns({k: F.col(f"noted.{k}") for k in saved})
+    d = d.select("sheet_no", "ord", "features.*", "decision", features.weight().alias("weight"))
+    held = splits.folds(A.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sheet_no")).filter("sheet_no is not null"), "sheet_no", 5).select("sheet_no", (F.col("fold") == 0).alias("held_out"))
+    return kept(d.join(held, "sheet_no"))
 
 
 def _names(d: DataFrame) -> list[str]:

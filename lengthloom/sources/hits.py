@@ -113,7 +113,7 @@ def documents(c: DataFrame, heads: DataFrame) -> DataFrame:
 
 def with_relations(c: DataFrame, write) -> DataFrame:
     """Candidates with the parent that relations give them (none, if they give none); who has a sure one gets the flag and the hint nested_offset, which are never taken away."""
-    r = L.sure_relations(write(P.pair_table(c)), write).select("sheet_no", "ord", "parent_ord", "score", "dist")
+    r = L.sure_relations(c, write)
     up = c.select("sheet_no", F.col("ord").alias("parent_ord"), F.col("cid").alias("_cid"), F.col("value_mm").alias("_mm"))
     d = c.join(r.join(up, ["sheet_no", "parent_ord"]).drop("parent_ord"), ["sheet_no", "ord"], "left")
     sure = F.coalesce(F.col("score") >= L.SURE, F.lit(False))
