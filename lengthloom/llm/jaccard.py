@@ -116,6 +116,20 @@ def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = new
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what pairs of rows connect: a row goes to the first of its component on its own side, and that of side 1 to that of side 0.
+
+    So a row of a large group, which meets every other block, has the same edge in each, and only the firsts of blocks differ.
+    """
+    on = np.unique(np.concatenate([a, b]))
+    group = labels(n, a, b)[on] * 2 + side[on]
+    _, at, first = np.unique(group, return_index=True, return_inverse=True)  # on is sorted, so the first index is the smallest row
+    near = on[at]
+    both = np.flatnonzero(group[at][1:] // 2 == group[at][:-1] // 2)
+    rest = on != near[first]
+    return np.concatenate([on[rest], near[both + 1]]), np.concatenate([near[first][rest], near[both]])
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups from a partition sorted by integer keys, with the begin of each group."""
     held: list[pa.RecordBatch] = []
@@ -185,10 +199,9 @@ def candidate_edges(members: DataFrame, least: np.ndarray) -> DataFrame:
             for x, y in _pairs(begin, np.append(begin[1:], len(node)), side, two):
                 ok = surviving(sig, x, y, least)
                 if len(ok):
-                    root = labels(len(node), x[ok], y[ok])  # a forest says as much as all pairs
-                    i = np.flatnonzero(root != np.arange(len(node)))
+                    i, j = forest(len(node), x[ok], y[ok], side)  # it says as much as all pairs
                     a.append(node[i])
-                    b.append(node[root[i]])
+                    b.append(node[j])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     return _in_blocks(members, "key", "size").select("key", "lo", "hi", "side", "node", "sig").mapInArrow(run, "a long, b long").distinct()
@@ -284,10 +297,9 @@ def exact_links(blocks: DataFrame, threshold: float) -> DataFrame:
                     n_links[right] += copies[left] @ link
                     n_classes[right] += link.sum(axis=0)
                 x, y = np.nonzero(link)
-                root = labels(len(rows), left[x] - begin[g], right[y] - begin[g])
-                i = np.flatnonzero(root != np.arange(len(rows)))
+                i, j = forest(len(rows), left[x] - begin[g], right[y] - begin[g], side[rows])
                 a.append(node[rows[i]])
-                b.append(node[rows[root[i]]])
+                b.append(node[rows[j]])
             a, b, some = np.concatenate(a), np.concatenate(b), np.flatnonzero(n_classes)
             zero = np.zeros(len(a), np.int64)
             yield pa.RecordBatch.from_arrays(
