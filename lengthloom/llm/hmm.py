@@ -23,6 +23,8 @@ SEGMENT, WINDOW = 2048, 4096
 #: Weight of the corpus distribution in each state's emissions, and of its ending's states in those of a word.
 PRIOR, OWN = 50.0, 8.0
 BATCH = 500_000
+#: Symbols whose moves are summed at once.
+PORTION = 65_536
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -122,7 +124,8 @@ def posteriors(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     tail /= np.maximum((tail * alpha[end]).sum(axis=1), 1e-30)[:, None]
     back = np.ones_like(e)
     back[end] = tail
-    ahead = e / scale[:, None]  # becomes emission times backward value over scale
+    e /= scale[:, None]
+    ahead = e  # becomes emission times backward value over scale
     after = None
     for k, b in reversed(steps):
         if after is not None:
@@ -131,9 +134,13 @@ def posteriors(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.nd
         after *= back[b : b + k]
     moves = ahead_of[order].T @ ahead[: live[0]]  # from piece to piece
     if n > live[0]:
-        before = np.arange(live[0], n) - np.repeat(live[:-1], live[1:])
-        moves = moves + alpha.take(before, axis=0).T @ ahead[live[0] :]
-    gamma = alpha * back
+        before, summed = np.arange(live[0], n) - np.repeat(live[:-1], live[1:]), np.zeros(move.shape)
+        for i in range(0, len(before), PORTION):
+            summed += alpha.take(before[i : i + PORTION], axis=0).T @ ahead[live[0] + i : live[0] + i + PORTION]
+        moves = moves + summed
+    del e, ahead, after, a, c
+    gamma = np.multiply(alpha, back, out=back)  # in place, as all tables here have a row a symbol
+    del alpha, before, back
     starts = gamma[: live[0]][first[order]].sum(axis=0, dtype=np.float64)
     sizes = np.array([len(x) for x in pieces])
     begin_of = (np.cumsum(sizes) - sizes)[order]
