@@ -141,22 +141,39 @@ def write_pages(d: DataFrame, path: str, text: str = "html") -> None:
     d.select("job", F.col(text).alias("value")).write.partitionBy("job").option("lineSep", "\n").text(path)
 
 
+def _line(far: int) -> Column:
+    return F.concat(F.lit("- D"), text_of("ord"), F.lit(": "), text_of("value_mm"), F.lit(" мм; "), text_of("hint"), F.lit("; рядом: "), F.substring(text_of("nearby"), 1, far))
+
+
+def _said() -> Column:
+    return F.concat(F.lit("- D"), text_of("ord"), F.lit(": "), text_of("decision"), F.lit(" / "), text_of("reason"))
+
+
+def _in_order(d: DataFrame, **texts: Column) -> DataFrame:
+    """sheet_no and, for each text of a row, those of a sheet's rows in order, a line each."""
+    joined = lambda x: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", x.alias("line")))), lambda r: r["line"]), "\n")
+    return d.groupBy("sheet_no").agg(*(joined(x).alias(n) for n, x in texts.items()))
+
+
+def _headed(d: DataFrame, meta: DataFrame, *texts: str) -> DataFrame:
+    head = F.concat(F.lit("Лист "), text_of("sheet_no"), F.lit(", линия "), text_of("line_id"))
+    return d.join(meta.select("sheet_no", "line_id"), "sheet_no", "left").select("sheet_no", F.concat_ws("\n", head, *texts).alias("text"))
+
+
 def prompts(c: DataFrame, meta: DataFrame, draft: DataFrame | None = None) -> DataFrame:
     """sheet_no, text: what a classifier is asked of a sheet's candidates, in order; neighbours are quoted in part.
 
     c: sheet_no, ord, value_mm, hint, nearby. meta: sheet_no, line_id. draft (sheet_no, ord, decision, reason) makes it the second
     question, which tells the decisions so far and quotes less.
     """
-    far = FIRST if draft is None else SECOND
-    line = F.concat(F.lit("- D"), text_of("ord"), F.lit(": "), text_of("value_mm"), F.lit(" мм; "), text_of("hint"), F.lit("; рядом: "), F.substring(text_of("nearby"), 1, far))
-    joined = lambda d, x: d.groupBy("sheet_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", x.alias("line")))), lambda r: r["line"]), "\n").alias("lines"))
-    head = F.concat(F.lit("Лист "), text_of("sheet_no"), F.lit(", линия "), text_of("line_id"))
-    d = joined(c, line).join(meta.select("sheet_no", "line_id"), "sheet_no", "left")
     if draft is None:
-        return d.select("sheet_no", F.concat_ws("\n", head, "lines").alias("text"))
-    said = F.concat(F.lit("- D"), text_of("ord"), F.lit(": "), text_of("decision"), F.lit(" / "), text_of("reason"))
-    d = d.join(joined(draft, said).withColumnRenamed("lines", "said"), "sheet_no", "left")
-    return d.select("sheet_no", F.concat_ws("\n", head, "said", "lines").alias("text"))
+        return _headed(_in_order(c, lines=_line(FIRST)), meta, "lines")
+    return _headed(_in_order(c, lines=_line(SECOND)).join(_in_order(draft, said=_said()), "sheet_no", "left"), meta, "said", "lines")
+
+
+def second_prompts(c: DataFrame, meta: DataFrame) -> DataFrame:
+    """The second question for candidates that carry their draft as decision and reason: a sheet's rows are gathered once."""
+    return _headed(_in_order(c, lines=_line(SECOND), said=_said()), meta, "said", "lines")
 
 
 def first_files(files: DataFrame) -> DataFrame:

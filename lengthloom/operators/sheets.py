@@ -15,6 +15,10 @@ COORDINATE, DIAMETER, SUPPORT, BALLOON = r"(?iU)^(X|Y|Z\+?)\s*[0-9]+$", r"(?iU)^
 SHEET, LINE, SMALLEST = r"(?iU)Лист\s*([0-9]+)\s*из\s*([0-9]+)", r"(?i)^[A-Z]{1,8}[0-9]{0,3}_[0-9]{3,5}$", 16
 
 
+def page():
+    return Window.partitionBy("sheet_no")
+
+
 def plain(text: str = "text") -> Column:
     """A run's text with common spaces."""
     return F.replace(text, F.lit(" "), F.lit(" "))
@@ -36,13 +40,19 @@ def spans(pages: DataFrame) -> DataFrame:
 
 
 def with_nearby(s: DataFrame) -> DataFrame:
-    """Runs with nearby: distinct texts within 55 points, in order, the first 12, joined by a bar. Only numbers ask."""
-    a, b = s.filter(F.trim(plain()).rlike("^[0-9]+$")).alias("a"), s.alias("b")
-    dx, dy = F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")
-    j = a.join(b, (F.col("a.sheet_no") == F.col("b.sheet_no")) & (F.col("a.span") != F.col("b.span")) & (dx * dx + dy * dy <= NEAR * NEAR))
-    g = j.groupBy("a.sheet_no", "a.span").agg(F.sort_array(F.collect_list(F.struct(F.col("b.span").alias("o"), F.col("b.text").alias("t")))).alias("n"))
-    near = g.select("sheet_no", "span", F.array_join(F.slice(F.array_distinct("n.t"), 1, SHOWN), " | ").alias("nearby"))
-    return s.join(near, ["sheet_no", "span"], "left").withColumn("nearby", F.coalesce("nearby", F.lit("")))
+    """Runs with nearby: distinct texts within 55 points, in order, the first 12, joined by a bar. Only numbers ask.
+
+    A row reads its page's runs off an array, so pages that lie together are not shuffled again.
+    """
+    d = s.withColumn("_page", F.collect_list(F.when(F.col("sheet_no").isNotNull(), F.struct(F.col("span").alias("o"), F.col("text").alias("t"), "x", "y"))).over(page()))
+
+    def near(b):
+        dx, dy = F.col("x") - b["x"], F.col("y") - b["y"]
+        return (b["o"] != F.col("span")) & (dx * dx + dy * dy <= NEAR * NEAR)
+
+    texts = F.transform(F.sort_array(F.filter("_page", near)), lambda b: b["t"])
+    joined = F.array_join(F.slice(F.array_distinct(texts), 1, SHOWN), " | ")
+    return d.withColumn("nearby", F.when(F.trim(plain()).rlike("^[0-9]+$"), joined).otherwise("")).drop("_page")
 
 
 def reasons(s: DataFrame) -> DataFrame:
@@ -52,9 +62,8 @@ def reasons(s: DataFrame) -> DataFrame:
     header down, the right column, the bottom, the upper corner), then by words beside it, then as an index up to 16.
     """
     up = F.upper(plain())
-    header = F.min_by(F.struct("bbox", "x"), "span").alias("h")
-    first = s.filter(up.contains("ДЛИНЫ") & up.contains("ОТРЕЗК")).groupBy("sheet_no").agg(header)
-    d = s.join(first, "sheet_no", "left")
+    headed = F.when(F.col("sheet_no").isNotNull() & up.contains("ДЛИНЫ") & up.contains("ОТРЕЗК"), F.col("span"))
+    d = s.withColumn("h", F.min_by(F.struct("bbox", "x"), headed).over(page()))
     w, h, x, y, t = F.col("width"), F.col("height"), F.col("x"), F.col("y"), F.trim(plain())
     left = F.least(F.greatest(F.lit(0.0), F.least(F.col("h.bbox")[0], F.col("h.x")) - w * 0.02), w * TABLE_LEFT)
     top = F.greatest(F.lit(0.0), F.col("h.bbox")[1] - h * 0.01)

@@ -10,7 +10,6 @@ from ..operators import marks as M
 from ..operators import rules as R
 from ..operators import sheets as T
 from ..operators import splits as S
-from ..session import kept
 from ..sources import adapters as A
 from ..sources import files
 from ..sources import hits as H
@@ -22,7 +21,7 @@ def _c(spark, sf) -> DataFrame:
 
 
 def _spans(spark, sf) -> DataFrame:
-    return kept(T.spans(A.text_pages(A.table(spark, sf, "lineitem"))))
+    return T.spans(A.text_pages(A.table(spark, sf, "lineitem")))
 
 
 def text_spans(spark, sf) -> DataFrame:
