@@ -20,3 +20,12 @@ def test_names_of_folders_may_hold_spaces(spark, monkeypatch, tmp_path):
     A.table(spark, "/root/testdata/sf0.001", "lineitem").write.parquet(f"{tmp_path}/a b%c/lineitem.parquet")
     lines = A.table(spark, f"{tmp_path}/a b%c", "lineitem")
     assert A.candidates(lines).count() == lines.count()
+
+
+def test_partitions_follow_the_rows_of_tightly_packed_files(spark, monkeypatch, tmp_path):
+    """Copies of the same lines pack into few bytes: their rows count, too."""
+    monkeypatch.setattr(session, "TASK_ROWS", 1000, raising=False)
+    lines = A.table(spark, "/root/testdata/sf0.01", "lineitem").limit(1).crossJoin(spark.range(20000)).drop("id")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    d = A.candidates(A.table(spark, str(tmp_path), "lineitem"))
+    assert d.rdd.getNumPartitions() == 20 and d.count() == 20000
