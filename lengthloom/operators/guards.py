@@ -230,7 +230,7 @@ def correct(c: DataFrame, write=lambda d: d) -> DataFrame:
 
     Rows are shuffled by sheet once: relations, facts and chains of pieces are columns that each row reads off its sheet.
     """
-    d = L.with_chain(L.with_relation(c))
+    d = L.with_relation(L.judged(R.facts(c)))
     total = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["part_mm"])
     d = d.withColumns({"edge": F.when(F.col("relation.score") >= L.SURE, F.col("relation.parent_ord")), "covers": F.when(F.size("parts") > 0, L.covers(total, F.col("value_mm")))}).drop("relation")
     return write(chain(known(d)))

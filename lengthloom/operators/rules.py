@@ -11,6 +11,8 @@ INCLUDE, NESTED, OTHER, OPEN = "include", "exclude_nested", "not_length", "ambig
 
 def facts(c: DataFrame) -> DataFrame:
     """What the rules ask of a sheet: how often a value occurs, and whether it is a handwheel's."""
+    if "n_same" in c.columns:
+        return c
     w = Window.partitionBy("sheet_no", "value_mm")
     d = c.withColumns({"n_same": F.count("*").over(w), "wheel_value": F.max(F.col("f_handwheel").cast("int")).over(w) == 1})
     return d.withColumns({"support_repeat": (F.col("n_same") >= 3) & F.col("value_mm").between(50, 200), "small_repeat": (F.col("n_same") >= 3) & (F.col("value_mm") <= 25)})
