@@ -7,9 +7,8 @@ of the log is ordered by pass, row and place in the row.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..arrays import F, Window
 from . import lines as L
 from . import marks as M
 from . import pairs as P
@@ -27,6 +26,7 @@ def known(c: DataFrame) -> DataFrame:
 
     Who has a sure parent is a nested offset too.
     """
+    c = c if "_sheet" in c.columns else P.gathered(c, "ord", "cid", "value_mm")
     up = F.get(F.filter("_sheet", lambda b: b["ord"] == F.col("edge")), F.lit(0))
     d = P.with_facts(P.with_parts(c)).withColumn("parent", F.when(F.col("edge").isNotNull(), up))
     stamp = F.col("f_stamp") | F.col("nearby").rlike(M.PARTS_TABLE) | F.col("nearby").rlike(M.TITLE)

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..arrays import F, Window
 INCLUDE, NESTED, OTHER, OPEN = "include", "exclude_nested", "not_length", "ambiguous"
 
 
