@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..arrays import F
 from ..operators import classes, features, guards, models, pairs, rules, splits
 from ..session import kept
 from ..sources import adapters as A
@@ -38,15 +38,22 @@ def merged_rows(spark, sf) -> DataFrame:
     return first.unionByName(second.join(first, ["sheet_no", "ord"], "left_anti"))
 
 
+#: What features and weights read of a candidate, as the rules find it.
+SHOWN = "value_mm int, x double, y double, nearby string, f_overall_mark boolean, f_overall_pair boolean, f_handwheel boolean, f_insulation_thickness boolean, support_repeat boolean, f_near_plant_coord boolean, f_nested_offset boolean, up struct<score:double,ord:int,value_mm:int,x:double,y:double>"
+
+
+def learned(c: DataFrame) -> DataFrame:
+    """sheet_no, ord, held_out, the decision that the rules leave, and what features read of a candidate before them."""
+    names = [f.split(" ")[0] for f in SHOWN.split(", ")]
+    d = pairs.with_parent(rules.facts(runs.paired(c))).withColumn("seen", F.struct(*names))
+    return guards.correct(d.drop("up")).select("sheet_no", "ord", "held_out", "decision", *(F.col(f"seen.{n}").alias(n) for n in names))
+
+
 def _training(spark, sf) -> DataFrame:
     """Candidates with their 28 features, the decision that the rules leave as the label, the weight, and every fifth sheet held out."""
-    saved = ("nearby", "flags", "locked", "reviewed_by_human")
-    c = pairs.with_parent(rules.facts(runs.candidates(spark, sf))).filter("sheet_no is not null").withColumn("_plain", F.col("nearby"))
-    c = features.with_features(A.with_notes(c)).withColumns({"noted": F.struct(*saved), "nearby": F.col("_plain")}).drop("_plain", "up", "dist_to_line", "parallel_score", *saved[1:])
-    d = guards.correct(c).withColumns({k: F.col(f"noted.{k}") for k in saved})
-    d = d.select("sheet_no", "ord", "features.*", "decision", features.weight().alias("weight"))
     held = splits.folds(A.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sheet_no")).filter("sheet_no is not null"), "sheet_no", 5).select("sheet_no", (F.col("fold") == 0).alias("held_out"))
-    return kept(d.join(held, "sheet_no"))
+    c = runs.on_sheets(spark, sf, learned, f"sheet_no bigint, ord int, held_out boolean, decision string, {SHOWN}", lambda c: c.join(held, "sheet_no"))  # joined while a row is narrow and lies by sheet
+    return kept(features.with_features(A.with_notes(c)).select("sheet_no", "ord", "features.*", "decision", features.weight().alias("weight"), "held_out"))
 
 
 def _names(d: DataFrame) -> list[str]:

@@ -7,7 +7,7 @@ import pytest
 from lengthloom import arrays
 from lengthloom.operators import marks as M
 from lengthloom.operators import pairs as P
-from lengthloom.plans import registry, runs
+from lengthloom.plans import registry, runs, saved
 from lengthloom.sources import adapters as A
 
 NAMES = "sheet_no long, ord int, value_mm int, x double, y double, dir_x double, dir_y double, f_overall_mark boolean, f_handwheel boolean, f_insulation_thickness boolean, f_near_plant_coord boolean, f_pipe_opening boolean, f_stamp boolean, has_support boolean, note string, role string, reason string, decision string, cid string"
@@ -59,6 +59,17 @@ def test_arrays_give_what_columns_give(spark, monkeypatch):
     assert [flat(r) for r in on_arrays(d, _logged, SCHEMA)] == want
 
 
+def test_training_rows_are_those_of_columns(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    given = [*rows(3, [1, 3, 7, 7, 20, 6] * 6, 0.0), *((s + 100, *r) for s, *r in rows(4, [2, 7, 9, 15] * 6, 0.05))]
+    d = spark.createDataFrame(given, NAMES).withColumn("held_out", F.col("sheet_no") % 5 == 0).repartition(2, "sheet_no").sortWithinPartitions("sheet_no", "ord").cache()
+    want = sorted((flat(r.asDict(recursive=True)) for r in saved.learned(d).collect()), key=repr)
+    assert any(r[-1] is not None for r in want)
+    monkeypatch.setattr(arrays, "ROWS", 100)
+    assert [flat(r) for r in on_arrays(d, saved.learned, f"sheet_no bigint, ord int, held_out boolean, decision string, {saved.SHOWN}")] == want
+
+
 @pytest.mark.parametrize("name", ["guard_decisions", "guard_full", "guard_notes", "relabeled_items"])
 def test_larger_tables_run_on_arrays(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
