@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 BODY_LENGTH, BODY_WIDTH, TICK_LENGTH, GAP = (28.0, 900.0), (0.18, 1.2), (3.5, 16.0), 14.0
 #: How near a tick's end lies, and how far it may lean; reach, direction and overhang of a text beside a line.
 TICK_REACH, TICK_LEAN, TEXT_REACH, PARALLEL, OVERHANG = 4.0, 0.35, 22.0, 0.97, 0.15
+#: Fixed value: what rounding may add to a distance.
+SLACK = 1e-6
 
 
 def flatten(drawings: DataFrame) -> DataFrame:
@@ -96,25 +98,37 @@ def extension_ticks(ticks: DataFrame, lines: DataFrame, size: float = 32.0) -> D
     return j.filter(across & (_to_segment(F.col("t.px"), F.col("t.py"), "l") <= TICK_REACH)).select("l.sheet_no", "l.line", "t.seg").distinct()
 
 
-def nearest_lines(points: DataFrame, lines: DataFrame, reach: float = TEXT_REACH, parallel: float = PARALLEL, same: bool = False, size: float | None = None) -> DataFrame:
+def nearest_lines(points: DataFrame, lines: DataFrame, reach: float = TEXT_REACH, parallel: float = PARALLEL, same: bool = False, size: float | None = None, first: float | None = None) -> DataFrame:
     """sheet_no, seg, line, dist: the nearest line of like direction; a point may lie past an end by 0.15 of the length.
 
     points: sheet_no, seg, x, y and a unit direction ux, uy. lines: sheet_no, line, two ends and unit axis ax, ay; with ``same``, points
     and lines share their names, and none is its own line. Of equally near and parallel lines the first wins. A point meets the lines whose prolonged stroke comes near its cell of the grid.
+    Where lines are many, ``first`` is a shorter reach that is tried before: who has a line within it meets no others.
     """
-    size = size or max(64.0, 2 * reach)
+    if first is None:
+        best = _nearest(points, lines, reach, reach, parallel, same, size or max(64.0, 2 * reach))
+    else:
+        found = _nearest(points.filter("seg is not null"), lines, first, reach, parallel, same, size or 2 * first).filter(F.col("m.dist") <= first - SLACK)
+        rest = points.join(found.select("sheet_no", "seg"), ["sheet_no", "seg"], "left_anti")
+        best = found.unionByName(_nearest(rest, lines, reach, reach, parallel, same, size or max(64.0, 2 * reach)))
+    return best.select("sheet_no", "seg", "m.line", "m.dist")
+
+
+def _nearest(points: DataFrame, lines: DataFrame, near: float, reach: float, parallel: float, same: bool, size: float) -> DataFrame:
+    """sheet_no, seg, m (dist, c, line): the best of the lines that pass a point within ``near``; all whose dist is less are among them."""
     over = {f"_{a}{i}": F.col(f"{a}{i}") + s * OVERHANG * (F.col(f"{a}2") - F.col(f"{a}1")) for i, s in ((1, -1), (2, 1)) for a in "xy"}
     ends = ["x1", "y1", "x2", "y2"]
-    near = lines.select("sheet_no", "line", "ax", "ay", *ends).withColumns(over)
-    near = cells(near.select("sheet_no", "line", "ax", "ay", F.struct(*ends).alias("own"), *(F.col(f"_{c}").alias(c) for c in ends)), reach, size)
-    near = near.select("sheet_no", "line", "ax", "ay", "own.*", "cx", "cy").alias("l")
+    l = lines.select("sheet_no", "line", "ax", "ay", *ends).withColumns(over)  # noqa: E741
+    l = cells(l.select("sheet_no", "line", "ax", "ay", F.struct(*ends).alias("own"), *(F.col(f"_{c}").alias(c) for c in ends)), near, size)  # noqa: E741
+    l = l.select("sheet_no", "line", "ax", "ay", "own.*", "cx", "cy").alias("l")  # noqa: E741
     p = points.withColumns({"cx": F.floor(F.col("x") / size).cast("int"), "cy": F.floor(F.col("y") / size).cast("int")}).alias("p")
-    j = p.join(near, [F.col(f"p.{c}") == F.col(f"l.{c}") for c in ("sheet_no", "cx", "cy")])
-    j = j.filter("p.seg <> l.line") if same else j
     vx, vy = F.col("l.x2") - F.col("l.x1"), F.col("l.y2") - F.col("l.y1")
     qx, qy, n2 = F.col("p.x") - F.col("l.x1"), F.col("p.y") - F.col("l.y1"), vx * vx + vy * vy
+    off, cos = F.abs(qy * F.col("l.ax") - qx * F.col("l.ay")), F.abs(F.col("p.ux") * F.col("l.ax") + F.col("p.uy") * F.col("l.ay"))
+    on = [F.col(f"p.{c}") == F.col(f"l.{c}") for c in ("sheet_no", "cx", "cy")] + [cos >= parallel, off <= near + SLACK]  # no line is nearer than its axis
+    j = p.join(l, [*on, F.col("p.seg") != F.col("l.line")] if same else on)
     t = F.when(n2 < 1e-9, 0.0).otherwise((qx * vx + qy * vy) / n2)
-    j = j.withColumns({"t": t, "off": F.abs(qy * F.col("l.ax") - qx * F.col("l.ay")), "cos": F.abs(F.col("p.ux") * F.col("l.ax") + F.col("p.uy") * F.col("l.ay")), "end": _to_segment(F.col("p.x"), F.col("p.y"), "l")})
-    j = j.filter(F.col("cos") >= parallel).withColumn("dist", F.when(F.col("end") <= reach, F.col("end")).when((F.col("off") <= reach) & F.col("t").between(-OVERHANG, 1 + OVERHANG), F.col("off"))).filter("dist is not null")
-    best = F.min(F.struct("dist", (-F.col("cos")).alias("c"), F.col("l.line").alias("line")))
-    return j.groupBy("p.sheet_no", "p.seg").agg(best.alias("m")).select("sheet_no", "seg", "m.line", "m.dist")
+    j = j.withColumns({"t": t, "off": off, "cos": cos, "end": _to_segment(F.col("p.x"), F.col("p.y"), "l")})
+    j = j.withColumn("dist", F.when(F.col("end") <= reach, F.col("end")).when((F.col("off") <= reach) & F.col("t").between(-OVERHANG, 1 + OVERHANG), F.col("off")))
+    best = F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", (-F.col("cos")).alias("c"), F.col("l.line").alias("line"))))  # a filter would be moved into the join, with all that it asks
+    return j.groupBy("p.sheet_no", "p.seg").agg(best.alias("m")).filter("m is not null")

@@ -51,7 +51,7 @@ def nearest_line(spark, sf) -> DataFrame:
     body = F.col("length").between(*G.BODY_LENGTH) & F.col("width").between(*G.BODY_WIDTH)
     mid = d.filter(~body & (F.col("length") > 0)).selectExpr("sheet_no", "seg", "(x1 + x2) / 2 as x", "(y1 + y2) / 2 as y", "(x2 - x1) / length as ux", "(y2 - y1) / length as uy")
     lines = d.filter(body).selectExpr("sheet_no", "seg as line", "x1", "y1", "x2", "y2", "(x2 - x1) / length as ax", "(y2 - y1) / length as ay")
-    return G.nearest_lines(mid, lines, reach=60.0, parallel=0.9, same=True).select("seg", "line", F.round("dist", 6).alias("dist"))
+    return G.nearest_lines(mid, lines, reach=60.0, parallel=0.9, same=True, first=7.5).select("seg", "line", F.round("dist", 6).alias("dist"))
 
 
 STROKES = """e as (select cast(floor(vec_id / 25) as bigint) as sheet_no, vec_id % 25 as seqno, list_transform(embedding, lambda v: cast(v as double)) as v, unnest(range(8)) as g from embeddings
